@@ -59,3 +59,10 @@ def with_id_type(df: DataFrame, rest: str, id_col: str = "doc_id") -> StructType
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def known(df: DataFrame, ids: DataFrame, on: str, most: int = 2_000_000) -> DataFrame:
+    """Rows of ``df`` whose ``on`` is in ``ids``. ``ids`` is counted first: up to ``most`` rows are broadcast,
+    beyond that both sides are shuffled."""
+    ids = ids.select(on).distinct()
+    return df.join(F.broadcast(ids) if ids.count() <= most else ids, on, "left_semi")

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans.tables import table
-from . import linededup, packing, simhash, tokens
+from . import linededup, media, packing, quality, simhash, tokens, toxicity
 
 
 def op1_token_counts(spark, sf_dir):
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,16 @@ def op5_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_media(spark, sf_dir):
+    return media.stored_texts(table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark, sf_dir):
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    scored = quality.classify(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), trusted)
+    return scored.select("doc_id", "lang", "n_symbols", "perplexity", "threshold", "keep")
+
+
 LINE_DEDUP_SQL = r"""
 WITH lines AS (
   SELECT doc_id, pos, list_extract(parts, pos) AS line,
@@ -47,8 +61,12 @@ FROM marked GROUP BY doc_id
 """
 
 
+#: In the operators' order.
+QUERIES = (op1_token_counts, op2_toxicity, op3_packing, op4_line_dedup, op5_simhash, op7_media, op10_quality)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op3_packing, op4_line_dedup, op5_simhash)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
