@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans.tables import table
-from . import linededup, media, packing, quality, simhash, tokens, toxicity
+from . import decontaminate, linededup, media, packing, pii, quality, secrets, simhash, tokens, toxicity
 
 
 def op1_token_counts(spark, sf_dir):
@@ -31,10 +31,23 @@ def op5_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return secrets.digest(secrets.scan(docs, repo=F.concat_ws("/", "source", "lang"), owner=F.col("source")))
+
+
 def op7_media(spark, sf_dir):
     return media.stored_texts(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark, sf_dir):
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
+def op9_decontamination(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality(spark, sf_dir):
     trusted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
     scored = quality.classify(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), trusted)
@@ -62,7 +75,7 @@ FROM marked GROUP BY doc_id
 
 
 #: In the operators' order.
-QUERIES = (op1_token_counts, op2_toxicity, op3_packing, op4_line_dedup, op5_simhash, op7_media, op10_quality)
+QUERIES = (op1_token_counts, op2_toxicity, op3_packing, op4_line_dedup, op5_simhash, op6_secrets, op7_media, op8_pii, op9_decontamination, op10_quality)
 
 
 def queries() -> dict:
