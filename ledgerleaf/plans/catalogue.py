@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package that register queries.
-MODULES = ("literature", "syncing", "ruling")
+MODULES = ("literature", "syncing", "ruling", "scheduling", "records", "matching", "storing")
 
 
 def _merged(what: str) -> dict:
