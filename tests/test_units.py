@@ -81,7 +81,7 @@ def test_sync_one_to_one_and_rerun(spark):
     now = spark.createDataFrame([("s", 1, "new", "T", "g", "h9", None, True), ("s", 2, "u1", "X", "g", "h1", None, True), ("s", 3, "u9", "N", "g", None, "boom", True)], NOW)
     got = {r["ord"]: (r["id"], r["change"], r["kept"]) for r in Z.sync(now, prev, today).collect()}
     assert got == {1: ("s-g-t", "added", True), 2: ("p1", "unchanged", True), 3: ("s-g-n", "failed", False)}
-    same = prev.select("source", F.monotonically_increasing_id().cast("int").alias("ord"), "url", "title", "group", "sha", F.lit(None).cast("string").alias("error"), F.lit(True).alias("file_present"))
+    same = prev.select("source", F.expr("row_number() OVER (ORDER BY id)").alias("ord"), "url", "title", "group", "sha", F.lit(None).cast("string").alias("error"), F.lit(True).alias("file_present"))
     assert {r["change"] for r in Z.sync(same, prev, today).collect()} == {"unchanged"}
     assert Z.sync(same, prev.limit(0), today).filter("change = 'added'").count() == 2
 
