@@ -176,7 +176,7 @@ def train(texts: DataFrame, text_col: str = "text", label_col: str = "toxic") ->
     the same model (fixed seed, rows sorted by text)."""
 
     def run(batches):
-        pdf = pd.concat(list(batches) or [pd.DataFrame({"t": [], "y": []})], ignore_index=True).sort_values(["t", "y"])
+        pdf = pd.concat(list(batches), ignore_index=True).dropna(subset=["y"]).sort_values(["t", "y"])
         if pdf["y"].nunique() < 2:
             raw = np.concatenate([[5.0 if len(pdf) and pdf["y"].iat[0] else -5.0], np.zeros(BUCKETS)])
         else:
@@ -185,7 +185,9 @@ def train(texts: DataFrame, text_col: str = "text", label_col: str = "toxic") ->
         yield pd.DataFrame({"model": [raw.astype("<f4").tobytes()]})
 
     rows = texts.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"), F.col(label_col).cast("int").alias("y"))
-    return bytes(rows.coalesce(1).mapInPandas(run, "model binary").first()["model"])
+    # a first row without a label, so that there is a task even where no text is
+    empty = rows.sparkSession.createDataFrame([("", None)], "t string, y int")
+    return bytes(empty.unionByName(rows).coalesce(1).mapInPandas(run, "model binary").first()["model"])
 
 
 def toxicity(
