@@ -79,9 +79,12 @@ def disclosures(near: DataFrame, rows: DataFrame, min_contexts: int, share: floa
     joint = reliable(joint.join(each, "e"))
     terms = joint.select("t").distinct()
     few = terms.count() <= most
-    words = rows.select(F.explode(F.regexp_extract_all(F.lower("__text"), F.lit(TERM), F.lit(0))).alias("t"))
-    counted = words.join(F.broadcast(terms) if few else terms, "t").groupBy("t").agg(F.count("*").alias("n_t"))
-    total = rows.agg(F.sum(F.regexp_count("__text", F.lit(TERM))).alias("w")).first()["w"] or 1
+    words = rows.select(F.explode_outer(F.regexp_extract_all(F.lower("__text"), F.lit(TERM), F.lit(0))).alias("t")).filter("t IS NOT NULL")
+    # one pass gives both: terms that are not asked for are counted together, under null
+    asked = terms.withColumn("hit", F.col("t"))
+    counted = reliable(words.join(F.broadcast(asked) if few else asked, "t", "left").groupBy("hit").agg(F.count("*").alias("n_t")))
+    total = counted.agg(F.sum("n_t").alias("w")).first()["w"] or 1
+    counted = counted.filter("hit IS NOT NULL").withColumnRenamed("hit", "t")
     told = joint.join(counted, "t")
     told = told.withColumn("pmi", F.log2((F.col("n_te") / F.col("n_e")) * total / F.col("n_t"))).withColumn("ic", F.log2(F.lit(float(total)) / F.col("n_e")))
     return told.filter(F.col("pmi") >= share * F.col("ic")).select("t", "e", "pmi", "ic", (F.col("pmi") >= F.col("ic")).alias("removed"))

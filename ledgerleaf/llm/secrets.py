@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import reliable
 from .spans import joined, tagged, with_matches
 
 #: Key words of an assignment, in either case (spelled out, as engines fold cases differently).
@@ -83,6 +84,7 @@ def scan(
     inside = "NOT exists(base, b -> b.s < i.e AND i.s < b.e)"
     loose = wide.select(id_col, F.xxhash64("__text").alias("__row"), "repo", "owner", F.explode_outer(F.expr(f"filter(loose, i -> {inside})")).alias("c"))
     loose = loose.select(id_col, "__row", "repo", "owner", "c", F.xxhash64("c.x").alias("h"), entropy(F.col("c.x")).alias("bits")).filter("c IS NOT NULL")
+    loose = reliable(loose)  # read twice: to count owners and to mark
     spread = ownership(loose.select("h", "repo", "owner", F.lit(1).alias("n")))
     told = loose.join(spread, "h").withColumn("own", (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos))
     by_row = told.groupBy(id_col, "__row").agg(
