@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import reliable
+
 #: Units of measure that count as placeholders when they follow a number.
 UNITS = (
     "kg", "g", "mg", "lb", "lbs", "oz", "ton", "tons", "km", "m", "cm", "mm", "mi", "mile", "miles", "ft", "feet", "inch", "inches", "yd",
@@ -73,7 +75,8 @@ def leaks(
     hashed = docs.withColumn("tw", words(template(F.col("m")))).select(id_col, "row", window_hashes(F.col("tw"), size).alias("hs"))
     # outer: else a test that the list isn't empty would go below, and make the list a second time, word by word
     met = hashed.select(id_col, "row", F.posexplode_outer("hs").alias("p", "h")).join(small(of_item), "h")
-    met = met.select(id_col, "row", "item", "p", "q", "h", (F.col("p") - F.col("q")).alias("diagonal"), "slots").dropDuplicates([id_col, "row", "item", "p", "q"])
+    met = met.select(id_col, "row", "item", "p", "q", "h", (F.col("p") - F.col("q")).alias("diagonal"), "slots")
+    met = reliable(met.dropDuplicates([id_col, "row", "item", "p", "q"]))  # few rows, read several times below
 
     # coverage before the placeholders are looked at; only what passes is read again for its values
     enough = (
@@ -81,20 +84,22 @@ def leaks(
         .join(small(sizes), "item").filter(F.col("n") >= coverage * F.col("n_windows"))
     ).select(id_col, "row", "item", "n_windows", "any_slots")
     key = [id_col, "row", "item"]
-    same = lambda a, b: a[id_col].eqNullSafe(b[id_col]) & (a["row"] == b["row"]) & (a["item"] == b["item"])
+    c = F.col
+    same = lambda a, b: c(f"{a}.{id_col}").eqNullSafe(c(f"{b}.{id_col}")) & (c(f"{a}.row") == c(f"{b}.row")) & (c(f"{a}.item") == c(f"{b}.item"))
     m, e = met.alias("m"), enough.alias("e")
-    kept = m.join(e, same(met, enough)).select(*[F.col(f"m.{c}") for c in [*key, "p", "q", "h", "diagonal", "slots"]], "e.n_windows")
-    ids = enough.filter("any_slots > 0").select(id_col, "row").distinct()
-    again = docs.join(ids, docs[id_col].eqNullSafe(ids[id_col]) & (docs["row"] == ids["row"]), "left_semi").dropDuplicates([id_col, "row"])
-    raw = again.select(F.col(id_col).alias("__id"), F.col("row").alias("__row"), words(F.col("m")).alias("rw"))
-    full = kept.join(raw, kept[id_col].eqNullSafe(raw["__id"]) & (kept["row"] == raw["__row"]), "left")
+    kept = m.join(e, same("m", "e")).select(*[F.col(f"m.{c}") for c in [*key, "p", "q", "h", "diagonal", "slots"]], "e.n_windows")
+    ids = enough.filter("any_slots > 0").select(c(id_col).alias("__id"), c("row").alias("__row")).distinct()
+    whole = df.filter(F.length(text_col) > 0).select(F.col(id_col), F.xxhash64(F.col(text_col)).alias("row"), F.col(text_col).alias("__text"))
+    again = whole.join(ids, c(id_col).eqNullSafe(c("__id")) & (c("row") == c("__row")), "left_semi").dropDuplicates([id_col, "row"])
+    raw = again.select(F.col(id_col).alias("__id"), F.col("row").alias("__row"), words(marked(F.col("__text"))).alias("rw"))
+    full = kept.join(raw, c(id_col).eqNullSafe(c("__id")) & (c("row") == c("__row")), "left")
     filled = full.select(*key, "n_windows", "diagonal", "h", "q", F.explode_outer(F.expr("transform(slots, s -> named_struct('at', q + s.j, 'w', s.w, 'v', s.v, 'd', rw[p + s.j]))")).alias("s"))
     # one document value for each item value, on each diagonal
     values = filled.groupBy(*key, "diagonal", "s.w", "s.v").agg(F.countDistinct(F.lower("s.d")).alias("n_values"), F.max(F.coalesce(F.lower("s.d") != F.lower("s.v"), F.lit(False))).alias("new"), F.countDistinct("s.at").alias("n_at"))
     lines = values.groupBy(*key, "diagonal").agg(F.max("n_values").alias("most"), F.max("new").alias("new"), F.sum("n_at").alias("n_slots"))
     good = lines.filter("most <= 1")
     k, g = kept.alias("k"), good.alias("g")
-    joined = k.join(g, same(kept, good) & (kept["diagonal"] == good["diagonal"])).select(*[F.col(f"k.{c}") for c in [*key, "n_windows", "h"]], "g.new", "g.n_slots")
+    joined = k.join(g, same("k", "g") & (c("k.diagonal") == c("g.diagonal"))).select(*[F.col(f"k.{c}") for c in [*key, "n_windows", "h"]], "g.new", "g.n_slots")
     out = joined.groupBy(*key, "n_windows").agg(
         F.countDistinct("h").alias("n_found"), F.max("n_slots").alias("n_slots"), F.min("new").alias("new")
     ).filter(F.col("n_found") >= coverage * F.col("n_windows"))
