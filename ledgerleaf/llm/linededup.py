@@ -10,12 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, WS, reliable, shuffle_partitions
+from .common import LOWER, UPPER, reliable, shuffle_partitions
 
 
 def line_key(line: Column) -> Column:
     """The line without white space at both ends, A-Z lower-cased."""
-    return F.translate(F.regexp_replace(line, f"^[{WS}]+|[{WS}]+$", ""), UPPER, LOWER)
+    return F.translate(F.btrim(line, F.lit(" \t\n\x0b\f\r")), UPPER, LOWER)
 
 
 def line_hashes(df: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFrame:
@@ -138,7 +138,7 @@ def line_bitmaps(
     table gives an empty result. Other columns are ignored.
     """
     spark = df.sparkSession
-    hashes = line_hashes(df, min_chars, id_col, text_col)
+    hashes = reliable(line_hashes(df, min_chars, id_col, text_col))  # else the sample for the ranges splits all texts once more
     order = ["h1", "h2", F.desc("doc"), "pos"]
     ranged = reliable(hashes.repartitionByRange(shuffle_partitions(spark), "h1", "h2", F.desc("doc")).sortWithinPartitions(*order))
     ends = ranged.select("h1", "h2", "doc").mapInPandas(edge_hashes, "h1 long, h2 long, n_docs long, keeper long").collect()
