@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import per_text, reliable, with_id_type
-from .tokens import CACHE_CHARS, CACHE_ROWS, CHUNK, ODD_SPACE, vocabulary
+from .tokens import CACHE_CHARS, CHUNK, ODD_SPACE, vocabulary
+
+#: Chunks remembered by each worker.
+CACHE_ROWS = 500_000
 
 
 class IdBytes(dict):
@@ -27,18 +30,20 @@ class IdBytes(dict):
     def fresh(self, text: str) -> bytes:
         return np.asarray(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.fresh(chunk)
-        if len(chunk) <= CACHE_CHARS:
-            if len(self) >= CACHE_ROWS:
-                self.clear()
-            self[chunk] = ids
-        return ids
-
     def of(self, text: str) -> bytes:
         if ODD_SPACE.search(text) or any(s in text for s in self.special):
             return self.fresh(text)
-        return b"".join(map(self.__getitem__, CHUNK.findall(text)))
+        chunks = CHUNK.findall(text)
+        got = [*map(self.get, chunks)]
+        if None in got:  # all new chunks of the text in one call
+            new = list({c for c, ids in zip(chunks, got, strict=True) if ids is None})
+            ids = [np.asarray(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(new, add_special_tokens=False)]
+            own = dict(zip(new, ids, strict=True))
+            got = [own[c] if x is None else x for c, x in zip(chunks, got, strict=True)]
+            if len(self) + len(own) > CACHE_ROWS:
+                self.clear()
+            self.update((c, x) for c, x in own.items() if len(c) <= CACHE_CHARS)
+        return b"".join(got)
 
 
 @lru_cache(maxsize=4)
