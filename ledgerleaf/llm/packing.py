@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from functools import lru_cache
 
@@ -15,13 +16,14 @@ from .common import per_text, reliable, with_id_type
 from .tokens import CACHE_CHARS, CHUNK, ODD_SPACE, vocabulary
 
 #: Chunks remembered by each worker.
-CACHE_ROWS = 500_000
+CACHE_ROWS = 800_000
 
 
 class IdBytes(dict):
     """Token ids of texts as little-endian unsigned 32-bit bytes; remembers those of short chunks."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
