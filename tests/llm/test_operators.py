@@ -74,6 +74,18 @@ def test_packing(spark, sf, lib, edges):
     assert packing.pack(edges.limit(0)).count() == 0
 
 
+def test_packed_ids_are_the_librarys_for_all_characters_and_odd_strings(lib):
+    ids, rnd = packing.id_bytes(tokens.vocabulary("byte_bpe_50k.json")), random.Random(4)
+    assert ids.fast is not None and packing.id_bytes(tokens.vocabulary("word_bpe_49k.json")).fast is None
+    alphabet = [*"ab cd'\n\t.!<|>12é\x1c\x85 漢̈ʼ²Ⅷ　😀\0", "<|endoftext|>", "'ll", " s", "\r\n"]
+    odd = ["".join(rnd.choices(alphabet, k=rnd.randint(0, 30))) for _ in range(5000)]
+    odd += [f"a{c}1{c}. {c}b {c} 'sx{c}!" for c in map(chr, range(0x30000)) if not "\ud800" <= c <= "\udfff"]
+    odd += ["a" * 200_000, " " * 200_000 + "a", "x" + "\n" * 60_000, "x" + " " * 49_999 + "y" + " " * 49_998]
+    for k in range(0, len(odd), 10_000):
+        for t, e in zip(odd[k : k + 10_000], lib.encode_batch_fast(odd[k : k + 10_000], add_special_tokens=False)):
+            assert ids.of(t) == np.array(e.ids, "<u4").tobytes(), t[:50]
+
+
 def test_line_dedup_streams_over_batches_and_edges():
     import pandas as pd
 
