@@ -27,7 +27,7 @@ class IdBytes:
     """Token ids of texts as little-endian unsigned 32-bit bytes, those that the tokenizers library gives.
 
     A byte-level vocabulary file whose ids follow its merges, split by the public pattern, is encoded by
-    tiktoken, which gives the same ids in half the time (the tests compare all code points and odd strings).
+    tiktoken, which gives the same ids in half the time (the tests compare the first three planes and odd strings).
     Any other file, and texts with very long white space, go to the tokenizers library itself.
     """
 
