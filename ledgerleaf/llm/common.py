@@ -20,16 +20,25 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def reliable(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, so that a lost executor costs no earlier work.
 
-    The folder is the one in ``spark.checkpoint.dir``; only where that is unset (tests, local runs) a
-    temporary one is made.
+    The folder is the one of ``shared_folder``.
     """
-    spark = df.sparkSession
-    sc: SparkContext = spark.sparkContext
+    sc: SparkContext = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which all executors share. Only a local master, whose executors are
+    the driver, may do without: it gets a temporary one. Anywhere else a missing setting is an error."""
+    sc = spark.sparkContext
+    if at := sc.getConf().get("spark.checkpoint.dir"):
+        return at
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="spark-checkpoints-")
+
+
 def ascii_lower(col: Column) -> Column:
     """A-Z lower-cased; all other characters stay."""
     return F.translate(col, UPPER, LOWER)
@@ -61,6 +70,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def text_or_empty(col: str) -> Column:
+    return F.coalesce(F.col(col).cast("string"), F.lit(""))
+
+
+def counted(df: DataFrame, most_rows: int = 2_000_000) -> DataFrame:
+    """``df``, kept; to be broadcast if it has up to ``most_rows`` rows, else joined by shuffle."""
+    df = reliable(df)
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def known(df: DataFrame, ids: DataFrame, on: str, most: int = 2_000_000) -> DataFrame:
     """Rows of ``df`` whose ``on`` is in ``ids``. ``ids`` is counted first: up to ``most`` rows are broadcast,
     beyond that both sides are shuffled."""

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from .common import counted, per_text, reliable, text_or_empty, with_id_type
 from .components import components
-from .common import per_text, reliable, with_id_type
 
 #: A-Z lower-cased, byte by byte; UTF-8's other bytes stay.
 LOWERED = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -16,20 +19,26 @@ LOWERED = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 BLOCK = 65_536
 
 
-def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
-    """64 bits; a bit is 1 if set in over half the XXH64 values of the text's word shingles."""
+def shingle_hashes(text: str, words: int, seed: int) -> np.ndarray:
+    """XXH64 of the text's word shingles, repeats included; fewer words are one shingle, none are no shingle."""
     canon = b" ".join(text.encode().translate(LOWERED).split())  # splits at space and TAB to CR
     if not canon:
-        return 0
+        return np.zeros(0, "<u8")
     ends = np.append(np.flatnonzero(np.frombuffer(canon, np.uint8) == 32), len(canon))
     starts = np.append(0, ends[:-1] + 1)
     k = min(words, len(ends))
     starts, ends = starts[: len(starts) - k + 1].tolist(), ends[k - 1 :].tolist()
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, len(starts), BLOCK):
-        h = np.array([digest(canon[a:z], seed) for a, z in zip(starts[at : at + BLOCK], ends[at : at + BLOCK], strict=True)], "<u8")
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(canon[a:z], seed) for a, z in zip(starts, ends, strict=True)], "<u8")
+
+
+def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
+    """64 bits; a bit is 1 if set in over half the XXH64 values of the text's word shingles."""
+    hashes, counts = shingle_hashes(text, words, seed), np.zeros(64, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        h = hashes[at : at + BLOCK]
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return sum(1 << i for i in np.flatnonzero(2 * counts > len(starts)).tolist())
+    return sum(1 << i for i in np.flatnonzero(2 * counts > len(hashes)).tolist())
 
 
 def fingerprints(df: DataFrame, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,9 +71,10 @@ def bits_apart(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def links(fps: DataFrame, radius: int = 2) -> DataFrame:
+def links(fps: DataFrame, radius: int = 2, by: tuple[str, ...] = ()) -> DataFrame:
     """Links a < b between distinct fingerprints (column fp) that connect all within ``radius`` bits (1 or 2).
 
+    With ``by``, only fingerprints of equal columns ``by`` are compared, and links carry these.
     Every pair within the radius shares the masked value of a table. Values held by two fingerprints
     give their pair, checked by its bits. For values held by more, each member is listed under itself
     and its one-bit changes outside the mask: two members within two bits share such a neighbour, and
@@ -74,21 +84,21 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     """
     if radius not in (1, 2):
         raise ValueError("radius 1 or 2")
-    tables = masks(radius)
+    tables, by = masks(radius), [*by]
     table = F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("v")) for k, m in enumerate(tables)])
-    keyed = fps.select("fp", F.explode(table).alias("k")).select("fp", "k.t", "k.v")
-    held = keyed.groupBy("t", "v").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
+    keyed = fps.select(*by, "fp", F.explode(table).alias("k")).select(*by, "fp", "k.t", "k.v")
+    held = keyed.groupBy(*by, "t", "v").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
     held = reliable(held.filter("n > 1"))
-    pairs = held.filter("n = 2").filter(bits_apart(F.col("a"), F.col("b")) <= radius).select("a", "b")
-    many = keyed.join(held.filter("n > 2").select("t", "v"), ["t", "v"], "left_semi")
+    pairs = held.filter("n = 2").filter(bits_apart(F.col("a"), F.col("b")) <= radius).select(*by, "a", "b")
+    many = keyed.join(held.filter("n > 2").select(*by, "t", "v"), [*by, "t", "v"], "left_semi")
     free = F.element_at(F.array(*[F.array(*[F.lit(signed(1 << i)) for i in range(64) if not m >> i & 1]) for m in tables]), F.col("t") + 1)
     if radius == 2:
-        near = many.select("fp", F.explode(F.concat(F.array(F.lit(0).cast("long")), free)).alias("flip"))
-        stars = near.select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("at")).groupBy("at").agg(F.collect_set("fp").alias("all"))
-        stars = stars.filter(F.size("all") > 1).select(F.array_min("all").alias("a"), F.explode("all").alias("b")).filter("a < b")
+        near = many.select(*by, "fp", F.explode(F.concat(F.array(F.lit(0).cast("long")), free)).alias("flip"))
+        stars = near.select(*by, "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("at")).groupBy(*by, "at").agg(F.collect_set("fp").alias("all"))
+        stars = stars.filter(F.size("all") > 1).select(*by, F.array_min("all").alias("a"), F.explode("all").alias("b")).filter("a < b")
     else:
-        near = many.select(F.col("fp").alias("a"), F.explode(free).alias("flip")).select("a", F.col("a").bitwiseXOR(F.col("flip")).alias("b"))
-        stars = near.filter("a < b").join(fps.select(F.col("fp").alias("b")), "b", "left_semi").select("a", "b")
+        near = many.select(*by, F.col("fp").alias("a"), F.explode(free).alias("flip")).select(*by, "a", F.col("a").bitwiseXOR(F.col("flip")).alias("b"))
+        stars = near.filter("a < b").join(fps.select(*by, F.col("fp").alias("b")), [*by, "b"], "left_semi").select(*by, "a", "b")
     return pairs.unionByName(stars).distinct()
 
 
@@ -113,3 +123,166 @@ def near_duplicates(
     return fp.join(by_fp, fp["fp"] == by_fp["node"]).select(
         id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+# ---- near copies by the similarity of their shingle sets ----
+
+#: Fingerprints of a text in a search by similarity; PARTS weightings make the bits of each; radius of the links.
+FPS, PARTS, NEAR = 14, 4, 1
+#: Shingles that count in a weighting: those of the least hashes. The weight falls with the hash to the power of -SHARP.
+TOP, SHARP = 8, 3.0
+#: Texts that share a masked value, up to which all their pairs are checked.
+SMALL = 8
+#: Rounds in which the texts of larger groups that are not linked yet meet others of the group, and how many that are linked.
+ROUNDS, MORE = 4, 8
+
+_rnd = np.random.default_rng(42)
+_TIMES = _rnd.integers(0, 1 << 64, FPS * PARTS, np.uint64) | np.uint64(1)
+_PLUS = _rnd.integers(0, 1 << 64, FPS * PARTS, np.uint64)
+_FEW = 4_096
+
+
+def shingle_set(text: str, words: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles."""
+    return np.unique(shingle_hashes(text, words, 0))
+
+
+def node_of(found: np.ndarray) -> int:
+    """The set's own number, signed; texts of equal sets are one node."""
+    return signed(xxhash.xxh64_intdigest(found.tobytes(), 7))
+
+
+def weighted_fingerprints(found: np.ndarray) -> list[int]:
+    """FPS fingerprints of a set of shingles, signed; none of an empty one.
+
+    A bit is the sign of the weighted sum of the shingles' bits, as in any SimHash. The weights are a
+    function of the shingle alone, by another hash for each fourth of a fingerprint, and fall so steeply that a few shingles decide:
+    sets that share these have equal bits or nearly, and sets that share one passage only differ in other fourths.
+    """
+    if not len(found):
+        return []
+    top = np.uint64(np.iinfo(np.uint64).max)
+    least = np.full((TOP, FPS * PARTS), top)
+    for at in range(0, len(found), _FEW):
+        h = found[at : at + _FEW, None] * _TIMES
+        h += _PLUS
+        h ^= h >> np.uint64(32)
+        least = np.partition(np.concatenate([least, h]), TOP - 1, axis=0)[:TOP]
+    u = (least.astype(np.float64) + 1) / 2.0**64
+    weight = np.where(least == top, 0.0, (u.min(0) / u) ** SHARP)
+    x = (least ^ (least >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(32)
+    bit = ((x[:, :, None] >> np.arange(64 // PARTS, dtype=np.uint64)) & np.uint64(1)).astype(np.float64)
+    total = (weight[:, :, None] * (2 * bit - 1)).sum(0)
+    return np.packbits(total > 0, axis=1, bitorder="little").reshape(FPS, 8).view("<i8")[:, 0].tolist()
+
+
+def by_hash(df: DataFrame, text_col: str) -> DataFrame:
+    """row (hash of the text) and text."""
+    text = text_or_empty(text_col)
+    return df.select(F.xxhash64(text).alias("row"), text.alias("text"))
+
+
+def similar(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """Those of the ``pairs`` (a, b) whose shingle sets (node, s) have a Jaccard similarity of ``least`` or more."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    met = F.size(F.array_intersect("sa", "sb"))
+    return both.filter(met >= least * (F.size("sa") + F.size("sb") - met)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def similar_groups(df: DataFrame, least: float = 0.8, words: int = 5, most_rows: int = 2_000_000, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(texts, roots) of near copies. texts: row (hash) and node of every distinct text; roots: u, root for every linked node.
+
+    Texts link where the Jaccard similarity of their sets of word shingles is ``least`` or more. Texts of
+    equal sets (so all exact copies) are one node. Candidates are nodes that have a weighted fingerprint within
+    NEAR bits of each other's: they agree under one of its covering masks. All candidates are checked exactly.
+
+    Of up to SMALL nodes under one masked value all pairs are checked. Of more, each is checked with the most usual
+    node of the group: the one that shares most values with many. Those not linked with it are then checked with the most usual
+    among themselves and with MORE others that are linked with it, for ROUNDS rounds or until a round links nothing. So pairs
+    grow with the nodes and not with the square of a group; what is left after the last round stays apart.
+
+    Null and blank texts are one node that links to no other. The texts of candidates are read again for
+    their sets: up to ``most_rows`` hashes are broadcast for that, else shuffled.
+    """
+
+    def marks(row, text):
+        found = shingle_set(text, words)
+        keys = [xxhash.xxh64_intdigest(struct.pack("<Iq", k, fp & m), 1) for k, (fp, m) in enumerate((fp, m) for fp in weighted_fingerprints(found) for m in tables)]
+        return [(row, node_of(found), len(found), [signed(k) for k in keys])]
+
+    tables = [signed(m) for m in masks(NEAR)]
+    made = per_text(by_hash(df, text_col), marks, StructType.fromDDL("row long, node long, n int, keys array<long>"), "row", "text")
+    texts = reliable(made.dropDuplicates(["row"]))
+    nodes = reliable(texts.groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
+    held = counted(keyed.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1"), most_rows)
+    keyed = reliable(keyed.join(held, "key"))  # only nodes that may have a near copy
+    few = keyed.filter(F.col("held") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("node", "n")).alias("all"))
+    few = few.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y")).filter("x.node < y.node")
+    few = few.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+    crowd = keyed.filter(F.col("held") > SMALL)
+    usual = crowd.groupBy("node").agg(F.count("*").alias("usual"))
+    many = reliable(crowd.select("key", "node", "n").join(usual, "node"))
+
+    most = F.max_by(F.struct("node", "n"), F.struct("usual", "node"))
+
+    def met(of: DataFrame, leads: DataFrame) -> DataFrame:
+        """Every node of a group with those that ``leads`` (key, leads) has for it. The lists of a text's keys are mostly alike."""
+        both = of.join(counted(leads, most_rows), "key").select("node", "n", "leads").distinct().withColumn("lead", F.explode("leads")).filter("node <> lead.node")
+        return both.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"), F.col("n").alias("na"), F.col("lead.n").alias("nb"))
+
+    # sets of sizes further apart are less similar, whatever they share
+    fit = lambda x: x.filter(F.least("na", "nb") >= least * F.greatest("na", "nb")).select("a", "b").distinct()
+    pairs = reliable(fit(few.unionByName(met(many, many.groupBy("key").agg(F.array(most).alias("leads"))))))
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(many.select("node")).distinct()
+    rows = counted(nodes.join(wanted, "node", "left_semi").select(F.col("row").alias("wanted_row")), most_rows)
+    again = by_hash(df, text_col).join(rows, F.col("row") == F.col("wanted_row"), "left_semi")
+
+    def sets_of(row, text):
+        found = shingle_set(text, words)
+        return [(node_of(found), found.view(np.int64).tolist())]
+
+    sets = reliable(per_text(again, sets_of, StructType.fromDDL("node long, s array<long>"), "row", "text").dropDuplicates(["node"]))
+    roots = components(similar(sets, pairs, least))
+    members = many
+    for k in range(ROUNDS if not many.isEmpty() else 0):
+        part = members.join(roots.select(F.col("u").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        main = counted(part.groupBy("key").agg(F.max_by("root", F.struct("usual", "node")).alias("main")), most_rows)
+        part = part.join(main, "key").withColumn("apart", F.col("root") != F.col("main"))
+        of = lambda on, by: F.min_by(F.when(on, F.struct("node", "n")), F.when(on, by))
+        leads = [of(F.col("apart"), F.struct(-F.col("usual"), "node"))] + [of(~F.col("apart"), F.xxhash64("node", F.lit(k * MORE + i))) for i in range(MORE)]
+        leads = part.groupBy("key").agg(F.array_compact(F.array(*leads)).alias("leads"), F.bool_or("apart").alias("any")).filter("any").select("key", "leads")
+        new = reliable(similar(sets, fit(met(part.filter("apart"), leads)), least))
+        if new.isEmpty():
+            break
+        # the groups so far and the new links say the same as all links
+        roots = components(roots.select("u", F.col("root").alias("v")).unionByName(new))
+    return texts.select("row", "node"), roots
+
+
+def without_copies(
+    df: DataFrame, least: float = 0.8, words: int = 5, most_rows: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row of each group of near copies (see ``similar_groups``): the one with the smallest id, then the least hash of its text.
+
+    A row without an id stays only where its group has no row with one. Of rows with equal id and text one
+    stays. Null, empty and blank texts are copies of each other. An empty table gives an empty result;
+    all columns of ``df`` are kept as they are, whatever their names.
+    """
+    texts, roots = similar_groups(df, least, words, most_rows, text_col)
+    row = F.xxhash64(text_or_empty(text_col))
+    group = texts.join(roots.select(F.col("u").alias("node"), "root"), "node", "left").select("row", F.coalesce("root", "node").alias("root"))
+    keys = df.select(F.col(id_col).alias("id"), row.alias("row")).groupBy("id", "row").agg(F.count("*").alias("n"))
+    keys = reliable(keys.join(group, "row"))
+    first = keys.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
+    judged = keys.join(first, "root").select("id", "row", "n", (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("row") == F.col("first.row"))).alias("stays"))
+    own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("own"), F.col(id_col).alias("own_id"), row.alias("own_row"))
+    same = lambda ids: F.col("own_id").eqNullSafe(ids["id"]) & (F.col("own_row") == ids["row"])
+    judged = reliable(judged.filter("NOT stays OR n > 1"))
+    gone = counted(judged.filter("NOT stays").select("id", "row"), most_rows)
+    kept = own.join(gone, same(gone), "left_anti")
+    twice = counted(judged.filter("stays").select("id", "row"), most_rows)
+    if not twice.isEmpty():
+        kept = kept.join(twice, same(twice), "left_anti").unionByName(own.join(twice, same(twice), "left_semi").dropDuplicates(["own_id", "own_row"]))
+    return kept.select("own.*")
