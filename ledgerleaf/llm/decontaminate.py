@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import reliable
+from .common import counted, reliable, text_or_empty
 
 #: Units of measure that count as placeholders when they follow a number.
 UNITS = (
@@ -14,8 +14,11 @@ UNITS = (
     "h", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "mph", "kph", "usd", "eur", "dollars",
     "euros", "cents", "percent", "degrees",
 )
+#: Placeholders sort before all words; POINT stands for a point or comma inside a number.
 NAME, NUMBER, UNIT, POINT = "\u0002", "\u0003", "\u0004", "\u0005"
-_UNIT = f"(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\\p{{L}}\\p{{N}}])"
+#: What words are made of: letters with their marks, and digits.
+_IN_WORD = rf"\p{{L}}\p{{M}}\p{{N}}{POINT}"
+_UNIT = f"(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![{_IN_WORD}])"
 
 
 def marked(text: Column) -> Column:
@@ -24,21 +27,42 @@ def marked(text: Column) -> Column:
 
 
 def template(text: Column) -> Column:
-    """``marked`` text with placeholders, lower-cased. A name is a capitalised word after a word or comma, so not the first of a sentence."""
-    t = F.regexp_replace(text, r"(?<=[\p{Ll}0-9,;] )\p{Lu}\p{L}*+(?![\p{L}\p{N}])", NAME)
-    t = F.regexp_replace(t, f"(?<![\\p{{L}}\\p{{N}}])[0-9][0-9{POINT}]*+(?![\\p{{L}}\\p{{N}}])", NUMBER)
-    return F.lower(F.regexp_replace(t, f"(?<={NUMBER} ){_UNIT}", UNIT))
+    """``marked`` text with whole words replaced by placeholders. A name is any capitalised word, wherever it stands, so a copy
+    has the same template in the middle of a sentence, after a line break or a quote."""
+    t = F.regexp_replace(text, rf"(?<![{_IN_WORD}])[\p{{Lu}}\p{{Lt}}][\p{{L}}\p{{M}}]*+(?![{_IN_WORD}])", NAME)
+    t = F.regexp_replace(t, f"(?<![{_IN_WORD}])[0-9][0-9{POINT}]*+(?![{_IN_WORD}])", NUMBER)
+    return F.regexp_replace(t, f"(?<={NUMBER} ){_UNIT}", UNIT)
 
 
 def words(text: Column) -> Column:
-    """Words and placeholders; template and marked text have the same number of them."""
-    return F.filter(F.split(text, f"[^\\p{{L}}\\p{{N}}{NAME}-{POINT}]+", -1), lambda w: w != "")
+    """Words and placeholders, lower-cased one by one: a template and its marked text have equally many, whatever a letter becomes."""
+    return F.transform(F.filter(F.split(text, f"[^{_IN_WORD}{NAME}-{UNIT}]+", -1), lambda w: w != ""), F.lower)
 
 
-def window_hashes(found: Column, size: int) -> Column:
-    """Hashes of all runs of ``size`` words; none where there are fewer."""
-    runs = F.sequence(F.lit(0), F.size(found) - size)  # words are taken one by one: a slice would copy the whole list
-    return F.when(F.size(found) >= size, F.transform(runs, lambda i: F.xxhash64(*[F.get(found, i + k) for k in range(size)]))).otherwise(F.array().cast("array<bigint>"))
+def window_hashes(tw: str, rw: str, size: int) -> Column:
+    """Hashes of all runs of ``size`` words of the template ``tw``; none where there are fewer. A run of nothing but placeholders
+    counts by its values in ``rw``, so that a table of numbers isn't every other one."""
+    runs = F.sequence(F.lit(0), F.size(tw) - size)  # words are taken one by one: a slice would copy the whole list
+    at = lambda c, i: [F.get(F.col(c), i + k) for k in range(size)]
+
+    def one(i):
+        ws = at(tw, i)
+        bare = F.greatest(*ws) <= UNIT if size > 1 else ws[0] <= UNIT
+        return F.when(bare, F.xxhash64(F.lit(1), *at(rw, i))).otherwise(F.xxhash64(*ws))
+
+    return F.when(F.size(tw) >= size, F.transform(runs, one)).otherwise(F.array().cast("array<bigint>"))
+
+
+def short_hashes(rw: str, size: int) -> Column:
+    """Hashes of all runs of ``size`` words by their values, with the size in them."""
+    runs = F.sequence(F.lit(0), F.size(rw) - size)
+    return F.when(F.size(rw) >= size, F.transform(runs, lambda i: F.xxhash64(F.lit(-size), *[F.get(F.col(rw), i + k) for k in range(size)]))).otherwise(F.array().cast("array<bigint>"))
+
+
+def with_words(df: DataFrame, text: Column) -> DataFrame:
+    """Adds tw and rw: words of the template and of the text. Columns, so that functions over them read them and don't make them anew."""
+    df = df.withColumn("m", marked(text))
+    return df.withColumn("tw", words(template(F.col("m")))).withColumn("rw", words(F.col("m"))).drop("m")
 
 
 def leaks(
@@ -51,51 +75,60 @@ def leaks(
     The windows of a document and item on one diagonal must fill the item's placeholders consistently:
     an item's value always by the same value of the document. A pair is a leak where consistent windows
     make up ``coverage`` of the item's. kind: ``exact`` where all values are the item's own, else
-    ``template``: a question with new parameters.
+    ``template``: a question with new parameters. An item of fewer than ``size`` words is one window of
+    its own length and is found only with its own values: short templates would be met by chance.
 
     Items' windows are counted first: up to ``most_windows`` of them are broadcast; more are joined by
     shuffle. Documents are never compared with each other. ``row`` hashes the text.
 
-    Null and empty texts, and items of fewer than ``size`` words, match nothing. Items that repeat
-    match each by its own id; null item ids are dropped. Rows that repeat an id are judged each by its
-    text, equal rows give one leak. Null ids are kept. An empty table on either side gives an empty
-    result. Other columns are ignored.
+    Null and empty texts, and items without a word, match nothing. Items that repeat match each by its
+    own id; null item ids are dropped. Rows that repeat an id are judged each by its text, equal rows
+    give one leak. Null ids are kept. An empty table on either side gives an empty result. Other columns are ignored.
     """
-    items = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), marked(F.coalesce(F.col(item_text_col).cast("string"), F.lit(""))).alias("m"))
-    # a column for each list of words: within the functions below it is then read, not made anew
-    items = items.withColumn("tw", words(template(F.col("m")))).withColumn("rw", words(F.col("m")))
-    of_item = items.select("item", "tw", "rw", F.posexplode_outer(window_hashes(F.col("tw"), size)).alias("q", "h")).filter("h IS NOT NULL")
-    of_item = of_item.withColumn("slots", F.expr(f"filter(transform(slice(tw, q + 1, {size}), (w, j) -> if(w in ('{NAME}', '{NUMBER}', '{UNIT}'), named_struct('j', j, 'w', w, 'v', rw[q + j]), NULL)), x -> x IS NOT NULL)"))
-    of_item = of_item.select("item", "q", "h", "slots")
+    items = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), text_or_empty(item_text_col).alias("t"))
+    items = with_words(items, F.col("t")).filter(F.size("rw") > 0).select("item", "tw", "rw")
+    slots = lambda n: F.expr(f"filter(transform(slice(tw, q + 1, {n}), (w, j) -> if(w <= '{UNIT}', named_struct('j', j, 'w', w, 'v', rw[q + j]), NULL)), x -> x IS NOT NULL)")
+    long_ = items.filter(F.size("tw") >= size).select("item", "tw", "rw", F.posexplode_outer(window_hashes("tw", "rw", size)).alias("q", "h")).filter("h IS NOT NULL")
+    of_item = long_.withColumn("slots", slots(size)).select("item", "q", "h", "slots")
+    short = reliable(items.filter(F.size("tw") < size).select("item", F.size("rw").alias("n"), "rw"))
+    lengths = sorted(r["n"] for r in short.select("n").distinct().collect())  # under ``size`` numbers
+    for n in lengths:
+        one = short.filter(F.col("n") == n).select("item", F.posexplode(short_hashes("rw", n)).alias("q", "h"))
+        of_item = of_item.unionByName(one.select("item", "q", "h", F.expr("cast(array() AS array<struct<j:int,w:string,v:string>>)").alias("slots")))
+    of_item = reliable(of_item)
     sizes = of_item.groupBy("item").agg(F.countDistinct("h").alias("n_windows"))
     few = of_item.count() <= most_windows
     small = (lambda x: F.broadcast(x)) if few else (lambda x: x)
 
-    docs = df.filter(F.length(text_col) > 0).select(F.col(id_col), F.xxhash64(F.col(text_col)).alias("row"), marked(F.col(text_col)).alias("m"))
-    hashed = docs.withColumn("tw", words(template(F.col("m")))).select(id_col, "row", window_hashes(F.col("tw"), size).alias("hs"))
+    text = F.col(text_col).cast("string")
+    docs = with_words(df.filter(F.length(text) > 0).select(F.col(id_col), F.xxhash64(text).alias("row"), text.alias("t")), F.col("t"))
+    hashes = F.concat(window_hashes("tw", "rw", size), *[short_hashes("rw", n) for n in lengths]) if lengths else window_hashes("tw", "rw", size)
+    hashed = docs.select(id_col, "row", F.size("rw").alias("n"), hashes.alias("hs"))
     # outer: else a test that the list isn't empty would go below, and make the list a second time, word by word
     met = hashed.select(id_col, "row", F.posexplode_outer("hs").alias("p", "h")).join(small(of_item), "h")
     met = met.select(id_col, "row", "item", "p", "q", "h", (F.col("p") - F.col("q")).alias("diagonal"), "slots")
     met = reliable(met.dropDuplicates([id_col, "row", "item", "p", "q"]))  # few rows, read several times below
 
     # coverage before the placeholders are looked at; only what passes is read again for its values
-    enough = (
+    enough = reliable(
         met.groupBy(id_col, "row", "item").agg(F.countDistinct("h").alias("n"), F.max(F.size("slots")).alias("any_slots"))
         .join(small(sizes), "item").filter(F.col("n") >= coverage * F.col("n_windows"))
-    ).select(id_col, "row", "item", "n_windows", "any_slots")
+        .select(id_col, "row", "item", "n_windows", "any_slots")
+    )
     key = [id_col, "row", "item"]
     c = F.col
     same = lambda a, b: c(f"{a}.{id_col}").eqNullSafe(c(f"{b}.{id_col}")) & (c(f"{a}.row") == c(f"{b}.row")) & (c(f"{a}.item") == c(f"{b}.item"))
     m, e = met.alias("m"), enough.alias("e")
     kept = m.join(e, same("m", "e")).select(*[F.col(f"m.{c}") for c in [*key, "p", "q", "h", "diagonal", "slots"]], "e.n_windows")
-    ids = enough.filter("any_slots > 0").select(c(id_col).alias("__id"), c("row").alias("__row")).distinct()
-    whole = df.filter(F.length(text_col) > 0).select(F.col(id_col), F.xxhash64(F.col(text_col)).alias("row"), F.col(text_col).alias("__text"))
-    again = whole.join(ids, c(id_col).eqNullSafe(c("__id")) & (c("row") == c("__row")), "left_semi").dropDuplicates([id_col, "row"])
-    raw = again.select(F.col(id_col).alias("__id"), F.col("row").alias("__row"), words(marked(F.col("__text"))).alias("rw"))
+    # the ids are counted: up to two million are broadcast, so that no text is shuffled
+    ids = counted(enough.filter("any_slots > 0").select(c(id_col).alias("__id"), c("row").alias("__row")).distinct())
+    whole = df.filter(F.length(text) > 0).select(F.col(id_col), F.xxhash64(text).alias("row"), text.alias("__text"))
+    again = whole.join(ids, c(id_col).eqNullSafe(c("__id")) & (c("row") == c("__row")), "left_semi")
+    raw = reliable(again.select(F.col(id_col).alias("__id"), F.col("row").alias("__row"), words(marked(F.col("__text"))).alias("rw")).dropDuplicates(["__id", "__row"]))
     full = kept.join(raw, c(id_col).eqNullSafe(c("__id")) & (c("row") == c("__row")), "left")
     filled = full.select(*key, "n_windows", "diagonal", "h", "q", F.explode_outer(F.expr("transform(slots, s -> named_struct('at', q + s.j, 'w', s.w, 'v', s.v, 'd', rw[p + s.j]))")).alias("s"))
     # one document value for each item value, on each diagonal
-    values = filled.groupBy(*key, "diagonal", "s.w", "s.v").agg(F.countDistinct(F.lower("s.d")).alias("n_values"), F.max(F.coalesce(F.lower("s.d") != F.lower("s.v"), F.lit(False))).alias("new"), F.countDistinct("s.at").alias("n_at"))
+    values = filled.groupBy(*key, "diagonal", "s.w", "s.v").agg(F.countDistinct("s.d").alias("n_values"), F.max(F.coalesce(F.col("s.d") != F.col("s.v"), F.lit(False))).alias("new"), F.countDistinct("s.at").alias("n_at"))
     lines = values.groupBy(*key, "diagonal").agg(F.max("n_values").alias("most"), F.max("new").alias("new"), F.sum("n_at").alias("n_slots"))
     good = lines.filter("most <= 1")
     k, g = kept.alias("k"), good.alias("g")
@@ -110,7 +143,7 @@ def leaks(
 
 
 def without_leaks(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 2_000_000) -> DataFrame:
-    """The rows of ``df`` that no leak of ``found`` names; broadcast up to ``most`` leaks, else shuffled."""
-    bad = found.select(F.col(id_col).alias("__id"), F.col("row").alias("__row")).distinct()
-    bad = F.broadcast(bad) if bad.count() <= most else bad
-    return df.join(bad, df[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__row")), "left_anti")
+    """The rows of ``df`` that no leak of ``found`` names, with all their columns; broadcast up to ``most`` leaks, else shuffled."""
+    bad = counted(found.select(F.col(id_col).alias("id"), "row").distinct(), most)
+    own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("own"), F.col(id_col).alias("own_id"), F.xxhash64(F.col(text_col).cast("string")).alias("own_row"))
+    return own.join(bad, F.col("own_id").eqNullSafe(bad["id"]) & (F.col("own_row") == bad["row"]), "left_anti").select("own.*")
