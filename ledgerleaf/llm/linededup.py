@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, reliable, shuffle_partitions
+from .common import LOWER, UPPER, reliable, shuffle_partitions, text_or_empty
 
 
 def line_key(line: Column) -> Column:
@@ -124,61 +124,62 @@ def kept_lines(lines: list[str], bitmap: bytes | None) -> list[str]:
 
 
 def line_bitmaps(
-    df: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame, min_chars: int = 40, min_docs: int = 5, rows_each: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Keep bitmaps of the documents that lose lines: doc, row (hash of the whole text), n_dropped, keep.
+    """Lines lost by the documents that lose some: doc, row (hash of the whole text), lost (array of positions).
 
     A key of ``min_chars`` code points or more that ``min_docs`` documents hold keeps its lines in the
-    largest id only. Hashes are range-partitioned by (hash, document) and sorted by hash, document
+    largest id only. Hashes are range-partitioned by (hash, document), about ``rows_each`` to a partition or less, and sorted by hash, document
     (largest first) and position, so a line that a third of all documents hold goes over many
     partitions; each partition's first and last hash are summed up beforehand (two rows a partition).
 
-    Needs an integer id. Rows with a null id hold no line and lose none; null and empty texts hold one
+    Ids may be numbers or texts (compared by code points). Rows with a null id hold no line and lose none; null and empty texts hold one
     empty line. Rows that repeat an id count as one document; equal rows lose equal lines. An empty
     table gives an empty result. Other columns are ignored.
     """
     spark = df.sparkSession
+    kind = df.schema[id_col].dataType.simpleString()
     hashes = reliable(line_hashes(df, min_chars, id_col, text_col))  # else the sample for the ranges splits all texts once more
     order = ["h1", "h2", F.desc("doc"), "pos"]
-    ranged = reliable(hashes.repartitionByRange(shuffle_partitions(spark), "h1", "h2", F.desc("doc")).sortWithinPartitions(*order))
-    ends = ranged.select("h1", "h2", "doc").mapInPandas(edge_hashes, "h1 long, h2 long, n_docs long, keeper long").collect()
+    parts = max(shuffle_partitions(spark), -(-hashes.count() // rows_each))
+    ranged = reliable(hashes.repartitionByRange(parts, "h1", "h2", F.desc("doc")).sortWithinPartitions(*order))
+    ends = ranged.select("h1", "h2", "doc").mapInPandas(edge_hashes, f"h1 long, h2 long, n_docs long, keeper {kind}").collect()
     edges: dict[tuple[int, int], tuple[int, object]] = {}
     for r in ends:
         n, keeper = edges.get((r["h1"], r["h2"]), (0, r["keeper"]))
         edges[r["h1"], r["h2"]] = (n + r["n_docs"], max(keeper, r["keeper"]))
     shared = spark.sparkContext.broadcast(edges)
-    lost = ranged.mapInPandas(lambda batches: dropped_lines(batches, shared.value, min_docs), "doc long, row long, pos int")
+    lost = ranged.mapInPandas(lambda batches: dropped_lines(batches, shared.value, min_docs), f"doc {kind}, row long, pos int")
     return lost.groupBy("doc", "row").agg(F.collect_set("pos").alias("lost"))
 
 
 def dedup_lines(
-    df: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text", into: str = "line_dedup"
 ) -> DataFrame:
-    """The rows of ``df``, whole, with n_lines, n_dropped and keep (bitmap; null: all stay). See ``line_bitmaps``.
+    """The rows of ``df``, whole, with a last column ``into``: n_lines, n_dropped and keep (bitmap; null: all stay). See ``line_bitmaps``.
 
-    Only rows that lose lines have a bitmap, so the join needs their texts and the bitmaps together.
+    Only rows that lose lines have a bitmap, so the join needs their texts and the bitmaps together. An
+    own column of the name ``into`` gives way to it; all others stay as they are, whatever their names.
     """
-    lost = line_bitmaps(df, min_chars, min_docs, id_col, text_col)
+    lost = line_bitmaps(df, min_chars, min_docs, id_col=id_col, text_col=text_col).select(F.col("doc").alias("lost_doc"), F.col("row").alias("lost_row"), "lost")
 
     @F.pandas_udf("binary")
     def bitmap(n_lines: pd.Series, lost: pd.Series) -> pd.Series:
         return pd.Series([None if x is None else keep_bitmap(n, np.asarray(x, np.int64)) for n, x in zip(n_lines, lost, strict=True)])
 
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    own = [F.col(f"d.{c}") for c in df.columns]
-    d, m = df.withColumn("__row", F.xxhash64(text)).alias("d"), lost.alias("m")
-    joined = d.join(m, (F.col(f"d.{id_col}") == F.col("m.doc")) & (F.col("d.__row") == F.col("m.row")), "left")
-    lines = F.size(F.split(F.coalesce(F.col(f"d.{text_col}").cast("string"), F.lit("")), "\n", -1))
-    return joined.select(
-        *own, lines.cast("long").alias("n_lines"), F.coalesce(F.size("m.lost"), F.lit(0)).cast("long").alias("n_dropped"), bitmap(lines, "m.lost").alias("keep")
-    )
+    text = text_or_empty(text_col)
+    own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != into]).alias("own"), F.col(id_col).alias("own_id"), F.xxhash64(text).alias("own_row"))
+    joined = own.join(lost, (F.col("own_id") == F.col("lost_doc")) & (F.col("own_row") == F.col("lost_row")), "left")
+    lines = F.size(F.split(F.coalesce(F.col("own")[text_col].cast("string"), F.lit("")), "\n", -1))
+    added = F.struct(lines.cast("long").alias("n_lines"), F.coalesce(F.size("lost"), F.lit(0)).cast("long").alias("n_dropped"), bitmap(lines, "lost").alias("keep"))
+    return joined.select("own.*", added.alias(into))
 
 
-def apply_bitmaps(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``dedup_lines``'s rows with the text cut down to the lines kept; the columns that it added go."""
+def apply_bitmaps(df: DataFrame, text_col: str = "text", of: str = "line_dedup") -> DataFrame:
+    """``dedup_lines``'s rows with the text cut down to the lines kept; other columns stay, also ``of``."""
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, keep: pd.Series) -> pd.Series:
         return pd.Series([t if k is None or t is None else "\n".join(kept_lines(t.split("\n"), k)) for t, k in zip(text, keep, strict=True)], dtype=object)
 
-    return df.withColumn(text_col, cut(F.col(text_col), "keep")).drop("n_lines", "n_dropped", "keep")
+    return df.withColumn(text_col, cut(F.col(text_col).cast("string"), F.col(of)["keep"]))

@@ -21,10 +21,9 @@ def op3_packing(spark, sf_dir):
 
 
 def op4_line_dedup(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    marked = linededup.dedup_lines(docs)
-    kept = linededup.apply_bitmaps(marked.withColumn("lines", F.col("n_lines")).withColumn("dropped", F.col("n_dropped")))
-    return kept.select("doc_id", F.col("lines").alias("n_lines"), F.col("dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    """n_lines, n_dropped and the digest of the lines kept, of every document."""
+    kept = linededup.apply_bitmaps(linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return kept.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op5_simhash(spark, sf_dir):
