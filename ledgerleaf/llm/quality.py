@@ -2,39 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import known, reliable
+from .common import counted, known, reliable, text_or_empty
 
-#: Classes of characters: one each for ASCII and Latin-1, and for later code points 64 by block of 256.
-CLASSES, BITS = 320, 9
-#: The symbol before a text's first character.
-START = 0
+#: Bits of a symbol; a symbol is a code point. Three fit into a long.
+BITS = 21
 ORDER = 3
+_ONE, _TWO = (1 << BITS) - 1, (1 << (2 * BITS)) - 1
 
 
 def symbols(text: str) -> np.ndarray:
-    """Class of each code point, after two START symbols. The alphabet is fixed, which bounds the model."""
+    """The code points after two zeros, which stand before a text's first character."""
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    small = np.where(code < 256, code, 256 + (code >> 8) % 64).astype(np.int64)
-    out = np.zeros(len(small) + ORDER - 1, np.int64)
-    out[ORDER - 1 :] = np.maximum(small, 1)
+    out = np.zeros(len(code) + ORDER - 1, np.int64)
+    out[ORDER - 1 :] = np.maximum(code, 1)
     return out
 
 
 def grams(text: str) -> np.ndarray:
-    """The n-grams of ORDER symbols that end at each character, as numbers of 3 x 9 bits."""
+    """The n-grams of ORDER symbols that end at each character, as numbers of 3 x 21 bits."""
     s = symbols(text)
     return (s[:-2] << (2 * BITS)) | (s[1:-1] << BITS) | s[2:]
 
 
+def language(col: str) -> Column:
+    """A null language is one of its own, ''."""
+    return F.coalesce(F.col(col).cast("string"), F.lit(""))
+
+
 def gram_counts(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
-    """lang, gram, n over all texts. Each task adds up the grams of many texts before it passes them on."""
+    """lang, g, n over all texts. Each task adds up the grams of many texts before it passes them on."""
 
-    def run(batches):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for lang, texts in pdf.groupby("lang", dropna=False)["text"]:
                 held, size = [], 0
@@ -43,29 +51,30 @@ def gram_counts(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
                     size += len(text)
                     if size > 2_000_000 or k == len(texts) - 1:
                         g, n = np.unique(np.concatenate(held), return_counts=True)
-                        yield pd.DataFrame({"lang": lang, "gram": g, "n": n})
+                        yield pd.DataFrame({"lang": lang, "g": g, "n": n})
                         held, size = [], 0
 
-    text = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return text.mapInPandas(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    text = df.select(language(lang_col).alias("lang"), text_or_empty(text_col).alias("text"))
+    return text.mapInPandas(run, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
 
 
-def kneser_ney(counts: DataFrame, most_langs: int = 10_000) -> DataFrame:
-    """lang, gram, logp for every gram seen, and rows for backing off: order 2 and 1 grams with their
-    log probability and the context weights.
+def kneser_ney(counts: DataFrame, most_langs: int = 10_000) -> dict[str, DataFrame]:
+    """The model as tables, sharded by language and gram: log10 probabilities and back-off weights.
 
-    Returns lang, kind, key, value: kind 3/2/1 has the interpolated log10 probability of a gram of that
-    order by its last symbols; kind 13/12 has log10 of the weight that a context of two/one symbols
-    leaves to the order below. Discounts D1, D2, D3+ of each order come from counts of counts. All of
-    it is aggregation and joins of counts by context, sharded by (lang, context). Each order is kept, as
-    the next one and the backing off read it again. The discounts, a row a language, are broadcast up to
-    ``most_langs`` languages, so that no order is shuffled by language alone; beyond that there are many keys.
+    ``p3``, ``p2``, ``p1``: lang, key (a gram of that order), p. ``w3``, ``w2``: lang, key (a context of two
+    or one symbols), w: what it leaves to the order below. ``w1``: lang, w: the probability of a symbol that the language never has.
+
+    Lower orders count distinct predecessors. Discounts D1, D2, D3+ of each order come from its counts of
+    counts, by language; they are a row a language, broadcast up to ``most_langs`` languages, so that no order is
+    shuffled by language alone. The lowest order is interpolated with equal shares for all symbols of
+    the language and one for all others. Each order is kept, as the next one reads it again.
     """
-    mask1, mask2 = (1 << BITS) - 1, (1 << (2 * BITS)) - 1
-    tri = counts.select("lang", F.col("gram").alias("g"), F.col("n").alias("c"))
-    bi = reliable(tri.groupBy("lang", F.col("g").bitwiseAND(mask2).alias("g")).agg(F.count("*").alias("c")))
-    uni = reliable(bi.groupBy("lang", F.col("g").bitwiseAND(mask1).alias("g")).agg(F.count("*").alias("c")))
-    few = uni.select("lang").distinct().count() <= most_langs
+    tri = counts.select("lang", F.col("g").alias("key"), F.col("n").alias("c"))
+    bi = reliable(tri.groupBy("lang", F.col("key").bitwiseAND(_TWO).alias("key")).agg(F.count("*").alias("c")))
+    uni = reliable(bi.groupBy("lang", F.col("key").bitwiseAND(_ONE).alias("key")).agg(F.count("*").alias("c")))
+    sizes = reliable(uni.groupBy("lang").agg((F.count("*") + 1).alias("v")))
+    few = sizes.count() <= most_langs
+    small = (lambda x: F.broadcast(x)) if few else (lambda x: x)
 
     def discounted(level: DataFrame) -> DataFrame:
         """Adds ctx, p0 = (c - D(c)) / total(ctx) and gamma(ctx)."""
@@ -74,146 +83,155 @@ def kneser_ney(counts: DataFrame, most_langs: int = 10_000) -> DataFrame:
         y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1.0))
         nth = lambda k: F.least(F.lit(float(k)), F.greatest(F.lit(0.1), k - (k + 1) * y * F.col(f"n{k + 1}") / F.greatest(F.col(f"n{k}"), F.lit(1.0))))
         d = d.select("lang", nth(1).alias("d1"), nth(2).alias("d2"), nth(3).alias("d3"))
-        x = level.join(F.broadcast(d) if few else d, "lang").withColumn("ctx", F.shiftright("g", BITS))
+        x = level.join(small(d), "lang").withColumn("ctx", F.shiftright("key", BITS))
         x = x.withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
         x = x.withColumn("d", F.least("d", F.col("c") * 0.999))
         ctx = x.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), F.sum("d").alias("mass"))
-        return x.join(ctx, ["lang", "ctx"]).select("lang", "g", "ctx", ((F.col("c") - F.col("d")) / F.col("total")).alias("p0"), (F.col("mass") / F.col("total")).alias("gamma"))
-
-    flat = 1.0 / CLASSES
-    u = reliable(discounted(uni).select("lang", "g", (F.col("p0") + F.col("gamma") * flat).alias("p"), "gamma"))
-    b = discounted(bi).withColumn("low", F.col("g").bitwiseAND(mask1))
-    b = reliable(b.join(u.select("lang", F.col("g").alias("low"), F.col("p").alias("plow")), ["lang", "low"]).select("lang", "g", "ctx", (F.col("p0") + F.col("gamma") * F.col("plow")).alias("p"), "gamma"))
-    t = discounted(tri).withColumn("low", F.col("g").bitwiseAND(mask2))
-    t = reliable(t.join(b.select("lang", F.col("g").alias("low"), F.col("p").alias("plow")), ["lang", "low"]).select("lang", "g", "ctx", (F.col("p0") + F.col("gamma") * F.col("plow")).alias("p"), "gamma"))
-
-    def rows(level: DataFrame, kind: int, key: str, value: str) -> DataFrame:
-        return level.select("lang", F.lit(kind).alias("kind"), F.col(key).alias("key"), F.log10(value).alias("value"))
-
-    parts = [rows(t, 3, "g", "p"), rows(b, 2, "g", "p"), rows(u, 1, "g", "p")]
-    parts += [rows(x.select("lang", "ctx", "gamma").distinct(), kind, "ctx", "gamma") for x, kind in ((t, 13), (b, 12))]
-    parts += [rows(u.select("lang", F.lit(0).cast("long").alias("ctx"), "gamma").distinct(), 11, "ctx", "gamma")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        return x.join(ctx, ["lang", "ctx"]).select("lang", "key", "ctx", ((F.col("c") - F.col("d")) / F.col("total")).alias("p0"), (F.col("mass") / F.col("total")).alias("gamma"))
+
+    def mixed(level: DataFrame, mask: int, lower: DataFrame) -> DataFrame:
+        low = lower.select("lang", F.col("key").alias("low"), F.col("p").alias("below"))
+        x = discounted(level).withColumn("low", F.col("key").bitwiseAND(mask)).join(low, ["lang", "low"])
+        return reliable(x.select("lang", "key", "ctx", (F.col("p0") + F.col("gamma") * F.col("below")).alias("p"), "gamma"))
 
+    u = reliable(discounted(uni).join(small(sizes), "lang").select("lang", "key", (F.col("p0") + F.col("gamma") / F.col("v")).alias("p"), (F.col("gamma") / F.col("v")).alias("other")))
+    b = mixed(bi, _ONE, u)
+    t = mixed(tri, _TWO, b)
+    p = lambda x: x.select("lang", "key", F.log10("p").alias("p"))
+    w = lambda x: x.groupBy("lang", F.col("ctx").alias("key")).agg(F.log10(F.first("gamma")).alias("w"))
+    return {"p3": p(t), "p2": p(b), "p1": p(u), "w3": w(t), "w2": w(b), "w1": u.groupBy("lang").agg(F.log10(F.first("other")).alias("w"), F.count("*").alias("v"))}
+
+
+def train(trusted: DataFrame, lang_col: str = "lang", text_col: str = "text") -> dict[str, DataFrame]:
+    """The model's tables, counted over all of ``trusted``; one model a language."""
+    return {k: reliable(v) for k, v in kneser_ney(reliable(gram_counts(trusted, lang_col, text_col))).items()}
+
+
+def log_probabilities(need: DataFrame, model: dict[str, DataFrame]) -> DataFrame:
+    """lang, g, p: log10 probability of the last symbol of each of the distinct grams ``need`` (lang, g), by joins with the shards.
+
+    A gram that was never seen has its context's weight and the probability of the order below.
+    """
 
-class Model:
-    """A language's probabilities as sorted arrays; unseen grams back off by their contexts' weights."""
-
-    def __init__(self, rows: pd.DataFrame):
-        self.at = {}
-        for kind, part in rows.groupby("kind"):
-            part = part.sort_values("key")
-            self.at[int(kind)] = (part["key"].to_numpy(np.int64), part["value"].to_numpy(np.float64))
-
-    def _find(self, kind: int, keys: np.ndarray, default: float) -> tuple[np.ndarray, np.ndarray]:
-        have, value = self.at.get(kind, (np.zeros(0, np.int64), np.zeros(0)))
-        if not len(have):
-            return np.full(len(keys), default), np.zeros(len(keys), bool)
-        k = np.minimum(np.searchsorted(have, keys), len(have) - 1)
-        hit = have[k] == keys
-        return np.where(hit, value[k], default), hit
-
-    def logp(self, g: np.ndarray) -> np.ndarray:
-        """log10 probability of the last symbol of each distinct gram after the first two."""
-        mask1, mask2 = (1 << BITS) - 1, (1 << (2 * BITS)) - 1
-        p3, h3 = self._find(3, g, 0)
-        p2, h2 = self._find(2, g & mask2, 0)
-        p1, h1 = self._find(1, g & mask1, 0)
-        w3, _ = self._find(13, g >> BITS, 0)
-        w2, _ = self._find(12, (g & mask2) >> BITS, 0)
-        w1, _ = self._find(11, np.zeros_like(g), 0)
-        p1 = np.where(h1, p1, w1 - np.log10(CLASSES))
-        return np.where(h3, p3, w3 + np.where(h2, p2, w2 + p1))
-
-
-def train(trusted: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """The model's rows (lang, kind, key, value), counted over all of ``trusted``; one model a language."""
-    return kneser_ney(reliable(gram_counts(trusted, lang_col, text_col)))
-
-
-def perplexities(df: DataFrame, model: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` with n_symbols and perplexity: 10 to the mean of -log10 p over a text's characters.
-
-    A language without a model of its own is scored by the model of the language with most rows of it;
-    an empty text has no perplexity (null), and so has every text where there is no model at all. The
-    model goes to each task: the fixed alphabet of 320 classes bounds it, and in practice a language
-    has some tens of thousands of grams.
+    def met(x: DataFrame, table: str, key: Column, name: str) -> DataFrame:
+        y = model[table].select(F.col("lang").alias("k_lang"), F.col("key").alias("k_key"), F.col("w" if table[0] == "w" else "p").alias(name))
+        return x.withColumn("k", key).join(y, (F.col("lang") == F.col("k_lang")) & (F.col("k") == F.col("k_key")), "left").drop("k", "k_lang", "k_key")
+
+    x = met(need, "p3", F.col("g"), "a3")
+    seen = x.filter("a3 IS NOT NULL").select("lang", "g", F.col("a3").alias("p"))
+    x = x.filter("a3 IS NULL")
+    two, one = F.col("g").bitwiseAND(_TWO), F.col("g").bitwiseAND(_ONE)
+    for table, key, name in (("w3", F.shiftright("g", BITS), "c3"), ("p2", two, "a2"), ("w2", F.shiftright(two, BITS), "c2"), ("p1", one, "a1")):
+        x = met(x, table, key, name)
+    x = x.join(model["w1"].select("lang", F.col("w").alias("other")), "lang")
+    nil = lambda c: F.coalesce(c, F.lit(0.0))
+    below = F.coalesce("a2", nil("c2") + F.coalesce("a1", "other"))
+    return seen.unionByName(x.select("lang", "g", (nil("c3") + below).alias("p")))
+
+
+def perplexities(
+    df: DataFrame, model: dict[str, DataFrame], chars_each: int = 4_000_000, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text"
+) -> DataFrame:
+    """id, row (hash of the text), lang, n_symbols, perplexity for every row: 10 to the mean of -log10 p over a text's characters.
+
+    Texts are dealt by their hashes into parts of about ``chars_each`` characters. A part's distinct grams are
+    joined with the model's shards, and what they find comes back to the part, which adds up each of its
+    texts. So what is looked up grows with the texts, a shard only holds its grams, and nothing of the model passes the driver
+    or is copied to all tasks. The texts are shuffled once, for both steps.
+
+    A language without a model of its own is scored by that of the language with most symbols; an empty
+    text has no perplexity (null), and so has every text where there is no model at all.
     """
-    spark = df.sparkSession
-    shards = {k: v for k, v in model.toPandas().groupby("lang")}
-    shared = spark.sparkContext.broadcast({k: Model(v) for k, v in shards.items()})
-    widest = max(sorted(shards), key=lambda k: len(shards[k]), default=None)
-
-    def score(batches):
-        models = shared.value
-        dense: dict = {}
-        for lang, text in batches:
-            out = []
-            for name, t in zip(lang, text, strict=True):
-                m = models.get(name if name in models else widest)
-                if not t or m is None:
-                    out.append(None)
-                    continue
-                table = dense.setdefault(id(m), Table(m))
-                out.append(float(10 ** -(table.total(grams(t)) / len(t))))
-            yield pd.Series(out, dtype="float64")
-
-    udf = F.pandas_udf(score, "double", F.PandasUDFType.SCALAR_ITER)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return df.withColumn("perplexity", udf(F.coalesce(F.col(lang_col).cast("string"), F.lit("")), text)).withColumn("n_symbols", F.length(text).cast("long"))
-
-
-class Table:
-    """Log probabilities by gram, found once and kept in an open table of fixed size."""
-
-    SIZE = 1 << 18
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.key = np.full(self.SIZE, -1, np.int64)
-        self.value = np.zeros(self.SIZE)
-
-    def total(self, g: np.ndarray) -> float:
-        slot = (g * 0x9E3779B1 >> 11) & (self.SIZE - 1)
-        miss = self.key[slot] != g
-        if not miss.any():
-            return float(self.value[slot].sum())
-        value = self.value[slot]
-        new, back = np.unique(g[miss], return_inverse=True)
-        logp = self.model.logp(new)
-        value[miss] = logp[back]
-        at = (new * 0x9E3779B1 >> 11) & (self.SIZE - 1)
-        self.value[at] = logp  # a slot's last writer wins in both arrays alike
-        self.key[at] = new
-        return float(value.sum())
+    text = text_or_empty(text_col)
+    total = df.agg(F.sum(F.length(text))).first()[0] or 0
+    parts = max(1, -(-total // chars_each))
+    langs = model["w1"].select(F.col("lang").alias("own"))
+    widest = model["w1"].agg(F.max_by("lang", F.struct("v", "lang")).alias("widest"))  # one row
+    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("row"), language(lang_col).alias("lang"), text.alias("text"))
+    rows = rows.join(counted(langs, 10_000), F.col("lang") == F.col("own"), "left").crossJoin(F.broadcast(widest))
+    rows = rows.select("id", "row", "lang", F.coalesce("own", "widest", F.lit("")).alias("by"), "text", F.pmod(F.xxhash64("row", "id"), F.lit(parts)).cast("int").alias("part"))
+
+    used = to_arrow_schema(StructType.fromDDL("part int, lang string, g long"))
+
+    def distinct(table: pa.Table) -> pa.Table:
+        part, found = table["part"][0].as_py(), {}
+        for lang, text in zip(table["by"].to_pylist(), table["text"].to_pylist(), strict=True):
+            held = found.setdefault(lang, [np.zeros(0, np.int64), [], 0])
+            held[1].append(grams(text))
+            held[2] += len(text)
+            if held[2] > 1_000_000:
+                found[lang] = [np.unique(np.concatenate([held[0], *held[1]])), [], 0]
+        out = [(lang, np.unique(np.concatenate([had, *more]))) for lang, (had, more, _) in found.items()]
+        lists = [pa.array(np.full(sum(len(g) for _, g in out), part), pa.int32()), pa.array([lang for lang, g in out for _ in range(len(g))], pa.string())]
+        return pa.Table.from_arrays([*lists, pa.array(np.concatenate([g for _, g in out]) if out else [], pa.int64())], schema=used)
+
+    # dealt by gram once, for the lookup and for what goes back
+    asked = rows.groupBy("part").applyInArrow(distinct, StructType.fromDDL("part int, lang string, g long")).repartition("lang", "g")
+    values = asked.join(log_probabilities(asked.select("lang", "g").distinct(), model), ["lang", "g"]).select("part", "lang", "g", "p")
+    schema = StructType([StructType.fromDDL("id string")["id"]] + StructType.fromDDL("row long, lang string, n_symbols long, perplexity double").fields)
+    schema.fields[0].dataType = df.schema[id_col].dataType
+    out = to_arrow_schema(schema)
+
+    def score(table: pa.Table, found: pa.Table) -> pa.Table:
+        by = found.to_pandas().sort_values("g").groupby("lang")
+        by = {lang: (x["g"].to_numpy(), x["p"].to_numpy()) for lang, x in by}
+        scores = []
+        for lang, text in zip(table["by"].to_pylist(), table["text"].to_pylist(), strict=True):
+            if not text or lang not in by:
+                scores.append(None)
+                continue
+            have, p = by[lang]
+            scores.append(float(10 ** -p[np.searchsorted(have, grams(text))].mean()))
+        sizes = [len(t) for t in table["text"].to_pylist()]
+        return pa.Table.from_arrays([table["id"].combine_chunks().cast(out.field("id").type), table["row"].combine_chunks(), table["lang"].combine_chunks(), pa.array(sizes, pa.int64()), pa.array(scores, pa.float64())], schema=out)
+
+    return rows.groupBy("part").cogroup(values.groupBy("part")).applyInArrow(score, schema)
 
 
 def classify(
-    df: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99, margin: float = 1.5,
+    df: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99, margin: float = 1.5, least_ratio: float = 1.2, folds: int = 5, least_held: int = 20,
     id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text",
 ) -> DataFrame:
-    """Score and verdict of every row: the rows of ``df`` with n_symbols, perplexity, threshold, keep.
+    """Score and verdict of every row of ``df``: id, row (hash of the text), lang, n_symbols, perplexity, threshold, keep.
 
-    ``trusted_ids`` has the ids of trusted documents. The model is counted over all their texts. A
-    document is rejected where its perplexity passes ``margin`` times the ``quantile`` of the trusted
-    documents' perplexities in its language (of all trusted ones where the language has none).
+    ``trusted_ids`` has the ids of trusted documents. The model is counted over their texts but for one in ``folds`` (by the
+    text's hash, so copies stay together). Those held out give each language's limits: the median of their log perplexities, and
+    the ``quantile`` of how far they lie above it, times the square root of their length, as the mean over a short text varies more.
+    A document is rejected where its own distance passes ``margin`` times that, and its perplexity ``least_ratio`` times
+    the median. A language with fewer than ``least_held`` texts held out has the limits of all (of the texts trained on, where none is held out).
 
     Null or empty texts have a null perplexity and are kept, and so is everything where nothing is
-    trusted. Null languages are a language of their own. Repeated rows get equal verdicts. An empty
-    table gives an empty result; other columns stay.
+    trusted. Null languages are a language of their own, ''. Repeated rows get equal verdicts; a perplexity equal to its limit stays. An empty
+    table gives an empty result. Other columns of ``df`` are not read, whatever their names.
     """
-    trusted = known(df.select(id_col, lang_col, text_col), trusted_ids, id_col)
-    model = reliable(train(trusted, lang_col, text_col))
-    scored = perplexities(df, model, id_col, lang_col, text_col)
-    sample = perplexities(trusted, model, id_col, lang_col, text_col).select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("__lang"), "perplexity")
-    sample = reliable(sample).filter("perplexity is not null")  # read for each language and for all
-    at = F.percentile_approx("perplexity", quantile, 10_000) * margin
-    cut = reliable(sample.groupBy("__lang").agg(at.alias("own")))
-    anyway = sample.agg(at.alias("p")).first()["p"]
-    joined = scored.withColumn("__lang", F.coalesce(F.col(lang_col).cast("string"), F.lit(""))).join(F.broadcast(cut), "__lang", "left")
-    return joined.withColumn("threshold", F.coalesce("own", F.lit(anyway).cast("double"))).withColumn(
-        "keep", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
-    ).drop("own", "__lang")
+    texts = df.select(id_col, lang_col, text_col)
+    trusted = known(texts, trusted_ids, id_col)
+    held = F.pmod(F.xxhash64(text_or_empty(text_col)), F.lit(folds)) == 0
+    model = train(trusted.filter(~held), lang_col, text_col)
+    scored = reliable(perplexities(df, model, id_col=id_col, lang_col=lang_col, text_col=text_col))
+    ids = trusted_ids.select(F.col(id_col).alias("trusted")).distinct()
+    sample = scored.join(ids, F.col("id") == F.col("trusted"), "left_semi").filter("perplexity IS NOT NULL")
+    sample = reliable(sample.select("lang", F.log10("perplexity").alias("l"), F.sqrt("n_symbols").alias("root"), (F.pmod("row", F.lit(folds)) == 0).alias("held")))
+    out_ = sample.filter("held")
+    out_ = sample if out_.isEmpty() else out_
+    n = 10_000
+    mids = counted(out_.groupBy("lang").agg(F.percentile_approx("l", 0.5, n).alias("own_mid"), F.count("*").alias("n")).filter(F.col("n") >= least_held).drop("n"), 100_000)
+    mid = out_.agg(F.percentile_approx("l", 0.5, n).alias("x")).first()["x"]  # one number
+    mid_of = F.coalesce("own_mid", F.lit(mid).cast("double"))
+    far = reliable(out_.join(mids, "lang", "left").select("lang", F.col("own_mid").isNotNull().alias("own"), ((F.col("l") - mid_of) * F.col("root")).alias("d")))
+    ends = counted(far.filter("own").groupBy("lang").agg(F.percentile_approx("d", quantile, n).alias("own_end")), 100_000)
+    end = far.agg(F.percentile_approx("d", quantile, n).alias("x")).first()["x"]
+    limit = mid_of + F.greatest(margin * F.coalesce("own_end", F.lit(end).cast("double")) / F.sqrt("n_symbols"), F.log10(F.lit(least_ratio)))
+    judged = scored.join(mids, "lang", "left").join(ends, "lang", "left").withColumn("threshold", F.when(F.col("n_symbols") > 0, F.pow(F.lit(10.0), limit)))
+    return judged.select(
+        F.col("id").alias(id_col), "row", F.col("lang").alias(lang_col), "n_symbols", "perplexity", "threshold",
+        F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("keep"),
+    )
+
+
+def accepted(df: DataFrame, verdicts: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that ``classify``'s verdicts on it keep, with all their columns. Those rejected are counted: up to two
+    million are broadcast, more are joined by shuffle."""
+    bad = counted(verdicts.filter("NOT keep").select(F.col(id_col).alias("id"), "row", F.col(lang_col).alias("lang")).distinct())
+    own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("own"), F.col(id_col).alias("own_id"), F.xxhash64(text_or_empty(text_col)).alias("own_row"), language(lang_col).alias("own_lang"))
+    return own.join(bad, F.col("own_id").eqNullSafe(bad["id"]) & (F.col("own_row") == bad["row"]) & (F.col("own_lang") == bad["lang"]), "left_anti").select("own.*")

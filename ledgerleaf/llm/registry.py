@@ -48,8 +48,9 @@ def op9_decontamination(spark, sf_dir):
 
 
 def op10_quality(spark, sf_dir):
+    """Perplexity, limit and verdict of every document; trusted are those labelled of quality 1."""
     trusted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
-    scored = quality.classify(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), trusted)
+    scored = quality.classify(table(spark, sf_dir, "documents"), trusted)
     return scored.select("doc_id", "lang", "n_symbols", "perplexity", "threshold", "keep")
 
 
