@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_text, with_id_type
+from .common import per_text, reliable, with_id_type
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS, DIM, WINDOW, LONGEST = 1 << 17, 4, 6, 40
@@ -172,8 +172,16 @@ def scorer(raw: bytes) -> Scorer:
 
 
 def train(texts: DataFrame, text_col: str = "text", label_col: str = "toxic") -> bytes:
-    """A model from labelled texts; the caller bounds their number. One task fits it, another attempt gives
-    the same model (fixed seed, rows sorted by text)."""
+    """A model from labelled texts; the caller bounds their number.
+
+    The tasks that hold the texts cut each down to its distinct words and write them; one task then reads these alone
+    and fits the model. What it reads is bounded by the number of texts and the words that one can hold. Another attempt gives the
+    same model (fixed seed, rows sorted by text).
+    """
+
+    def words(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"t": [" ".join(words_of(t)) for t in pdf["t"]], "y": pdf["y"]})
 
     def run(batches):
         pdf = pd.concat(list(batches), ignore_index=True).dropna(subset=["y"]).sort_values(["t", "y"])
@@ -185,9 +193,10 @@ def train(texts: DataFrame, text_col: str = "text", label_col: str = "toxic") ->
         yield pd.DataFrame({"model": [raw.astype("<f4").tobytes()]})
 
     rows = texts.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"), F.col(label_col).cast("int").alias("y"))
+    chosen = reliable(rows.mapInPandas(words, "t string, y int"))
     # a first row without a label, so that there is a task even where no text is
     empty = rows.sparkSession.createDataFrame([("", None)], "t string, y int")
-    return bytes(empty.unionByName(rows).coalesce(1).mapInPandas(run, "model binary").first()["model"])
+    return bytes(empty.unionByName(chosen).coalesce(1).mapInPandas(run, "model binary").first()["model"])
 
 
 def toxicity(
@@ -196,10 +205,10 @@ def toxicity(
     """id, held_out, score, predicted for every row of ``df``.
 
     Learns from labels whose crc32(id as text) mod 5 is not 0, at most ``most_of_each`` of either kind
-    (those whose ids have the least hashes); the others are held out. Only the text is an input of a
-    score. Null and empty texts get the model's score of no words. Labels that are null teach nothing;
-    of one kind only, they give a constant. Repeated rows get equal scores, null ids are not held out.
-    An empty table gives an empty result; other columns are ignored.
+    (those whose ids have the least hashes, then the least ids); the others are held out. Only the text is an input of a
+    score. Null and empty texts get the model's score of no words; a text of any length is scored whole. Labels that are null teach nothing;
+    of one kind only, they give a constant. Repeated rows get equal scores, a score of exactly 0.5 counts as toxic, null ids are not held out.
+    An empty table gives an empty result; other columns are ignored, whatever their names.
     """
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
     known = labels.select(id_col, F.col(label_col).cast("int").alias("__y")).filter(~held & F.col(id_col).isNotNull() & F.col("__y").isin(0, 1)).distinct()
