@@ -27,8 +27,8 @@ class IdBytes:
     """Token ids of texts as little-endian unsigned 32-bit bytes, those that the tokenizers library gives.
 
     A byte-level vocabulary file whose ids follow its merges, split by the public pattern, is encoded by
-    tiktoken, which gives the same ids in half the time (the tests compare the first three planes and odd strings).
-    Any other file, and texts with very long white space, go to the tokenizers library itself.
+    tiktoken, which gives the same ids in half the time (the tests compare the characters of the first three planes and odd strings; no
+    other planes). Any other file, and texts with white space of 50,000 characters, where its pattern matcher runs out of depth, go to the tokenizers library itself.
     """
 
     def __init__(self, path: str):
@@ -176,10 +176,7 @@ def best_fit_groups(left: np.ndarray, capacity: int) -> list[tuple[list[int], in
 
 
 def plan_groups(hist: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
-    """Sequences for a histogram of lengths 1..capacity: fitted, rounded patterns, then the residuals.
-
-    Of the fitted plan and one of best-fit decreasing alone the one with fewer sequences is taken.
-    """
+    """Sequences for a histogram of lengths 1..capacity: fitted, rounded patterns, then the residuals, packed best-fit."""
     left = hist.astype(np.int64).copy()
     pats = patterns(capacity)
     repeats = np.round(fit_repeats(hist.astype(float), pats)).astype(np.int64)
@@ -192,9 +189,7 @@ def plan_groups(hist: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
         if n:
             left[lengths] -= n * mult
             groups.append((pats[k][pats[k] > 0].tolist(), n))
-    groups += best_fit_groups(left, capacity)
-    plain = best_fit_groups(hist.astype(np.int64), capacity)
-    return min(groups, plain, key=lambda g: sum(n for _, n in g))
+    return groups + best_fit_groups(left, capacity)
 
 
 def slots(groups: list[tuple[list[int], int]]) -> tuple[np.ndarray, ...]:
@@ -225,8 +220,8 @@ def pack(
     salt) and a row number inside each of these, so a length that many texts share is spread too. The
     plan that is broadcast has a few rows for each length and pattern, not for each document.
 
-    A null or empty text is one piece, the end id alone. Repeated rows are packed each on its own; null
-    ids are kept. Other columns are ignored. An empty table gives an empty result.
+    A null or empty text is one piece, the end id alone; a long one has all its pieces. Repeated rows are packed each on its own; null
+    ids are kept. Pieces of equal length are told apart by id, piece and digest; equal ones may change places. Other columns are ignored. An empty table gives an empty result.
     """
     spark = df.sparkSession
     cut = reliable(pieces(df, capacity, vocab, end_id, id_col, text_col))
