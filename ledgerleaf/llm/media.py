@@ -13,6 +13,11 @@ from pyspark.sql import DataFrame
 
 from .common import per_text, with_id_type
 
+#: Depth of boxes in boxes, and of what a file's tables may claim against its bytes, beyond which it counts as malformed.
+DEEPEST = 32
+#: Flags of a sample that no decoder can start at, of a fragment's defaults and of its runs, as the container format has them.
+NOT_SYNC, HAS_BASE, HAS_ENTRY, HAS_DURATION, HAS_SIZE, HAS_FLAGS = 0x10000, 0x1, 0x2, 0x8, 0x10, 0x20
+RUN_AT, RUN_FIRST, RUN_DURATION, RUN_SIZE, RUN_FLAGS, RUN_SHIFT = 0x1, 0x4, 0x100, 0x200, 0x400, 0x800
 #: Boxes that hold boxes, as the container format has them.
 HOLDERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf"}
 #: A stored sample is a grey frame of 8 x 8 samples of 8 bits; each GROUP-th is marked as a key frame.
@@ -46,6 +51,8 @@ def boxes(data: memoryview, at: int = 0, end: int | None = None) -> Iterator[tup
 class Track:
     """What the sample tables of a track say; samples are (offset, size) in the file."""
 
+    number: int = 0
+    kind: str = ""
     codec: str = ""
     timescale: int = 0
     duration: int = 0
@@ -77,32 +84,111 @@ def _sample_offsets(chunks: np.ndarray, runs: np.ndarray, sizes: np.ndarray) ->
     if not len(runs) or not len(chunks):
         return np.zeros(0, np.int64)
     lasts = np.append(runs[1:, 0] - 1, len(chunks))
-    per = np.repeat(runs[:, 1], np.maximum(0, lasts - runs[:, 0] + 1))[: len(chunks)]
-    if per.sum() != len(sizes):
+    held = np.maximum(0, np.minimum(lasts, len(chunks)) - runs[:, 0] + 1)
+    if held.sum() > len(chunks):
+        raise ValueError("runs of chunks overlap")
+    per = np.repeat(runs[:, 1], held)
+    if len(per) != len(chunks) or per.sum() != len(sizes):
         raise ValueError("chunks and sizes disagree")
     first = np.cumsum(per) - per
     before = np.cumsum(sizes) - sizes
     return np.repeat(chunks - before[np.minimum(first, len(sizes) - 1)], per) + before
 
 
+def _sizes(data: memoryview, at: int, end: int, compact: bool) -> np.ndarray:
+    """A table of sample sizes. One that claims more samples than the file has bytes is malformed."""
+    head, n = struct.unpack_from(">II", data, at + 4)
+    if n > len(data):
+        raise ValueError("more samples than bytes")
+    if not compact:
+        return np.full(n, head, np.int64) if head else _words(data, at + 12, n)
+    bits = head & 0xFF
+    if bits in (8, 16):
+        return _words(data, at + 12, n, f">u{bits // 8}")
+    if bits != 4:
+        raise ValueError("a width of sizes that does not exist")
+    pairs = np.frombuffer(data, np.uint8, (n + 1) // 2, at + 12)
+    return np.stack([pairs >> 4, pairs & 15], 1).ravel()[:n].astype(np.int64)
+
+
+def _fragment(data: memoryview, start: int, a: int, z: int, tracks: dict[int, Track], defaults: dict[int, tuple[int, int, int]]) -> None:
+    """Adds the samples of a track's part of a fragment, whose first byte is ``start``."""
+    track, base, after = None, start, None
+    duration = size = flags = 0
+    for kind, b, e in boxes(data, a, z):
+        if kind == b"tfhd":
+            said, number = struct.unpack_from(">I", data, b)[0] & 0xFFFFFF, struct.unpack_from(">I", data, b + 4)[0]
+            if (track := tracks.get(number)) is None:
+                raise ValueError("a fragment of no track")
+            duration, size, flags = defaults.get(number, (0, 0, 0))
+            at = b + 8
+            if said & HAS_BASE:
+                base, at = struct.unpack_from(">Q", data, at)[0], at + 8
+            at += 4 * bool(said & HAS_ENTRY)
+            read = [struct.unpack_from(">I", data, at + 4 * sum(bool(said & f) for f in (HAS_DURATION, HAS_SIZE, HAS_FLAGS) if f < bit))[0] if said & bit else None for bit in (HAS_DURATION, HAS_SIZE, HAS_FLAGS)]
+            duration, size, flags = (new if new is not None else old for new, old in zip(read, (duration, size, flags), strict=True))
+        elif kind == b"trun":
+            if track is None:
+                raise ValueError("a run before its header")
+            said, n = struct.unpack_from(">I", data, b)[0] & 0xFFFFFF, struct.unpack_from(">I", data, b + 4)[0]
+            at, first = b + 8, base if after is None else after
+            if said & RUN_AT:
+                first, at = base + struct.unpack_from(">i", data, at)[0], at + 4
+            first_flags = None
+            if said & RUN_FIRST:
+                first_flags, at = struct.unpack_from(">I", data, at)[0], at + 4
+            fields = [f for f in (RUN_DURATION, RUN_SIZE, RUN_FLAGS, RUN_SHIFT) if said & f]
+            if n > len(data):
+                raise ValueError("more samples than bytes")
+            rows = _words(data, at, n * len(fields)).reshape(n, len(fields)) if fields else np.zeros((n, 0), np.int64)
+            column = lambda f, default: rows[:, fields.index(f)] if f in fields else np.full(n, default, np.int64)  # noqa: E731, B023
+            sizes, marks = column(RUN_SIZE, size), column(RUN_FLAGS, flags).copy()
+            if n and first_flags is not None:
+                marks[0] = first_flags
+            track.keys = np.append(track.keys, len(track.sizes) + np.flatnonzero(marks & NOT_SYNC == 0))
+            track.offsets = np.append(track.offsets, first + np.cumsum(sizes) - sizes)
+            track.sizes = np.append(track.sizes, sizes)
+            track.ticks += int(column(RUN_DURATION, duration).sum())
+            after = first + int(sizes.sum())
+
+
 def read_tracks(data: bytes) -> list[Track]:
-    """All tracks of a file, from its boxes; media data is stepped over, never decoded."""
-    view, tracks = memoryview(data), []
+    """All tracks of a file, from its boxes, sample tables and fragments; media data is stepped over, never decoded.
+
+    ValueError where boxes lie deeper than DEEPEST, leave their holder or claim what the file can't hold.
+    """
+    view, tracks, defaults = memoryview(data), [], {}
+    parts: list[tuple[int, int, int]] = []
 
-    def walk(at: int, end: int, track: Track | None, raw: dict) -> None:
+    def walk(at: int, end: int, track: Track | None, raw: dict, depth: int, fragment: int) -> None:
+        if depth > DEEPEST:
+            raise ValueError("boxes lie too deep")
         for kind, a, z in boxes(view, at, end):
             if kind == b"trak":
                 own, tables = Track(), {}
-                walk(a, z, own, tables)
+                walk(a, z, own, tables, depth + 1, fragment)
                 if "sizes" in tables:
                     own.sizes = tables["sizes"]
                     own.offsets = _sample_offsets(tables.get("chunks", np.zeros(0, np.int64)), tables.get("runs", np.zeros((0, 3), np.int64)), own.sizes)
                     own.keys = tables["keys"] - 1 if "keys" in tables else np.arange(len(own.sizes))
+                    if len(own.keys) and not (0 <= own.keys.min() and own.keys.max() < len(own.sizes)) or len(own.offsets) != len(own.sizes):
+                        raise ValueError("key frames or chunks and sizes disagree")
+                if own.kind != "vide":
+                    own.width = own.height = 0
                 tracks.append(own)
+            elif kind == b"traf":
+                parts.append((fragment, a, z))
             elif kind in HOLDERS:
-                walk(a, z, track, raw)
+                walk(a, z, track, raw, depth + 1, a - 8 if kind == b"moof" else fragment)
+            elif kind == b"trex":
+                number, _, *rest = struct.unpack_from(">5I", view, a + 4)
+                defaults[number] = tuple(rest)
             elif track is None:
                 continue
+            elif kind == b"tkhd":
+                track.number = struct.unpack_from(">I", view, a + (20 if data[a] == 1 else 12))[0]
+            elif kind == b"hdlr":
+                track.kind = bytes(view[a + 8 : a + 12]).decode("latin-1")
             elif kind == b"mdhd":
                 wide = data[a] == 1
                 track.timescale, track.duration = struct.unpack_from(">IQ" if wide else ">II", view, a + (20 if wide else 12))
@@ -113,13 +199,11 @@ def read_tracks(data: bytes) -> list[Track]:
                     if z - b >= 28:
                         track.width, track.height = struct.unpack_from(">HH", view, b + 24)
             elif kind == b"stts":
-                rows = _table(view, a, 2)
-                track.ticks = int((rows[:, 0] * rows[:, 1]).sum())
+                track.ticks = sum(n * each for n, each in _table(view, a, 2).tolist())
             elif kind == b"stsc":
                 raw["runs"] = _table(view, a, 3)
-            elif kind == b"stsz":
-                size, n = struct.unpack_from(">II", view, a + 4)
-                raw["sizes"] = np.full(n, size, np.int64) if size else _words(view, a + 12, n)
+            elif kind in (b"stsz", b"stz2"):
+                raw["sizes"] = _sizes(view, a, z, kind == b"stz2")
             elif kind == b"stco":
                 raw["chunks"] = _table(view, a, 1)[:, 0]
             elif kind == b"co64":
@@ -128,7 +212,10 @@ def read_tracks(data: bytes) -> list[Track]:
             elif kind == b"stss":
                 raw["keys"] = _table(view, a, 1)[:, 0]
 
-    walk(0, len(view), None, {})
+    walk(0, len(view), None, {}, 0, 0)
+    by = {t.number: t for t in tracks}
+    for start, a, z in parts:
+        _fragment(view, start, a, z, by, defaults)
     return tracks
 
 
@@ -202,7 +289,8 @@ def media_columns(df: DataFrame, id_col: str = "media_id", content_col: str = "c
     seconds, samples, key_ranges (array of first byte and end), error.
 
     A file without tracks, a null or empty one, and one that does not parse give one row without a
-    track; ``error`` says why. Only boxes and tables are read. Repeated rows and null ids are kept.
+    track; ``error`` says why. Only boxes and tables are read, also those of fragments; only tracks of pictures have a width and height.
+    Repeated rows and null ids are kept.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -221,7 +309,7 @@ def media_columns(df: DataFrame, id_col: str = "media_id", content_col: str = "c
                 (key, k, t.codec, t.width, t.height, (t.duration or t.ticks) / t.timescale if t.timescale else None, len(t.sizes), [{"first": a, "end": z} for a, z in t.key_ranges()], None)
                 for k, t in enumerate(found)
             ]
-        except (ValueError, struct.error, IndexError, StopIteration) as e:
+        except (ValueError, struct.error, IndexError, StopIteration, OverflowError) as e:
             return [(key, None, None, None, None, None, None, None, str(e) or "malformed")]
 
     def run(batches):
