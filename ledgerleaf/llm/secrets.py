@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import reliable
+from .common import reliable, text_or_empty
 from .spans import joined, tagged, with_matches
 
 #: Key words of an assignment, in either case (spelled out, as engines fold cases differently).
@@ -42,7 +42,7 @@ def candidates(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """h, n_repos, n_owners, n_docs for every candidate hash of ``found`` (h, repo, owner, n).
+    """h, n_repos, n_owners, n_docs (occurrences) for every candidate hash of ``found`` (h, repo, owner, n).
 
     Occurrences are added up by (hash, repository, owner) before the shuffle by hash, so a value that
     a third of the corpus copies arrives as a few rows.
@@ -65,44 +65,49 @@ def scan(
     df: DataFrame, repo: Column, owner: Column, max_owners: int = 1, max_repos: int = 2, min_entropy: float = 3.0,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """The rows' base spans and those that ownership adds: id, base, owned, n_copied.
+    """The rows' spans, each with how widely the corpus owns its value: id, base, owned, judged, n_copied.
 
-    base: array of (s, e, k, kind, x). owned: further spans of kind ``owned``: long mixed runs that at
-    most ``max_owners`` owners and ``max_repos`` repositories hold in the whole corpus and whose
-    characters have ``min_entropy`` bits each, so live-looking and one owner's. n_copied: candidates of
-    the row that are held more widely: examples copied about. Candidates inside a base span are left
-    out. Only hashes are counted and joined; the text is read twice and never shuffled.
+    base: array of (s, e, k, kind, x). Candidates are the values of base spans (of an assignment the assigned value) and other long mixed runs that do
+    not lie inside a base span. Their hashes are counted by distinct repositories and owners over the whole corpus. judged:
+    array of (s, e, k, kind, n_owners, n_repos, verdict) of all candidates; the verdict is ``live`` where at most ``max_owners`` owners
+    and ``max_repos`` repositories hold the value and its characters have ``min_entropy`` bits each, ``copied`` where more hold it (an example
+    copied about), else ``plain``. owned: the further spans, of kind ``owned``, that are live. n_copied: different copied values of the row.
 
+    Only hashes are counted and joined; the text is read twice and never shuffled.
     Null and empty texts have no spans. A null repository or owner counts as one of its own name, ''.
-    Rows that repeat an id with the same text are scanned once and given again. Null ids are kept.
-    An empty table gives an empty result; other columns are ignored.
+    Rows that repeat an id with the same text have the same spans each; their owners all count. Null ids are kept.
+    An empty table gives an empty result; other columns are ignored, whatever their names.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = df.select(F.col(id_col), text.alias("__text"), F.coalesce(repo.cast("string"), F.lit("")).alias("repo"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"))
-    based = base_spans(rows, "__text").withColumn("__row", F.xxhash64("__text"))
-    wide = candidates(base_spans(rows, "__text"), "__text")
-    inside = "NOT exists(base, b -> b.s < i.e AND i.s < b.e)"
-    loose = wide.select(id_col, F.xxhash64("__text").alias("__row"), "repo", "owner", F.explode_outer(F.expr(f"filter(loose, i -> {inside})")).alias("c"))
-    loose = loose.select(id_col, "__row", "repo", "owner", "c", F.xxhash64("c.x").alias("h"), entropy(F.col("c.x")).alias("bits")).filter("c IS NOT NULL")
-    loose = reliable(loose)  # read twice: to count owners and to mark
-    spread = ownership(loose.select("h", "repo", "owner", F.lit(1).alias("n")))
-    told = loose.join(spread, "h").withColumn("own", (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos))
-    by_row = told.groupBy(id_col, "__row").agg(
-        F.collect_set(F.when(F.col("own") & (F.col("bits") >= min_entropy), F.col("c"))).alias("owned"),
-        F.countDistinct(F.when(~F.col("own"), F.col("h"))).alias("n_copied"),
-    ).withColumnRenamed(id_col, "__id").withColumnRenamed("__row", "__at")
-    on = based[id_col].eqNullSafe(by_row["__id"]) & (based["__row"] == by_row["__at"])
-    none = F.filter(F.col("base"), lambda i: F.lit(False))
-    return based.drop("__text").join(by_row, on, "left").select(
-        id_col, "base", F.coalesce("owned", none).alias("owned"), F.coalesce("n_copied", F.lit(0)).cast("long").alias("n_copied")
+    rows = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t"), F.coalesce(repo.cast("string"), F.lit("")).alias("repo"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"))
+    based = base_spans(rows, "t").withColumn("at", F.xxhash64("t"))
+    wide = candidates(base_spans(rows, "t"), "t")
+    each = wide.select("id", F.xxhash64("t").alias("at"), "repo", "owner", F.explode_outer(F.concat("base", "loose")).alias("c")).filter("c IS NOT NULL")
+    each = each.select("id", "at", "repo", "owner", *[f"c.{c}" for c in ("s", "e", "k", "kind")], F.xxhash64("c.x").alias("h"), entropy(F.col("c.x")).alias("bits"))
+    # a run inside a base span is that span's value; spans are told apart by place, so the window is over one text's candidates
+    before = Window.partitionBy("id", "at", "repo", "owner").orderBy("s", "k").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("covered", F.max(F.when(F.col("k") < 3, F.col("e"))).over(before)).filter("k < 3 OR covered IS NULL OR covered < e").drop("covered")
+    each = reliable(each)  # read twice: to count owners and to mark
+    told = each.join(ownership(each.select("h", "repo", "owner", F.lit(1).alias("n"))), "h")
+    few = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)
+    told = told.withColumn("verdict", F.when(~few, "copied").when(F.col("bits") >= min_entropy, "live").otherwise("plain"))
+    judged = F.struct("s", "k", "e", "kind", "n_owners", "n_repos", "verdict")
+    by_row = told.groupBy(F.col("id").alias("j_id"), F.col("at").alias("j_at")).agg(
+        F.array_sort(F.collect_set(judged)).alias("judged"), F.countDistinct(F.when(F.col("verdict") == "copied", F.col("h"))).alias("n_copied")
     )
+    out = based.drop("t").join(by_row, based["id"].eqNullSafe(by_row["j_id"]) & (based["at"] == by_row["j_at"]), "left")
+    none = F.expr("cast(array() AS array<struct<s:int,k:int,e:int,kind:string,n_owners:bigint,n_repos:bigint,verdict:string>>)")
+    out = out.withColumn("judged", F.coalesce("judged", none))
+    owned = F.expr("transform(filter(judged, j -> j.k = 3 AND j.verdict = 'live'), j -> named_struct('s', j.s, 'e', j.e, 'k', j.k, 'kind', j.kind, 'x', cast(NULL AS string)))")
+    return out.select(F.col("id").alias(id_col), "base", owned.alias("owned"), "judged", F.coalesce("n_copied", F.lit(0)).cast("long").alias("n_copied"))
 
 
 def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts, digest and list of ``scan``'s spans."""
+    """Counts, digest and list of ``scan``'s spans; n_live counts live base spans; verdicts: kind:start:end:owners:repositories:verdict of all candidates."""
     of = lambda kind: F.size(F.filter("base", lambda i: i["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    said = F.transform("judged", lambda j: F.concat_ws(":", j["kind"], j["s"].cast("string"), j["e"].cast("string"), j["n_owners"].cast("string"), j["n_repos"].cast("string"), j["verdict"]))
     return scanned.select(
         id_col, of("assign"), of("access"), of("hex"),
         F.sha2(joined(F.col("base"), False), 256).alias("base_sha256"), joined(F.concat("base", "owned"), False).alias("spans"),
         F.size("owned").cast("long").alias("n_owned"), "n_copied",
+        F.size(F.filter("judged", lambda j: (j["k"] < 3) & (j["verdict"] == "live"))).cast("long").alias("n_live"), F.array_join(said, ",").alias("verdicts"),
     )
