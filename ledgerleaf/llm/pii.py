@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import reliable
+from .common import counted, reliable, text_or_empty
 from .spans import joined, tagged, with_matches
 
 #: A local part is taken whole from its first character or from the end of the match before.
@@ -23,117 +23,123 @@ def luhn(digits: str) -> str:
     return f"aggregate(sequence(0, length({digits}) - 1), 0, (a, j) -> a + if(j % 2 = 0, {at}, if({at} > 4, 2 * {at} - 9, 2 * {at}))) % 10 = 0"
 
 
-def base_spans(df: DataFrame, text_col: str) -> DataFrame:
-    """Adds ``base``: array of (s, e, k, kind, x) of the kinds email, ip, card and phone."""
-    df = with_matches(df, text_col, "__email", EMAIL, trigger="@")
-    df = with_matches(df, text_col, "__ip", IP, trigger=".")
-    df = with_matches(df, text_col, "__card", CARD)
-    df = with_matches(df, text_col, "__phone", PHONE, trigger="+")
+def base_spans(df: DataFrame, text_col: str, around: bool = False) -> DataFrame:
+    """Adds ``base``: array of (s, e, k, kind, x) of the kinds email, ip, card and phone; with ``around`` also l and r, see ``with_matches``."""
+    df = with_matches(df, text_col, "__email", EMAIL, trigger="@", around=around)
+    df = with_matches(df, text_col, "__ip", IP, trigger=".", around=around)
+    df = with_matches(df, text_col, "__card", CARD, around=around)
+    df = with_matches(df, text_col, "__phone", PHONE, trigger="+", around=around)
     digits = "regexp_replace(i.x, '[^0-9]', '')"
     byte = "forall(split(i.x, '[.]'), p -> length(ltrim('0', p)) <= 3 AND cast(right(concat('000', ltrim('0', p)), 3) AS int) <= 255)"
     card = f"length({digits}) <= 19 AND {luhn(digits)}"
     base = F.concat(
-        tagged("__email", "email", 0), tagged("__ip", "ip", 1, byte), tagged("__card", "card", 2, card),
-        tagged("__phone", "phone", 3, f"length({digits}) BETWEEN 9 AND 15"),
+        tagged("__email", "email", 0, around=around), tagged("__ip", "ip", 1, byte, around), tagged("__card", "card", 2, card, around),
+        tagged("__phone", "phone", 3, f"length({digits}) BETWEEN 9 AND 15", around),
     )
     return df.withColumn("base", base).drop("__email", "__ip", "__card", "__phone")
 
 
-def _window(around: DataFrame, name: str, sign: int) -> DataFrame:
-    """Terms of the text in ``name`` (before or after an entity, on its line) nearest to the entity first."""
-    found = with_matches(around, name, f"{name}_t", TERM)
-    near = F.reverse(F.col(f"{name}_t")) if sign < 0 else F.col(f"{name}_t")
-    return found.withColumn(f"{name}_t", near)
+def entities(rows: DataFrame, window: int) -> DataFrame:
+    """One row for each entity: id, at (hash of the text), h (hash of the entity), near (distinct lower-case terms beside it).
 
-
-def contexts(rows: DataFrame, id_col: str, window: int, reach: int) -> DataFrame:
-    """One row for each term near an entity: id, row, e (hash of the entity), ctx, t (lower-cased), s, end.
-
-    The ``window`` terms on either side of an entity that lie on its line and within ``reach`` code
-    points; so the rows grow with the entities, not with pairs of a line. ctx hashes the surroundings.
+    Beside are the ``window`` terms on either side that stand on its line, up to the next entity of its kind,
+    so each stretch of text is looked at twice at most for each kind.
     """
-    one = rows.select(id_col, "__text", F.xxhash64("__text").alias("__row"), F.explode_outer("base").alias("b")).filter("b IS NOT NULL")
-    left = F.expr(f"substring(__text, greatest(b.s - {reach}, 0) + 1, b.s - greatest(b.s - {reach}, 0))")
-    one = one.select(
-        id_col, "__row", F.col("b.s").alias("bs"), F.col("b.e").alias("be"), F.xxhash64(F.lower("b.x"), "b.kind").alias("e"),
-        F.substring_index(left, "\n", -1).alias("before"), F.substring_index(F.expr(f"substring(__text, b.e + 1, {reach})"), "\n", 1).alias("after"),
-    )
-    both = _window(_window(one, "before", -1), "after", 1)
-    at = lambda side, base: F.transform(
-        F.slice(f"{side}_t", 1, window), lambda i: F.struct(F.lower(i["x"]).alias("t"), (base + i["s"]).alias("s"), (base + i["e"]).alias("end"))
-    )
-    near = F.concat(at("before", F.col("bs") - F.length("before")), at("after", F.col("be")))
-    return both.select(id_col, "__row", "e", F.xxhash64("before", "after").alias("ctx"), F.explode_outer(near).alias("n")).filter("n IS NOT NULL").select(id_col, "__row", "e", "ctx", "n.*")
+    one = rows.select("id", "at", F.explode_outer("base").alias("b")).filter("b IS NOT NULL")
+    terms = lambda c: F.regexp_extract_all(F.lower(c), F.lit(TERM), F.lit(0))
+    one = one.select("id", "at", F.xxhash64(F.lower("b.x"), "b.kind").alias("h"), terms("b.l").alias("l"), terms("b.r").alias("r"))
+    last = F.slice("l", F.greatest(F.size("l") - window + 1, F.lit(1)), window)
+    return one.select("id", "at", "h", F.array_distinct(F.concat(last, F.slice("r", 1, window))).alias("near"))
 
 
-def disclosures(near: DataFrame, rows: DataFrame, min_contexts: int, share: float, most: int = 500_000) -> DataFrame:
-    """t, e, pmi, ic, removed: terms whose pointwise information about an entity reaches ``share`` of what
-    the entity itself carries, seen with it in ``min_contexts`` different contexts or more.
+def disclosures(found: DataFrame, rows: DataFrame, min_texts: int, share: float, most: int = 500_000) -> DataFrame:
+    """t, h, pmi, ic, removed: terms whose pointwise information about an entity reaches ``share`` of what
+    the entity itself carries, beside it in ``min_texts`` different texts or more.
 
-    p(t) is the term's share of all terms of the corpus, counted over whole texts for terms that pass
-    the test of contexts. Equal contexts (copies) count once.
+    All counts are of different texts (copies count once): n_te that have the term beside the entity, n_e that have the
+    entity, n_t that have the term anywhere, n of all. pmi = log2(n_te n / (n_e n_t)), ic = log2(n / n_e). The term goes where every text with
+    it has it beside the entity, so that it tells as much as the entity.
     """
-    seen = near.select("t", "e", "ctx").distinct()
-    joint = seen.groupBy("t", "e").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= min_contexts)
-    each = seen.groupBy("e").agg(F.count("*").alias("n_e"))
-    joint = reliable(joint.join(each, "e"))
-    terms = joint.select("t").distinct()
+    seen = found.select("h", "at", F.explode("near").alias("t")).distinct()
+    joint = seen.groupBy("t", "h").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= min_texts)
+    each = found.select("h", "at").distinct().groupBy("h").agg(F.count("*").alias("n_e"))
+    joint = reliable(joint.join(each, "h"))
+    terms = reliable(joint.select("t").distinct())
     few = terms.count() <= most
-    words = rows.select(F.explode_outer(F.regexp_extract_all(F.lower("__text"), F.lit(TERM), F.lit(0))).alias("t")).filter("t IS NOT NULL")
-    # one pass gives both: terms that are not asked for are counted together, under null
-    asked = terms.withColumn("hit", F.col("t"))
-    counted = reliable(words.join(F.broadcast(asked) if few else asked, "t", "left").groupBy("hit").agg(F.count("*").alias("n_t")))
-    total = counted.agg(F.sum("n_t").alias("w")).first()["w"] or 1
-    counted = counted.filter("hit IS NOT NULL").withColumnRenamed("hit", "t")
-    told = joint.join(counted, "t")
-    told = told.withColumn("pmi", F.log2((F.col("n_te") / F.col("n_e")) * total / F.col("n_t"))).withColumn("ic", F.log2(F.lit(float(total)) / F.col("n_e")))
-    return told.filter(F.col("pmi") >= share * F.col("ic")).select("t", "e", "pmi", "ic", (F.col("pmi") >= F.col("ic")).alias("removed"))
+    words = rows.select("at", F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("t")).filter("t IS NOT NULL")
+    held = words.join(F.broadcast(terms) if few else terms, "t", "left_semi").distinct().groupBy("t").agg(F.count("*").alias("n_t"))
+    total = rows.select("at").distinct().agg(F.count("*").alias("n"))  # one row
+    told = joint.join(held, "t").crossJoin(F.broadcast(total))
+    told = told.withColumn("pmi", F.log2(F.col("n_te") * F.col("n") / (F.col("n_e") * F.col("n_t")))).withColumn("ic", F.log2(F.col("n") / F.col("n_e")))
+    return told.filter(F.col("pmi") >= share * F.col("ic")).select("t", "h", "pmi", "ic", (F.col("n_te") == F.col("n_t")).alias("removed"))
 
 
 def find(
-    df: DataFrame, window: int = 8, reach: int = 120, min_contexts: int = 3, share: float = 0.5, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame, window: int = 8, min_texts: int = 3, share: float = 0.5, most_rows: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The rows' personal data and the terms that give it away: id, __row, base, terms.
+    """The rows' personal data and the terms that give it away: id, at (hash of the text), base, terms.
 
-    base: array of (s, e, k, kind, x). terms: spans of kind ``term`` beside an entity that they
-    disclose: ``share`` of its information or more, by ``min_contexts`` different contexts. x says what
+    base: array of (s, e, k, kind, x). terms: spans of kind ``term``, wherever they stand in a text that has an entity which they
+    disclose: ``share`` of its information or more, beside it in ``min_texts`` different texts. x says what
     to do with it: ``remove`` where the term tells as much as the entity, else ``generalise``.
 
     Null and empty texts have no spans. Rows that repeat an id with the same text are searched once and
-    given again; null ids are kept. An empty table gives an empty result; other columns are ignored.
+    given again; null ids are kept. An empty table gives an empty result; other columns are ignored, whatever their names.
     """
-    rows = df.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
-    based = base_spans(rows, "__text").withColumn("__row", F.xxhash64("__text"))
-    near = reliable(contexts(base_spans(rows, "__text"), id_col, window, reach))
-    said = disclosures(near, rows, min_contexts, share)
-    marks = near.join(said, ["t", "e"]).groupBy(id_col, "__row", "s", "end").agg(F.max("removed").alias("removed"))
-    span = F.struct(F.col("s"), F.col("end").alias("e"), F.lit(4).alias("k"), F.lit("term").alias("kind"), F.when(F.col("removed"), "remove").otherwise("generalise").alias("x"))
-    by_row = marks.groupBy(F.col(id_col).alias("__id"), F.col("__row").alias("__at")).agg(F.collect_set(span).alias("terms"))
-    on = based[id_col].eqNullSafe(by_row["__id"]) & (based["__row"] == by_row["__at"])
-    outside = F.expr("filter(terms, i -> NOT exists(base, b -> b.s < i.e AND i.s < b.e))")
-    none = F.filter(F.col("base"), lambda i: F.lit(False))
-    return based.drop("__text").join(by_row, on, "left").select(id_col, "__row", "base", F.coalesce(outside, none).alias("terms"))
-
-
-def sanitised(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in angle brackets; spans of ``remove`` go. Of
-    overlapping spans the one that begins first counts, then the longer."""
-    ordered = F.array_sort(F.transform(spans, lambda i: F.struct(i["s"].alias("s"), (-i["e"]).alias("ne"), i["kind"].alias("kind"), i["x"].alias("x"))))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def put(acc, i):
-        stand = F.when((i["kind"] == "term") & (i["x"] == "remove"), F.lit("")).otherwise(F.concat(F.lit("<"), i["kind"], F.lit(">")))
-        new = F.concat(acc["out"], F.substring(text, acc["at"] + 1, i["s"] - acc["at"]), stand)
-        return F.when(i["s"] < acc["at"], acc).otherwise(F.struct((-i["ne"]).alias("at"), new.alias("out")))
-
-    return F.aggregate(ordered, zero, put, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    text = text_or_empty(text_col)
+    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("at"), text.alias("text"))
+    based = base_spans(rows, "text").select("id", "at", "base")
+    found = reliable(entities(base_spans(rows, "text", around=True), window))
+    said = reliable(disclosures(found, rows, min_texts, share).select("t", "h", "removed"))
+    # the terms that each text must lose, then their places in these texts alone
+    asked = reliable(found.select("at", "h").distinct().join(said, "h").groupBy("at", "t").agg(F.max("removed").alias("removed")))
+    texts = counted(asked.select(F.col("at").alias("wanted")).distinct(), most_rows)
+    again = with_matches(rows.join(texts, F.col("at") == F.col("wanted"), "left_semi"), "text", "found", TERM)
+    places = again.select("id", "at", F.explode_outer("found").alias("w")).filter("w IS NOT NULL").select("id", "at", "w.s", "w.e", F.lower("w.x").alias("t"))
+    marks = places.join(F.broadcast(asked) if asked.count() <= most_rows else asked, ["at", "t"])
+    span = F.struct("s", "e", F.lit(4).alias("k"), F.lit("term").alias("kind"), F.when(F.col("removed"), "remove").otherwise("generalise").alias("x"))
+    by_row = marks.groupBy(F.col("id").alias("m_id"), F.col("at").alias("m_at")).agg(F.array_sort(F.collect_set(span)).alias("terms"))
+    out = based.join(by_row, based["id"].eqNullSafe(by_row["m_id"]) & (based["at"] == by_row["m_at"]), "left")
+    none = F.expr("cast(array() AS array<struct<s:int,e:int,k:int,kind:string,x:string>>)")
+    return out.select(F.col("id").alias(id_col), "at", "base", F.coalesce("terms", none).alias("terms"))
+
+
+def shape(x: Column) -> Column:
+    """What a term is generalised to: its kind by its characters."""
+    return F.when(x.rlike(r"\p{N}"), "code").when(x.rlike(r"^\p{Lu}{2,}$"), "acronym").when(x.rlike(r"^\p{Lu}"), "name").otherwise("word")
+
+
+def sanitised(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, with all their columns, and ``text_col`` without what ``find`` found in it.
+
+    Spans that touch are one place, which gets the kind of the first in angle brackets. Terms to be
+    generalised get their shape (``name``, ``acronym``, ``code``, ``word``); a place of terms to be removed only goes. Null texts stay
+    null. Texts without spans are not touched; the others meet their places in a join by id and hash.
+    """
+    spans = found.select(F.col(id_col).alias("id"), "at", F.explode_outer(F.concat("base", "terms")).alias("i")).filter("i IS NOT NULL").select("id", "at", "i.s", "i.e", "i.k", "i.kind", "i.x").distinct()
+    w = Window.partitionBy("id", "at").orderBy("s", "k", "e")
+    spans = spans.withColumn("reached", F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    spans = spans.withColumn("place", F.sum((F.col("reached").isNull() | (F.col("s") >= F.col("reached"))).cast("int")).over(w))
+    spans = spans.groupBy("id", "at", "place").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.min_by(F.struct("kind", "x"), F.struct("s", "k")).alias("first"), F.bool_and(F.col("x") == "remove").alias("goes"))
+    cuts = spans.groupBy(F.col("id").alias("c_id"), F.col("at").alias("c_at")).agg(F.array_sort(F.collect_list(F.struct("s", "e", "first", F.coalesce("goes", F.lit(False)).alias("goes")))).alias("cuts"))
+    own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("own"), F.col(id_col).alias("own_id"), F.xxhash64(text_or_empty(text_col)).alias("own_at"))
+    out = own.join(cuts, F.col("own_id").eqNullSafe(F.col("c_id")) & (F.col("own_at") == F.col("c_at")), "left")
+    some = F.size(F.coalesce("cuts", F.array())) > 0
+    out = out.withColumn("chars", F.when(some, F.split(F.col("own")[text_col].cast("string"), "")).otherwise(F.array().cast("array<string>")))
+    piece = lambda a, z: f"array_join(if({a} >= {z}, cast(array() AS array<string>), transform(sequence({a}, {z} - 1), j -> chars[j])), '')"
+    out = out.withColumn("parts", F.expr(f"""transform(cuts, (c, k) -> named_struct('kept', {piece("if(k = 0, 0, cuts[k - 1].e)", "c.s")}, 'cut', {piece("c.s", "c.e")}, 'c', c))"""))
+    stand = lambda p: F.when(p["c"]["goes"], "").otherwise(F.concat(F.lit("<"), F.when(p["c"]["first"]["kind"] == "term", shape(p["cut"])).otherwise(p["c"]["first"]["kind"]), F.lit(">")))
+    tail = F.expr(piece("cuts[size(cuts) - 1].e", "size(chars)"))
+    new = F.when(some, F.concat(F.array_join(F.transform("parts", lambda p: F.concat(p["kept"], stand(p))), ""), tail)).otherwise(F.col("own")[text_col].cast("string"))
+    return out.withColumn("new", new).select(*[F.col("new").alias(c) if c == text_col else F.col("own")[c].alias(c) for c in df.columns])
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts, digest and list of ``find``'s spans."""
+    """Counts, digest and list of ``find``'s spans, with ``at``, the text's hash."""
     of = lambda kind: F.size(F.filter("base", lambda i: i["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    terms = lambda x: F.size(F.filter("terms", lambda i: i["x"] == x)).cast("long")
     return found.select(
         id_col, of("email"), of("ip"), of("card"), of("phone"),
         F.sha2(joined(F.col("base"), True), 256).alias("base_sha256"), joined(F.concat("base", "terms"), True).alias("spans"),
-        F.size("terms").cast("long").alias("n_terms"),
+        terms("generalise").alias("n_generalised"), terms("remove").alias("n_removed"), "at",
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans.tables import table
+from .common import reliable
 from . import decontaminate, linededup, media, packing, pii, quality, secrets, simhash, tokens, toxicity
 
 
@@ -31,6 +32,7 @@ def op5_simhash(spark, sf_dir):
 
 
 def op6_secrets(spark, sf_dir):
+    """Secrets of every document; its owner is ``source``, its repository ``source/lang``, as the table has no other."""
     docs = table(spark, sf_dir, "documents")
     return secrets.digest(secrets.scan(docs, repo=F.concat_ws("/", "source", "lang"), owner=F.col("source")))
 
@@ -40,7 +42,13 @@ def op7_media(spark, sf_dir):
 
 
 def op8_pii(spark, sf_dir):
-    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+    """Personal data of every document, and the digest of its text without them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = reliable(pii.find(docs))
+    clean = pii.sanitised(docs.withColumn("at", F.xxhash64(F.coalesce("text", F.lit("")))), found)
+    clean = clean.select(F.col("doc_id").alias("id"), F.col("at").alias("row"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sanitised_sha256")).distinct()
+    told = pii.digest(found)
+    return told.join(clean, told["doc_id"].eqNullSafe(clean["id"]) & (told["at"] == clean["row"])).drop("at", "id", "row")
 
 
 def op9_decontamination(spark, sf_dir):
