@@ -134,7 +134,7 @@ TOP, SHARP = 8, 3.0
 #: Texts that share a masked value, up to which all their pairs are checked.
 SMALL = 8
 #: Rounds in which the texts of larger groups that are not linked yet meet others of the group, and how many that are linked.
-ROUNDS, MORE = 4, 8
+ROUNDS, MORE = 4, 12
 
 _rnd = np.random.default_rng(42)
 _TIMES = _rnd.integers(0, 1 << 64, FPS * PARTS, np.uint64) | np.uint64(1)
@@ -225,16 +225,17 @@ def similar_groups(df: DataFrame, least: float = 0.8, words: int = 5, most_rows:
     usual = crowd.groupBy("node").agg(F.count("*").alias("usual"))
     many = reliable(crowd.select("key", "node", "n").join(usual, "node"))
 
-    most = F.max_by(F.struct("node", "n"), F.struct("usual", "node"))
-
-    def met(of: DataFrame, leads: DataFrame) -> DataFrame:
-        """Every node of a group with those that ``leads`` (key, leads) has for it. The lists of a text's keys are mostly alike."""
-        both = of.join(counted(leads, most_rows), "key").select("node", "n", "leads").distinct().withColumn("lead", F.explode("leads")).filter("node <> lead.node")
+    def met(of: DataFrame, leads: DataFrame, on: str) -> DataFrame:
+        """Every node with each of the others that ``leads`` (on, leads) has for it."""
+        both = of.join(counted(leads, most_rows), on).select("node", "n", "leads").distinct().withColumn("lead", F.explode("leads")).filter("node <> lead.node")
         return both.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"), F.col("n").alias("na"), F.col("lead.n").alias("nb"))
 
+    def usual_of(of: DataFrame) -> DataFrame:
+        return of.groupBy("key").agg(F.array(F.max_by(F.struct("node", "n"), F.struct("usual", "node"))).alias("leads"))
+
     # sets of sizes further apart are less similar, whatever they share
     fit = lambda x: x.filter(F.least("na", "nb") >= least * F.greatest("na", "nb")).select("a", "b").distinct()
-    pairs = reliable(fit(few.unionByName(met(many, many.groupBy("key").agg(F.array(most).alias("leads"))))))
+    pairs = reliable(fit(few.unionByName(met(many, usual_of(many), "key"))))
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(many.select("node")).distinct()
     rows = counted(nodes.join(wanted, "node", "left_semi").select(F.col("row").alias("wanted_row")), most_rows)
     again = by_hash(df, text_col).join(rows, F.col("row") == F.col("wanted_row"), "left_semi")
@@ -245,15 +246,16 @@ def similar_groups(df: DataFrame, least: float = 0.8, words: int = 5, most_rows:
 
     sets = reliable(per_text(again, sets_of, StructType.fromDDL("node long, s array<long>"), "row", "text").dropDuplicates(["node"]))
     roots = components(similar(sets, pairs, least))
-    members = many
     for k in range(ROUNDS if not many.isEmpty() else 0):
-        part = members.join(roots.select(F.col("u").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        part = many.join(roots.select(F.col("u").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
         main = counted(part.groupBy("key").agg(F.max_by("root", F.struct("usual", "node")).alias("main")), most_rows)
-        part = part.join(main, "key").withColumn("apart", F.col("root") != F.col("main"))
-        of = lambda on, by: F.min_by(F.when(on, F.struct("node", "n")), F.when(on, by))
-        leads = [of(F.col("apart"), F.struct(-F.col("usual"), "node"))] + [of(~F.col("apart"), F.xxhash64("node", F.lit(k * MORE + i))) for i in range(MORE)]
-        leads = part.groupBy("key").agg(F.array_compact(F.array(*leads)).alias("leads"), F.bool_or("apart").alias("any")).filter("any").select("key", "leads")
-        new = reliable(similar(sets, fit(met(part.filter("apart"), leads)), least))
+        part = reliable(part.join(main, "key"))
+        apart = part.filter("root <> main")
+        # the same few of each linked part for all its keys, so a node meets them once
+        few_of = [F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(k * MORE + i))) for i in range(MORE)]
+        linked = part.filter("root = main").groupBy("main").agg(F.array_distinct(F.array(*few_of)).alias("leads"))
+        tried = met(apart, usual_of(apart), "key").unionByName(met(apart.select("node", "n", "main").distinct(), linked, "main"))
+        new = reliable(similar(sets, fit(tried), least))
         if new.isEmpty():
             break
         # the groups so far and the new links say the same as all links
