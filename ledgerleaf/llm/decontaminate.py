@@ -35,20 +35,21 @@ def template(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Words and placeholders, lower-cased one by one: a template and its marked text have equally many, whatever a letter becomes."""
-    return F.transform(F.filter(F.split(text, f"[^{_IN_WORD}{NAME}-{UNIT}]+", -1), lambda w: w != ""), F.lower)
+    """Words and placeholders, lower-cased. A template and its marked text have equally many: placeholders stand for whole words, and a
+    letter whose lower case is several characters becomes a letter with marks, which are part of words."""
+    return F.filter(F.split(F.lower(text), f"[^{_IN_WORD}{NAME}-{UNIT}]+", -1), lambda w: w != "")
 
 
-def window_hashes(tw: str, rw: str, size: int) -> Column:
+def window_hashes(tw: str, rw: str | None, size: int) -> Column:
     """Hashes of all runs of ``size`` words of the template ``tw``; none where there are fewer. A run of nothing but placeholders
-    counts by its values in ``rw``, so that a table of numbers isn't every other one."""
+    counts by its values in ``rw``, so that a table of numbers isn't every other one; without ``rw`` its hash is null."""
     runs = F.sequence(F.lit(0), F.size(tw) - size)  # words are taken one by one: a slice would copy the whole list
     at = lambda c, i: [F.get(F.col(c), i + k) for k in range(size)]
 
     def one(i):
         ws = at(tw, i)
         bare = F.greatest(*ws) <= UNIT if size > 1 else ws[0] <= UNIT
-        return F.when(bare, F.xxhash64(F.lit(1), *at(rw, i))).otherwise(F.xxhash64(*ws))
+        return F.when(~bare, F.xxhash64(*ws)).otherwise(F.xxhash64(F.lit(1), *at(rw, i)) if rw else F.lit(None).cast("long"))
 
     return F.when(F.size(tw) >= size, F.transform(runs, one)).otherwise(F.array().cast("array<bigint>"))
 
@@ -102,8 +103,10 @@ def leaks(
 
     text = F.col(text_col).cast("string")
     docs = with_words(df.filter(F.length(text) > 0).select(F.col(id_col), F.xxhash64(text).alias("row"), text.alias("t")), F.col("t"))
-    hashes = F.concat(window_hashes("tw", "rw", size), *[short_hashes("rw", n) for n in lengths]) if lengths else window_hashes("tw", "rw", size)
-    hashed = docs.select(id_col, "row", F.size("rw").alias("n"), hashes.alias("hs"))
+    # the texts' own words are only made where an item has a run that counts by its values
+    bare = not of_item.filter(F.size("slots") == size).isEmpty()
+    hashes = [window_hashes("tw", "rw" if bare else None, size), *[short_hashes("rw", n) for n in lengths]]
+    hashed = docs.select(id_col, "row", (F.concat(*hashes) if lengths else hashes[0]).alias("hs"))
     # outer: else a test that the list isn't empty would go below, and make the list a second time, word by word
     met = hashed.select(id_col, "row", F.posexplode_outer("hs").alias("p", "h")).join(small(of_item), "h")
     met = met.select(id_col, "row", "item", "p", "q", "h", (F.col("p") - F.col("q")).alias("diagonal"), "slots")
