@@ -76,23 +76,42 @@ def high_impact(journal: Column, names: list[str]) -> Column:
 
 
 def citation(df: DataFrame) -> Column:
-    doi = F.when(F.col("doi") != "", F.concat(F.lit(" doi: "), "doi")).otherwise(F.lit(""))
-    return F.concat("authors_short", F.lit(". "), "title", F.lit(". "), "journal", F.lit(". "), "date", F.lit("."), doi)
+    """All authors, title, journal and date, then the PMID and, where there is one, the doi."""
+    ids = F.concat_ws(". ", F.concat(F.lit("PMID: "), "pmid"), F.when(F.col("doi") != "", F.concat(F.lit("doi:"), "doi")))
+    return F.concat(F.concat_ws(". ", "authors_full", "title", "journal", "date", ids), F.lit("."))
+
+
+def journal_in(col: Column, selected: list[str]) -> Column:
+    """One of the selected journals; none selected means all."""
+    return col.isin(*selected) if selected else F.lit(True)
+
+
+def journal_presets(journals: DataFrame) -> DataFrame:
+    """preset, keys: the journals of each category, in their order; ``default`` those that are on at first, ``all`` all. A dimension of some tens of rows."""
+    by = journals.select(
+        "key", "ord", F.explode(F.array_compact(F.array(F.lit("all"), F.col("category"), F.when(F.col("default_on"), F.lit("default"))))).alias("preset")
+    )
+    return by.groupBy("preset").agg(F.array_sort(F.collect_list(F.struct("ord", "key"))).alias("k")).select("preset", F.transform("k", lambda x: x["key"]).alias("keys"))
+
+
+def sort_feed(df: DataFrame, by: str = "date", date: str = "date", journal: str = "journal", order: str = "ord") -> DataFrame:
+    """Newest first, or by journal (as a reader sorts names: case and accents count last) and then newest first; ties by ``order``."""
+    first = [] if by == "date" else [F.collate(F.col(journal), "UNICODE")]
+    return df.orderBy(*first, F.desc(date), order)
 
 
 def tag_journal(articles: DataFrame, journals: DataFrame, key: str) -> DataFrame:
     """Adds short and color of the first journal (by ord) whose first word occurs in ``journal`` or the reverse.
 
-    ``journals`` is a dimension of some tens of rows: it is counted and must stay below a thousand.
+    Distinct journal names of the articles meet ``journals`` (a dimension; ord, name, short, color), so an
+    article's own rows are only joined by its name.
     """
-    if journals.count() > 1000:
-        raise ValueError("journals is a dimension of up to 1000 rows")
     first = lambda c: F.element_at(F.split(F.lower(c), " "), 1)
     d = journals.select("ord", F.col("name").alias("__name"), "short", "color")
-    hit = (F.col("journal") != "") & (F.contains(F.lower("journal"), first("__name")) | F.contains(F.lower("__name"), first("journal")))
-    met = articles.select(key, "journal").join(F.broadcast(d), hit)
-    best = met.groupBy(key).agg(F.min_by(F.struct("short", "color"), "ord").alias("j"))
-    return articles.join(best.select(key, "j.*"), key, "left")
+    names = articles.select("journal").filter("journal <> ''").distinct()
+    hit = F.contains(F.lower("journal"), first("__name")) | F.contains(F.lower("__name"), first("journal"))
+    best = names.join(d, hit).groupBy("journal").agg(F.min_by(F.struct("short", "color"), "ord").alias("j"))
+    return articles.join(best.select("journal", "j.*"), "journal", "left").select(*articles.columns, "short", "color")
 
 
 def filter_any(cols: list[str], q: str) -> Column:

@@ -62,7 +62,7 @@ def rule_coverage(df: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def default_action(df: DataFrame) -> Column:
-    """Action before the sex is known: always, never, female, male, review."""
+    """Action before the sex is known: always, never, female, male, known, review."""
     words = F.size(F.filter(F.split(F.coalesce("option", "line", F.lit("")), r"\s+"), lambda w: w != ""))
     free = ~F.coalesce(F.col("matrix"), F.lit(False)) & F.col("group").isNull()
     base = F.when(F.col("rule").isNotNull(), F.col("rule_tick")).when(free & (words >= 5), "always").otherwise("review")
@@ -72,10 +72,11 @@ def default_action(df: DataFrame) -> Column:
 
 
 def resolve(df: DataFrame) -> DataFrame:
-    """Adds action, on, why from default_action and the column sex (F, M or '')."""
+    """Adds action, on, why from default_action and the column sex (F, M or ''). ``known`` is on once the sex is set, whichever it is."""
     df = df.withColumn("action", default_action(df))
     mine = ((F.col("action") == "female") & (F.col("sex") == "F")) | ((F.col("action") == "male") & (F.col("sex") == "M"))
-    sexed = F.col("action").isin("female", "male")
+    sexed = F.col("action").isin("female", "male", "known")
+    mine = mine | ((F.col("action") == "known") & F.col("sex").isin("F", "M"))
     return df.withColumn("on", (F.col("action") == "always") | mine).withColumn(
         "why", F.when(sexed & (F.col("sex") == ""), "choose by sex").when(sexed & ~mine, "other sex").when(F.col("action") == "review", "review").otherwise(F.coalesce("rule_note", F.lit("")))
     )

@@ -44,15 +44,18 @@ def item_dates(items: list[dict], anchors: dict[str, Column], default_day: int =
     return {label: of(label, ()) for label in by}
 
 
-def expand_schedule(cohort: DataFrame, presets: dict[str, list[dict]], key: str, preset: str, index: str, extra: list[dict] = ()) -> DataFrame:
+def expand_schedule(
+    cohort: DataFrame, presets: dict[str, list[dict]], key: str, preset: str, index: str, extra: list[dict] = (), anchors: dict[str, str] | None = None
+) -> DataFrame:
     """key, item_ord, label, due: one row for each subject and item of its preset, extra items last.
 
+    ``anchors`` names the columns of further starting dates, such as ``treatment``; an item without a date there is due on none (null).
     Presets become one CASE of arrays at planning time, so the job is narrow: no join, no shuffle.
     """
     case = None
     for name, items in presets.items():
         all_items = [*items, *extra]
-        dates = item_dates(all_items, {"index": F.col(index)})
+        dates = item_dates(all_items, {"index": F.col(index), **{k: F.col(c) for k, c in (anchors or {}).items()}})
         rows = F.array(*[F.struct(F.lit(k).alias("item_ord"), F.lit(i["label"]).alias("label"), dates[i["label"]].alias("due")) for k, i in enumerate(all_items)])
         case = F.when(F.col(preset) == name, rows) if case is None else case.when(F.col(preset) == name, rows)
     return cohort.select(key, F.explode(case).alias("i")).select(key, "i.*")

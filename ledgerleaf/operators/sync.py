@@ -25,19 +25,21 @@ def match_previous(now: DataFrame, prev: DataFrame) -> DataFrame:
 
 
 def assign_ids(df: DataFrame, have: str = "prev_id", max_group: int = 28, max_title: int = 60) -> DataFrame:
-    """Adds id: the previous one, else source-group-title as a slug; -2, -3 ... for what is taken.
+    """Adds id: the previous one, else source-group-title as a slug. No two rows get the same new id.
 
-    Numbers are given in order of ``ord``. Slugs that clash with numbered ones are numbered again.
+    The first row (by source and ord) of a slug that no previous id uses gets the slug itself. The others are numbered from 2
+    on, or from behind the largest number by which an id in use, previous or a slug, goes on from that slug; gaps are not filled.
     """
     slug = F.concat_ws("-", slugify(F.col("source")), slugify(F.col("group"), max_group), slugify(F.col("title"), max_title))
     old = df.filter(F.col(have).isNotNull()).withColumn("id", F.col(have))
     new = df.filter(F.col(have).isNull()).withColumn("slug", slug)
-    used = old.groupBy(F.col("id").alias("slug")).agg(F.count("*").alias("taken"))
+    in_use = old.select(F.col("id").alias("slug"), F.lit(True).alias("held")).unionByName(new.select("slug", F.lit(False).alias("held")))
+    in_use = in_use.groupBy("slug").agg(F.bool_or("held").alias("held"))
+    number = F.regexp_extract("slug", "-([0-9]{1,9})$", 1)
+    numbered = in_use.filter(number != "").groupBy(F.regexp_replace("slug", "-[0-9]{1,9}$", "").alias("slug")).agg(F.max(number.cast("int")).alias("last"))
     nth = F.row_number().over(Window.partitionBy("slug").orderBy("source", "ord"))
-    made = new.join(used.select("slug", F.lit(1).alias("taken")).distinct(), "slug", "left").withColumn("nth", nth + F.coalesce("taken", F.lit(0)))
-    made = made.withColumn("id", F.when(F.col("nth") == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", "nth")))
-    clash = F.row_number().over(Window.partitionBy("id").orderBy("nth", "source", "ord"))
-    made = made.withColumn("again", clash).withColumn("id", F.when(F.col("again") > 1, F.concat_ws("-", "id", "again")).otherwise(F.col("id")))
+    made = new.join(in_use, "slug").join(numbered, "slug", "left").withColumn("nth", nth + F.col("held").cast("int"))
+    made = made.withColumn("id", F.when(F.col("nth") == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", F.col("nth") + F.greatest(F.coalesce("last", F.lit(1)), F.lit(1)) - 1)))
     return old.unionByName(made.select(*old.columns))
 
 
@@ -59,37 +61,53 @@ def carry_updated(today: Column) -> Column:
     return F.when(F.col("sha").eqNullSafe(F.col("prev_sha")), F.coalesce("prev_updated", today)).otherwise(today)
 
 
-def sync(now: DataFrame, prev: DataFrame, today: Column, analyser: int = 1) -> DataFrame:
-    """The change of every listed item: source, ord, id, prev_id, change, updated, url, title, group, sha.
+def sync(now: DataFrame, prev: DataFrame, today: Column, analyser: int = 1, share: float = 0.6) -> DataFrame:
+    """The change of every item: source, ord, id, prev_id, change, kept, updated, url, title, group, sha, error.
 
     ``now``: source, ord, url, title, group, sha, error, file_present. ``prev``: id, source, url, title,
     group, sha, analyser, updated. A failed item keeps its previous row's sha and date; one that has
-    none is reported and not kept (kept is false). Sources that shrink too far are left out of ``now``
-    by their guard: join ``shrink_guard`` first.
+    none is reported and not kept (kept is false). A source that lists nothing, or less than ``share`` of its
+    previous rows, is held: its listing is left out and its previous rows stay as they are, with change ``held``.
     """
+    held = shrink_guard(now, prev, share).filter("held").select("source")
+    listed = now.join(held, "source", "left_anti")
     p = prev.select(F.col("id").alias("prev_id"), F.col("source"), F.col("sha").alias("prev_sha"), F.col("analyser").alias("prev_analyser"), F.col("updated").alias("prev_updated"))
-    m = match_previous(now, prev).join(p, ["source", "prev_id"], "left").withColumn("change", classify_change(analyser))
+    m = match_previous(listed, prev).join(p, ["source", "prev_id"], "left").withColumn("change", classify_change(analyser))
     m = m.withColumn("kept", (F.col("change") != "failed") | F.col("prev_id").isNotNull())
     m = m.withColumn("updated", F.when(F.col("change") == "failed", F.col("prev_updated")).otherwise(carry_updated(today)))
     m = m.withColumn("sha", F.when(F.col("change") == "failed", F.col("prev_sha")).otherwise(F.col("sha")))
-    return assign_ids(m).select("source", "ord", "id", "prev_id", "change", "kept", "updated", "url", "title", "group", "sha", "error")
+    out = assign_ids(m).select("source", "ord", "id", "prev_id", "change", "kept", "updated", "url", "title", "group", "sha", "error")
+    stay = prev.join(held, "source", "left_semi").select(
+        "source", F.lit(None).cast("int").alias("ord"), "id", F.col("id").alias("prev_id"), F.lit("held").alias("change"), F.lit(True).alias("kept"),
+        "updated", "url", "title", "group", "sha", F.lit(None).cast("string").alias("error"),
+    )
+    return out.unionByName(stay)
 
 
 def removed_rows(prev: DataFrame, out: DataFrame) -> DataFrame:
     return prev.join(out.filter("kept").select("id"), "id", "left_anti")
 
 
-def run_stats(changes: DataFrame, prev: DataFrame) -> DataFrame:
-    """source, listed, added, updated, unchanged, failed, removed."""
+def run_stats(changes: DataFrame, prev: DataFrame, now: DataFrame) -> DataFrame:
+    """source, listed, added, updated, unchanged, failed, held, removed, error: a held source says how much it listed."""
     one = lambda k: F.count_if(F.col("change") == k).alias(k)
-    a = changes.groupBy("source").agg(F.count("*").alias("listed"), one("added"), one("updated"), one("unchanged"), one("failed"))
+    a = changes.groupBy("source").agg(one("added"), one("updated"), one("unchanged"), one("failed"), one("held"))
+    n = now.groupBy("source").agg(F.count("*").alias("listed"))
     r = removed_rows(prev, changes).groupBy("source").agg(F.count("*").alias("removed"))
-    return a.join(r, "source", "full").fillna(0)
+    s = a.join(n, "source", "full").join(r, "source", "full").fillna(0)
+    return s.withColumn("error", F.when(F.col("held") > 0, F.format_string("%d listed, %d before: kept as before", "listed", "held")))
 
 
 def source_ok(kind: str) -> Column:
-    """Forms allow no failure; leaflets 3 or a twentieth of the list."""
-    return F.col("failed") == 0 if kind == "forms" else F.col("failed") <= F.greatest(F.lit(3.0), F.col("listed") * 0.05)
+    """Forms allow no failure; leaflets 3 or a twentieth of the list. A held source is not in order."""
+    few = F.col("failed") == 0 if kind == "forms" else F.col("failed") <= F.greatest(F.lit(3.0), F.col("listed") * 0.05)
+    return few & F.col("error").isNull()
+
+
+def overall_ok(stats: DataFrame, kind: str) -> DataFrame:
+    """One row: ok where every source is, n_sources, n_bad."""
+    s = stats.withColumn("ok", source_ok(kind))
+    return s.agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("ok"), F.count("*").alias("n_sources"), F.count_if(~F.col("ok")).alias("n_bad"))
 
 
 def union_catalogue(*sources: DataFrame) -> DataFrame:
@@ -110,8 +128,9 @@ def no_tick_report(forms: DataFrame) -> DataFrame:
     return forms.filter(F.size("ticks") == 0).select("id")
 
 
-def failure_report(stats: DataFrame) -> DataFrame:
-    return stats.select("source", F.explode("failures").alias("f")).select("source", "f.*")
+def failure_report(changes: DataFrame) -> DataFrame:
+    """source, ord, title, error of the items that failed, one row each, whether or not a previous row stays for them."""
+    return changes.filter("change = 'failed'").select("source", "ord", "title", "error")
 
 
 def freshness(status: DataFrame, as_of: Column, limit: int = 10) -> DataFrame:
@@ -124,8 +143,11 @@ def freshness(status: DataFrame, as_of: Column, limit: int = 10) -> DataFrame:
     )
 
 
-def merge_unchanged(new: str, old: str) -> Column:
-    return F.coalesce(new, old)
+def merge_unchanged(new: DataFrame, old: DataFrame, key: str, fresh: list[str], else_old: list[str]) -> DataFrame:
+    """The unchanged rows of ``old`` with the columns ``fresh`` from ``new``, and ``else_old`` from it where it has a value."""
+    n = new.select(F.col(key), *[F.col(c).alias(f"new_{c}") for c in [*fresh, *else_old]])
+    cols = {c: F.col(f"new_{c}") for c in fresh} | {c: F.coalesce(f"new_{c}", c) for c in else_old}
+    return old.join(n, key).select(*[cols[c].alias(c) if c in cols else F.col(c) for c in old.columns])
 
 
 def yield_gate(df: DataFrame, floors: dict[str, int]) -> DataFrame:

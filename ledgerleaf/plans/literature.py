@@ -45,7 +45,7 @@ def _typed(spark, sf_dir):
 
 
 def lit_type_filter(spark, sf_dir):
-    t = _typed(spark, sf_dir).filter(L.publication_type(F.col("types"), ["guideline", "letter"]) & F.col("source").isin("src1", "src2", "src3"))
+    t = _typed(spark, sf_dir).filter(L.publication_type(F.col("types"), ["guideline", "letter"]) & L.journal_in(F.col("source"), ["src1", "src2", "src3"]))
     return t.select("doc_id", "source", F.array_join("types", "; ").alias("type"))
 
 
@@ -78,7 +78,20 @@ def lit_journal_tag(spark, sf_dir):
 
 def lit_feed_sort(spark, sf_dir):
     d = _docs(spark, sf_dir).filter(L.filter_any(["source", "lang"], "SRC1"))
-    return d.select("doc_id", "source", "pub_date").orderBy("source", F.desc("pub_date"), "doc_id").limit(80)
+    return L.sort_feed(d.select("doc_id", "source", "pub_date"), "journal", "pub_date", "source", "doc_id").limit(80)
+
+
+def lit_presets(spark, sf_dir):
+    """Suppliers as journals, nations as categories."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ord"), F.col("s_name").alias("key"), F.concat(F.lit("c"), "s_nationkey").alias("category"), (F.col("s_suppkey") % 3 == 0).alias("default_on"))
+    return L.journal_presets(s).select("preset", F.array_join("keys", "|").alias("keys"))
+
+
+def lit_days_ago(spark, sf_dir):
+    """Documents of the 90 days up to a day."""
+    from ..functions.columns import days_ago
+
+    return _docs(spark, sf_dir).filter(F.col("pub_date") >= days_ago(90, F.expr(AS_OF))).groupBy("lang").agg(F.count("*").alias("n"))
 
 
 def lit_feed_counts(spark, sf_dir):
@@ -116,7 +129,7 @@ _DOCS = "(SELECT *, DATE '2024-01-01' + cast(doc_id % 365 AS INT) AS pub_date FR
 _J = ", ".join(f"({o}, '{n}', '{s}', '{c}')" for o, n, s, c in JOURNALS)
 
 QUERIES = {f.__name__: f for f in (
-    lit_search_latest, lit_topic_membership, lit_topic_counts, lit_type_filter, lit_article_summary, lit_citation, lit_journal_tag, lit_feed_sort, lit_feed_counts, lit_abstract,
+    lit_search_latest, lit_topic_membership, lit_topic_counts, lit_type_filter, lit_article_summary, lit_citation, lit_journal_tag, lit_feed_sort, lit_presets, lit_days_ago, lit_feed_counts, lit_abstract,
 )}
 ORACLE = {
     "lit_search_latest": f"SELECT doc_id, lang, pub_date FROM {_DOCS} WHERE {_sql(SEARCH)} AND pub_date >= {AS_OF} - 180 ORDER BY pub_date DESC, doc_id LIMIT 40",
@@ -125,11 +138,14 @@ ORACLE = {
     "lit_type_filter": """SELECT doc_id, source, CASE WHEN quality = 1 THEN 'review; letter' WHEN toxic = 1 THEN 'guideline; letter' ELSE 'guideline' END AS type
         FROM documents JOIN labels USING (doc_id) WHERE (quality = 0 OR toxic = 1) AND source IN ('src1', 'src2', 'src3')""",
     "lit_article_summary": f"SELECT *, (journal LIKE '%src1%' OR journal LIKE '%src3%') AS high_impact FROM ({_ARTICLES})",
-    "lit_citation": f"SELECT pmid, authors_short || '. ' || title || '. ' || journal || '. ' || date || '.' || CASE WHEN doi <> '' THEN ' doi: ' || doi ELSE '' END AS citation FROM ({_ARTICLES})",
+    "lit_citation": f"SELECT pmid, authors_full || '. ' || title || '. ' || journal || '. ' || date || '. PMID: ' || pmid || CASE WHEN doi <> '' THEN '. doi:' || doi ELSE '' END || '.' AS citation FROM ({_ARTICLES})",
     "lit_journal_tag": f"""WITH j(ord, name, short, color) AS (VALUES {_J}), m AS (
         SELECT doc_id, source AS journal, min(ord) AS ord FROM documents JOIN j ON contains(lower(source), split_part(lower(name), ' ', 1)) OR contains(lower(name), split_part(lower(source), ' ', 1)) GROUP BY ALL)
         SELECT d.doc_id, d.source AS journal, j.short, j.color FROM documents d LEFT JOIN m ON d.doc_id = m.doc_id LEFT JOIN j ON m.ord = j.ord""",
     "lit_feed_sort": f"SELECT doc_id, source, pub_date FROM {_DOCS} WHERE contains(lower(source || ' ' || lang), 'src1') ORDER BY source, pub_date DESC, doc_id LIMIT 80",
+    "lit_presets": """WITH s AS (SELECT s_suppkey AS o, s_name AS k, 'c' || s_nationkey AS c FROM supplier), a AS (SELECT 'all' AS preset, * FROM s UNION ALL SELECT c, * FROM s UNION ALL SELECT 'default', * FROM s WHERE o % 3 = 0)
+        SELECT preset, string_agg(k, '|' ORDER BY o) AS keys FROM a GROUP BY preset""",
+    "lit_days_ago": f"SELECT lang, count(*) AS n FROM {_DOCS} WHERE pub_date >= {AS_OF} - 90 GROUP BY lang",
     "lit_feed_counts": "SELECT source AS journal, lang, count(*) AS n FROM documents GROUP BY ALL",
     "lit_abstract": """SELECT conv_id, CASE WHEN a = '' THEN 'No abstract.' ELSE a END AS abstract FROM (
         SELECT conv_id, string_agg(CASE WHEN coalesce(role, '') <> '' THEN role || ': ' || text ELSE text END, chr(10) || chr(10) ORDER BY turn) AS a FROM conversations GROUP BY conv_id)""",

@@ -16,7 +16,11 @@ from .tables import table
 
 
 def _scratch(spark) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ledgerleaf-")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="ledgerleaf-")
     return f"{base}/scratch-{uuid.uuid4().hex}"
 
 
@@ -47,18 +51,30 @@ def binary_digest(spark, sf_dir):
 def run_report(spark, sf_dir):
     now, prev = syncing._snapshots(spark, sf_dir)
     out = S.sync(now, prev, F.expr(syncing.TODAY))
-    return files.run_report(S.run_stats(out, prev), syncing.sync_gaps(spark, sf_dir).withColumn("id", F.col("id").cast("string")), S.removed_rows(prev, out))
+    return files.run_report(S.run_stats(out, prev, now), syncing.sync_gaps(spark, sf_dir).withColumn("id", F.col("id").cast("string")), S.removed_rows(prev, out))
+
+
+def catalogue_read(spark, sf_dir):
+    """Catalogue files of two lists each, one document a file, read as two tables."""
+    at = _scratch(spark)
+    p = table(spark, sf_dir, "supplier").select("s_nationkey", F.struct(F.col("s_suppkey").alias("id"), F.col("s_name").alias("title")).alias("f"))
+    both = p.groupBy("s_nationkey").agg(F.collect_list("f").alias("forms"), F.collect_list(F.struct(F.col("f.id").alias("id"))).alias("leaflets"))
+    both.write.partitionBy("s_nationkey").json(at)  # a document a file
+    forms, leaflets = files.read_catalogue(spark, at, "id long, title string", "id long")
+    none = files.read_json_table(spark, f"{at}/no-such-file", "id long, title string", "forms")
+    return forms.join(leaflets, "id").unionByName(none)
 
 
 def stream_sync(spark, sf_dir):
-    """Two listings arrive one after the other; the snapshot after both."""
+    """Two listings arrive one after the other, the second without some sources; the snapshot after both."""
     at = _scratch(spark)
     now, prev = syncing._snapshots(spark, sf_dir)
     first = prev.select(F.row_number().over(Window.partitionBy("source").orderBy("id")).alias("ord"), "source", "title", "group", "url", "sha", F.lit(None).cast("string").alias("error"), F.lit(True).alias("file_present"))
-    for part in (first, now.select(*first.columns)):
-        part.coalesce(1).write.mode("append").parquet(f"{at}/in")
+    for part in (first, now.filter("source <> 'src5'").select(*first.columns)):
+        part.write.mode("append").parquet(f"{at}/in")
         streams.sync_stream(spark, f"{at}/in", f"{at}/state", F.expr(syncing.TODAY)).awaitTermination()
-    return files.read_snapshot(spark, f"{at}/state/catalogue", streams.SNAPSHOT).groupBy("source").agg(F.count("*").alias("n"))
+    out = files.read_snapshot(spark, f"{at}/state/catalogue", streams.SNAPSHOT)
+    return out.select("source", F.regexp_extract("url", "([0-9]+)(-moved)?$", 1).cast("long").alias("doc_id"), "sha", "updated")
 
 
 def stream_extract(spark, sf_dir):
@@ -68,11 +84,19 @@ def stream_extract(spark, sf_dir):
     return spark.read.parquet(f"{at}/out").select("note_id", "surname", "forenames", "dob", "nhs", "mrn", "sex")
 
 
-QUERIES = {f.__name__: f for f in (catalogue_roundtrip, csv_roundtrip, csv_lines, binary_digest, run_report, stream_sync, stream_extract)}
+QUERIES = {f.__name__: f for f in (catalogue_roundtrip, catalogue_read, csv_roundtrip, csv_lines, binary_digest, run_report, stream_sync, stream_extract)}
 ORACLE = {
     "catalogue_roundtrip": "SELECT p_partkey AS id, p_name AS title, p_brand || '|' || p_type AS keys FROM part",
+    "catalogue_read": "SELECT s_suppkey AS id, s_name AS title FROM supplier",
     "csv_roundtrip": "SELECT c_custkey AS k, 'say \"hi\", ' || c_name AS t, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE '' END AS s FROM customer",
     "csv_lines": "SELECT '\"' || c_custkey || '\",\"\"\"' || c_name || '\"' AS line FROM customer",
-    "stream_sync": f"WITH {syncing._SNAP} SELECT source, count(*) AS n FROM c WHERE kept GROUP BY source",
+    # the first listing is all new; of the second, src5 is missing and so stays as it was
+    "stream_sync": f"""WITH {syncing._SNAP} SELECT source, doc_id, sha, CASE change WHEN 'held' THEN {syncing.TODAY} ELSE coalesce(nullif(updated, DATE '2024-01-01'), {syncing.TODAY}) END AS updated
+        FROM c WHERE kept AND source <> 'src5' UNION ALL SELECT source, doc_id, sha, {syncing.TODAY} FROM prev WHERE source = 'src5'""",
+    "run_report": f"""WITH {syncing._SNAP}, {syncing._STATS}, r AS (
+        SELECT 1 AS section, source, source || ': ' || listed || ' listed, ' || added || ' added, ' || updated || ' updated, ' || removed || ' removed' AS line FROM st
+        UNION ALL SELECT 2, substr(id::VARCHAR, 1, 2), id || ': ' || gaps FROM ({syncing.ORACLE['sync_gaps']})
+        UNION ALL SELECT 3, source, 'removed ' || id FROM prev WHERE id NOT IN (SELECT id FROM c WHERE kept))
+        SELECT section, source, cast(row_number() OVER (PARTITION BY section, source ORDER BY line) AS INT) AS line_ord, line FROM r""",
     "stream_extract": records.ORACLE["id_extract"],
 }

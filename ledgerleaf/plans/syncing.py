@@ -32,7 +32,7 @@ def _snapshots(spark, sf_dir):
 
 def _synced(spark, sf_dir):
     now, prev = _snapshots(spark, sf_dir)
-    return S.sync(now, prev, F.expr(TODAY)), prev
+    return S.sync(now, prev, F.expr(TODAY)), prev, now
 
 
 def sync_changes(spark, sf_dir):
@@ -40,23 +40,50 @@ def sync_changes(spark, sf_dir):
 
 
 def sync_stats(spark, sf_dir):
-    out, prev = _synced(spark, sf_dir)
-    return S.run_stats(out, prev).withColumn("ok", S.source_ok("leaflets"))
+    out, prev, now = _synced(spark, sf_dir)
+    return S.run_stats(out, prev, now).withColumn("ok", S.source_ok("leaflets"))
+
+
+def sync_overall(spark, sf_dir):
+    out, prev, now = _synced(spark, sf_dir)
+    return S.overall_ok(S.run_stats(out, prev, now), "forms")
+
+
+def sync_failures(spark, sf_dir):
+    return S.failure_report(_synced(spark, sf_dir)[0])
 
 
 def sync_removed(spark, sf_dir):
-    out, prev = _synced(spark, sf_dir)
+    out, prev, _ = _synced(spark, sf_dir)
     return S.removed_rows(prev, out).select("source", "id")
 
 
+def sync_merged(spark, sf_dir):
+    """Unchanged leaflets: the title as listed now, the review date as listed or as before."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    old = d.select("doc_id", F.concat(F.lit("old "), "source").alias("title"), F.when(F.col("doc_id") % 2 == 0, "2020").alias("review"), "lang")
+    new = d.filter("doc_id % 5 <> 0").select("doc_id", F.col("source").alias("title"), F.when(F.col("doc_id") % 3 == 0, "2024").alias("review"))
+    return S.merge_unchanged(new, old, "doc_id", ["title"], ["review"])
+
+
+def sync_no_ticks(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    li = table(spark, sf_dir, "lineitem").filter("l_linenumber > 3").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_linenumber").alias("ticks"))
+    return S.no_tick_report(o.join(li, "id", "left").withColumn("ticks", F.coalesce("ticks", F.array().cast("array<int>"))))
+
+
 def sync_guard(spark, sf_dir):
     now, prev = _snapshots(spark, sf_dir)
     return S.shrink_guard(now, prev)
 
 
 def sync_ids(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.lit("shop").alias("source"), F.col("p_partkey").cast("int").alias("ord"), F.col("p_name").alias("title"), F.col("p_brand").alias("group"), F.lit(None).cast("string").alias("prev_id"))
-    return S.assign_ids(p).select("ord", "id")
+    """Titles that repeat, titles that end in a number as numbered ids do, and previous ids that are used again."""
+    word = F.element_at(F.split("p_name", " "), 1)
+    title = F.when(F.col("p_partkey") % 4 == 0, F.concat(word, F.lit(" "), F.col("p_partkey") % 3 + 2)).otherwise(word)
+    p = table(spark, sf_dir, "part").select(F.lit("shop").alias("source"), F.col("p_partkey").cast("int").alias("ord"), title.alias("title"), F.col("p_brand").alias("group"), slugify(F.concat_ws("-", F.lit("shop"), "p_brand", word)).alias("slug"))
+    have = F.when(F.col("ord") % 50 == 0, F.col("slug")).when(F.col("ord") % 50 == 1, F.concat("slug", F.lit("-3")))
+    return S.assign_ids(p.withColumn("prev_id", have).drop("slug")).select("ord", "id")
 
 
 def sync_union(spark, sf_dir):
@@ -93,7 +120,7 @@ def yield_gate(spark, sf_dir):
 
 
 def slug_list(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", slugify(F.substring("text", 1, 90)).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", slugify(F.col("text")).alias("slug"))
 
 
 _K = "doc_id // 20"
@@ -101,27 +128,37 @@ _SNAP = f"""
 prev AS (SELECT 'p' || doc_id AS id, source, 'https://x/' || source || '/' || doc_id AS url, 'Form ' || doc_id AS title, sha256(text) AS sha, doc_id FROM documents WHERE ({_K}) % 10 <> 0),
 now AS (SELECT source, cast(doc_id AS INT) AS ord, doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || ' changed' ELSE text END) AS sha, doc_id % 53 = 0 AS bad, lang
         FROM documents WHERE ({_K}) % 10 <> 1 AND (source <> 'src3' OR ({_K}) % 3 = 0)),
-m AS (SELECT n.*, p.id AS prev_id, p.sha AS prev_sha FROM now n LEFT JOIN prev p ON n.doc_id = p.doc_id),
+g AS (SELECT p.source FROM (SELECT source, count(*) AS n FROM prev GROUP BY 1) p LEFT JOIN (SELECT source, count(*) AS n FROM now GROUP BY 1) n USING (source) WHERE coalesce(n.n, 0) < 0.6 * p.n),
+m AS (SELECT n.*, p.id AS prev_id, p.sha AS prev_sha FROM now n LEFT JOIN prev p ON n.doc_id = p.doc_id WHERE n.source NOT IN (SELECT source FROM g)),
 c AS (SELECT source, ord, coalesce(prev_id, source || '-' || lang || '-form-' || doc_id) AS id,
         CASE WHEN bad THEN 'failed' WHEN sha = prev_sha THEN 'unchanged' WHEN prev_id IS NOT NULL THEN 'updated' ELSE 'added' END AS change,
         NOT bad OR prev_id IS NOT NULL AS kept,
         CASE WHEN bad THEN (CASE WHEN prev_id IS NOT NULL THEN DATE '2024-01-01' END) WHEN sha = prev_sha THEN DATE '2024-01-01' ELSE {TODAY} END AS updated,
-        CASE WHEN bad THEN prev_sha ELSE sha END AS sha FROM m)"""
+        CASE WHEN bad THEN prev_sha ELSE sha END AS sha, doc_id FROM m
+      UNION ALL SELECT source, NULL, id, 'held', true, DATE '2024-01-01', sha, doc_id FROM prev WHERE source IN (SELECT source FROM g))"""
+_STATS = """st AS (SELECT source, coalesce(listed, 0) AS listed, coalesce(added, 0) AS added, coalesce(updated, 0) AS updated, coalesce(unchanged, 0) AS unchanged, coalesce(failed, 0) AS failed,
+        coalesce(held, 0) AS held, coalesce(removed, 0) AS removed, CASE WHEN coalesce(held, 0) > 0 THEN coalesce(listed, 0) || ' listed, ' || held || ' before: kept as before' END AS error
+        FROM (SELECT source, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'updated') AS updated, count(*) FILTER (change = 'unchanged') AS unchanged,
+          count(*) FILTER (change = 'failed') AS failed, count(*) FILTER (change = 'held') AS held FROM c GROUP BY source) FULL JOIN (SELECT source, count(*) AS listed FROM now GROUP BY 1) USING (source)
+          FULL JOIN (SELECT source, count(*) AS removed FROM prev WHERE id NOT IN (SELECT id FROM c WHERE kept) GROUP BY source) USING (source))"""
 _SLUG = "trim(regexp_replace(replace(replace(lower({}), '+', ' plus '), '&', ' and '), '[^a-z0-9]+', '-', 'g'), '-')"
 
-QUERIES = {f.__name__: f for f in (sync_changes, sync_stats, sync_removed, sync_guard, sync_ids, sync_union, sync_gaps, sync_freshness, url_merge, url_first, yield_gate, slug_list)}
+QUERIES = {f.__name__: f for f in (sync_changes, sync_stats, sync_overall, sync_failures, sync_removed, sync_merged, sync_no_ticks, sync_guard, sync_ids, sync_union, sync_gaps, sync_freshness, url_merge, url_first, yield_gate, slug_list)}
 ORACLE = {
     "sync_changes": f"WITH {_SNAP} SELECT source, ord, id, change, kept, updated, sha FROM c",
-    "sync_stats": f"""WITH {_SNAP}, a AS (SELECT source, count(*) AS listed, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'updated') AS updated,
-        count(*) FILTER (change = 'unchanged') AS unchanged, count(*) FILTER (change = 'failed') AS failed FROM c GROUP BY source),
-        r AS (SELECT source, count(*) AS removed FROM prev WHERE id NOT IN (SELECT id FROM c WHERE kept) GROUP BY source)
-        SELECT source, coalesce(listed, 0) AS listed, coalesce(added, 0) AS added, coalesce(updated, 0) AS updated, coalesce(unchanged, 0) AS unchanged, coalesce(failed, 0) AS failed,
-        coalesce(removed, 0) AS removed, coalesce(failed, 0) <= greatest(3.0, coalesce(listed, 0) * 0.05) AS ok FROM a FULL JOIN r USING (source)""",
+    "sync_stats": f"WITH {_SNAP}, {_STATS} SELECT *, failed <= greatest(3.0, listed * 0.05) AND error IS NULL AS ok FROM st",
+    "sync_overall": f"WITH {_SNAP}, {_STATS} SELECT bool_and(failed = 0 AND error IS NULL) AS ok, count(*) AS n_sources, count(*) FILTER (failed > 0 OR error IS NOT NULL) AS n_bad FROM st",
+    "sync_failures": f"WITH {_SNAP} SELECT source, ord, 'Form ' || doc_id AS title, 'HTTP 500' AS error FROM c WHERE change = 'failed'",
+    "sync_merged": """SELECT doc_id, source AS title, CASE WHEN doc_id % 3 = 0 THEN '2024' WHEN doc_id % 2 = 0 THEN '2020' END AS review, lang FROM documents WHERE doc_id % 5 <> 0""",
+    "sync_no_ticks": "SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber > 3)",
     "sync_removed": f"WITH {_SNAP} SELECT source, id FROM prev WHERE id NOT IN (SELECT id FROM c WHERE kept)",
     "sync_guard": f"""WITH {_SNAP}, a AS (SELECT source, count(*) AS n_now FROM now GROUP BY 1), b AS (SELECT source, count(*) AS n_prev FROM prev GROUP BY 1)
         SELECT source, coalesce(n_now, 0) AS n_now, coalesce(n_prev, 0) AS n_prev, coalesce(n_prev, 0) > 0 AND coalesce(n_now, 0) < 0.6 * n_prev AS held FROM a FULL JOIN b USING (source)""",
-    "sync_ids": f"""SELECT ord, CASE WHEN nth = 1 THEN slug ELSE slug || '-' || nth END AS id FROM (SELECT ord, slug, row_number() OVER (PARTITION BY slug ORDER BY ord) AS nth FROM (
-        SELECT cast(p_partkey AS INT) AS ord, 'shop-' || trim(substr({_SLUG.format('p_brand')}, 1, 28), '-') || '-' || trim(substr({_SLUG.format('p_name')}, 1, 60), '-') AS slug FROM part))""",
+    "sync_ids": f"""WITH t AS (SELECT cast(p_partkey AS INT) AS ord, 'shop-' || {_SLUG.format('p_brand')} || '-' || {_SLUG.format("split_part(p_name, ' ', 1)")} AS base, p_partkey % 4 = 0 AS more, p_partkey % 3 + 2 AS k, p_partkey % 50 AS r FROM part),
+        o AS (SELECT ord, CASE r WHEN 0 THEN base ELSE base || '-3' END AS id FROM t WHERE r < 2), n AS (SELECT ord, CASE WHEN more THEN base || '-' || k ELSE base END AS slug FROM t WHERE r >= 2),
+        u AS (SELECT id AS slug FROM o UNION SELECT slug FROM n), l AS (SELECT regexp_replace(slug, '-[0-9]+$', '') AS slug, max(cast(regexp_extract(slug, '-([0-9]+)$', 1) AS INT)) AS last FROM u WHERE regexp_matches(slug, '-[0-9]+$') GROUP BY 1),
+        x AS (SELECT n.ord, n.slug, coalesce(l.last, 1) AS last, row_number() OVER (PARTITION BY n.slug ORDER BY n.ord) + (n.slug IN (SELECT id FROM o))::INT AS nth FROM n LEFT JOIN l ON l.slug = n.slug)
+        SELECT ord, CASE WHEN nth = 1 THEN slug ELSE slug || '-' || (nth + greatest(last, 1) - 1) END AS id FROM x UNION ALL SELECT * FROM o""",
     "sync_union": """SELECT 'form' AS kind, count(*) AS n, count(source) AS n_source, 0 AS n_quality FROM documents UNION ALL SELECT 'leaflet', count(*), 0, count(quality) FROM labels""",
     "sync_gaps": """SELECT doc_id AS id, CASE WHEN quality <> 1 THEN 'not fillable' WHEN toxic = 1 AND doc_id % 3 = 0 THEN 'NHS number, date of birth' WHEN toxic = 1 THEN 'NHS number' ELSE 'date of birth' END AS gaps
         FROM documents JOIN labels USING (doc_id) WHERE quality <> 1 OR toxic = 1 OR doc_id % 3 = 0""",
@@ -132,5 +169,5 @@ ORACLE = {
         SELECT key, CASE WHEN page_id % 4 <> 0 AND page_id % 5 <> 0 THEN 'b' || page_id WHEN page_id % 3 <> 0 THEN 'a' || page_id ELSE '' END AS title FROM p WHERE page_id % 3 <> 0 OR page_id % 4 <> 0""",
     "url_first": """SELECT min(page_id) AS page_id, key FROM (SELECT page_id, regexp_replace(lower(regexp_replace(regexp_replace(url, '/+$', ''), '^http:', 'https:')), '[0-9]+$', '') AS key FROM pages) GROUP BY key""",
     "yield_gate": """SELECT f.source, count(d.doc_id) AS n, count(d.doc_id) < max(f.floor) AS failed FROM (VALUES ('src0', 10), ('src1', 1000000), ('nowhere', 5)) f(source, floor) LEFT JOIN documents d ON d.source = f.source GROUP BY f.source""",
-    "slug_list": f"""SELECT doc_id, trim(substr({_SLUG.format("replace(strip_accents(substr(text, 1, 90)), 'ß', 'ß')")}, 1, 70), '-') AS slug FROM documents""",
+    "slug_list": f"""SELECT doc_id, trim(substr({_SLUG.format("replace(strip_accents(text), 'ß', 'ß')")}, 1, 70), '-') AS slug FROM documents""",
 }

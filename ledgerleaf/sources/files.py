@@ -61,11 +61,12 @@ def ingest_binary(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def run_report(stats: DataFrame, gaps: DataFrame, removed: DataFrame) -> DataFrame:
-    """section, line_ord, line: the report of a run, as rows."""
+    """section, source, line_ord, line: the report of a run, as rows. Lines are numbered within a section and source (of
+    gaps: within the first two characters of the id), so that no section is one task's work; read it by section, source and number."""
     from pyspark.sql import Window
 
     rows = stats.select(F.lit(1).alias("section"), "source", F.format_string("%s: %d listed, %d added, %d updated, %d removed", "source", "listed", "added", "updated", "removed").alias("line"))
-    rows = rows.unionByName(gaps.select(F.lit(2).alias("section"), F.col("id").alias("source"), F.concat_ws(": ", "id", "gaps").alias("line")))
-    rows = rows.unionByName(removed.select(F.lit(3).alias("section"), F.col("id").alias("source"), F.concat(F.lit("removed "), "id").alias("line")))
-    nth = F.row_number().over(Window.partitionBy("section").orderBy("source", "line"))
-    return rows.select("section", nth.alias("line_ord"), "line")
+    rows = rows.unionByName(gaps.select(F.lit(2).alias("section"), F.substring("id", 1, 2).alias("source"), F.concat_ws(": ", "id", "gaps").alias("line")))
+    rows = rows.unionByName(removed.select(F.lit(3).alias("section"), "source", F.concat(F.lit("removed "), "id").alias("line")))
+    nth = F.row_number().over(Window.partitionBy("section", "source").orderBy("line"))
+    return rows.select("section", "source", nth.alias("line_ord"), "line")

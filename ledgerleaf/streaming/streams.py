@@ -16,7 +16,8 @@ SNAPSHOT = "id string, source string, url string, title string, `group` string,
 def sync_stream(spark: SparkSession, source_dir: str, state_dir: str, today: Column):
     """Listings that arrive as Parquet files are synchronised with the newest snapshot; each batch writes the next.
 
-    A batch that was written is not written again: its number is kept beside the snapshot.
+    A batch that was written is not written again: its number is kept beside the snapshot. Sources that a batch does
+    not list, or lists too short, keep their rows.
     """
 
     def batch(df: DataFrame, number: int) -> None:

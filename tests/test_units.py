@@ -92,6 +92,36 @@ def test_ids_clash(spark):
     assert len(set(ids)) == 4 and "s-g-a" in ids
 
 
+def test_ids_never_repeat(spark):
+    titles = ["x", "x", "x 2", "x 2", "x", "y"]
+    rows = [("s", k, t, "g", None) for k, t in enumerate(titles)] + [("s", 9, "old", "g", "s-g-x-4"), ("s", 10, "old", "g", "s-g-y")]
+    got = {r["ord"]: r["id"] for r in Z.assign_ids(spark.createDataFrame(rows, "source string, ord int, title string, group string, prev_id string")).collect()}
+    assert got == {0: "s-g-x", 1: "s-g-x-5", 2: "s-g-x-2", 3: "s-g-x-2-2", 4: "s-g-x-6", 5: "s-g-y-2", 9: "s-g-x-4", 10: "s-g-y"}
+
+
+def test_sources_that_shrink_or_list_nothing_are_held(spark):
+    today, old = F.lit("2024-02-02").cast("date"), dt.date(2024, 1, 1)
+    prev = spark.createDataFrame([(f"{s}{k}", s, f"{s}{k}", f"T{k}", "g", "h", 1, old) for s in "abc" for k in range(5)], PREV)
+    now = spark.createDataFrame([("a", k, f"a{k}", f"T{k}", "g", "h", None, True) for k in range(3)] + [("b", 0, "b0", "T0", "g", "new", None, True)], NOW)
+    out = Z.sync(now, prev, today)
+    stats = {r["source"]: r for r in Z.run_stats(out, prev, now).withColumn("ok", Z.source_ok("forms")).collect()}
+    assert (stats["a"]["unchanged"], stats["a"]["removed"], stats["a"]["ok"]) == (3, 2, True)
+    assert (stats["b"]["held"], stats["b"]["listed"], stats["b"]["removed"], stats["b"]["ok"]) == (5, 1, 0, False)
+    assert (stats["c"]["held"], stats["c"]["listed"], stats["c"]["removed"]) == (5, 0, 0) and stats["c"]["error"].startswith("0 listed")
+    assert not Z.overall_ok(Z.run_stats(out, prev, now), "forms").first()["ok"]
+    assert {r["id"] for r in Z.removed_rows(prev, out).collect()} == {"a3", "a4"}
+
+
+def test_known_rules_and_anchors(spark):
+    df = spark.createDataFrame([(1, "F"), (2, "M"), (3, "")], "id int, sex string").selectExpr("*", "'yes' AS option", "'' AS prompt", "'' AS line", "'' AS section", "false AS matrix", "cast(NULL AS string) AS `group`")
+    got = {r["id"]: (r["on"], r["why"]) for r in R.resolve(R.first_rule(df, [R.Rule("k", "known", "all", option="yes")])).collect()}
+    assert got == {1: (True, "all"), 2: (True, "all"), 3: (False, "choose by sex")}
+    c = spark.createDataFrame([(1, "p", dt.date(2024, 1, 1), dt.date(2024, 3, 1)), (2, "p", dt.date(2024, 1, 1), None)], "id int, preset string, d date, t date")
+    items = {"p": [{"n": 1, "u": "d", "label": "a"}, {"n": 1, "u": "d", "label": "b", "from": "treatment"}]}
+    due = {(r["id"], r["label"]): r["due"] for r in S.expand_schedule(c, items, "id", "preset", "d", anchors={"treatment": "t"}).collect()}
+    assert due == {(1, "a"): dt.date(2024, 1, 2), (1, "b"): dt.date(2024, 3, 2), (2, "a"): dt.date(2024, 1, 2), (2, "b"): None}
+
+
 def test_match(spark):
     forms = spark.createDataFrame([(1, "CAPOX and Fluorouracil infusion"), (2, "nothing")], "form_id long, title string")
     leaflets = spark.createDataFrame([(1, 1, "Fluorouracil (5FU)"), (2, 2, "Fluorouracil infusion"), (3, 3, "CAPOX (XELOX)")], "leaflet_id long, leaflet_ord int, title string")
