@@ -134,7 +134,7 @@ TOP, SHARP = 8, 3.0
 #: Texts that share a masked value, up to which all their pairs are checked.
 SMALL = 8
 #: Rounds in which the texts of larger groups that are not linked yet meet others of the group, and how many that are linked.
-ROUNDS, MORE = 4, 12
+ROUNDS, MORE = 3, 6
 
 _rnd = np.random.default_rng(42)
 _TIMES = _rnd.integers(0, 1 << 64, FPS * PARTS, np.uint64) | np.uint64(1)
@@ -197,9 +197,9 @@ def similar_groups(df: DataFrame, least: float = 0.8, words: int = 5, most_rows:
     equal sets (so all exact copies) are one node. Candidates are nodes that have a weighted fingerprint within
     NEAR bits of each other's: they agree under one of its covering masks. All candidates are checked exactly.
 
-    Of up to SMALL nodes under one masked value all pairs are checked. Of more, each is checked with the most usual
-    node of the group: the one that shares most values with many. Those not linked with it are then checked with the most usual
-    among themselves and with MORE others that are linked with it, for ROUNDS rounds or until a round links nothing. So pairs
+    Of up to SMALL nodes under one masked value all pairs are checked. Of more, each is checked with the group's hub, its most usual
+    node: the one that shares most values with many. Those not linked with it are then checked with the most usual
+    among themselves and with MORE others that are linked with the hub, for ROUNDS rounds or until a round links nothing. So pairs
     grow with the nodes and not with the square of a group; what is left after the last round stays apart.
 
     Null and blank texts are one node that links to no other. The texts of candidates are read again for
@@ -224,19 +224,21 @@ def similar_groups(df: DataFrame, least: float = 0.8, words: int = 5, most_rows:
     crowd = keyed.filter(F.col("held") > SMALL)
     usual = crowd.groupBy("node").agg(F.count("*").alias("usual"))
     many = reliable(crowd.select("key", "node", "n").join(usual, "node"))
-
-    def met(of: DataFrame, leads: DataFrame, on: str) -> DataFrame:
-        """Every node with each of the others that ``leads`` (on, leads) has for it."""
-        both = of.join(counted(leads, most_rows), on).select("node", "n", "leads").distinct().withColumn("lead", F.explode("leads")).filter("node <> lead.node")
+    hub = F.max_by(F.struct("node", "n"), F.struct("usual", "node"))
+    # a node once for each hub of its groups: most groups of near copies have the same
+    named = many.join(counted(many.groupBy("key").agg(hub.alias("hub")), most_rows), "key").select("node", "n", "usual", "hub").distinct()
+    named = reliable(named.select("node", "n", "usual", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")))
+
+    def met(of: DataFrame, leads: DataFrame) -> DataFrame:
+        """Every node with each of the others that ``leads`` (hub, leads) has for its hub."""
+        both = of.join(counted(leads, most_rows), "hub").select("node", "n", F.explode("leads").alias("lead")).filter("node <> lead.node")
         return both.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"), F.col("n").alias("na"), F.col("lead.n").alias("nb"))
 
-    def usual_of(of: DataFrame) -> DataFrame:
-        return of.groupBy("key").agg(F.array(F.max_by(F.struct("node", "n"), F.struct("usual", "node"))).alias("leads"))
-
     # sets of sizes further apart are less similar, whatever they share
     fit = lambda x: x.filter(F.least("na", "nb") >= least * F.greatest("na", "nb")).select("a", "b").distinct()
-    pairs = reliable(fit(few.unionByName(met(many, usual_of(many), "key"))))
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(many.select("node")).distinct()
+    first = named.filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), F.col("n").alias("na"), F.col("hub_n").alias("nb"))
+    pairs = reliable(fit(few.unionByName(first)))
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(named.select("node")).distinct()
     rows = counted(nodes.join(wanted, "node", "left_semi").select(F.col("row").alias("wanted_row")), most_rows)
     again = by_hash(df, text_col).join(rows, F.col("row") == F.col("wanted_row"), "left_semi")
 
@@ -245,21 +247,22 @@ def similar_groups(df: DataFrame, least: float = 0.8, words: int = 5, most_rows:
         return [(node_of(found), found.view(np.int64).tolist())]
 
     sets = reliable(per_text(again, sets_of, StructType.fromDDL("node long, s array<long>"), "row", "text").dropDuplicates(["node"]))
-    roots = components(similar(sets, pairs, least))
-    for k in range(ROUNDS if not many.isEmpty() else 0):
-        part = many.join(roots.select(F.col("u").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        main = counted(part.groupBy("key").agg(F.max_by("root", F.struct("usual", "node")).alias("main")), most_rows)
-        part = reliable(part.join(main, "key"))
-        apart = part.filter("root <> main")
-        # the same few of each linked part for all its keys, so a node meets them once
-        few_of = [F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(k * MORE + i))) for i in range(MORE)]
-        linked = part.filter("root = main").groupBy("main").agg(F.array_distinct(F.array(*few_of)).alias("leads"))
-        tried = met(apart, usual_of(apart), "key").unionByName(met(apart.select("node", "n", "main").distinct(), linked, "main"))
+    done = reliable(similar(sets, pairs, least))
+    both = lambda x: x.select("u", "v").unionByName(x.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    near = both(done).select(F.col("u").alias("node"), F.col("v").alias("hub"), F.lit(True).alias("near"))
+    state = reliable(named.join(near, ["node", "hub"], "left").select("node", "n", "usual", "hub", (F.coalesce("near", F.lit(False)) | (F.col("node") == F.col("hub"))).alias("linked")))
+    for k in range(ROUNDS if not named.isEmpty() else 0):
+        apart = state.filter("NOT linked")
+        others = [F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(k * MORE + i))) for i in range(MORE)]
+        linked = reliable(state.filter("linked").groupBy("hub").agg(F.array_distinct(F.array(*others)).alias("leads")))
+        tried = met(apart, linked).unionByName(met(apart, apart.groupBy("hub").agg(F.array(hub).alias("leads"))))
         new = reliable(similar(sets, fit(tried), least))
         if new.isEmpty():
             break
-        # the groups so far and the new links say the same as all links
-        roots = components(roots.select("u", F.col("root").alias("v")).unionByName(new))
+        done = done.unionByName(new)
+        through = linked.select("hub", F.explode("leads.node").alias("v")).join(both(new), "v").select(F.col("u").alias("node"), "hub").distinct()
+        state = reliable(state.join(through.withColumn("near", F.lit(True)), ["node", "hub"], "left").select("node", "n", "usual", "hub", (F.col("linked") | F.coalesce("near", F.lit(False))).alias("linked")))
+    roots = components(done)
     return texts.select("row", "node"), roots
 
 
