@@ -280,7 +280,9 @@ def without_copies(
     group = texts.join(roots.select(F.col("u").alias("node"), "root"), "node", "left").select("row", F.coalesce("root", "node").alias("root"))
     keys = df.select(F.col(id_col).alias("id"), row.alias("row")).groupBy("id", "row").agg(F.count("*").alias("n"))
     keys = reliable(keys.join(group, "row"))
-    first = keys.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
+    # groups of one row need no verdict; those of more are counted, so that the rows of a large group needn't meet in one task
+    first = keys.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"), F.sum("n").alias("total"))
+    first = counted(first.filter("total > 1").drop("total"), most_rows)
     judged = keys.join(first, "root").select("id", "row", "n", (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("row") == F.col("first.row"))).alias("stays"))
     own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("own"), F.col(id_col).alias("own_id"), row.alias("own_row"))
     same = lambda ids: F.col("own_id").eqNullSafe(ids["id"]) & (F.col("own_row") == ids["row"])
