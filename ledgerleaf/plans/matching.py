@@ -104,12 +104,41 @@ def layout_leaders(spark, sf_dir):
 
 
 def layout_sections(spark, sf_dir):
-    h = table(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0")
-    h = h.select((F.col("o_orderkey") % 50).alias("doc_id"), (F.col("o_custkey") % 4).cast("int").alias("page"), F.col("o_orderkey").cast("double").alias("y"), F.lit(0.0).alias("x"), F.concat(F.lit("s"), "o_orderkey").alias("section"))
-    s = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("spot_id"), (F.col("c_custkey") % 50).alias("doc_id"), (F.col("c_custkey") % 5).cast("int").alias("page"), (F.col("c_custkey") * 8.0).alias("y"), F.lit(100.0).alias("x"))
+    """All orders as headings and all customers as spots, on documents whose number grows with the tables."""
+    k = F.col("o_orderkey")
+    h = table(spark, sf_dir, "orders").select(F.floor(k / 40).alias("doc_id"), (k % 4).cast("int").alias("page"), k.cast("double").alias("y"), (k % 3 * 50.0).alias("x"), F.concat(F.lit("s"), "o_orderkey").alias("section"))
+    c = F.col("c_custkey")
+    s = table(spark, sf_dir, "customer").select(c.alias("spot_id"), F.floor(c / 4).alias("doc_id"), (c % 5).cast("int").alias("page"), (c * 10.0).alias("y"), (c % 3 * 50.0 + 20).alias("x"))
     return Y.section_at(s, h).select("spot_id", "section")
 
 
+def layout_glyphs(spark, sf_dir):
+    """First characters from names, in fonts by key."""
+    k = F.col("c_custkey")
+    t = F.element_at(F.array(*[F.lit(x) for x in ("c yes", "o no", "£ x", "☐ y", "q z", "R w", "", "❐")]), (k % 8 + 1).cast("int"))
+    font = F.element_at(F.array(*[F.lit(x) for x in ("Webdings", "Wingdings", "Wingdings 2", "Arial", "Symbol")]), (k % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", Y.box_glyph(t, font).alias("box"))
+
+
+def layout_colons(spark, sf_dir):
+    t = F.concat(F.lit("Signed: Date: "), "c_mktsegment", F.lit(": x: Y"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(Y.split_colon_runs(t), "|").alias("labels"))
+
+
+def layout_roles(spark, sf_dir):
+    role = F.when(F.col("p_size") % 3 == 0, "print_name").when(F.col("p_size") % 3 == 1, "title").otherwise("dob")
+    section = F.element_at(F.array(*[F.lit(x) for x in ("professional", "consultant", "witness", "patient")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", Y.resolve_role(role, section).alias("role"))
+
+
+def layout_box_lines(spark, sf_dir):
+    """Each box with the line nearest to its middle; lines stand 7 apart, boxes 20."""
+    b = _boxes(spark, sf_dir).filter("box_id < 1000000")
+    top = b.groupBy("doc_id", "page").agg(F.max("y").alias("top"))
+    lines = top.select("doc_id", "page", F.explode(F.sequence(F.lit(0), F.floor(F.col("top") / 7).cast("int") + 1)).alias("line")).select("doc_id", "page", "line", (F.col("line") * 7.0).alias("y"), F.concat(F.lit("l"), "line").alias("text"))
+    return Y.box_lines(b, lines).select("box_id", "line", "text")
+
+
 def layout_fonts(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc_id"), F.col("l_quantity").alias("fs"))
     return Y.body_font_size(li)
@@ -150,7 +179,7 @@ c AS (SELECT doc_id, n, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS line FROM
 
 QUERIES = {f.__name__: f for f in (
     match_keys, match_suggest, page_links, page_groups, page_urls, page_fingerprint, page_dates, page_titles, sitemap,
-    layout_lines, layout_phrases, layout_labels, layout_leaders, layout_sections, layout_fonts, layout_missing, layout_boxes, layout_fields,
+    layout_lines, layout_phrases, layout_labels, layout_leaders, layout_sections, layout_glyphs, layout_colons, layout_roles, layout_box_lines, layout_fonts, layout_missing, layout_boxes, layout_fields,
 )}
 ORACLE = {
     "match_keys": f"SELECT w AS leaflet_id, {_NORM.format('w')} || CASE WHEN {_NORM.format('w')} <> lower(substr(w, 1, 4) || 'q') THEN '|' || {_NORM.format('''substr(w, 1, 4) || 'q' ''')} ELSE '' END AS keys, regexp_matches(w, '(?i)\\b(and|with)\\b') AS regimen FROM {_W}",
@@ -175,10 +204,17 @@ ORACLE = {
         SELECT * FROM (SELECT doc_id, ln, CASE WHEN t = '' OR length(t) > 110 THEN NULL WHEN regexp_matches(t, '^the (and|of)') THEN 'date' WHEN regexp_matches(t, '^(is|in) ') THEN 'name' WHEN regexp_matches(t, '^[a-m]') THEN 'other' END AS role FROM c) WHERE role IS NOT NULL""",
     "layout_leaders": """SELECT c_custkey AS doc_id, 'Name ' AS str, 0.0::DOUBLE AS x0, 25.0::DOUBLE AS x1, false AS leader FROM customer UNION ALL SELECT c_custkey, '______', 25.0, 55.0, true FROM customer
         UNION ALL SELECT c_custkey, ' ' || c_mktsegment, 55.0, 60.0 + 5 * length(c_mktsegment), false FROM customer UNION ALL SELECT c_custkey, '....', 60.0 + 5 * length(c_mktsegment), 80.0 + 5 * length(c_mktsegment), true FROM customer""",
-    "layout_sections": """WITH h AS (SELECT o_orderkey % 50 AS doc_id, o_custkey % 4 AS page, o_orderkey AS y, 's' || o_orderkey AS section FROM orders WHERE o_orderkey % 10 = 0),
-        s AS (SELECT c_custkey AS spot_id, c_custkey % 50 AS doc_id, c_custkey % 5 AS page, c_custkey * 8.0 AS y FROM customer)
-        SELECT spot_id, coalesce((SELECT arg_min(section, h.y) FROM h WHERE h.doc_id = s.doc_id AND h.page = s.page AND h.y >= s.y),
-          (SELECT arg_min(section, (-h.page) * 1000000000 + h.y) FROM h WHERE h.doc_id = s.doc_id AND h.page < s.page)) AS section FROM s""",
+    "layout_sections": """WITH h AS (SELECT o_orderkey // 40 AS doc_id, o_orderkey % 4 AS page, o_orderkey::DOUBLE AS y, o_orderkey % 3 * 50.0 AS x, 's' || o_orderkey AS section FROM orders),
+        s AS (SELECT c_custkey AS spot_id, c_custkey // 4 AS doc_id, c_custkey % 5 AS page, c_custkey * 10.0 AS y, c_custkey % 3 * 50.0 + 20 AS x FROM customer),
+        a AS (SELECT spot_id, arg_min(section, h.y) FILTER (abs(h.x - s.x) < 60) AS s1, arg_min(section, h.y) AS s2 FROM s JOIN h ON h.doc_id = s.doc_id AND h.page = s.page AND h.y >= s.y - 1 GROUP BY 1),
+        b AS (SELECT spot_id, arg_min(section, (-h.page) * 1e12 + h.y) AS s3 FROM s JOIN h ON h.doc_id = s.doc_id AND h.page < s.page GROUP BY 1)
+        SELECT s.spot_id, coalesce(s1, s2, s3) AS section FROM s LEFT JOIN a USING (spot_id) LEFT JOIN b USING (spot_id)""",
+    "layout_glyphs": """SELECT c_custkey, CASE c_custkey % 8 WHEN 3 THEN true WHEN 7 THEN true WHEN 0 THEN c_custkey % 5 = 0 WHEN 1 THEN c_custkey % 5 = 1 WHEN 2 THEN c_custkey % 5 = 2 WHEN 4 THEN c_custkey % 5 = 1 ELSE false END AS box FROM customer""",
+    "layout_colons": "SELECT c_custkey, 'Signed:|Date:|' || c_mktsegment || ': x:|Y' AS labels FROM customer",
+    "layout_roles": """SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN CASE p_partkey % 4 WHEN 0 THEN 'clin_name' WHEN 1 THEN 'consultant' END WHEN 1 THEN CASE p_partkey % 4 WHEN 0 THEN 'clin_role' WHEN 1 THEN 'consultant_role' END
+        ELSE CASE WHEN p_partkey % 4 <> 2 THEN 'dob' END END AS role FROM part""",
+    "layout_box_lines": """WITH b AS (SELECT c_custkey AS box_id, (c_custkey % 40) // 4 * 20 AS y FROM customer), m AS (SELECT box_id, cast(floor((y + 5) / 7.0) AS INT) AS k, y + 5 AS mid FROM b),
+        r AS (SELECT box_id, CASE WHEN abs(k * 7 - mid) <= abs((k + 1) * 7 - mid) THEN k ELSE k + 1 END AS line FROM m) SELECT box_id, line, 'l' || line AS text FROM r""",
     "layout_fonts": "SELECT l_suppkey AS doc_id, list_sort(list(l_quantity))[cast(floor(count(*) / 2) AS INT) + 1] AS fs FROM lineitem GROUP BY 1",
     "layout_missing": """SELECT l_orderkey AS doc_id, concat_ws(',', CASE WHEN NOT bool_or(l_returnflag || l_linestatus IN ('AF', 'RF')) THEN 'AF' END, CASE WHEN NOT bool_or(l_returnflag || l_linestatus = 'NO') THEN 'NO' END,
         CASE WHEN NOT bool_or(l_returnflag || l_linestatus = 'NF') THEN 'NF' END) AS missing FROM lineitem GROUP BY 1""",
