@@ -135,6 +135,20 @@ def test_identifiers(spark):
     assert got[2]["surname"] == "" and not got[2]["found_dob"]
 
 
+def test_titles_of_names(spark):
+    rows = [(1, "Name: Sir Ann, Dr Bob Mr"), (2, "BROWN, Ann Mr Brown"), (3, "Patient: nonsense\nSMITH, Jo (known as X)"), (4, "Lady Smith, Rev. Jo"), (5, "a: b, c")]
+    df = spark.createDataFrame(rows, "note_id long, text string").withColumn("source", F.lit("s"))
+    got = {r["note_id"]: (r["surname"], r["forenames"]) for r in E.extract_identifiers(df, F.lit("2024-06-01").cast("date")).collect()}
+    assert got == {1: ("Ann", "Bob Mr"), 2: ("BROWN", "Ann Mr Brown"), 3: ("SMITH", "Jo"), 4: ("Smith", "Jo"), 5: ("", "")}
+
+
+def test_headings_of_pages(spark):
+    html = "<h2>Menu items</h2><h2>Good group</h2><a href='a.pdf'><h4>own title</h4></a><h3><a href='b.pdf'>wrapped</a></h3><h2>FAQs</h2><a href='c'>plain</a><h2><a href='x.html'>Other</a></h2><a href='d.pdf'>last</a>"
+    df = spark.createDataFrame([(1, html)], "page_id long, html string")
+    got = [(r["text"], r["href"], r["group"]) for r in E.inherit_group(E.page_tokens(df)).orderBy("pos").collect()]
+    assert got == [("own title", "a.pdf", "Good group"), ("wrapped", "b.pdf", "Good group"), ("plain", "c", "Good group"), ("last", "d.pdf", "Other")]
+
+
 def test_greedy_lines(spark):
     rows = [(1, 1, "a", 0.0, 5.0, 100.0, 10.0), (1, 1, "b", 10.0, 15.0, 97.0, 10.0), (1, 1, "c", 20.0, 25.0, 94.0, 10.0)]
     df = spark.createDataFrame(rows, "doc_id long, page int, str string, x0 double, x1 double, y double, fs double")
