@@ -8,18 +8,25 @@ from pyspark.sql import functions as F
 from ..functions.columns import fold_accents, padded_words
 
 
+#: What parts the aliases inside brackets; words that join the drugs of a regimen.
+SEPARATORS, JOINERS = (",", "/", " or ", " also called "), ("and", "with")
+
+
 def leaflet_keys(title: Column) -> Column:
     """The title without its brackets, and the aliases inside them, as padded-word keys of 3 or more letters."""
     t = F.lower(F.regexp_replace(fold_accents(F.coalesce(title, F.lit(""))), "[®™]", ""))
     main = F.regexp_replace(t, r"\(.*?\)", " ")
-    inside = F.flatten(F.transform(F.regexp_extract_all(t, F.lit(r"\((.*?)\)"), F.lit(1)), lambda x: F.split(x, r",|/|\bor\b|\balso called\b")))
+    inside = F.flatten(F.transform(F.regexp_extract_all(t, F.lit(r"\((.*?)\)"), F.lit(1)), lambda x: F.split(F.concat(F.lit(" "), x, F.lit(" ")), "|".join(SEPARATORS))))
     keys = F.transform(F.concat(F.array(main), inside), lambda k: F.btrim(padded_words(k)))
     return F.array_distinct(F.filter(keys, lambda k: F.length(F.replace(k, F.lit(" "), F.lit(""))) >= 3))
 
 
 def is_regimen(title: Column) -> Column:
-    bare = F.regexp_replace(title, r"\(.*?\)", "")
-    return bare.rlike(r"(?<![0-9A-Za-z_])[A-Z][A-Z0-9-]{2,}(?![0-9A-Za-z_])") | title.rlike(r"(?i)(?<![0-9A-Za-z_])(and|with)(?![0-9A-Za-z_])") | F.contains(title, F.lit(" - "))
+    """A word of three capitals or more (or digits behind the first) outside brackets, a joining word, or a dash between spaces."""
+    words = F.split(F.regexp_replace(title, "[(][^)]*[)]", " "), "[^0-9A-Za-z_-]+")
+    acronym = F.exists(words, lambda w: (F.length(w) >= 3) & w.rlike("^[A-Z]") & (F.upper(w) == w) & ~F.contains(w, F.lit("_")))
+    joined = F.exists(F.split(F.lower(title), "[^0-9a-z_]+"), lambda w: w.isin(*JOINERS))
+    return acronym | joined | F.contains(title, F.lit(" - "))
 
 
 def phrase_hits(forms: DataFrame, keys: DataFrame, most_words: int = 8) -> DataFrame:
