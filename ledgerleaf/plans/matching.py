@@ -103,6 +103,46 @@ def layout_leaders(spark, sf_dir):
     return Y.split_leaders(t).select("doc_id", "str", "x0", "x1", "leader")
 
 
+def layout_gaps(spark, sf_dir):
+    """Phrases of part names whose words stand 0, 4, 8 or 12 points apart, by the word before, at heights of one line."""
+    from pyspark.sql import Window
+
+    t = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(1).alias("page"), F.posexplode(F.split("p_name", " ")).alias("i", "str"))
+    wide = F.length("str") * 5.0
+    end = F.sum(wide + F.length("str") % 4 * 4).over(Window.partitionBy("doc_id").orderBy("i"))
+    t = t.withColumn("x0", end - wide - F.length("str") % 4 * 4).withColumn("x1", F.col("x0") + wide)
+    t = t.withColumn("y", F.col("i") % 2 * -1.5).withColumn("fs", F.lit(10.0))
+    return Y.assemble_phrases(Y.assemble_lines(t)).select("doc_id", "line", "phrase", "text", "x0", "x1")
+
+
+def layout_blanks(spark, sf_dir):
+    """Blank lines from three leaders a line, whose distance and width go by key."""
+    k = F.col("c_custkey")
+    x = F.array(*[F.struct(a.alias("x0"), z.alias("x1")) for a, z in ((F.lit(0.0), F.lit(10.0)), (k % 10 + 10.0, k % 10 + 20.0), (F.lit(100.0), k % 8 + 108.0))])
+    t = table(spark, sf_dir, "customer").select(k.alias("doc_id"), F.lit(1).alias("page"), F.lit(0).alias("line"), F.lit(True).alias("leader"), F.inline(x))
+    return Y.line_leaders(t).select("doc_id", "x0", "x1")
+
+
+def layout_headings(spark, sf_dir):
+    """Sections of lines that begin by key and end with a part's name."""
+    starts = ("Statement of Health Professional ", "2) Patient’s signature ", "Section 3 interpreter ", "parental responsibility ", "Confirmation of consent ", "The patient ", "To be completed by nurse ", "1. Witness ", "Part ")
+    t = F.concat(F.element_at(F.array(*[F.lit(x) for x in starts]), (F.col("p_partkey") % 9 + 1).cast("int")), F.col("p_name"))
+    t = F.when(F.col("p_size") == 1, "Responsible consultants :").when(F.col("p_size") == 2, F.rpad(t, 161, "x")).otherwise(t)
+    lines = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(1).alias("page"), F.lit(0.0).alias("x"), F.col("p_size").cast("double").alias("y"), t.alias("text"))
+    return Y.section_headings(lines).select("doc_id", "y", "section")
+
+
+ASKED = ("Date of Birth:", "NHS no.", "Patient’s surname *", "First name(s)", "Full name of patient", "Hospital / NHS Trust", "Hospital number", "Job title", "Name (print)", "Affix patient label here", "Named oncologist", "Signature")
+
+
+def layout_asked(spark, sf_dir):
+    """Roles of the forms' own labels, by key, some with the segment behind them."""
+    k = F.col("c_custkey")
+    said = F.element_at(F.array(*[F.lit(x) for x in ASKED]), (k % 12 + 1).cast("int"))
+    t = F.when(k % 5 == 0, F.concat(said, F.lit(" "), "c_mktsegment")).otherwise(said)
+    return table(spark, sf_dir, "customer").select("c_custkey", Y.classify_label(t).alias("role"))
+
+
 def layout_sections(spark, sf_dir):
     """All orders as headings and all customers as spots, on documents whose number grows with the tables."""
     k = F.col("o_orderkey")
@@ -179,7 +219,7 @@ c AS (SELECT doc_id, n, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS line FROM
 
 QUERIES = {f.__name__: f for f in (
     match_keys, match_suggest, page_links, page_groups, page_urls, page_fingerprint, page_dates, page_titles, sitemap,
-    layout_lines, layout_phrases, layout_labels, layout_leaders, layout_sections, layout_glyphs, layout_colons, layout_roles, layout_box_lines, layout_fonts, layout_missing, layout_boxes, layout_fields,
+    layout_lines, layout_phrases, layout_labels, layout_leaders, layout_gaps, layout_blanks, layout_headings, layout_asked, layout_sections, layout_glyphs, layout_colons, layout_roles, layout_box_lines, layout_fonts, layout_missing, layout_boxes, layout_fields,
 )}
 ORACLE = {
     "match_keys": f"SELECT w AS leaflet_id, {_NORM.format('w')} || CASE WHEN {_NORM.format('w')} <> lower(substr(w, 1, 4) || 'q') THEN '|' || {_NORM.format('''substr(w, 1, 4) || 'q' ''')} ELSE '' END AS keys, regexp_matches(w, '(?i)\\b(and|with)\\b') AS regimen FROM {_W}",
@@ -204,6 +244,14 @@ ORACLE = {
         SELECT * FROM (SELECT doc_id, ln, CASE WHEN t = '' OR length(t) > 110 THEN NULL WHEN regexp_matches(t, '^the (and|of)') THEN 'date' WHEN regexp_matches(t, '^(is|in) ') THEN 'name' WHEN regexp_matches(t, '^[a-m]') THEN 'other' END AS role FROM c) WHERE role IS NOT NULL""",
     "layout_leaders": """SELECT c_custkey AS doc_id, 'Name ' AS str, 0.0::DOUBLE AS x0, 25.0::DOUBLE AS x1, false AS leader FROM customer UNION ALL SELECT c_custkey, '______', 25.0, 55.0, true FROM customer
         UNION ALL SELECT c_custkey, ' ' || c_mktsegment, 55.0, 60.0 + 5 * length(c_mktsegment), false FROM customer UNION ALL SELECT c_custkey, '....', 60.0 + 5 * length(c_mktsegment), 80.0 + 5 * length(c_mktsegment), true FROM customer""",
+    "layout_gaps": """WITH w AS (SELECT p_partkey AS doc_id, unnest(string_split(p_name, ' ')) AS w, generate_subscripts(string_split(p_name, ' '), 1) AS i FROM part),
+        g AS (SELECT *, length(lag(w) OVER o) % 4 * 4 AS gap, sum(length(w) * 5 + length(w) % 4 * 4) OVER o - length(w) * 5 - length(w) % 4 * 4 AS x FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        n AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 9 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS phrase FROM g)
+        SELECT doc_id, cast(0 AS INT) AS line, cast(phrase AS BIGINT) AS phrase, trim(string_agg(CASE WHEN gap IN (4, 8) THEN ' ' ELSE '' END || w, '' ORDER BY i)) AS text, min(x)::DOUBLE AS x0, max(x + length(w) * 5)::DOUBLE AS x1 FROM n GROUP BY doc_id, phrase""",
+    "layout_blanks": """SELECT c_custkey AS doc_id, 0.0::DOUBLE AS x0, (c_custkey % 10 + 20)::DOUBLE AS x1 FROM customer WHERE c_custkey % 10 < 6 UNION ALL SELECT c_custkey, 100.0, (c_custkey % 8 + 108)::DOUBLE FROM customer WHERE c_custkey % 8 >= 4""",
+    "layout_headings": """SELECT p_partkey AS doc_id, p_size::DOUBLE AS y, CASE WHEN p_size = 1 THEN 'consultant' ELSE ['professional', 'patient', 'interpreter', 'parent', 'confirmation', NULL, 'professional', 'witness', NULL][p_partkey % 9 + 1] END AS section
+        FROM part WHERE p_size = 1 OR p_size <> 2 AND p_partkey % 9 NOT IN (5, 8)""",
+    "layout_asked": """SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 AND c_custkey % 12 IN (5, 8, 9) THEN NULL ELSE ['dob', 'nhs', 'surname', 'forenames', 'patient_name', 'hospital', 'identifier', 'title', 'print_name', 'patient_label', 'consultant', NULL][c_custkey % 12 + 1] END AS role FROM customer""",
     "layout_sections": """WITH h AS (SELECT o_orderkey // 40 AS doc_id, o_orderkey % 4 AS page, o_orderkey::DOUBLE AS y, o_orderkey % 3 * 50.0 AS x, 's' || o_orderkey AS section FROM orders),
         s AS (SELECT c_custkey AS spot_id, c_custkey // 4 AS doc_id, c_custkey % 5 AS page, c_custkey * 10.0 AS y, c_custkey % 3 * 50.0 + 20 AS x FROM customer),
         a AS (SELECT spot_id, arg_min(section, h.y) FILTER (abs(h.x - s.x) < 60) AS s1, arg_min(section, h.y) AS s2 FROM s JOIN h ON h.doc_id = s.doc_id AND h.page = s.page AND h.y >= s.y - 1 GROUP BY 1),

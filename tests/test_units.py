@@ -1,6 +1,7 @@
 """Edge cases of the operators."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,6 +156,45 @@ def test_greedy_lines(spark):
     assert {r["str"]: r["line"] for r in Y.assemble_lines(df).collect()} == {"a": 0, "b": 0, "c": 1}
 
 
+ITEM = "doc_id long, page int, str string, x0 double, x1 double, y double, fs double"
+
+
+def lines_by_hand(rows):
+    """Item -> line, item by item: the topmost line within the item's reach, else a new one."""
+    out = {}
+    for key in {r[:2] for r in rows}:
+        tops, on = [], []
+        for r in sorted((r for r in rows if r[:2] == key and r[2].strip()), key=lambda r: (-r[5], r[3])):
+            at = next((k for k, y in enumerate(tops) if abs(y - r[5]) <= max(2, 0.35 * r[6])), None)
+            if at is None:
+                at = len(tops)
+                tops.append(r[5])
+            on.append((r[2], at))
+        out.update({(*key, s): k for s, k in on})
+    return out
+
+
+def test_lines_as_by_hand_on_crowded_pages(spark):
+    rnd = random.Random(7)
+    rows = [(d, p, f"i{k}" if rnd.random() < 0.95 else "  ", float(rnd.randrange(400)), 500.0, rnd.randrange(1200) / 4, rnd.choice([4.0, 10.0, 12.0, 40.0])) for d in range(3) for p in range(2) for k in range(150)]
+    got = {(r["doc_id"], r["page"], r["str"]): r["line"] for r in Y.assemble_lines(spark.createDataFrame(rows, ITEM)).collect()}
+    assert got == lines_by_hand(rows)
+
+
+def test_phrases_leaders_and_headings(spark):
+    rows = [
+        (1, 1, "Name ", 0.0, 25.0, 100.0, 10.0), (1, 1, " of", 28.0, 38.0, 100.0, 10.0), (1, 1, "all", 41.0, 55.0, 99.0, 10.0), (1, 1, "______", 56.0, 200.0, 100.0, 10.0),
+        (1, 1, "   ", 100.0, 110.0, 100.0, 10.0), (1, 1, "near", 120.0, 140.0, 100.0, 10.0), (1, 1, "far", 150.0, 160.0, 100.0, 10.0), (1, 1, "....", 204.0, 208.0, 100.0, 10.0), (1, 1, "Witness statement", 0.0, 80.0, 50.0, 12.0),
+    ]
+    lined = Y.assemble_lines(spark.createDataFrame(rows, ITEM).withColumn("leader", F.col("str").rlike("^(_+|[.]+)$")))
+    phrases = Y.assemble_phrases(lined)
+    got = [(r["line"], r["phrase"], r["text"], r["x0"], r["x1"]) for r in phrases.orderBy("line", "phrase").collect()]
+    assert got == [(0, 0, "Name of all", 0.0, 55.0), (0, 1, "near", 120.0, 140.0), (0, 2, "far", 150.0, 160.0), (1, 0, "Witness statement", 0.0, 80.0)]
+    assert [(r["x0"], r["x1"]) for r in Y.line_leaders(lined).collect()] == [(56.0, 208.0)]
+    heads = Y.section_headings(Y.line_texts(phrases)).collect()
+    assert [(r["x"], r["y"], r["section"]) for r in heads] == [(0.0, 50.0, "witness")]
+
+
 def test_journal_and_citation(spark):
     a = spark.createDataFrame([(1, ""), (2, "Lancet Oncology")], "id int, journal string")
     j = spark.createDataFrame([(0, "Lancet", "L", "red")], "ord int, name string, short string, color string")
