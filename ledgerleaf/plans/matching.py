@@ -202,6 +202,38 @@ def layout_boxes(spark, sf_dir):
     return Y.box_options(b, p).select("box_id", "option", "side", "grid")
 
 
+def layout_grid(spark, sf_dir):
+    """Headers of grids of 4 rows and 3 columns; every second page's upper header stands too far above the lower."""
+    k = F.col("c_custkey")
+    b = table(spark, sf_dir, "customer").select(
+        k.alias("box_id"), F.floor(k / 12).alias("doc_id"), F.lit(1).alias("page"), (k % 3 * 100.0 + 200).alias("x"),
+        (F.floor(k % 12 / 3) * 20.0).alias("y"), F.lit(10.0).alias("w"), F.lit(10.0).alias("h"),
+    )
+    col = F.floor((F.col("x") - 200) / 100)
+    said = lambda line, x0, y, text: F.struct(line.cast("int").alias("line"), x0.alias("x0"), (x0 + 30).alias("x1"), y.cast("double").alias("line_y"), text.alias("text"))
+    heads = b.select("doc_id", "page", F.inline(F.array(
+        said(F.lit(1), F.col("x") - 10, F.lit(90), F.concat(F.lit("h"), col)), said(F.lit(0), F.col("x") - 10, F.when(F.col("doc_id") % 2 == 0, 110).otherwise(120), F.concat(F.lit("top"), col)),
+        said(F.col("y") / 20 + 2, F.lit(0.0), F.col("y"), F.lit("row")),
+    ))).distinct()
+    p = heads.withColumn("fs", F.lit(10.0)).withColumn("phrase", F.col("x0").cast("long"))
+    return Y.grid_headers(b, p).select("box_id", "header")
+
+
+def layout_prompts(spark, sf_dir):
+    """Pairs of boxes, yes and no, under a question, one too far above, or one that asks nothing."""
+    k = F.col("c_custkey")
+    b = table(spark, sf_dir, "customer").select(
+        k.alias("box_id"), F.floor(k / 2).alias("doc_id"), F.lit(1).alias("page"), (k % 2 * 100.0 + 50).alias("x"), F.lit(0.0).alias("y"), F.lit(10.0).alias("w"), F.lit(10.0).alias("h"),
+        F.when(k % 7 == 0, "an option of five words").otherwise("Yes").alias("option"),
+    )
+    kind = F.col("doc_id") % 3
+    said = lambda line, x0, y, text: F.struct(F.lit(line).alias("line"), F.lit(x0).alias("x0"), F.lit(x0 + 60).alias("x1"), y.cast("double").alias("line_y"), text.alias("text"))
+    asked = F.concat(F.lit("Leaflet "), "doc_id", F.when(kind == 2, "").otherwise(" given?"))
+    p = b.select("doc_id", "page").distinct().select("doc_id", "page", F.inline(F.array(said(1, 70.0, F.lit(0), F.lit("Yes")), said(0, 130.0, F.when(kind == 1, 30).otherwise(20), asked), said(0, 500.0, F.when(kind == 1, 30).otherwise(20), F.lit("aside")))))
+    p = p.withColumn("fs", F.lit(10.0)).withColumn("phrase", F.col("x0").cast("long"))
+    return Y.box_prompts(b, b.select("box_id", "option"), p)
+
+
 def layout_fields(spark, sf_dir):
     b = _boxes(spark, sf_dir).filter("box_id < 1000000")
     f = b.select(F.col("box_id").alias("field_id"), "doc_id", "page", (F.col("x") + 65).alias("x0"), (F.col("x") + 95).alias("x1"), "y")
@@ -219,7 +251,7 @@ c AS (SELECT doc_id, n, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS line FROM
 
 QUERIES = {f.__name__: f for f in (
     match_keys, match_suggest, page_links, page_groups, page_urls, page_fingerprint, page_dates, page_titles, sitemap,
-    layout_lines, layout_phrases, layout_labels, layout_leaders, layout_gaps, layout_blanks, layout_headings, layout_asked, layout_sections, layout_glyphs, layout_colons, layout_roles, layout_box_lines, layout_fonts, layout_missing, layout_boxes, layout_fields,
+    layout_lines, layout_phrases, layout_labels, layout_leaders, layout_gaps, layout_blanks, layout_headings, layout_asked, layout_sections, layout_glyphs, layout_colons, layout_roles, layout_box_lines, layout_fonts, layout_missing, layout_boxes, layout_grid, layout_prompts, layout_fields,
 )}
 ORACLE = {
     "match_keys": f"SELECT w AS leaflet_id, {_NORM.format('w')} || CASE WHEN {_NORM.format('w')} <> lower(substr(w, 1, 4) || 'q') THEN '|' || {_NORM.format('''substr(w, 1, 4) || 'q' ''')} ELSE '' END AS keys, regexp_matches(w, '(?i)\\b(and|with)\\b') AS regimen FROM {_W}",
@@ -267,6 +299,8 @@ ORACLE = {
     "layout_missing": """SELECT l_orderkey AS doc_id, concat_ws(',', CASE WHEN NOT bool_or(l_returnflag || l_linestatus IN ('AF', 'RF')) THEN 'AF' END, CASE WHEN NOT bool_or(l_returnflag || l_linestatus = 'NO') THEN 'NO' END,
         CASE WHEN NOT bool_or(l_returnflag || l_linestatus = 'NF') THEN 'NF' END) AS missing FROM lineitem GROUP BY 1""",
     "layout_boxes": "SELECT c_custkey AS box_id, 't' || c_custkey AS option, 'right' AS side, false AS grid FROM customer",
+    "layout_grid": "SELECT c_custkey AS box_id, CASE WHEN c_custkey // 12 % 2 = 0 THEN 'top' || c_custkey % 3 || ' ' ELSE '' END || 'h' || c_custkey % 3 AS header FROM customer",
+    "layout_prompts": "SELECT c_custkey AS box_id, 'Leaflet ' || c_custkey // 2 || ' given?' AS prompt FROM customer WHERE c_custkey // 2 % 3 = 0 AND c_custkey % 7 <> 0",
     "layout_fields": """WITH b AS (SELECT c_custkey AS id, c_custkey // 40 AS d, (c_custkey % 40) // 4 AS r, c_custkey % 4 AS x FROM customer)
         SELECT b.id AS field_id, 'l' || arg_max(p.id, p.x) AS label FROM b LEFT JOIN b p ON p.d = b.d AND p.r = b.r AND p.id % 3 = 0 AND p.x <= b.x AND b.x * 100 + 65 - p.x * 100 - 60 <= 320 GROUP BY b.id""",
 }
