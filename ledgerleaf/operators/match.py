@@ -29,18 +29,17 @@ def is_regimen(title: Column) -> Column:
     return acronym | joined | F.contains(title, F.lit(" - "))
 
 
-def phrase_hits(forms: DataFrame, keys: DataFrame, most_words: int = 8) -> DataFrame:
+def phrase_hits(forms: DataFrame, keys: DataFrame) -> DataFrame:
     """form_id, leaflet_id, key_ord, key, pos, len: keys that occur on word boundaries of the title.
 
     ``forms``: form_id, title. ``keys``: leaflet_id, leaflet_ord, key_ord, key, regimen. Titles go to
-    runs of 1 to ``most_words`` words with their places and meet the keys in an equi-join, so no title
-    is compared with every key. Longer keys are rejected by an error.
+    runs of as many words as keys have, with their places, and meet the keys in an equi-join, so no title
+    is compared with every key. The numbers of words that occur are few and small; they are read first.
     """
-    if keys.agg(F.max(F.size(F.split("key", " ")))).first()[0] not in (None, *range(most_words + 1)):
-        raise ValueError("a key has more words than most_words")
+    sizes = sorted(r[0] for r in keys.filter("key IS NOT NULL").select(F.size(F.split("key", " "))).distinct().collect())
     words = forms.select("form_id", F.split(F.btrim(padded_words(F.col("title"))), " ").alias("w"))
     starts = words.select("form_id", "w", F.posexplode("w").alias("i", "_"))
-    runs = starts.select("form_id", "w", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(most_words), F.size("w") - F.col("i")))).alias("n"))
+    runs = starts.select("form_id", "w", "i", F.explode(F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: n <= F.size("w") - F.col("i"))).alias("n"))
     grams = runs.select(
         "form_id", F.array_join(F.slice("w", F.col("i") + 1, F.col("n")), " ").alias("key"),
         F.aggregate(F.slice("w", 1, F.col("i")), F.lit(0), lambda a, x: a + F.length(x) + 1).alias("pos"),

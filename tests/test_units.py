@@ -129,6 +129,14 @@ def test_match(spark):
     assert [(r["rank"], r["leaflet_id"]) for r in M.suggest(forms, leaflets).orderBy("rank").collect()] == [(1, 3), (2, 2)]
 
 
+def test_keys_of_many_words(spark):
+    long = " ".join(f"w{k}" for k in range(12))
+    forms = spark.createDataFrame([(1, f"Before {long} after"), (2, "w0 w1"), (3, "")], "form_id int, title string")
+    keys = spark.createDataFrame([(7, 0, 0, long, False), (8, 0, 0, "w1", False)], "leaflet_id int, leaflet_ord int, key_ord int, key string, regimen boolean")
+    assert sorted((r["form_id"], r["leaflet_id"], r["pos"]) for r in M.phrase_hits(forms, keys).collect()) == [(1, 7, 7), (1, 8, 10), (2, 8, 3)]
+    assert M.phrase_hits(forms, keys.filter("leaflet_id = 9")).count() == 0
+
+
 def test_identifiers(spark):
     notes = spark.createDataFrame([(1, "s", "SMITH, Mrs Ann (Annie)\r\nNHS no: 943 476 5919 DOB: 3/4/60 Sex: F"), (2, "s", None)], "note_id long, source string, text string")
     got = {r["note_id"]: r for r in E.extract_identifiers(notes, F.lit("2024-06-01").cast("date")).collect()}
