@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans.tables import table
 from .common import reliable
-from . import decontaminate, linededup, media, packing, pii, quality, secrets, simhash, tokens, toxicity
+from . import alignment, collocations, decontaminate, linededup, media, mixing, packing, pii, quality, secrets, simhash, tokens, toxicity
 
 
 def op1_token_counts(spark, sf_dir):
@@ -62,6 +62,23 @@ def op10_quality(spark, sf_dir):
     return scored.select("doc_id", "lang", "n_symbols", "perplexity", "threshold", "keep")
 
 
+def op11_collocations(spark, sf_dir):
+    """The first 2000 phrases of each language, by score."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark, sf_dir):
+    """Links between the tokens of two vocabularies, added up for every document."""
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+def op13_mixing(spark, sf_dir):
+    """Words of every document that the mix takes, and where in training; in the order of their first places, those not taken last."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    places = F.transform("pieces", lambda p: p["position"]).alias("positions")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", places).orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), "doc_id")
+
+
 LINE_DEDUP_SQL = r"""
 WITH lines AS (
   SELECT doc_id, pos, list_extract(parts, pos) AS line,
@@ -82,8 +99,40 @@ FROM marked GROUP BY doc_id
 """
 
 
+COLLOCATIONS_SQL = r"""
+WITH texts AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), pieces AS (
+  SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w
+  FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM texts)
+), grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS g, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, (VALUES (1), (2), (3)) v(k) WHERE len(w) >= k) GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE k = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, k, g, f, string_split(g, ' ') AS w FROM grams WHERE k > 1 AND f >= 10
+), cuts AS (
+  SELECT lang, k, g, f, c, array_to_string(w[1:c], ' ') AS p, array_to_string(w[c + 1:], ' ') AS q
+  FROM (SELECT *, unnest(range(1, k)) AS c FROM candidates)
+), scored AS (
+  SELECT c.lang, c.g, c.f AS a, c.c, x.f AS l, y.f AS r, ((1000000::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c JOIN grams x ON c.lang = x.lang AND c.p = x.g JOIN grams y ON c.lang = y.lang AND c.q = y.g
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, c) = 1
+), longer AS (
+  SELECT lang, g, max(f) AS f FROM (SELECT lang, f, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS g FROM candidates WHERE k = 3) GROUP BY ALL
+), kept AS (
+  SELECT b.* FROM best b LEFT JOIN longer o ON b.lang = o.lang AND b.g = o.g WHERE o.f IS NULL OR 100 * o.f < 50 * b.a
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM kept
+)
+SELECT lang, rank, g AS phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
 #: In the operators' order.
-QUERIES = (op1_token_counts, op2_toxicity, op3_packing, op4_line_dedup, op5_simhash, op6_secrets, op7_media, op8_pii, op9_decontamination, op10_quality)
+QUERIES = (op1_token_counts, op2_toxicity, op3_packing, op4_line_dedup, op5_simhash, op6_secrets, op7_media, op8_pii, op9_decontamination, op10_quality, op11_collocations, op12_alignment, op13_mixing)
 
 
 def queries() -> dict:
@@ -91,4 +140,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": LINE_DEDUP_SQL}
+    return {"op4_line_dedup": LINE_DEDUP_SQL, "op11_collocations": COLLOCATIONS_SQL}
