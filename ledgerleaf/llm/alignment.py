@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,8 +57,9 @@ def product(a: Csr, b: Csr, columns: int) -> tuple[np.ndarray, np.ndarray, np.nd
     times = b.lengths()[a.indices]
     row = np.repeat(np.repeat(np.arange(len(a.starts) - 1), a.lengths()), times)
     key = row * columns + b.indices[spread(b.starts[a.indices], times)]
-    key, value = np.unique(key, return_counts=True)
-    return key // max(columns, 1), key % max(columns, 1), value
+    key.sort()
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[first] // max(columns, 1), key[first] % max(columns, 1), np.diff(first, append=len(key))
 
 
 class Vocabularies:
@@ -115,7 +120,11 @@ class Chunks:
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         ends = np.cumsum(sizes)
         data = np.frombuffer(b"".join(x for t in texts for x in (b" ", t)), np.uint8)
-        begin = np.union1d(ends - sizes, cut_points(data)) if cut else ends - sizes
+        begins = np.zeros(len(data), bool)
+        begins[ends - sizes] = True
+        if cut:
+            begins[cut_points(data)] = True
+        begin = np.flatnonzero(begins)
         self.starts = np.searchsorted(begin, np.append(0, ends))
         offsets = pa.array(np.append(begin, len(data)), pa.int64()).buffers()[1]
         coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, offsets, pa.py_buffer(data)]).dictionary_encode()
@@ -124,7 +133,7 @@ class Chunks:
         ids = vocab.both([c.decode() for c in own])
         n = len(own)
         size = np.fromiter(map(len, own), np.int64, n)
-        flat = [np.fromiter((i for x in side for i in x), np.int64) for side in ids]
+        flat = [np.fromiter(chain.from_iterable(side), np.int64) for side in ids]
         home = [np.repeat(np.arange(n), np.fromiter(map(len, side), np.int64, n)) for side in ids]
         long = [t.lengths()[f] for f, (_, t) in zip(flat, (vocab.a, vocab.b), strict=True)]
         self.good = np.ones(n, bool)
@@ -167,13 +176,13 @@ class Chunks:
             yield i + k, j
 
     def told(self) -> list[str]:
-        """Of each chunk its groups, as ids: a1,a2|b1;a3|b2."""
-        a, b, a_group, b_group, a_home = self.tokens
-        a_text, b_text = [*map(str, a.tolist())], [*map(str, b.tolist())]
-        a_at, b_at = (np.append(np.flatnonzero(np.diff(g, prepend=-1)), len(g)).tolist() for g in (a_group, b_group))
-        groups = [",".join(a_text[p:q]) + "|" + ",".join(b_text[r:s]) for p, q, r, s in zip(a_at[:-1], a_at[1:], b_at[:-1], b_at[1:], strict=True)]
-        at = np.append(0, np.cumsum(self.n_groups)).tolist()
-        return [";".join(groups[p:q]) for p, q in zip(at, at[1:], strict=False)]
+        """Of each text its groups, as ids: a1,a2|b1;a3|b2."""
+        a, b, a_group, b_group, _ = self.tokens
+        join = lambda at, values, by: pc.binary_join(pa.ListArray.from_arrays(pa.array(at, pa.int32()), values), by)
+        ids = lambda x, g: join(np.append(np.flatnonzero(np.diff(g, prepend=-1)), len(g)), pa.array(x).cast(pa.string()), ",")
+        groups = pc.binary_join_element_wise(ids(a, a_group), ids(b, b_group), "|")
+        chunks = join(np.append(0, np.cumsum(self.n_groups)), groups, ";")
+        return join(self.starts, chunks.take(pa.array(self.of)), ";").to_pylist()
 
     def sums(self, of_chunk: np.ndarray) -> np.ndarray:
         """For each text the sum over its chunks."""
@@ -186,16 +195,22 @@ class Chunks:
         key, of = np.unique(self.a * width + self.b, return_inverse=True)
         return key // width, key % width, of
 
-    def holders(self, pair_of: np.ndarray, n_pairs: int, weight: np.ndarray) -> np.ndarray:
-        """For each pair the weight of the texts that hold it linked."""
-        n_chunks, text = len(self.good), np.repeat(np.arange(len(weight)), np.diff(self.starts))
-        at = np.unique(text * n_chunks + self.of)
-        text, chunk = np.divmod(at, n_chunks)
-        own = np.unique(self.chunk * n_pairs + pair_of)  # by chunk
-        of_chunk = np.searchsorted(own, np.arange(n_chunks + 1) * n_pairs)
-        times = np.diff(of_chunk)[chunk]
-        held = np.unique(np.repeat(text, times) * n_pairs + own[spread(of_chunk[chunk], times)] % max(n_pairs, 1))
-        return np.bincount(held % max(n_pairs, 1), weight[held // max(n_pairs, 1)], n_pairs).astype(np.int64)
+    def text_pairs(self, pair_of: np.ndarray, n_pairs: int, cells: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The matrix of texts by pairs, whose values are the links: of each text its pairs, rising, and their times.
+
+        Runs of texts with up to ``cells`` entries, or one text, are added up at a time.
+        """
+        links = np.searchsorted(self.chunk, np.arange(len(self.good) + 1))  # links stand by chunk
+        each, many = np.diff(links), max(1, cells // max(n_pairs, 1))
+        for k in range(0, len(self.starts) - 1, many):
+            starts = self.starts[k : k + many + 1]
+            of = self.of[starts[0] : starts[-1]]
+            text = np.repeat(np.repeat(np.arange(len(starts) - 1), np.diff(starts)), each[of])
+            times = np.bincount(text * n_pairs + pair_of[spread(links[of], each[of])], minlength=(len(starts) - 1) * n_pairs)
+            held = np.flatnonzero(times)
+            ends = np.searchsorted(held, np.arange(len(starts)) * n_pairs)
+            for i, (p, q) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+                yield held[p:q] - i * n_pairs, times[held[p:q]]
 
 
 def aligned(texts: list[bytes], vocab: Vocabularies) -> list[tuple[np.ndarray, Chunks]]:
@@ -250,24 +265,39 @@ def _block(t: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray
     return texts, np.bincount(of, t["copies"].to_numpy(), len(own)).astype(np.int64), own["f0"], own["f1"]
 
 
-def pair_counts(texts: DataFrame, a: str, b: str) -> DataFrame:
-    """block, a, b, n: the linked id pairs of each block, and how many of its documents hold one."""
-    schema = StructType.fromDDL("block long, a int, b int, n long")
-    out = to_arrow_schema(schema)
-
-    def run(t: pa.Table) -> pa.Table:
-        own, copies, _, _ = _block(t)
-        parts = []
-        for at, chunks in aligned(own, vocabularies(a, b)):
-            pa_, pb_, of = chunks.pairs()
-            parts.append(pa.table([pa.repeat(t["block"][0], len(pa_)), pa.array(pa_, pa.int32()), pa.array(pb_, pa.int32()), pa.array(chunks.holders(of, len(pa_), copies[at]))], schema=out))
-        return pa.concat_tables(parts) if parts else out.empty_table()
-
-    return texts.groupBy("block").applyInArrow(run, schema)
+#: A block's row for each text: its numbers and, packed, its pairs; and one row for the block (times null): the pairs, and how many documents hold each.
+PARTS = "block long, h1 long, h2 long, n_a long, n_b long, n_groups long, n_links long, n_shared long, groups_sha256 string, times binary, pairs array<struct<a: int, b: int, n: bigint>>"
+
+
+def aligned_block(t: pa.Table, a: str, b: str, out: pa.Schema) -> pa.Table:
+    """The rows of ``PARTS``, here ``out``, for a block's texts."""
+    own, copies, h1, h2 = _block(t)
+    rows: list[tuple] = []
+    keys: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
+    block, before = t["block"][0].as_py(), 0
+    for at, chunks in aligned(own, vocabularies(a, b)):
+        pa_, pb_, of = chunks.pairs()
+        n, packed = np.zeros(len(pa_), np.int64), []
+        for (held, times), many in zip(chunks.text_pairs(of, len(pa_)), copies[at].tolist(), strict=True):
+            n[held] += many
+            packed.append(zlib.compress(np.concatenate([np.diff(held + before, prepend=0), times]).astype("<u4").tobytes(), 1))
+        sums = [chunks.sums(getattr(chunks, c)).tolist() for c in COUNTS]
+        sha = [hashlib.sha256(x.encode()).hexdigest() for x in chunks.told()]
+        rows += zip([block] * len(at), h1[at].tolist(), h2[at].tolist(), *sums, sha, packed, [None] * len(at), strict=True)
+        keys.append(np.stack([pa_, pb_], 1))
+        counts.append(n)
+        before += len(pa_)
+    if not rows:
+        return out.empty_table()
+    pairs = pa.StructArray.from_arrays([*map(pa.array, np.concatenate(keys).T.astype(np.int32)), pa.array(np.concatenate(counts))], fields=list(out.field("pairs").type.value_type))
+    columns = [pa.array([*c, block if k == 0 else None], f.type) for k, (c, f) in enumerate(zip(zip(*rows, strict=True), out, strict=True)) if f.name != "pairs"]
+    lists = pa.ListArray.from_arrays(pa.array([*[0] * (len(rows) + 1), len(pairs)], pa.int32()), pairs)
+    return pa.Table.from_arrays([*columns, lists], schema=out)
 
 
 def align(
-    df: DataFrame, a: str = "byte_bpe_50k.json", b: str = "piece_bpe_32k.model", block_bytes: int = 12_000_000, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame, a: str = "byte_bpe_50k.json", b: str = "piece_bpe_32k.model", block_bytes: int = 6_000_000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Of every document: id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256, n_shared.
 
@@ -275,44 +305,39 @@ def align(
     share bytes; ends common to both part the tokens into groups, and the product of the group incidences gives the pairs that share a group (n_shared).
     An id pair counts the documents of the whole table that hold it linked; n_best are the links whose count is the highest of their A id, count_sum adds the links' counts up.
 
-    Different texts are dealt into blocks by their hash; a block's pairs are counted, summed over all blocks by Spark and come back to the block by a join, so no task
-    holds more of the corpus than its block and that block's pairs. Equal texts are counted as one with their number.
+    Different texts are dealt into blocks by their hash and encoded once. A block keeps of each text its row of the matrix texts by pairs; its pairs are counted,
+    summed over all blocks by Spark and come back by a join, and the rows are multiplied with them. So no task
+    holds more of the corpus than its block and that block's pairs. Equal texts are one with their number.
 
     Null and empty texts and those that a tokenizer does not give back byte for byte have zeros and an empty digest. Repeated rows
     and null ids have a row each; an empty table gives none. Other columns are ignored, whatever their names. A very long text is a block's largest part; it is never cut but where both tokenizers cut.
     """
-    texts = different_texts(df, block_bytes, text_col)
-    asked = reliable(pair_counts(texts, a, b))
+    parts = StructType.fromDDL(PARTS)
+    rows = to_arrow_schema(parts)
+    made = reliable(different_texts(df, block_bytes, text_col).groupBy("block").applyInArrow(lambda t: aligned_block(t, a, b, rows), parts))
+    asked = made.filter("times IS NULL").select("block", F.posexplode("pairs").alias("pos", "p")).select("block", "pos", "p.*")
     counts = reliable(asked.groupBy("a", "b").agg(F.sum("n").alias("n")))
     best = counts.groupBy("a").agg(F.max("n").alias("most"))
     told = counts.join(best, "a").select("a", "b", "n", (F.col("n") == F.col("most")).alias("best"))
-    told = asked.select("block", "a", "b").join(told, ["a", "b"])
-    schema = StructType.fromDDL("h1 long, h2 long, n_a long, n_b long, n_groups long, n_links long, n_shared long, n_best long, count_sum long, groups_sha256 string")
+    told = asked.drop("n").join(told, ["a", "b"]).select(F.col("block").alias("of_block"), "pos", "n", "best")
+    names = [c for c in parts.names if c not in ("block", "times", "pairs")]
+    schema = StructType([*[parts[c] for c in names], *StructType.fromDDL("n_best long, count_sum long").fields])
     out = to_arrow_schema(schema)
 
     def run(t: pa.Table, told: pa.Table) -> pa.Table:
-        if not t.num_rows:
-            return out.empty_table()
-        own, _, h1, h2 = _block(t)
-        width = 1 << 31
-        key = told["a"].to_numpy().astype(np.int64) * width + told["b"].to_numpy()
-        order = np.argsort(key)
-        n, is_best, key = told["n"].to_numpy()[order], told["best"].to_numpy(zero_copy_only=False)[order], key[order]
-        parts = []
-        for at, chunks in aligned(own, vocabularies(a, b)):
-            found = np.searchsorted(key, chunks.a * width + chunks.b)
-            many = len(chunks.good)
-            add = lambda w: np.diff(np.append(0, np.cumsum(w))[np.searchsorted(chunks.chunk, np.arange(many + 1))])  # noqa: E731, B023
-            groups, of, starts = chunks.told(), chunks.of.tolist(), chunks.starts.tolist()
-            sha = [hashlib.sha256(";".join([groups[c] for c in of[p:q]]).encode()).hexdigest() for p, q in zip(starts, starts[1:], strict=False)]
-            sums = [chunks.sums(getattr(chunks, c)) for c in COUNTS] + [chunks.sums(add(is_best[found].astype(np.int64))), chunks.sums(add(n[found]))]
-            parts.append(pa.table([pa.array(h1[at]), pa.array(h2[at]), *map(pa.array, sums), pa.array(sha)], schema=out))
-        return pa.concat_tables(parts) if parts else out.empty_table()
-
-    each = texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema)
+        order = np.argsort(told["pos"].to_numpy())
+        n, is_best = told["n"].to_numpy()[order], told["best"].to_numpy(zero_copy_only=False)[order].astype(np.int64)
+        both = []
+        for x in t["times"].to_pylist():
+            held, times = np.frombuffer(zlib.decompress(x), "<u4").astype(np.int64).reshape(2, -1)
+            held = np.cumsum(held)
+            both.append((int(times @ is_best[held]), int(times @ n[held])))
+        return pa.Table.from_arrays([*[t[c] for c in names], *[pa.array([x[k] for x in both], pa.int64()) for k in (0, 1)]], schema=out)
+
+    each = made.filter("times IS NOT NULL").drop("pairs").groupBy("block").cogroup(told.groupBy("of_block")).applyInArrow(run, schema)
     text = F.col(text_col).cast("string")
     docs = df.select(F.col(id_col).alias("id"), F.when(F.length(text) > 0, F.xxhash64(F.lit(7), text)).alias("h1"), F.when(F.length(text) > 0, F.xxhash64(text)).alias("h2"))
-    numbers = [f.name for f in schema.fields[2:-1]]
+    numbers = [c for c in schema.names if c.startswith(("n_", "count"))]
     return docs.join(each, ["h1", "h2"], "left").select(
         F.col("id").alias(id_col), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in numbers], F.coalesce("groups_sha256", F.lit("")).alias("groups_sha256")
     )
