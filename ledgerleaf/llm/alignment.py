@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 import re
 import zlib
@@ -129,21 +131,28 @@ class Chunks:
         offsets = pa.array(np.append(begin, len(data)), pa.int64()).buffers()[1]
         coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, offsets, pa.py_buffer(data)]).dictionary_encode()
         self.of = coded.indices.to_numpy()
-        own = coded.dictionary.to_pylist()
-        ids = vocab.both([c.decode() for c in own])
-        n = len(own)
-        size = np.fromiter(map(len, own), np.int64, n)
-        flat = [np.fromiter(chain.from_iterable(side), np.int64) for side in ids]
-        home = [np.repeat(np.arange(n), np.fromiter(map(len, side), np.int64, n)) for side in ids]
+        own, n = coded.dictionary, len(coded.dictionary)
+        at = np.frombuffer(own.buffers()[1], np.int64)[: n + 1]
+        size, content = np.diff(at), np.frombuffer(own.buffers()[2], np.uint8)[: at[-1]]
+        del begins, begin, offsets, coded, data
+        made: tuple[list, list, list, list] = ([], [], [], [])
+        for k in range(0, n, 10_000):  # lists of few chunks at a time
+            for side, ids in enumerate(vocab.both(own.slice(k, 10_000).cast(pa.large_string()).to_pylist())):
+                made[side].append(np.fromiter(chain.from_iterable(ids), np.int64))
+                made[2 + side].append(np.fromiter(map(len, ids), np.int64, len(ids)))
+        flat = [np.concatenate(x) for x in made[:2]]
+        home = [np.repeat(np.arange(n), np.concatenate(x)) for x in made[2:]]
+        del made
         long = [t.lengths()[f] for f, (_, t) in zip(flat, (vocab.a, vocab.b), strict=True)]
         self.good = np.ones(n, bool)
         for h, w in zip(home, long, strict=True):
             self.good &= np.bincount(h, w, n).astype(np.int64) == size
-        want = np.frombuffer(b"".join(c for c, g in zip(own, self.good.tolist(), strict=True) if g), np.uint8)
-        where, good = np.repeat(np.flatnonzero(self.good), size[self.good]), self.good.copy()
+        where, good = np.repeat(np.arange(n), size), self.good.copy()
+        want, where = (content, where) if good.all() else (content[good[where]], where[good[where]])
         for f, h, w, (tokens, t) in zip(flat, home, long, (vocab.a, vocab.b), strict=True):
             on = good[h]
             self.good[where[tokens[spread(t.starts[f[on]], w[on])] != want]] = False
+        del where, want
         keep = [self.good[h] for h in home]
         (a, b), (a_home, b_home), (a_long, b_long) = ([x[k] for x, k in zip(xs, keep, strict=True)] for xs in (flat, home, long))
         self.align(n, a, b, a_home, b_home, a_long, b_long)
@@ -195,7 +204,7 @@ class Chunks:
         key, of = np.unique(self.a * width + self.b, return_inverse=True)
         return key // width, key % width, of
 
-    def text_pairs(self, pair_of: np.ndarray, n_pairs: int, cells: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def text_pairs(self, pair_of: np.ndarray, n_pairs: int, cells: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The matrix of texts by pairs, whose values are the links: of each text its pairs, rising, and their times.
 
         Runs of texts with up to ``cells`` entries, or one text, are added up at a time.
@@ -265,6 +274,13 @@ def _block(t: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray
     return texts, np.bincount(of, t["copies"].to_numpy(), len(own)).astype(np.int64), own["f0"], own["f1"]
 
 
+def give_back() -> None:
+    """Free memory goes back to the system, so that two workers' blocks fit beside an executor's heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library keeps its own counsel
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 #: A block's row for each text: its numbers and, packed, its pairs; and one row for the block (times null): the pairs, and how many documents hold each.
 PARTS = "block long, h1 long, h2 long, n_a long, n_b long, n_groups long, n_links long, n_shared long, groups_sha256 string, times binary, pairs array<struct<a: int, b: int, n: bigint>>"
 
@@ -288,6 +304,7 @@ def aligned_block(t: pa.Table, a: str, b: str, out: pa.Schema) -> pa.Table:
         keys.append(np.stack([pa_, pb_], 1))
         counts.append(n)
         before += len(pa_)
+    give_back()
     if not rows:
         return out.empty_table()
     pairs = pa.StructArray.from_arrays([*map(pa.array, np.concatenate(keys).T.astype(np.int32)), pa.array(np.concatenate(counts))], fields=list(out.field("pairs").type.value_type))
@@ -297,7 +314,7 @@ def aligned_block(t: pa.Table, a: str, b: str, out: pa.Schema) -> pa.Table:
 
 
 def align(
-    df: DataFrame, a: str = "byte_bpe_50k.json", b: str = "piece_bpe_32k.model", block_bytes: int = 6_000_000, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame, a: str = "byte_bpe_50k.json", b: str = "piece_bpe_32k.model", block_bytes: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Of every document: id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256, n_shared.
 
