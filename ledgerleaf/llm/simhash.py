@@ -127,18 +127,15 @@ def near_duplicates(
 
 # ---- near copies by the similarity of their shingle sets ----
 
-#: Fingerprints of a text in a search by similarity; PARTS weightings make the bits of each; radius of the links.
-FPS, PARTS, NEAR = 14, 4, 1
-#: Shingles that count in a weighting: those of the least hashes. The weight falls with the hash to the power of -SHARP.
-TOP, SHARP = 8, 3.0
-#: Texts that share a masked value, up to which all their pairs are checked.
-SMALL = 8
-#: Rounds in which the texts of larger groups that are not linked yet meet others of the group, and how many that are linked.
-ROUNDS, MORE = 3, 6
+#: A search fingerprint has PARTS parts of WIDE bits, each covered for radius NEAR, and one of 64 bits that candidates are compared by.
+PARTS, WIDE, NEAR = 16, 32, 1
+#: Words of the shingles that a search fingerprint adds up: a changed word changes few of them, so near copies differ in few bits.
+SHORT = 2
+#: Bits of 64 in which candidates may differ. Near copies differ in 6 on average, other texts in 32.
+APART = 20
 
 _rnd = np.random.default_rng(42)
-_TIMES = _rnd.integers(0, 1 << 64, FPS * PARTS, np.uint64) | np.uint64(1)
-_PLUS = _rnd.integers(0, 1 << 64, FPS * PARTS, np.uint64)
+_TIMES = _rnd.integers(0, 1 << 64, PARTS * WIDE // 64 + 1, np.uint64) | np.uint64(1)
 _FEW = 4_096
 
 
@@ -152,29 +149,22 @@ def node_of(found: np.ndarray) -> int:
     return signed(xxhash.xxh64_intdigest(found.tobytes(), 7))
 
 
-def weighted_fingerprints(found: np.ndarray) -> list[int]:
-    """FPS fingerprints of a set of shingles, signed; none of an empty one.
-
-    A bit is the sign of the weighted sum of the shingles' bits, as in any SimHash. The weights are a
-    function of the shingle alone, by another hash for each fourth of a fingerprint, and fall so steeply that a few shingles decide:
-    sets that share these have equal bits or nearly, and sets that share one passage only differ in other fourths.
-    """
-    if not len(found):
-        return []
-    top = np.uint64(np.iinfo(np.uint64).max)
-    least = np.full((TOP, FPS * PARTS), top)
+def search_fingerprint(found: np.ndarray) -> tuple[list[int], int]:
+    """(parts, whole): the signs of the sums of the shingles' bits over all shingles of a set, unweighted: PARTS numbers of WIDE bits, and 64 bits."""
+    counts = np.zeros(64 * len(_TIMES), np.int64)
     for at in range(0, len(found), _FEW):
         h = found[at : at + _FEW, None] * _TIMES
-        h += _PLUS
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0x94D049BB133111EB)
         h ^= h >> np.uint64(32)
-        least = np.partition(np.concatenate([least, h]), TOP - 1, axis=0)[:TOP]
-    u = (least.astype(np.float64) + 1) / 2.0**64
-    weight = np.where(least == top, 0.0, (u.min(0) / u) ** SHARP)
-    x = (least ^ (least >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(32)
-    bit = ((x[:, :, None] >> np.arange(64 // PARTS, dtype=np.uint64)) & np.uint64(1)).astype(np.float64)
-    total = (weight[:, :, None] * (2 * bit - 1)).sum(0)
-    return np.packbits(total > 0, axis=1, bitorder="little").reshape(FPS, 8).view("<i8")[:, 0].tolist()
+        counts += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    bits = np.packbits(2 * counts > len(found), bitorder="little")
+    return bits[:-8].view("<u4").tolist(), int(bits[-8:].view("<i8")[0])
+
+
+def part_masks(radius: int, wide: int) -> list[int]:
+    """``masks`` for numbers of ``wide`` bits."""
+    return [m & (1 << wide) - 1 for m in masks(radius)]
 
 
 def by_hash(df: DataFrame, text_col: str) -> DataFrame:
@@ -194,13 +184,13 @@ def similar_groups(df: DataFrame, least: float = 0.8, words: int = 5, most_rows:
     """(texts, roots) of near copies. texts: row (hash) and node of every distinct text; roots: u, root for every linked node.
 
     Texts link where the Jaccard similarity of their sets of word shingles is ``least`` or more. Texts of
-    equal sets (so all exact copies) are one node. Candidates are nodes that have a weighted fingerprint within
-    NEAR bits of each other's: they agree under one of its covering masks. All candidates are checked exactly.
+    equal sets (so all exact copies) are one node. Candidates come from SimHash fingerprints of PARTS times WIDE bits, signs of sums over all
+    shingles of SHORT words: two nodes that agree in a part under one of its covering masks, so in any case those that differ in fewer than
+    PARTS * (NEAR + 1) bits, and that differ in at most APART bits of another 64. All candidates are checked exactly, whatever the size of their group.
 
-    Of up to SMALL nodes under one masked value all pairs are checked. Of more, each is checked with the group's hub, its most usual
-    node: the one that shares most values with many. Those not linked with it are then checked with the most usual
-    among themselves and with MORE others that are linked with the hub, for ROUNDS rounds or until a round links nothing. So pairs
-    grow with the nodes and not with the square of a group; what is left after the last round stays apart.
+    To spare the pairs of a group that is one anyway, nodes are first checked with the hubs of their groups, the most usual nodes there. Then
+    all candidates are checked that are not linked so far: those between different components. A group of copies is then one component and
+    makes no pair; pairs grow with the square of a group only as far as its nodes are no copies of its hub.
 
     Null and blank texts are one node that links to no other. The texts of candidates are read again for
     their sets: up to ``most_rows`` hashes are broadcast for that, else shuffled.
@@ -208,38 +198,28 @@ def similar_groups(df: DataFrame, least: float = 0.8, words: int = 5, most_rows:
 
     def marks(row, text):
         found = shingle_set(text, words)
-        keys = [xxhash.xxh64_intdigest(struct.pack("<Iq", k, fp & m), 1) for k, (fp, m) in enumerate((fp, m) for fp in weighted_fingerprints(found) for m in tables)]
-        return [(row, node_of(found), len(found), [signed(k) for k in keys])]
-
-    tables = [signed(m) for m in masks(NEAR)]
-    made = per_text(by_hash(df, text_col), marks, StructType.fromDDL("row long, node long, n int, keys array<long>"), "row", "text")
+        short = shingle_set(text, SHORT)
+        if not len(short):
+            return [(row, node_of(found), 0, 0, [])]
+        parts, whole = search_fingerprint(short)
+        keys = [xxhash.xxh64_intdigest(struct.pack("<II", k, x & m), j) for k, x in enumerate(parts) for j, m in enumerate(tables)]
+        return [(row, node_of(found), len(found), whole, [signed(k) for k in keys])]
+
+    tables = part_masks(NEAR, WIDE)
+    made = per_text(by_hash(df, text_col), marks, StructType.fromDDL("row long, node long, n int, fp long, keys array<long>"), "row", "text")
     texts = reliable(made.dropDuplicates(["row"]))
-    nodes = reliable(texts.groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
-    held = counted(keyed.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1"), most_rows)
-    keyed = reliable(keyed.join(held, "key"))  # only nodes that may have a near copy
-    few = keyed.filter(F.col("held") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("node", "n")).alias("all"))
-    few = few.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y")).filter("x.node < y.node")
-    few = few.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
-    crowd = keyed.filter(F.col("held") > SMALL)
-    usual = crowd.groupBy("node").agg(F.count("*").alias("usual"))
-    many = reliable(crowd.select("key", "node", "n").join(usual, "node"))
-    hub = F.max_by(F.struct("node", "n"), F.struct("usual", "node"))
+    nodes = reliable(texts.groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    keyed = nodes.select("node", "n", "fp", F.explode("keys").alias("key"))
+    held = counted(keyed.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1").select("key"), most_rows)
+    keyed = reliable(keyed.join(held, "key", "left_semi"))  # only nodes that may have a near copy
+    both = lambda x, y: (F.least(x["n"], y["n"]) >= least * F.greatest(x["n"], y["n"])) & (bits_apart(x["fp"], y["fp"]) <= APART)
     # a node once for each hub of its groups: most groups of near copies have the same
-    named = many.join(counted(many.groupBy("key").agg(hub.alias("hub")), most_rows), "key").select("node", "n", "usual", "hub").distinct()
-    named = reliable(named.select("node", "n", "usual", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")))
-
-    def met(of: DataFrame, leads: DataFrame) -> DataFrame:
-        """Every node with each of the others that ``leads`` (hub, leads) has for its hub."""
-        both = of.join(counted(leads, most_rows), "hub").select("node", "n", F.explode("leads").alias("lead")).filter("node <> lead.node")
-        return both.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"), F.col("n").alias("na"), F.col("lead.n").alias("nb"))
-
-    # sets of sizes further apart are less similar, whatever they share
-    fit = lambda x: x.filter(F.least("na", "nb") >= least * F.greatest("na", "nb")).select("a", "b").distinct()
-    first = named.filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), F.col("n").alias("na"), F.col("hub_n").alias("nb"))
-    pairs = reliable(fit(few.unionByName(first)))
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(named.select("node")).distinct()
-    rows = counted(nodes.join(wanted, "node", "left_semi").select(F.col("row").alias("wanted_row")), most_rows)
+    usual = keyed.groupBy("node").agg(F.count("*").alias("usual"))
+    hub = F.max(F.struct("usual", "node", "n", "fp")).alias("hub")
+    hubs = counted(keyed.join(usual, "node").groupBy("key").agg(hub).select("key", "hub"), most_rows)
+    star = keyed.join(hubs, "key").filter((F.col("node") != F.col("hub.node")) & both({"n": F.col("n"), "fp": F.col("fp")}, {"n": F.col("hub.n"), "fp": F.col("hub.fp")}))
+    pairs = reliable(star.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct())
+    rows = counted(nodes.join(keyed.select("node").distinct(), "node", "left_semi").select(F.col("row").alias("wanted_row")), most_rows)
     again = by_hash(df, text_col).join(rows, F.col("row") == F.col("wanted_row"), "left_semi")
 
     def sets_of(row, text):
@@ -248,21 +228,18 @@ def similar_groups(df: DataFrame, least: float = 0.8, words: int = 5, most_rows:
 
     sets = reliable(per_text(again, sets_of, StructType.fromDDL("node long, s array<long>"), "row", "text").dropDuplicates(["node"]))
     done = reliable(similar(sets, pairs, least))
-    both = lambda x: x.select("u", "v").unionByName(x.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    near = both(done).select(F.col("u").alias("node"), F.col("v").alias("hub"), F.lit(True).alias("near"))
-    state = reliable(named.join(near, ["node", "hub"], "left").select("node", "n", "usual", "hub", (F.coalesce("near", F.lit(False)) | (F.col("node") == F.col("hub"))).alias("linked")))
-    for k in range(ROUNDS if not named.isEmpty() else 0):
-        apart = state.filter("NOT linked")
-        others = [F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(k * MORE + i))) for i in range(MORE)]
-        linked = reliable(state.filter("linked").groupBy("hub").agg(F.array_distinct(F.array(*others)).alias("leads")))
-        tried = met(apart, linked).unionByName(met(apart, apart.groupBy("hub").agg(F.array(hub).alias("leads"))))
-        new = reliable(similar(sets, fit(tried), least))
-        if new.isEmpty():
-            break
-        done = done.unionByName(new)
-        through = linked.select("hub", F.explode("leads.node").alias("v")).join(both(new), "v").select(F.col("u").alias("node"), "hub").distinct()
-        state = reliable(state.join(through.withColumn("near", F.lit(True)), ["node", "hub"], "left").select("node", "n", "usual", "hub", (F.col("linked") | F.coalesce("near", F.lit(False))).alias("linked")))
     roots = components(done)
+    # candidates between different components: of each group the nodes, as members of theirs
+    state = keyed.join(roots.withColumnRenamed("u", "node"), "node", "left").select("key", "node", "n", "fp", F.coalesce("root", "node").alias("root"))
+    open_ = state.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
+    state = reliable(state.join(open_, "key", "left_semi"))
+    one, two = (state.select("key", *[F.col(c).alias(f"{c}{k}") for c in ("node", "n", "fp", "root")]) for k in (1, 2))
+    fit = both({"n": F.col("n1"), "fp": F.col("fp1")}, {"n": F.col("n2"), "fp": F.col("fp2")})
+    rest = one.join(two, "key").filter((F.col("node1") < F.col("node2")) & (F.col("root1") != F.col("root2")) & fit)
+    rest = rest.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    more = reliable(similar(sets, reliable(rest), least))
+    if not more.isEmpty():
+        roots = components(done.unionByName(more))
     return texts.select("row", "node"), roots
 
 
