@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import hashlib
 import re
 import zlib
@@ -22,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .collocations import spread
-from .common import reliable
+from .common import give_back, reliable
 from .packing import LONG_SPACE, IdBytes
 from .tokens import byte_symbols, vocabulary
 
@@ -274,13 +272,6 @@ def _block(t: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray
     return texts, np.bincount(of, t["copies"].to_numpy(), len(own)).astype(np.int64), own["f0"], own["f1"]
 
 
-def give_back() -> None:
-    """Free memory goes back to the system, so that two workers' blocks fit beside an executor's heap."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # another C library keeps its own counsel
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-
-
 #: A block's row for each text: its numbers and, packed, its pairs; and one row for the block (times null): the pairs, and how many documents hold each.
 PARTS = "block long, h1 long, h2 long, n_a long, n_b long, n_groups long, n_links long, n_shared long, groups_sha256 string, times binary, pairs array<struct<a: int, b: int, n: bigint>>"
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import reliable
+from .common import give_back, reliable
 
 #: What ends a piece, and the word that stands for it in an index: no piece holds one of these characters.
 ENDS, END = r"[.,;:!?\n\x0b\x0c\r]+", "."
@@ -144,7 +144,7 @@ def slices(batch: pa.RecordBatch, most_bytes: int) -> Iterator[pa.RecordBatch]:
         a = b
 
 
-def shard_counts(df: DataFrame, lengths: range, maps: dict | None = None, shard_bytes: int = 16_000_000) -> DataFrame:
+def shard_counts(df: DataFrame, lengths: range, maps: dict | None = None, shard_bytes: int = 5_000_000) -> DataFrame:
     """lang, gram, n of every shard: grams of ``lengths`` words, and the empty gram, whose n is the number of words, where 1 is among them.
 
     ``df`` has lang and text. A shard is some texts of one language, up to ``shard_bytes`` of them or one text. ``maps``: by length, bit maps of the hashes of
@@ -169,6 +169,7 @@ def shard_counts(df: DataFrame, lengths: range, maps: dict | None = None, shard_
                         parts = [known.take(pa.array(c)) for c in grams.T]
                         text = pc.binary_join_element_wise(*parts, " ") if len(parts) > 1 else parts[0]
                         yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(count)), text, pa.array(count)], schema=out)
+            give_back()
 
     return df.select("lang", "text").mapInArrow(run, schema)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -85,3 +87,10 @@ def known(df: DataFrame, ids: DataFrame, on: str, most: int = 2_000_000) -> Data
     beyond that both sides are shuffled."""
     ids = ids.select(on).distinct()
     return df.join(F.broadcast(ids) if ids.count() <= most else ids, on, "left_semi")
+
+
+def give_back() -> None:
+    """Free memory goes back to the system, so that a worker's peaks do not add up beside an executor's heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library keeps its own counsel
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
