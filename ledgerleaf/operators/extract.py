@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import canonical_url, clean_text, nhs_digits, nhs_valid, parse_uk_date
+from ..sources.shared import kept, small
 
 
 def strip_tags(c: Column) -> Column:
@@ -64,6 +65,32 @@ def sitemap_urls(xml: DataFrame, exclude: str | None = None) -> DataFrame:
     return out.filter(~F.col("url").rlike(exclude)) if exclude else out
 
 
+def sitemap_tree(roots: DataFrame, stored: DataFrame, deepest: int = 10, exclude: str | None = None, page: str | None = None) -> DataFrame:
+    """url, is_index, depth, stored: all lists and pages that the lists of ``roots`` (url) name, over any number of lists, each with its least depth.
+
+    ``stored``: url, xml, the lists that have been fetched. The lists found last are joined with it, and what they name and was not met before
+    goes on, until nothing new comes; lists that name each other in a circle are read once. Roots have depth 0; lists that are not stored are told by
+    stored = false. Pages must fit the pattern ``page``, if there is one. More than ``deepest`` rounds of lists are an error.
+    """
+    have = stored.select(canonical_url(F.col("url")).alias("key"), "xml")
+    front = kept(roots.select(canonical_url(F.col("url")).alias("key"), "url").groupBy("key").agg(F.min("url").alias("url")))
+    seen = front.select("key", "url", F.lit(True).alias("is_index"), F.lit(0).alias("depth"))
+    depth = 0
+    while not front.isEmpty():
+        if (depth := depth + 1) > deepest:
+            raise ValueError(f"lists within lists go deeper than {deepest}")
+        lists = have.join(small(front.select("key")), "key", "left_semi").select(F.col("key").alias("doc"), "xml")
+        named = sitemap_urls(lists, exclude).select(canonical_url(F.col("url")).alias("key"), "url", "is_index")
+        if page:
+            named = named.filter(F.col("is_index") | F.col("url").rlike(page))
+        new = named.groupBy("key").agg(F.min("url").alias("url"), F.bool_or("is_index").alias("is_index")).join(seen, "key", "left_anti")
+        new = kept(new.withColumn("depth", F.lit(depth)))
+        seen = kept(seen.unionByName(new))
+        front = new.filter("is_index")
+    there = have.select("key").distinct().withColumn("there", F.lit(True))
+    return seen.join(there, "key", "left").select("url", "is_index", "depth", F.when(F.col("is_index"), F.coalesce("there", F.lit(False))).alias("stored"))
+
+
 def merge_listings(a: DataFrame, b: DataFrame) -> DataFrame:
     """key, url, title: the union by canonical url; b's title where it has one."""
     x = a.select(canonical_url(F.col("url")).alias("key"), F.col("url").alias("ua"), F.col("title").alias("ta"))
@@ -115,25 +142,77 @@ def clean_title(c: Column, drop: list[str] = ()) -> Column:
     return sentence_case(F.when(t == "", clean_text(c)).otherwise(t))
 
 
-#: Titles before a name, and the labels of a person's details.
+#: Titles before a name, the labels of a person's details, and other words that end a name.
 TITLES = ("mr", "mrs", "ms", "miss", "mx", "dr", "prof", "professor", "sir", "dame", "rev", "revd", "lord", "lady")
 LABELS = {
     "name": ("patient name", "patient", "name"),
     "mrn": ("MRN", "hospital no", "hospital number", "unit no", "unit number"),
-    "nhs": ("NHS", "NHS no", "NHS number", "NHS #"),
+    "nhs": ("NHS", "NHS no", "NHS number"),
     "dob": ("DOB", "D.O.B", "date of birth"),
     "sex": ("sex", "gender"),
+    "": ("FIN", "Age"),
 }
-#: What ends a labelled name: a gap of two spaces, or one of these labels.
-AFTER_NAME = ("MRN", "NHS", "DOB", "FIN", "Age", "Sex")
-_EDGE, _END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+SEXES = ("female", "male", "f", "m")
+NAME_MARKS = "'’. -"
+
+
+def labelled_parts(text: Column) -> Column:
+    """A text cut once at all labels: array of (kind, said), said being what stands behind a label up to the next."""
+    names = sorted(((n, kind) for kind, ns in LABELS.items() for n in ns), key=lambda x: -len(x[0]))
+    one = "|".join(n.replace(".", "[.]").replace(" ", "\\s*" if kind in ("mrn", "nhs") else "\\s+") for n, kind in names)
+    marked = F.regexp_replace(text, f"(?i)(?<![A-Za-z0-9_])({one})(?![A-Za-z0-9_])", "\x01$1\x02")
+    found = F.slice(F.split(marked, "\x01"), 2, 1_000_000)
+    kinds = F.create_map(*[F.lit(x) for n, kind in names for x in (n.lower().replace(" ", ""), kind)])
+
+    def part(p: Column) -> Column:
+        at = F.instr(p, "\x02")
+        label = F.lower(F.regexp_replace(F.substr(p, F.lit(1), at - 1), "\\s", ""))
+        return F.struct(kinds[label].alias("kind"), F.substr(p, at + 1).alias("said"))
+
+    return F.transform(found, part)
+
+
+def first_value(parts: Column, kind: str, value) -> Column:
+    """The first of ``value(said)`` of the parts of a kind that is not null; '' where there is none."""
+    all_ = F.transform(F.filter(parts, lambda p: p["kind"] == kind), lambda p: value(p["said"]))
+    return F.coalesce(F.get(F.array_compact(all_), 0), F.lit(""))
 
 
-def labelled(text: Column, what: str, value: str, between: str = r"\.?\s*[:#]?\s*", end: str = _END) -> Column:
-    """The value that stands behind one of the labels of ``what``, in either case; '' where there is none. Longer labels are tried first."""
-    names = sorted(LABELS[what], key=len, reverse=True)
-    label = "|".join(n.replace(".", r"\.").replace(" ", r"\s*" if what in ("mrn", "nhs") else r"\s+") for n in names)
-    return F.regexp_extract(text, f"(?i){_EDGE}(?:{label}){between}({value}){end}", 1)
+def said_name(said: Column) -> Column:
+    """What follows a colon, up to the line's end or a gap of two blanks."""
+    line = F.element_at(F.split(F.ltrim(F.regexp_replace(said, "^\\s+", "")), "\n"), 1)
+    rest = F.ltrim(F.substr(line, F.lit(2)))
+    return F.when(line.startswith(":") & (rest != ""), clean_text(F.element_at(F.split(rest, "\\s\\s"), 1)))
+
+
+def said_number(said: Column) -> Column:
+    """Up to three letters and 4 to 12 digits, in capitals."""
+    word = F.upper(F.element_at(F.split(F.ltrim(said, F.lit(" \t\n.:#")), "[^A-Za-z0-9_]"), 1))
+    digits = F.ltrim(word, F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+    fits = (F.length(word) - F.length(digits) <= 3) & F.length(digits).between(4, 12) & (F.translate(digits, "0123456789", "") == "")
+    return F.when(fits, word)
+
+
+def said_ten_digits(said: Column) -> Column:
+    """The first ten digits, in groups with a blank or hyphen between, if a group ends there."""
+    groups = F.split(F.ltrim(said, F.lit(" \t\n.:#")), "[\\s-]")
+    upto = F.transform(groups, lambda g, i: F.array_join(F.slice(groups, 1, i + 1), ""))
+    # of the group that makes ten, what is no part of the number may follow it: a comma, a bracket
+    plain = F.transform(upto, lambda u: F.element_at(F.split(u, "[^A-Za-z0-9_]"), 1))
+    return F.get(F.filter(plain, lambda u: (F.length(u) == 10) & (F.translate(u, "0123456789", "") == "")), 0)
+
+
+def said_date(said: Column, as_of: Column) -> Column:
+    """A date from the first three parts, day first."""
+    line = F.element_at(F.split(F.ltrim(said, F.lit(" \t\n.:")), "[^A-Za-z0-9/.,\\- ]"), 1)
+    parts = F.filter(F.split(line, "[-/., ]+"), lambda x: x != "")
+    year = F.element_at(F.split(F.coalesce(F.get(parts, 2), F.lit("")), "[^0-9]"), 1)
+    return parse_uk_date(F.concat_ws(" ", F.get(parts, 0), F.get(parts, 1), year), as_of)
+
+
+def said_sex(said: Column) -> Column:
+    word = F.lower(F.element_at(F.split(F.ltrim(said, F.lit(" \t\n:")), "[^A-Za-z0-9_]"), 1))
+    return F.when(word.isin(*SEXES), F.upper(F.substring(word, 1, 1)))
 
 
 def without_title(c: Column) -> Column:
@@ -141,46 +220,44 @@ def without_title(c: Column) -> Column:
     return F.regexp_replace(c, f"(?i)^({'|'.join(TITLES)})[.]?\\s+", "")
 
 
-def split_name(c: Column) -> tuple[Column, Column]:
-    """Surname and forenames of ``SURNAME, First``, without titles and bracketed parts; both '' where one has no letter."""
-    comma = F.instr(c, ",")
-    last = without_title(clean_text(F.when(comma > 1, F.substr(c, F.lit(1), comma - 1)).otherwise("")))
-    first = clean_text(F.regexp_replace(without_title(clean_text(F.when(comma > 1, F.substr(c, comma + 1)).otherwise(""))), "[(][^)]*[)]", " "))
-    both = last.rlike("[A-Za-z]") & first.rlike("[A-Za-z]")
-    return F.when(both, last).otherwise(""), F.when(both, first).otherwise("")
+def name_line(line: Column) -> Column:
+    """A line is a name: letters and the marks of names on both sides of its first comma, brackets behind it alone."""
+    at = F.instr(line, ",")
+    bare = lambda c, more: F.translate(F.lower(c), "abcdefghijklmnopqrstuvwxyz" + NAME_MARKS + more, "") == ""
+    return (at > 1) & (at < F.length(line)) & bare(F.substr(line, F.lit(1), at - 1), "") & bare(F.substr(line, at + 1), "()")
+
+
+def split_name(c: Column) -> Column:
+    """(last, first) of ``SURNAME, First``, without titles and bracketed parts; null where one has no letter."""
+    at = F.instr(c, ",")
+    last = without_title(clean_text(F.substr(c, F.lit(1), at - 1)))
+    first = clean_text(F.regexp_replace(without_title(clean_text(F.substr(c, at + 1))), "[(][^)]*[)]", " "))
+    letter = lambda x: F.length(F.translate(F.lower(x), "abcdefghijklmnopqrstuvwxyz", "")) < F.length(x)
+    return F.when((at > 1) & letter(last) & letter(first), F.struct(last.alias("last"), first.alias("first")))
 
 
 def extract_identifiers(notes: DataFrame, as_of: Column) -> DataFrame:
     """note_id, surname, forenames, dob, nhs, mrn, sex and found_* of each note's text.
 
-    A labelled name, else the first line shaped ``SURNAME, First`` without a colon before the comma. An
-    unlabelled 3-3-4 number counts only if its check digit fits; a birth date only if it parses.
+    The text is cut once at its labels; each detail is the first value behind one of its labels that passes the detail's check. A labelled
+    name, else the first line shaped ``SURNAME, First``. An unlabelled 3-3-4 number counts only if its check digit fits; a birth
+    date only if it parses.
     """
     own = [c for c in notes.columns if c != "text"]
     t = F.translate(F.replace(F.coalesce("text", F.lit("")), F.lit("\r"), F.lit("")), "\u00a0", " ")
     n = notes.select(*own, t.alias("t"))
-    stop = rf"(?=\s\s|\s+(?:{'|'.join(AFTER_NAME)}){_END}|\n|$)"
-    n = n.withColumn("said", clean_text(labelled(F.col("t"), "name", r"[^\n]*?", r"\s*:\s*", stop)))
-    # letters, marks of names and spaces on both sides of the first comma, brackets behind it alone
-    side = lambda more: f"[A-Za-z'’. {more}-]+"
-    lines = F.filter(F.transform(F.split("t", "\n"), clean_text), lambda x: x.rlike(f"^{side('')}, ?{side('()')}$"))
-    n = n.withColumn("line", F.coalesce(F.get(lines, 0), F.lit("")))
-    for at in ("said", "line"):
-        last, first = split_name(F.col(at))
-        n = n.withColumn(f"{at}_last", last).withColumn(f"{at}_first", first)
-    use = F.when(F.col("said_last") != "", F.lit("said")).otherwise("line")
-    pick = lambda part: F.when(use == "said", F.col(f"said_{part}")).otherwise(F.col(f"line_{part}"))
-    digit, gap = "[0-9]", r"[\s-]"
-    text = F.col("t")
-    mrn = F.upper(labelled(text, "mrn", f"[A-Z]{{0,3}}{digit}{{4,12}}"))
-    nhs = labelled(text, "nhs", f"(?:{digit}{gap}?){{9}}{digit}", r"[.]?\s*:?\s*")
-    loose = F.regexp_extract(text, f"{_EDGE}({digit}{{3}}{gap}{digit}{{3}}{gap}{digit}{{4}}){_END}", 1)
-    day, month, year = f"{digit}{{1,2}}", f"(?:[A-Za-z]{{3,9}}|{digit}{{1,2}})", f"{digit}{{2,4}}"
-    dob = labelled(text, "dob", f"{day}[-/. ]+{month}[-/., ]+{year}", r"[.]?\s*:?\s*", "")
-    sex = F.upper(F.substring(labelled(text, "sex", "female|male|f|m", r"\s*:?\s*"), 1, 1))
+    named = F.get(F.filter(F.transform(F.split("t", "\n"), clean_text), name_line), 0)
+    n = n.select(*own, "t", labelled_parts(F.col("t")).alias("parts"), split_name(named).alias("line"))
+    parts = F.col("parts")
+    n = n.withColumn("said", split_name(F.nullif(first_value(parts, "name", said_name), F.lit(""))))
+    name = F.coalesce("said", "line")
+    loose = F.regexp_extract("t", r"(?<![A-Za-z0-9_])([0-9]{3}[\s-][0-9]{3}[\s-][0-9]{4})(?![A-Za-z0-9_])", 1)
+    nhs = first_value(parts, "nhs", said_ten_digits)
+    births = F.transform(F.filter(parts, lambda p: p["kind"] == "dob"), lambda p: said_date(p["said"], as_of))
     out = n.select(
-        *own, pick("last").alias("surname"), pick("first").alias("forenames"), parse_uk_date(dob, as_of).alias("dob"),
-        nhs_digits(F.when(nhs != "", nhs).when(nhs_valid(loose), loose).otherwise("")).alias("nhs"), mrn.alias("mrn"), sex.alias("sex"),
+        *own, F.coalesce(name["last"], F.lit("")).alias("surname"), F.coalesce(name["first"], F.lit("")).alias("forenames"), F.get(births, 0).alias("dob"),
+        nhs_digits(F.when(nhs != "", nhs).when(nhs_valid(loose), loose).otherwise("")).alias("nhs"),
+        first_value(parts, "mrn", said_number).alias("mrn"), first_value(parts, "sex", said_sex).alias("sex"),
     )
     return out.withColumns({"found_name": F.col("surname") != "", "found_dob": F.col("dob").isNotNull(), "found_nhs": F.col("nhs") != "", "found_mrn": F.col("mrn") != "", "found_sex": F.col("sex") != ""})
 

@@ -17,10 +17,13 @@ def term(col: Column, text: str) -> Column:
     return col.rlike(rf"(?iu)(^|[^\p{{L}}\p{{N}}_]){body}{tail}([^\p{{L}}\p{{N}}_]|$)")
 
 
-def text_predicate(spec, col: Column, tags: Column | None = None) -> Column:
-    """A test from nested data: a string is a term; {'any': [...]}, {'all': [...]} and {'not': x} combine; {'tag': t} asks for a heading."""
+def text_predicate(spec, col: Column, tags: Column | None = None, leaf=term) -> Column:
+    """A test from nested data: a string is a term; {'any': [...]}, {'all': [...]} and {'not': x} combine; {'tag': t} asks for a heading.
+
+    ``leaf(col, term)`` tests one term: a search each, so for more than a few terms see ``terms.find_terms``.
+    """
     if isinstance(spec, str):
-        return term(col, spec)
+        return leaf(col, spec)
     (kind, value), *rest = spec.items()
     if rest:
         raise ValueError("one key a node")
@@ -29,8 +32,8 @@ def text_predicate(spec, col: Column, tags: Column | None = None) -> Column:
             raise ValueError("no tags given")
         return F.array_contains(tags, value)
     if kind == "not":
-        return ~text_predicate(value, col, tags)
-    parts = [text_predicate(v, col, tags) for v in value]
+        return ~text_predicate(value, col, tags, leaf)
+    parts = [text_predicate(v, col, tags, leaf) for v in value]
     if kind == "any":
         return reduce(lambda a, b: a | b, parts, F.lit(False))
     if kind == "all":
@@ -100,18 +103,44 @@ def sort_feed(df: DataFrame, by: str = "date", date: str = "date", journal: str
     return df.orderBy(*first, F.desc(date), order)
 
 
+def contained_words(words: DataFrame, names: DataFrame, longest: int = 3) -> DataFrame:
+    """word, name: every name (``names``: name) that holds a word (``words``: word) as a substring; both distinct, words not empty.
+
+    Each word is met by one of its grams, of ``longest`` characters or its own length: the one that the fewest names hold. Names
+    give all their grams, so the meeting is an equi-join, and what meets is then checked. Grams that names share are counted
+    before the choice; a word that no name has a gram of is gone there.
+    """
+    grams = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substr(c, i, n))
+    size = lambda c: F.least(F.length(c), F.lit(longest))
+    of_word = words.select("word", F.explode(F.array_distinct(grams(F.col("word"), size("word")))).alias("gram"))
+    lengths = F.sequence(F.lit(1), F.greatest(size("name"), F.lit(1)))
+    of_name = names.filter(F.length("name") > 0).select("name", F.explode(F.array_distinct(F.flatten(F.transform(lengths, lambda n: grams(F.col("name"), n))))).alias("gram"))
+    wanted = of_name.join(of_word.select("gram").distinct(), "gram", "left_semi")
+    rare = wanted.groupBy("gram").agg(F.count("*").alias("n"))
+    best = of_word.join(rare, "gram").groupBy("word").agg(F.min(F.struct("n", "gram")).alias("g")).select("word", F.col("g.gram").alias("gram"))
+    return best.join(wanted, "gram").filter(F.contains("name", F.col("word"))).select("word", "name")
+
+
 def tag_journal(articles: DataFrame, journals: DataFrame, key: str) -> DataFrame:
-    """Adds short and color of the first journal (by ord) whose first word occurs in ``journal`` or the reverse.
+    """Adds short and color of the first journal (by ord) whose first word occurs in ``journal`` or the reverse, in either case.
 
-    Distinct journal names of the articles meet ``journals`` (a dimension; ord, name, short, color), so an
-    article's own rows are only joined by its name.
+    Distinct journal names of the articles meet the distinct names of ``journals`` (ord, name, short, color; ords differ) by an index of grams, see
+    ``contained_words``, in both directions: equi-joins at any size of either side. An empty first word, of a name that begins with a
+    blank, is part of every name: it needs only the first such journal, or the first of all. An empty journal is no journal's.
     """
     first = lambda c: F.element_at(F.split(F.lower(c), " "), 1)
-    d = journals.select("ord", F.col("name").alias("__name"), "short", "color")
-    names = articles.select("journal").filter("journal <> ''").distinct()
-    hit = F.contains(F.lower("journal"), first("__name")) | F.contains(F.lower("__name"), first("journal"))
-    best = names.join(d, hit).groupBy("journal").agg(F.min_by(F.struct("short", "color"), "ord").alias("j"))
-    return articles.join(best.select("journal", "j.*"), "journal", "left").select(*articles.columns, "short", "color")
+    d = journals.select("ord", F.lower("name").alias("name"), first("name").alias("word"))
+    own = articles.select("journal").filter("journal <> ''").distinct().select("journal", F.lower("journal").alias("name"), first("journal").alias("word"))
+    by_word = d.filter("word <> ''").groupBy("word").agg(F.min("ord").alias("ord"))
+    there = contained_words(by_word.select("word"), own.select("name").distinct()).join(by_word, "word").groupBy("name").agg(F.min("ord").alias("ord"))
+    hits = own.select("journal", "name").join(there, "name").select("journal", "ord")
+    by_name = d.groupBy("name").agg(F.min("ord").alias("ord"))
+    back = contained_words(own.select("word").filter("word <> ''").distinct(), by_name.select("name")).join(by_name, "name").groupBy("word").agg(F.min("ord").alias("ord"))
+    hits = hits.unionByName(own.select("journal", "word").join(back, "word").select("journal", "ord"))
+    every = d.agg(F.min(F.when(F.col("word") == "", F.col("ord"))).alias("a"), F.min("ord").alias("b"))  # one row
+    hits = hits.unionByName(own.join(F.broadcast(every)).select("journal", F.least("a", F.when(F.col("word") == "", F.col("b"))).alias("ord")).filter("ord IS NOT NULL"))
+    best = hits.groupBy("journal").agg(F.min("ord").alias("ord")).join(journals.select("ord", "short", "color"), "ord").drop("ord")
+    return articles.join(best, "journal", "left").select(*articles.columns, "short", "color")
 
 
 def filter_any(cols: list[str], q: str) -> Column:
@@ -123,9 +152,3 @@ def assemble_abstract(parts: DataFrame, key: str, default: str = "No abstract.")
     line = F.when(F.coalesce("label", F.lit("")) != "", F.concat("label", F.lit(": "), "text")).otherwise(F.col("text"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))), lambda x: x["line"]), "\n\n")
     return parts.groupBy(key).agg(text.alias("abstract")).withColumn("abstract", F.when(F.col("abstract") == "", default).otherwise(F.col("abstract")))
-
-
-def topic_membership(df: DataFrame, topics: dict, col: str, key: str) -> DataFrame:
-    """key, topic: every topic whose test a row passes, in one pass over the rows."""
-    hits = F.array_compact(F.array(*[F.when(text_predicate(spec, F.col(col)), F.lit(name)) for name, spec in topics.items()]))
-    return df.select(key, F.explode(hits).alias("topic"))

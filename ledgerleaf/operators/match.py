@@ -8,23 +8,41 @@ from pyspark.sql import functions as F
 from ..functions.columns import fold_accents, padded_words
 
 
-#: What parts the aliases inside brackets; words that join the drugs of a regimen.
-SEPARATORS, JOINERS = (",", "/", " or ", " also called "), ("and", "with")
+#: What parts the aliases inside brackets: marks, and words that stand alone; words that join the drugs of a regimen.
+MARKS, PARTERS, JOINERS = (",", "/"), ("or", "also called"), ("and", "with")
 
 
 def leaflet_keys(title: Column) -> Column:
     """The title without its brackets, and the aliases inside them, as padded-word keys of 3 or more letters."""
     t = F.lower(F.regexp_replace(fold_accents(F.coalesce(title, F.lit(""))), "[®™]", ""))
     main = F.regexp_replace(t, r"\(.*?\)", " ")
-    inside = F.flatten(F.transform(F.regexp_extract_all(t, F.lit(r"\((.*?)\)"), F.lit(1)), lambda x: F.split(F.concat(F.lit(" "), x, F.lit(" ")), "|".join(SEPARATORS))))
+    parter = f"[{''.join(MARKS)}]|(?<![a-z0-9_])(?:{'|'.join(PARTERS)})(?![a-z0-9_])"
+    inside = F.flatten(F.transform(F.regexp_extract_all(t, F.lit(r"\((.*?)\)"), F.lit(1)), lambda x: F.split(x, parter)))
     keys = F.transform(F.concat(F.array(main), inside), lambda k: F.btrim(padded_words(k)))
     return F.array_distinct(F.filter(keys, lambda k: F.length(F.replace(k, F.lit(" "), F.lit(""))) >= 3))
 
 
+def capital_run(parts: Column) -> Column:
+    """The longest run of a word's hyphened parts that are capitals and digits, the first one beginning with a capital, in characters.
+
+    Hyphens between parts count, and that before a part which no longer is of capitals: AC-based has 3.
+    """
+    start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("most"))
+    upper = lambda p: (p != "") & (F.translate(p, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "") == "")
+
+    def add(a: Column, p: Column) -> Column:
+        joined = F.when((a["run"] > 0) & (p != ""), a["run"] + 1).otherwise(0)  # with the hyphen before this part
+        opens = F.when(joined > 0, joined + F.length(p)).when(p.rlike("^[A-Z]"), F.length(p)).otherwise(0)
+        run = F.when(upper(p), opens).when((p == "") & (a["run"] > 0), a["run"] + 1).otherwise(0)  # nothing between two hyphens
+        return F.struct(run.cast("int").alias("run"), F.greatest(a["most"], run, joined).cast("int").alias("most"))
+
+    return F.aggregate(parts, start, add)["most"]
+
+
 def is_regimen(title: Column) -> Column:
-    """A word of three capitals or more (or digits behind the first) outside brackets, a joining word, or a dash between spaces."""
+    """Three capitals or more (or digits and hyphens behind the first) at a word's or a hyphened part's beginning, outside brackets; a joining word; a dash between spaces."""
     words = F.split(F.regexp_replace(title, "[(][^)]*[)]", " "), "[^0-9A-Za-z_-]+")
-    acronym = F.exists(words, lambda w: (F.length(w) >= 3) & w.rlike("^[A-Z]") & (F.upper(w) == w) & ~F.contains(w, F.lit("_")))
+    acronym = F.exists(words, lambda w: capital_run(F.split(w, "-")) >= 3)
     joined = F.exists(F.split(F.lower(title), "[^0-9a-z_]+"), lambda w: w.isin(*JOINERS))
     return acronym | joined | F.contains(title, F.lit(" - "))
 

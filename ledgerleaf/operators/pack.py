@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clean_text, first_by, format_uk_date, nhs_format, nhs_valid
+from .search import searched_text
 
 
 def role_value(role: Column, has_nhs_box: Column) -> Column:
@@ -82,6 +83,18 @@ def add_to_pack(pack: DataFrame, more: DataFrame) -> DataFrame:
     return pack.select("pack_id", "doc_id", "ord").unionByName(new.select("pack_id", "doc_id", "ord"))
 
 
+def addition_counts(pack: DataFrame, more: DataFrame) -> DataFrame:
+    """pack_id, added, already: what ``add_to_pack`` makes of ``more``. Of a document that ``more`` names twice the first is added, the second is in the pack by then."""
+    have = pack.select("pack_id", "doc_id").distinct().withColumn("there", F.lit(True))
+    each = more.groupBy("pack_id", "doc_id").agg(F.count("*").alias("n")).join(have, ["pack_id", "doc_id"], "left")
+    return each.groupBy("pack_id").agg(F.count_if(F.col("there").isNull()).alias("added"), F.sum(F.col("n") - F.col("there").isNull().cast("int")).alias("already"))
+
+
+def pack_needs_sex(packs: DataFrame, needs: DataFrame) -> DataFrame:
+    """pack_id, needs_sex: one of the pack's forms needs the sex. ``packs``: pack_id, doc_id. ``needs``: doc_id, needs_sex (see ``rules.sex_needed``); leaflets have none."""
+    return packs.join(needs, "doc_id", "left").groupBy("pack_id").agg(F.coalesce(F.bool_or("needs_sex"), F.lit(False)).alias("needs_sex"))
+
+
 def validate_saved_sets(saved: DataFrame, catalogue: DataFrame) -> DataFrame:
     """set_id, n_kept, n_lost: members that the catalogue still has."""
     have = catalogue.select("doc_id", F.lit(True).alias("there")).distinct()
@@ -95,9 +108,8 @@ def pack_manifest(packs: DataFrame, forms: DataFrame) -> DataFrame:
 
 
 def search_all_terms(df: DataFrame, q: str) -> DataFrame:
-    """Rows whose title and group hold every word of ``q``."""
-    hay = F.lower(F.concat_ws(" ", "title", "group"))
-    return df.filter(reduce(lambda a, t: a & F.contains(hay, F.lit(t)), q.lower().split(), F.lit(True)))
+    """Rows whose title and group hold every word of ``q``: one pass over them. For many searches of one table see ``search.build_index``."""
+    return df.filter(reduce(lambda a, t: a & F.contains(searched_text(), F.lit(t)), q.lower().split(), F.lit(True)))
 
 
 def group_counts(df: DataFrame, picked: DataFrame) -> DataFrame:

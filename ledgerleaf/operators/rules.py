@@ -134,3 +134,9 @@ def section_breaks(df: DataFrame, form: list[str], order: str) -> DataFrame:
 
 def radio_choice(df: DataFrame, form: list[str], order: str) -> DataFrame:
     return df.filter("on AND kind = 'radio'").groupBy(*form, "name").agg(F.min_by("value", order).alias("value"))
+
+
+def sex_needed(df: DataFrame, form: list[str]) -> DataFrame:
+    """form, needs_sex: some box of the form is decided by the sex and left open without it. ``df`` has what ``default_action`` reads; rows of any sex count."""
+    df = df.withColumn("sex", F.lit(""))
+    return df.groupBy(*form).agg(F.bool_or(default_action(df).isin("female", "male", "known")).alias("needs_sex"))

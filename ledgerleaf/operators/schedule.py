@@ -20,7 +20,8 @@ def prefer_weekday(d: Column, day: int) -> Column:
 
 
 def item_dates(items: list[dict], anchors: dict[str, Column], default_day: int = 0) -> dict[str, Column]:
-    """A date for each item by label. An item's ``from`` is an anchor's name or ``ref``, another item's label."""
+    """A date for each item by label. An item starts at an anchor, which its ``from`` names (index if it has none), or with ``ref`` at another
+    item, by its label. Its ``day`` is the weekday wanted: 0 the caller's ``default_day``; without one the date stays."""
     done: dict[str, Column] = {}
     by = {i["label"]: i for i in items}
 
@@ -38,14 +39,14 @@ def item_dates(items: list[dict], anchors: dict[str, Column], default_day: int =
             start = anchors[name]
         else:
             raise ValueError(f"unknown anchor {name!r}")
-        done[label] = prefer_weekday(offset(start, i["n"], i["u"]), i.get("day", 0) or default_day)
+        done[label] = prefer_weekday(offset(start, i["n"], i["u"]), default_day if i.get("day") == 0 else i.get("day") or 0)
         return done[label]
 
     return {label: of(label, ()) for label in by}
 
 
 def expand_schedule(
-    cohort: DataFrame, presets: dict[str, list[dict]], key: str, preset: str, index: str, extra: list[dict] = (), anchors: dict[str, str] | None = None
+    cohort: DataFrame, presets: dict[str, list[dict]], key: str, preset: str, index: str, extra: list[dict] = (), anchors: dict[str, str] | None = None, default_day: int = 0,
 ) -> DataFrame:
     """key, item_ord, label, due: one row for each subject and item of its preset, extra items last.
 
@@ -55,7 +56,7 @@ def expand_schedule(
     case = None
     for name, items in presets.items():
         all_items = [*items, *extra]
-        dates = item_dates(all_items, {"index": F.col(index), **{k: F.col(c) for k, c in (anchors or {}).items()}})
+        dates = item_dates(all_items, {"index": F.col(index), **{k: F.col(c) for k, c in (anchors or {}).items()}}, default_day)
         rows = F.array(*[F.struct(F.lit(k).alias("item_ord"), F.lit(i["label"]).alias("label"), dates[i["label"]].alias("due")) for k, i in enumerate(all_items)])
         case = F.when(F.col(preset) == name, rows) if case is None else case.when(F.col(preset) == name, rows)
     return cohort.select(key, F.explode(case).alias("i")).select(key, "i.*")

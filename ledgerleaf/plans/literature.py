@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import literature as L
+from ..operators import terms as T
 from .tables import table
 
 AS_OF = "DATE '2024-12-31'"
@@ -17,6 +18,8 @@ TOPICS = {
     "german": {"all": ["der", {"any": ["die", "das"]}]},
     "spanish": {"all": ["de", "que", {"not": "la"}]},
 }
+#: Terms whose places are counted: words, phrases, stems.
+PLACED = ["the", "of the", "with", "from the", "der", "que", "en*", "wh*", "it is on*", "étre*", "and th*"]
 JOURNALS = [(0, "Src1 Annals", "Ann", "blue"), (1, "Src Letters", "Let", "red"), (2, "src12 Review", "Rev", "green"), (3, "Other", "Oth", "grey")]
 
 
@@ -31,13 +34,32 @@ def lit_search_latest(spark, sf_dir):
 
 
 def lit_topic_membership(spark, sf_dir):
-    return L.topic_membership(table(spark, sf_dir, "documents"), TOPICS, "text", "doc_id")
+    return T.topic_membership(table(spark, sf_dir, "documents"), TOPICS, "text", "doc_id")
 
 
 def lit_topic_counts(spark, sf_dir):
     return lit_topic_membership(spark, sf_dir).groupBy("topic").agg(F.count("*").alias("n"))
 
 
+def lit_term_places(spark, sf_dir):
+    """How often each of a list of terms occurs, and at which word at the earliest."""
+    found = T.find_terms(table(spark, sf_dir, "documents"), PLACED, "text", "doc_id", positions=True)
+    return found.groupBy("doc_id", "term").agg(F.count("*").alias("n"), F.min("pos").cast("long").alias("first"))
+
+
+def lit_near(spark, sf_dir):
+    """Documents in which two terms begin at most six words apart."""
+    return T.near(table(spark, sf_dir, "documents"), "with", "from the", 6, "text", "doc_id")
+
+
+def lit_journal_index(spark, sf_dir):
+    """Pages' hosts and paths as journals of articles, customers' and suppliers' names as the dimension: as many names on either side as the tables have."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat("p_name", F.lit(" "), F.col("p_partkey") % 1000).alias("journal"))
+    s = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ord"), F.concat(F.substring(F.md5("c_name"), 1, 2), F.lit("-"), F.col("c_custkey") % 1000, F.lit(" "), "c_name").alias("name"))
+    s = s.unionByName(table(spark, sf_dir, "part").select((F.col("p_partkey") + 100_000_000).alias("ord"), F.concat(F.substring(F.element_at(F.split("p_name", " "), -1), 2, 4), F.lit(" x")).alias("name")))
+    return L.tag_journal(p, s.select("ord", "name", F.col("name").alias("short"), F.lit("c").alias("color")), "doc_id").select("doc_id", "short")
+
+
 def _typed(spark, sf_dir):
     lab = table(spark, sf_dir, "labels")
     types = F.array_compact(F.array(F.when(F.col("quality") == 1, F.lit("review")), F.when(F.col("quality") == 0, F.lit("guideline")), F.when(F.col("toxic") == 1, F.lit("letter"))))
@@ -129,12 +151,27 @@ _DOCS = "(SELECT *, DATE '2024-01-01' + cast(doc_id % 365 AS INT) AS pub_date FR
 _J = ", ".join(f"({o}, '{n}', '{s}', '{c}')" for o, n, s, c in JOURNALS)
 
 QUERIES = {f.__name__: f for f in (
-    lit_search_latest, lit_topic_membership, lit_topic_counts, lit_type_filter, lit_article_summary, lit_citation, lit_journal_tag, lit_feed_sort, lit_presets, lit_days_ago, lit_feed_counts, lit_abstract,
+    lit_search_latest, lit_topic_membership, lit_topic_counts, lit_term_places, lit_near, lit_journal_index, lit_type_filter, lit_article_summary, lit_citation, lit_journal_tag, lit_feed_sort, lit_presets, lit_days_ago, lit_feed_counts, lit_abstract,
 )}
 ORACLE = {
     "lit_search_latest": f"SELECT doc_id, lang, pub_date FROM {_DOCS} WHERE {_sql(SEARCH)} AND pub_date >= {AS_OF} - 180 ORDER BY pub_date DESC, doc_id LIMIT 40",
     "lit_topic_membership": _MEMBERS,
     "lit_topic_counts": f"SELECT topic, count(*) AS n FROM ({_MEMBERS}) GROUP BY topic",
+    "lit_term_places": f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+') AS k FROM documents),
+        w AS (SELECT doc_id, k, unnest(range(1, len(k) + 1)) AS i, CASE WHEN regexp_matches(k[1], '^[\\p{{L}}\\p{{N}}_]') THEN 1 ELSE 2 END AS lead FROM t),
+        x AS (SELECT doc_id, (i - lead) // 2 AS pos, k[i] AS one, array_to_string(k[i:i + 2], '') AS two, array_to_string(k[i:i + 4], '') AS three, len(k) - i AS more FROM w WHERE (i - lead) % 2 = 0)
+        SELECT doc_id, term, count(*) AS n, min(pos) AS first FROM x JOIN (VALUES {", ".join(f"('{t}', '{t.rstrip('*')}', {t.endswith('*')}, {len(t.split())})" for t in PLACED)}) v(term, body, stem, words)
+          ON CASE words WHEN 1 THEN CASE WHEN stem THEN starts_with(one, body) ELSE one = body END WHEN 2 THEN more >= 2 AND CASE WHEN stem THEN starts_with(two, body) ELSE two = body END
+             ELSE more >= 4 AND CASE WHEN stem THEN starts_with(three, body) ELSE three = body END END GROUP BY doc_id, term""",
+    "lit_near": """WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]+') AS k FROM documents),
+        w AS (SELECT doc_id, k, unnest(range(1, len(k) + 1)) AS i, CASE WHEN regexp_matches(k[1], '^[\\p{L}\\p{N}_]') THEN 1 ELSE 2 END AS lead FROM t),
+        x AS (SELECT doc_id, (i - lead) // 2 AS pos, k[i] AS one, array_to_string(k[i:i + 2], '') AS two FROM w WHERE (i - lead) % 2 = 0)
+        SELECT DISTINCT a.doc_id FROM x a JOIN x b USING (doc_id) WHERE a.one = 'with' AND b.two = 'from the' AND abs(a.pos - b.pos) <= 6""",
+    "lit_journal_index": """WITH a AS (SELECT p_partkey AS doc_id, lower(p_name || ' ' || p_partkey % 1000) AS journal FROM part),
+        j AS (SELECT c_custkey AS ord, substr(md5(c_name), 1, 2) || '-' || c_custkey % 1000 || ' ' || c_name AS name FROM customer UNION ALL SELECT p_partkey + 100000000, substr(string_split(p_name, ' ')[-1], 2, 4) || ' x' FROM part),
+        d AS (SELECT journal, split_part(journal, ' ', 1) AS w FROM (SELECT DISTINCT journal FROM a)), e AS (SELECT lower(name) AS name, split_part(lower(name), ' ', 1) AS w, min(ord) AS ord FROM j GROUP BY ALL),
+        m AS (SELECT journal, min(ord) AS ord FROM d JOIN e ON contains(journal, e.w) OR contains(e.name, d.w) GROUP BY journal)
+        SELECT doc_id, name AS short FROM a LEFT JOIN m USING (journal) LEFT JOIN j USING (ord)""",
     "lit_type_filter": """SELECT doc_id, source, CASE WHEN quality = 1 THEN 'review; letter' WHEN toxic = 1 THEN 'guideline; letter' ELSE 'guideline' END AS type
         FROM documents JOIN labels USING (doc_id) WHERE (quality = 0 OR toxic = 1) AND source IN ('src1', 'src2', 'src3')""",
     "lit_article_summary": f"SELECT *, (journal LIKE '%src1%' OR journal LIKE '%src3%') AS high_impact FROM ({_ARTICLES})",

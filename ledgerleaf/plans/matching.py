@@ -26,13 +26,29 @@ def match_keys(spark, sf_dir):
     return _leaflets(spark, sf_dir).select("leaflet_id", F.array_join(M.leaflet_keys(F.col("title")), "|").alias("keys"), M.is_regimen(F.col("title")).alias("regimen"))
 
 
+#: How titles are joined: with which words behind a type's first two letters in capitals.
+ENDS = (" therapy", "-based therapy", "X-based therapy", " plus", "-", "--x", "1 2", "-1b", " and rest", " - rest")
+
+
+def match_regimens(spark, sf_dir):
+    """Titles of parts that are regimens, among them words with hyphens and in brackets."""
+    k = F.col("p_partkey")
+    end = F.element_at(F.array(*[F.lit(e) for e in ENDS]), (k % 10 + 1).cast("int"))
+    t = F.concat(F.initcap("p_name"), F.when(k % 3 == 0, " (").otherwise(" "), F.upper(F.substring("p_type", 1, 2)), end, F.when(k % 3 == 0, ")").otherwise(""))
+    return table(spark, sf_dir, "part").select("p_partkey", M.is_regimen(t).alias("regimen"))
+
+
 def match_suggest(spark, sf_dir):
     return M.suggest(_forms(spark, sf_dir), _leaflets(spark, sf_dir))
 
 
+#: Links with a letter, but for some words, in text or target.
+EVERY, LEFT_OUT = ["[a-z]"], ["the", "sch", "/de"]
+
+
 def page_links(spark, sf_dir):
     t = E.page_tokens(table(spark, sf_dir, "pages"), ("h1", "title"))
-    return E.filter_links(E.inherit_group(t), exclude=["no-such-word"]).select("page_id", "pos", "text", "href", "group")
+    return E.filter_links(E.inherit_group(t), include=EVERY, exclude=LEFT_OUT).select("page_id", "pos", "text", "href", "group")
 
 
 def page_groups(spark, sf_dir):
@@ -61,9 +77,29 @@ def page_titles(spark, sf_dir):
     return d.select("p_partkey", E.clean_title(F.col("t"), [r"\s*consent\s+form\s*(for\s+)?"]).alias("title"))
 
 
+def _lists(spark, sf_dir):
+    """Lists of ten pages each, in lists of ten lists, in lists of ten of those; every tenth list of pages names a list that was not fetched, and all name a list above, in a circle."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    at = lambda kind, k: F.concat(F.lit(f"https://x/{kind}-"), k, F.lit(".xml"))
+    ten = lambda c: F.floor(c / 10)
+    loc = lambda u: F.concat(F.lit("<url><loc> "), F.replace(u, F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>"))
+    rows = p.select(at("pages", ten(F.col("page_id"))).alias("url"), F.inline(F.array(*[F.struct(x.alias("named")) for x in (
+        F.concat("url", F.lit("?a=1&b="), "page_id"), F.when(ten(F.col("page_id")) % 10 == 3, at("gone", ten(F.col("page_id")))), at("top", F.floor(F.col("page_id") / 1000)),
+    )])))
+    mids = p.select(at("mid", F.floor(F.col("page_id") / 100)).alias("url"), at("pages", ten(F.col("page_id"))).alias("named"))
+    tops = p.select(at("top", F.floor(F.col("page_id") / 1000)).alias("url"), at("mid", F.floor(F.col("page_id") / 100)).alias("named"))
+    named = rows.filter("named IS NOT NULL").unionByName(mids).unionByName(tops).distinct()
+    return named.groupBy("url").agg(F.concat(F.lit("<urlset>"), F.array_join(F.array_sort(F.collect_list(loc(F.col("named")))), ""), F.lit("</urlset>")).alias("xml"))
+
+
 def sitemap(spark, sf_dir):
-    x = table(spark, sf_dir, "pages").groupBy((F.col("page_id") % 5).cast("string").alias("doc")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("<url><loc> "), "url", F.lit("?a=1&amp;b=2 </loc></url>")))), ""), F.lit("<loc>https://x/more.xml</loc></urlset>")).alias("xml"))
-    return E.sitemap_urls(x)
+    return E.sitemap_urls(_lists(spark, sf_dir).withColumnRenamed("url", "doc"), exclude="gone-3[.]")
+
+
+def sitemap_nested(spark, sf_dir):
+    """All that the topmost lists lead to."""
+    lists = _lists(spark, sf_dir)
+    return E.sitemap_tree(lists.select("url").filter("url LIKE '%/top-%'"), lists, page="b=[0-9]*[0-8]$")
 
 
 def _items(spark, sf_dir):
@@ -155,7 +191,7 @@ def layout_sections(spark, sf_dir):
 def layout_glyphs(spark, sf_dir):
     """First characters from names, in fonts by key."""
     k = F.col("c_custkey")
-    t = F.element_at(F.array(*[F.lit(x) for x in ("c yes", "o no", "£ x", "☐ y", "q z", "R w", "", "❐")]), (k % 8 + 1).cast("int"))
+    t = F.element_at(F.array(*[F.lit(x) for x in ("c yes", "o no", "£ x", "☐ y", "q z", "R w", "", "❐", "\uf06f", "\uf0a3 a")]), (k % 10 + 1).cast("int"))
     font = F.element_at(F.array(*[F.lit(x) for x in ("Webdings", "Wingdings", "Wingdings 2", "Arial", "Symbol")]), (k % 5 + 1).cast("int"))
     return table(spark, sf_dir, "customer").select("c_custkey", Y.box_glyph(t, font).alias("box"))
 
@@ -173,7 +209,7 @@ def layout_roles(spark, sf_dir):
 
 def layout_box_lines(spark, sf_dir):
     """Each box with the line nearest to its middle; lines stand 7 apart, boxes 20."""
-    b = _boxes(spark, sf_dir).filter("box_id < 1000000")
+    b = _boxes(spark, sf_dir).filter("box_id >= 0")
     top = b.groupBy("doc_id", "page").agg(F.max("y").alias("top"))
     lines = top.select("doc_id", "page", F.explode(F.sequence(F.lit(0), F.floor(F.col("top") / 7).cast("int") + 1)).alias("line")).select("doc_id", "page", "line", (F.col("line") * 7.0).alias("y"), F.concat(F.lit("l"), "line").alias("text"))
     return Y.box_lines(b, lines).select("box_id", "line", "text")
@@ -192,13 +228,16 @@ def layout_missing(spark, sf_dir):
 def _boxes(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     b = c.select(F.col("c_custkey").alias("box_id"), F.floor(F.col("c_custkey") / 40).alias("doc_id"), F.lit(1).alias("page"), ((F.col("c_custkey") % 4) * 100.0).alias("x"), (F.floor((F.col("c_custkey") % 40) / 4) * 20.0).alias("y"), F.lit(10.0).alias("w"), F.lit(10.0).alias("h"), (F.col("c_custkey") % 2 == 0).alias("glyph"))
-    again = b.filter("box_id % 7 = 0").withColumn("box_id", F.col("box_id") + 1_000_000).withColumn("x", F.col("x") + 1)
+    again = b.filter("box_id % 7 = 0").withColumn("box_id", -1 - F.col("box_id")).withColumn("x", F.col("x") + 1)
     return b.unionByName(again)
 
 
 def layout_boxes(spark, sf_dir):
+    """Pages whose options stand right of their boxes, left of them, or nowhere: grids."""
     b = Y.dedupe_boxes(_boxes(spark, sf_dir))
-    p = _boxes(spark, sf_dir).filter("box_id < 1000000").select("doc_id", "page", (F.col("x") + 15).alias("x0"), (F.col("x") + 60).alias("x1"), (F.col("y") + 1).alias("y"), F.concat(F.lit("t"), "box_id").alias("text"))
+    kind = F.col("doc_id") % 3
+    x = F.when(kind == 0, F.col("x") + 15).otherwise(F.col("x") - 40)
+    p = _boxes(spark, sf_dir).filter("box_id >= 0").filter(kind < 2).select("doc_id", "page", x.alias("x0"), (x + 35).alias("x1"), (F.col("y") + 1).alias("y"), F.concat(F.lit("t"), "box_id").alias("text"))
     return Y.box_options(b, p).select("box_id", "option", "side", "grid")
 
 
@@ -235,7 +274,7 @@ def layout_prompts(spark, sf_dir):
 
 
 def layout_fields(spark, sf_dir):
-    b = _boxes(spark, sf_dir).filter("box_id < 1000000")
+    b = _boxes(spark, sf_dir).filter("box_id >= 0")
     f = b.select(F.col("box_id").alias("field_id"), "doc_id", "page", (F.col("x") + 65).alias("x0"), (F.col("x") + 95).alias("x1"), "y")
     p = b.filter("box_id % 3 = 0").select("doc_id", "page", "x", F.col("x").alias("x0"), (F.col("x") + 60).alias("x1"), "y", F.concat(F.lit("l"), "box_id").alias("text")).drop("x")
     return Y.field_labels(f, p)
@@ -249,8 +288,13 @@ l AS (SELECT *, last_value(CASE WHEN NOT link AND text <> '' AND length(text) <=
 _LN = r"""ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
 c AS (SELECT doc_id, n, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS line FROM ln), o AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS line_no, line FROM c WHERE line <> '')"""
 
+_NAMED = """named AS (SELECT DISTINCT *, regexp_matches(named, '[.]xml$') AS is_index FROM (
+  SELECT 'https://x/pages-' || page_id // 10 || '.xml' AS url, url || '?a=1&b=' || page_id AS named FROM pages UNION ALL SELECT 'https://x/pages-' || page_id // 10 || '.xml', 'https://x/top-' || page_id // 1000 || '.xml' FROM pages
+  UNION ALL SELECT 'https://x/pages-' || page_id // 10 || '.xml', 'https://x/gone-' || page_id // 10 || '.xml' FROM pages WHERE page_id // 10 % 10 = 3
+  UNION ALL SELECT 'https://x/mid-' || page_id // 100 || '.xml', 'https://x/pages-' || page_id // 10 || '.xml' FROM pages UNION ALL SELECT 'https://x/top-' || page_id // 1000 || '.xml', 'https://x/mid-' || page_id // 100 || '.xml' FROM pages))"""
+
 QUERIES = {f.__name__: f for f in (
-    match_keys, match_suggest, page_links, page_groups, page_urls, page_fingerprint, page_dates, page_titles, sitemap,
+    match_keys, match_regimens, match_suggest, page_links, page_groups, page_urls, page_fingerprint, page_dates, page_titles, sitemap, sitemap_nested,
     layout_lines, layout_phrases, layout_labels, layout_leaders, layout_gaps, layout_blanks, layout_headings, layout_asked, layout_sections, layout_glyphs, layout_colons, layout_roles, layout_box_lines, layout_fonts, layout_missing, layout_boxes, layout_grid, layout_prompts, layout_fields,
 )}
 ORACLE = {
@@ -261,14 +305,20 @@ ORACLE = {
         b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY form_id, leaflet_id ORDER BY len DESC, key_ord, pos) AS rn FROM h) WHERE rn = 1),
         s AS (SELECT * FROM b WHERE regimen OR NOT EXISTS (SELECT 1 FROM b o WHERE o.form_id = b.form_id AND o.len > b.len AND b.pos >= o.pos AND b.pos + b.len <= o.pos + o.len))
         SELECT form_id, rank, leaflet_id FROM (SELECT form_id, leaflet_id, cast(row_number() OVER (PARTITION BY form_id ORDER BY regimen DESC, pos, leaflet_id) AS INT) AS rank FROM s) WHERE rank <= 5""",
-    "page_links": f"WITH {_TOK} SELECT page_id, cast(pos AS INT) AS pos, text, href, grp AS \"group\" FROM l WHERE link AND coalesce(grp, '') NOT LIKE '%?'",
+    "match_regimens": f"""WITH t AS (SELECT p_partkey, p_name AS a, CASE WHEN p_partkey % 3 = 0 THEN ' (' ELSE ' ' END || upper(substr(p_type, 1, 2)) || [{", ".join(f"'{e}'" for e in ENDS)}][p_partkey % 10 + 1] || CASE WHEN p_partkey % 3 = 0 THEN ')' ELSE '' END AS b FROM part),
+        u AS (SELECT p_partkey, array_to_string(list_transform(string_split(a, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') || b AS t FROM t)
+        SELECT p_partkey, regexp_matches(regexp_replace(t, '\\(.*?\\)', '', 'g'), '\\b[A-Z][A-Z0-9-]{{2,}}\\b') OR regexp_matches(t, '(?i)\\b(and|with)\\b') OR contains(t, ' - ') AS regimen FROM u""",
+    "page_links": f"WITH {_TOK} SELECT page_id, cast(pos AS INT) AS pos, text, href, grp AS \"group\" FROM l WHERE link AND coalesce(grp, '') NOT LIKE '%?' AND regexp_matches(text || ' ' || href, '(?i){'|'.join(EVERY)}') AND NOT regexp_matches(text || ' ' || href, '(?i){'|'.join(LEFT_OUT)}')",
     "page_groups": f"WITH {_TOK} SELECT page_id, grp AS \"group\", count(*) AS n_links FROM l WHERE link GROUP BY ALL",
     "page_urls": f"""WITH {_TOK} SELECT page_id, cast(pos AS INT) AS pos, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WHEN href LIKE '//%' THEN regexp_extract(url, '^[a-zA-Z]+:') || href
         WHEN href LIKE '/%' THEN regexp_extract(url, '^[a-zA-Z]+://[^/]+') || href ELSE regexp_replace(url, '([^:/])/[^/]*$', '\\1/') || href END AS target FROM l JOIN pages USING (page_id) WHERE link""",
     "page_fingerprint": r"""SELECT page_id, length(t) AS n_chars, CASE WHEN length(t) >= 400 THEN sha256(t) END AS sha FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[\s\x0B\x{85}\p{Z}]+', ' ', 'g')) AS t FROM pages)""",
     "page_dates": """SELECT page_id, CASE page_id % 3 WHEN 0 THEN '12 March 2023' WHEN 1 THEN '01/02/2024' END AS review, CASE page_id % 3 WHEN 0 THEN 'June 2026' END AS next_review, CASE page_id % 3 WHEN 0 THEN '2.1' END AS version FROM pages""",
     "page_titles": """SELECT p_partkey, 'The ' || upper(p_brand) || ' ' || lower(p_name) AS title FROM part""",
-    "sitemap": """SELECT cast(page_id % 5 AS VARCHAR) AS doc, url || '?a=1&b=2' AS url, false AS is_index FROM pages UNION ALL SELECT DISTINCT cast(page_id % 5 AS VARCHAR), 'https://x/more.xml', true FROM pages""",
+    "sitemap": f"WITH {_NAMED} SELECT url AS doc, named AS url, is_index FROM named WHERE NOT regexp_matches(named, 'gone-3[.]')",
+    "sitemap_nested": f"""WITH RECURSIVE {_NAMED}, t(url, is_index, depth) AS (SELECT DISTINCT url, true, 0 FROM named WHERE url LIKE '%/top-%'
+        UNION SELECT n.named, n.is_index, t.depth + 1 FROM t JOIN named n ON n.url = t.url WHERE t.depth < 4 AND (n.is_index OR regexp_matches(n.named, 'b=[0-9]*[0-8]$')))
+        SELECT url, is_index, cast(min(depth) AS INT) AS depth, CASE WHEN is_index THEN url IN (SELECT url FROM named) END AS stored FROM t GROUP BY ALL""",
     "layout_lines": f"WITH {_LN} SELECT doc_id, cast(line_no AS INT) AS line, len(string_split(line, ' ')) AS n, length(line) * 5.0::DOUBLE AS right FROM o",
     "layout_phrases": f"WITH {_LN} SELECT doc_id, cast(line_no AS INT) AS line, 0 AS phrase, sha256(line) AS sha, 0.0::DOUBLE AS x0, length(line) * 5.0::DOUBLE AS x1 FROM o",
     "layout_labels": r"""WITH ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, cast(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INT) AS ln FROM documents),
@@ -289,7 +339,7 @@ ORACLE = {
         a AS (SELECT spot_id, arg_min(section, h.y) FILTER (abs(h.x - s.x) < 60) AS s1, arg_min(section, h.y) AS s2 FROM s JOIN h ON h.doc_id = s.doc_id AND h.page = s.page AND h.y >= s.y - 1 GROUP BY 1),
         b AS (SELECT spot_id, arg_min(section, (-h.page) * 1e12 + h.y) AS s3 FROM s JOIN h ON h.doc_id = s.doc_id AND h.page < s.page GROUP BY 1)
         SELECT s.spot_id, coalesce(s1, s2, s3) AS section FROM s LEFT JOIN a USING (spot_id) LEFT JOIN b USING (spot_id)""",
-    "layout_glyphs": """SELECT c_custkey, CASE c_custkey % 8 WHEN 3 THEN true WHEN 7 THEN true WHEN 0 THEN c_custkey % 5 = 0 WHEN 1 THEN c_custkey % 5 = 1 WHEN 2 THEN c_custkey % 5 = 2 WHEN 4 THEN c_custkey % 5 = 1 ELSE false END AS box FROM customer""",
+    "layout_glyphs": """SELECT c_custkey, CASE c_custkey % 10 WHEN 3 THEN true WHEN 7 THEN true WHEN 8 THEN true WHEN 9 THEN true WHEN 0 THEN c_custkey % 5 = 0 WHEN 1 THEN c_custkey % 5 = 1 WHEN 2 THEN c_custkey % 5 = 2 WHEN 4 THEN c_custkey % 5 = 1 ELSE false END AS box FROM customer""",
     "layout_colons": "SELECT c_custkey, 'Signed:|Date:|' || c_mktsegment || ': x:|Y' AS labels FROM customer",
     "layout_roles": """SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN CASE p_partkey % 4 WHEN 0 THEN 'clin_name' WHEN 1 THEN 'consultant' END WHEN 1 THEN CASE p_partkey % 4 WHEN 0 THEN 'clin_role' WHEN 1 THEN 'consultant_role' END
         ELSE CASE WHEN p_partkey % 4 <> 2 THEN 'dob' END END AS role FROM part""",
@@ -298,7 +348,8 @@ ORACLE = {
     "layout_fonts": "SELECT l_suppkey AS doc_id, list_sort(list(l_quantity))[cast(floor(count(*) / 2) AS INT) + 1] AS fs FROM lineitem GROUP BY 1",
     "layout_missing": """SELECT l_orderkey AS doc_id, concat_ws(',', CASE WHEN NOT bool_or(l_returnflag || l_linestatus IN ('AF', 'RF')) THEN 'AF' END, CASE WHEN NOT bool_or(l_returnflag || l_linestatus = 'NO') THEN 'NO' END,
         CASE WHEN NOT bool_or(l_returnflag || l_linestatus = 'NF') THEN 'NF' END) AS missing FROM lineitem GROUP BY 1""",
-    "layout_boxes": "SELECT c_custkey AS box_id, 't' || c_custkey AS option, 'right' AS side, false AS grid FROM customer",
+    "layout_boxes": """SELECT c_custkey AS box_id, CASE WHEN c_custkey // 40 % 3 < 2 THEN 't' || c_custkey ELSE '' END AS option, CASE WHEN c_custkey // 40 % 3 = 1 THEN 'left' ELSE 'right' END AS side,
+        c_custkey // 40 % 3 = 2 AND count(*) OVER (PARTITION BY c_custkey // 4) >= 3 AS grid FROM customer""",
     "layout_grid": "SELECT c_custkey AS box_id, CASE WHEN c_custkey // 12 % 2 = 0 THEN 'top' || c_custkey % 3 || ' ' ELSE '' END || 'h' || c_custkey % 3 AS header FROM customer",
     "layout_prompts": "SELECT c_custkey AS box_id, 'Leaflet ' || c_custkey // 2 || ' given?' AS prompt FROM customer WHERE c_custkey // 2 % 3 = 0 AND c_custkey % 7 <> 0",
     "layout_fields": """WITH b AS (SELECT c_custkey AS id, c_custkey // 40 AS d, (c_custkey % 40) // 4 AS r, c_custkey % 4 AS x FROM customer)

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import extract as E
 from ..operators import pack as P
+from ..operators import rules as R
+from ..operators import search as S
+from ..sources.shared import shared_folder
+from . import ruling
 from .tables import table
 
 AS_OF = "DATE '2024-06-01'"
@@ -79,8 +85,12 @@ def fill_table(spark, sf_dir):
 
 
 def readiness(spark, sf_dir):
-    p = _people(spark, sf_dir).withColumnRenamed("person_id", "pack_id").withColumn("n_docs", F.col("pack_id") % 7).withColumn("needs_sex", F.lit(True))
-    return P.readiness_checks(p)
+    """Packs of two forms of tick boxes each; every third person's sex is not known, and counts where a form's boxes ask for it."""
+    p = _people(spark, sf_dir).withColumnRenamed("person_id", "pack_id").withColumn("n_docs", F.col("pack_id") % 7)
+    p = p.withColumn("sex", F.when(F.col("pack_id") % 3 == 0, "").otherwise(F.col("sex")))
+    forms = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pack_id"), F.explode(F.array(F.col("c_custkey") % 5, F.col("c_custkey") % 1000)).alias("doc_id"))
+    needs = R.sex_needed(ruling._ticks(spark, sf_dir).withColumn("doc_id", F.floor(F.col("p_partkey") / 2)), ["doc_id"])
+    return P.readiness_checks(p.join(P.pack_needs_sex(forms, needs), "pack_id", "left"))
 
 
 def _catalogue(spark, sf_dir):
@@ -107,6 +117,12 @@ def pack_add(spark, sf_dir):
     return P.add_to_pack(_pack(spark, sf_dir), more)
 
 
+def pack_added(spark, sf_dir):
+    """Of all lines beyond the second: how many documents they add to the packs, and how many are in there already."""
+    more = table(spark, sf_dir, "lineitem").filter("l_linenumber > 2").select(F.col("l_suppkey").alias("pack_id"), F.col("l_partkey").alias("doc_id"))
+    return P.addition_counts(_pack(spark, sf_dir), more)
+
+
 def saved_sets(spark, sf_dir):
     saved = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("set_id"), F.col("l_partkey").alias("doc_id"))
     return P.validate_saved_sets(saved, _catalogue(spark, sf_dir).filter("doc_id % 3 <> 0"))
@@ -121,6 +137,13 @@ def doc_search(spark, sf_dir):
     return P.search_all_terms(_catalogue(spark, sf_dir), "E brand#1 s").select("doc_id", "title", P.initial_bucket(F.col("title")).alias("bucket"))
 
 
+def doc_search_index(spark, sf_dir):
+    """The same over a stored index of grams, of two searches; the second has a word of two letters and one that only groups hold."""
+    index = S.build_index(_catalogue(spark, sf_dir), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    both = [S.search(spark, index, q).select(F.lit(q).alias("q"), "doc_id", "title") for q in ("E brand#1 s", "ee #23")]
+    return both[0].unionByName(both[1])
+
+
 def doc_group_counts(spark, sf_dir):
     c = _catalogue(spark, sf_dir)
     return P.group_counts(c, c.filter("doc_id % 6 = 0"))
@@ -150,7 +173,7 @@ _DATE = f"""d AS (SELECT o_orderkey, cast(o_orderdate AS DATE) AS d FROM orders)
 _AGE = f"cast(date_part('year', {AS_OF}) - date_part('year', parsed) - CASE WHEN strftime({AS_OF}, '%m%d') < strftime(parsed, '%m%d') THEN 1 ELSE 0 END AS INT)"
 
 QUERIES = {f.__name__: f for f in (
-    nhs_audit, date_parse, date_audit, id_extract, id_completeness, id_missing, fill_table, readiness, preset_resolve, pack_add, saved_sets, pack_manifest, doc_search, doc_group_counts, doc_items,
+    nhs_audit, date_parse, date_audit, id_extract, id_completeness, id_missing, fill_table, readiness, preset_resolve, pack_add, pack_added, saved_sets, pack_manifest, doc_search, doc_search_index, doc_group_counts, doc_items,
 )}
 ORACLE = {
     "nhs_audit": f"SELECT o_orderkey, (11 - ({_CHECK}) % 11) % 11 = cast(substr(nhs, 10, 1) AS INT) AS valid, {_SHOWN} AS shown FROM (SELECT o_orderkey, lpad(cast(o_orderkey * 7919 + 400000000 AS VARCHAR), 10, '9') AS nhs FROM orders)",
@@ -162,8 +185,11 @@ ORACLE = {
         count(*) FILTER (surname <> '' AND dob IS NOT NULL AND nhs <> '' AND mrn <> '') AS n_complete FROM i GROUP BY source""",
     "id_missing": f"""WITH {_NOTE} SELECT note_id, concat_ws(', ', CASE WHEN surname = '' THEN 'name' END, CASE WHEN dob IS NULL THEN 'date of birth' END, CASE WHEN nhs = '' THEN 'NHS number' END, CASE WHEN mrn = '' THEN 'MRN' END) AS missing FROM i""",
     "fill_table": f"WITH {_NOTE} SELECT * FROM ({_FILL}) WHERE value <> ''",
-    "readiness": f"""WITH {_NOTE} SELECT note_id AS pack_id, concat_ws('; ', CASE WHEN surname = '' THEN 'name is missing' END, CASE WHEN dob IS NULL THEN 'date of birth is missing or invalid' END,
-        CASE WHEN nhs = '' AND mrn = '' THEN 'NHS number or MRN is missing' END, CASE WHEN note_id % 7 = 0 THEN 'no document is chosen' END) AS errors, 'site is blank' AS warnings FROM i""",
+    "readiness": f"""WITH {_NOTE}, s AS (SELECT p_partkey // 2 AS doc_id, bool_or(why = 'choose by sex') AS needs FROM ({ruling.ORACLE['tick_defaults']}) GROUP BY 1),
+        w AS (SELECT note_id, coalesce(bool_or(s.needs), false) AS needs FROM i LEFT JOIN s ON s.doc_id IN (note_id % 5, note_id % 1000) GROUP BY 1)
+        SELECT note_id AS pack_id, concat_ws('; ', CASE WHEN surname = '' THEN 'name is missing' END, CASE WHEN dob IS NULL THEN 'date of birth is missing or invalid' END,
+        CASE WHEN nhs = '' AND mrn = '' THEN 'NHS number or MRN is missing' END, CASE WHEN note_id % 7 = 0 THEN 'no document is chosen' END) AS errors,
+        CASE WHEN needs AND note_id % 3 = 0 THEN 'site is blank; sex is not set' ELSE 'site is blank' END AS warnings FROM i JOIN w USING (note_id)""",
     "preset_resolve": """SELECT 'a' AS preset, 0 AS item_ord, (SELECT min(p_partkey) FROM part WHERE p_name ILIKE 'g%') AS doc_id
         UNION ALL SELECT 'a', 1, (SELECT min(p_partkey) FROM part WHERE p_name ILIKE '%e%' AND p_brand LIKE '%#2%') UNION ALL SELECT 'b', 0, NULL
         UNION ALL SELECT 'b', 1, (SELECT min(p_partkey) FROM part WHERE p_name ILIKE '%s')""",
@@ -171,11 +197,16 @@ ORACLE = {
         m AS (SELECT l_suppkey AS pack_id, l_partkey AS doc_id, min(l_orderkey) AS ord FROM lineitem WHERE l_linenumber = 3 GROUP BY ALL),
         f AS (SELECT m.* FROM m ANTI JOIN p ON m.pack_id = p.pack_id AND m.doc_id = p.doc_id)
         SELECT * FROM p UNION ALL SELECT f.pack_id, doc_id, cast(coalesce(l.last, 0) + row_number() OVER (PARTITION BY f.pack_id ORDER BY ord, doc_id) AS INT) FROM f LEFT JOIN (SELECT pack_id, max(ord) AS last FROM p GROUP BY 1) l ON l.pack_id = f.pack_id""",
+    "pack_added": """WITH p AS (SELECT DISTINCT l_suppkey AS pack_id, l_partkey AS doc_id FROM lineitem WHERE l_linenumber <= 2),
+        m AS (SELECT l_suppkey AS pack_id, l_partkey AS doc_id, count(*) AS n FROM lineitem WHERE l_linenumber > 2 GROUP BY ALL)
+        SELECT m.pack_id, count(*) FILTER (p.doc_id IS NULL) AS added, cast(sum(n) - count(*) FILTER (p.doc_id IS NULL) AS BIGINT) AS already FROM m LEFT JOIN p ON m.pack_id = p.pack_id AND m.doc_id = p.doc_id GROUP BY 1""",
     "saved_sets": "SELECT l_suppkey AS set_id, count(*) FILTER (l_partkey % 3 <> 0) AS n_kept, count(*) FILTER (l_partkey % 3 = 0) AS n_lost FROM lineitem GROUP BY 1",
     "pack_manifest": """WITH p AS (SELECT l_suppkey AS pack_id, l_partkey AS doc_id, cast(min(l_orderkey) AS INT) AS ord FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL)
         SELECT pack_id, ord, p_name AS title, CASE WHEN doc_id % 4 = 0 THEN 'fill by hand' WHEN doc_id % 3 = 0 THEN 'missing: dob, nhs' ELSE '' END AS problem FROM p JOIN part ON doc_id = p_partkey""",
     "doc_search": """SELECT p_partkey AS doc_id, p_name AS title, CASE WHEN regexp_matches(upper(substr(p_name, 1, 1)), '^[A-Z]$') THEN upper(substr(p_name, 1, 1)) ELSE '0–9' END AS bucket FROM part
         WHERE contains(lower(p_name || ' ' || p_brand), 'e') AND contains(lower(p_name || ' ' || p_brand), 'brand#1') AND contains(lower(p_name || ' ' || p_brand), 's')""",
+    "doc_search_index": """SELECT 'E brand#1 s' AS q, p_partkey AS doc_id, p_name AS title FROM part WHERE contains(lower(p_name || ' ' || p_brand), 'e') AND contains(lower(p_brand), 'brand#1') AND contains(lower(p_name || ' ' || p_brand), 's')
+        UNION ALL SELECT 'ee #23', p_partkey, p_name FROM part WHERE contains(lower(p_name || ' ' || p_brand), 'ee') AND contains(lower(p_brand), '#23')""",
     "doc_group_counts": "SELECT p_brand AS \"group\", count(*) AS n, count(*) FILTER (p_partkey % 6 = 0) AS n_picked, cast(min(p_partkey) AS INT) AS first FROM part GROUP BY 1",
     "doc_items": "SELECT CASE WHEN p_partkey % 2 = 0 THEN 'form' ELSE 'leaflet' END AS kind, p_partkey AS doc_id, p_name AS title, CASE WHEN p_partkey % 4 = 0 THEN p_brand || ' · 2' WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'shop · 2025' END AS meta FROM part",
 }

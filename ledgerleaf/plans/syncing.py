@@ -156,9 +156,10 @@ ORACLE = {
         SELECT source, coalesce(n_now, 0) AS n_now, coalesce(n_prev, 0) AS n_prev, coalesce(n_prev, 0) > 0 AND coalesce(n_now, 0) < 0.6 * n_prev AS held FROM a FULL JOIN b USING (source)""",
     "sync_ids": f"""WITH t AS (SELECT cast(p_partkey AS INT) AS ord, 'shop-' || {_SLUG.format('p_brand')} || '-' || {_SLUG.format("split_part(p_name, ' ', 1)")} AS base, p_partkey % 4 = 0 AS more, p_partkey % 3 + 2 AS k, p_partkey % 50 AS r FROM part),
         o AS (SELECT ord, CASE r WHEN 0 THEN base ELSE base || '-3' END AS id FROM t WHERE r < 2), n AS (SELECT ord, CASE WHEN more THEN base || '-' || k ELSE base END AS slug FROM t WHERE r >= 2),
-        u AS (SELECT id AS slug FROM o UNION SELECT slug FROM n), l AS (SELECT regexp_replace(slug, '-[0-9]+$', '') AS slug, max(cast(regexp_extract(slug, '-([0-9]+)$', 1) AS INT)) AS last FROM u WHERE regexp_matches(slug, '-[0-9]+$') GROUP BY 1),
-        x AS (SELECT n.ord, n.slug, coalesce(l.last, 1) AS last, row_number() OVER (PARTITION BY n.slug ORDER BY n.ord) + (n.slug IN (SELECT id FROM o))::INT AS nth FROM n LEFT JOIN l ON l.slug = n.slug)
-        SELECT ord, CASE WHEN nth = 1 THEN slug ELSE slug || '-' || (nth + greatest(last, 1) - 1) END AS id FROM x UNION ALL SELECT * FROM o""",
+        s AS (SELECT slug, count(*) AS n, min(ord) AS first, slug IN (SELECT id FROM o) AS held FROM n GROUP BY slug), taken AS (SELECT id FROM o UNION SELECT slug FROM s),
+        x AS (SELECT n.ord, n.slug, row_number() OVER (PARTITION BY n.slug ORDER BY n.ord) AS nth FROM n JOIN s USING (slug) WHERE s.held OR n.ord <> s.first),
+        k AS (SELECT slug, k, row_number() OVER (PARTITION BY slug ORDER BY k) AS nth FROM (SELECT slug, unnest(range(2, n + 2 + (SELECT count(*) FROM taken t WHERE starts_with(t.id, s.slug || '-')))) AS k FROM s) WHERE slug || '-' || k NOT IN (SELECT id FROM taken))
+        SELECT ord, slug || '-' || k AS id FROM x JOIN k USING (slug, nth) UNION ALL SELECT first, slug FROM s WHERE NOT held UNION ALL SELECT * FROM o""",
     "sync_union": """SELECT 'form' AS kind, count(*) AS n, count(source) AS n_source, 0 AS n_quality FROM documents UNION ALL SELECT 'leaflet', count(*), 0, count(quality) FROM labels""",
     "sync_gaps": """SELECT doc_id AS id, CASE WHEN quality <> 1 THEN 'not fillable' WHEN toxic = 1 AND doc_id % 3 = 0 THEN 'NHS number, date of birth' WHEN toxic = 1 THEN 'NHS number' ELSE 'date of birth' END AS gaps
         FROM documents JOIN labels USING (doc_id) WHERE quality <> 1 OR toxic = 1 OR doc_id % 3 = 0""",

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
+from . import versions
+
 
 def read_json_table(spark: SparkSession, path: str, schema: str, field: str | None = None) -> DataFrame:
     """Rows of a JSON file of documents; with ``field``, of that array inside it. A missing or malformed file has none."""
@@ -25,22 +25,14 @@ def read_catalogue(spark: SparkSession, path: str, forms: str, leaflets: str) ->
     return read_json_table(spark, path, forms, "forms"), read_json_table(spark, path, leaflets, "leaflets")
 
 
-def write_snapshot(df: DataFrame, root: str) -> str:
-    """Writes a new version under ``root``, then points to it; the version being read is never overwritten."""
-    version = f"{root}/v-{uuid.uuid4().hex}"
-    df.write.parquet(version)
-    spark = df.sparkSession
-    spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at")).coalesce(1).write.mode("append").json(f"{root}/versions")
-    return version
+def write_snapshot(df: DataFrame, root: str) -> int:
+    """Commits ``df`` as a new version under ``root``; the version being read is never overwritten. Returns its number."""
+    return versions.commit(df, root).number
 
 
 def read_snapshot(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """The newest version; an empty table where there is none."""
-    try:
-        last = spark.read.schema("version string, at timestamp").json(f"{root}/versions").agg(F.max_by("version", "at")).first()[0]
-    except AnalysisException:
-        last = None
-    return spark.read.parquet(last) if last else spark.createDataFrame([], schema)
+    return versions.read(spark, versions.newest(spark, root), schema)
 
 
 def export_csv(df: DataFrame, path: str) -> None:

@@ -6,28 +6,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.extract import extract_identifiers
-from ..operators.sync import sync
-from ..sources.files import read_snapshot, write_snapshot
+from ..operators import sync as S
+from ..sources import versions
 
 LISTING = "ord int, source string, title string, `group` string, url string, sha string, error string, file_present boolean"
-SNAPSHOT = "id string, source string, url string, title string, `group` string, sha string, analyser int, updated date"
+SNAPSHOT = S.STORED
 
 
-def sync_stream(spark: SparkSession, source_dir: str, state_dir: str, today: Column):
-    """Listings that arrive as Parquet files are synchronised with the newest snapshot; each batch writes the next.
+def sync_stream(spark: SparkSession, source_dir: str, state_dir: str, today: Column, buckets: int = 8, keep: int = 10):
+    """Listings that arrive as Parquet files are synchronised with the newest snapshot; each batch commits the next.
 
-    A batch that was written is not written again: its number is kept beside the snapshot. Sources that a batch does
-    not list, or lists too short, keep their rows.
+    The batch's number is part of the version's entry in the log, so snapshot and number appear together or not at all: a
+    batch that was committed is passed over, one that stopped before is done again from the same version. Sources that a batch does
+    not list, or lists too short, keep their rows. Versions beyond the newest ``keep`` go after a week.
     """
+    at = f"{state_dir}/catalogue"
 
     def batch(df: DataFrame, number: int) -> None:
-        done = read_snapshot(spark, f"{state_dir}/batches", "number long")
-        if not done.filter(F.col("number") == number).isEmpty():
+        last = versions.newest(spark, at)
+        if last and last.note.get("batch", -1) >= number:
             return
-        prev = read_snapshot(spark, f"{state_dir}/catalogue", SNAPSHOT)
-        out = sync(df, prev, today).filter("kept").select("id", "source", "url", "title", "group", "sha", F.lit(1).alias("analyser"), "updated")
-        write_snapshot(out, f"{state_dir}/catalogue")
-        write_snapshot(done.unionByName(spark.createDataFrame([(number,)], "number long")), f"{state_dir}/batches")
+        rows = S.next_rows(S.sync(df, S.stored(spark, last), today))
+        S.store(rows, at, buckets, {"batch": number}, last.number if last else 0)
+        versions.expire(spark, at, keep)
 
     stream = spark.readStream.schema(LISTING).parquet(source_dir)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{state_dir}/checkpoint").trigger(availableNow=True).start()
