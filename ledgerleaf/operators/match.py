@@ -34,7 +34,7 @@ def capital_run(parts: Column) -> Column:
         joined = F.when((a["run"] > 0) & (p != ""), a["run"] + 1).otherwise(0)  # with the hyphen before this part
         opens = F.when(joined > 0, joined + F.length(p)).when(p.rlike("^[A-Z]"), F.length(p)).otherwise(0)
         run = F.when(upper(p), opens).when((p == "") & (a["run"] > 0), a["run"] + 1).otherwise(0)  # nothing between two hyphens
-        return F.struct(run.cast("int").alias("run"), F.greatest(a["most"], run, joined).cast("int").alias("most"))
+        return F.struct(run.cast("int").alias("run"), F.greatest(a["most"], F.when(p != "", run), joined).cast("int").alias("most"))
 
     return F.aggregate(parts, start, add)["most"]
 
