@@ -22,16 +22,20 @@ _UNIT = f"(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![{_IN_WORD}])"
 
 
 def marked(text: Column) -> Column:
-    """The text with points inside numbers kept as a word character and units set off from numbers."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?<=[0-9])[.,](?=[0-9])", POINT), f"(?<=[0-9])(?={_UNIT})", " ")
+    """The text with points inside numbers kept as a word character and units, in either case, set off from numbers."""
+    return F.regexp_replace(F.regexp_replace(text, r"(?<=[0-9])[.,](?=[0-9])", POINT), f"(?<=[0-9])(?=(?i:{_UNIT}))", " ")
 
 
 def template(text: Column) -> Column:
     """``marked`` text with whole words replaced by placeholders. A name is any capitalised word, wherever it stands, so a copy
     has the same template in the middle of a sentence, after a line break or a quote."""
-    t = F.regexp_replace(text, rf"(?<![{_IN_WORD}])[\p{{Lu}}\p{{Lt}}][\p{{L}}\p{{M}}]*+(?![{_IN_WORD}])", NAME)
-    t = F.regexp_replace(t, f"(?<![{_IN_WORD}])[0-9][0-9{POINT}]*+(?![{_IN_WORD}])", NUMBER)
-    return F.regexp_replace(t, f"(?<={NUMBER} ){_UNIT}", UNIT)
+    return numbered(F.regexp_replace(text, rf"(?<![{_IN_WORD}])[\p{{Lu}}\p{{Lt}}][\p{{L}}\p{{M}}]*+(?![{_IN_WORD}])", NAME))
+
+
+def numbered(text: Column) -> Column:
+    """``marked`` text with numbers and units replaced by placeholders, names as they stand."""
+    t = F.regexp_replace(text, f"(?<![{_IN_WORD}])[0-9][0-9{POINT}]*+(?![{_IN_WORD}])", NUMBER)
+    return F.regexp_replace(t, f"({NUMBER}\\s+){_UNIT}", f"$1{UNIT}")
 
 
 def words(text: Column) -> Column:
@@ -40,16 +44,16 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), f"[^{_IN_WORD}{NAME}-{UNIT}]+", -1), lambda w: w != "")
 
 
-def window_hashes(tw: str, rw: str | None, size: int) -> Column:
+def window_hashes(tw: str, rw: str, size: int) -> Column:
     """Hashes of all runs of ``size`` words of the template ``tw``; none where there are fewer. A run of nothing but placeholders
-    counts by its values in ``rw``, so that a table of numbers isn't every other one; without ``rw`` its hash is null."""
+    counts by its values in ``rw``, so that a table of numbers isn't every other one."""
     runs = F.sequence(F.lit(0), F.size(tw) - size)  # words are taken one by one: a slice would copy the whole list
     at = lambda c, i: [F.get(F.col(c), i + k) for k in range(size)]
 
     def one(i):
         ws = at(tw, i)
         bare = F.greatest(*ws) <= UNIT if size > 1 else ws[0] <= UNIT
-        return F.when(~bare, F.xxhash64(*ws)).otherwise(F.xxhash64(F.lit(1), *at(rw, i)) if rw else F.lit(None).cast("long"))
+        return F.when(~bare, F.xxhash64(*ws)).otherwise(F.xxhash64(F.lit(1), *at(rw, i)))
 
     return F.when(F.size(tw) >= size, F.transform(runs, one)).otherwise(F.array().cast("array<bigint>"))
 
@@ -60,10 +64,16 @@ def short_hashes(rw: str, size: int) -> Column:
     return F.when(F.size(rw) >= size, F.transform(runs, lambda i: F.xxhash64(F.lit(-size), *[F.get(F.col(rw), i + k) for k in range(size)]))).otherwise(F.array().cast("array<bigint>"))
 
 
-def with_words(df: DataFrame, text: Column) -> DataFrame:
-    """Adds tw and rw: words of the template and of the text. Columns, so that functions over them read them and don't make them anew."""
-    df = df.withColumn("m", marked(text))
-    return df.withColumn("tw", words(template(F.col("m")))).withColumn("rw", words(F.col("m"))).drop("m")
+def with_words(df: DataFrame, text: Column, bare: int | None = None) -> DataFrame:
+    """Adds tw and rw: words of the template and of the text. Columns, so that functions over them read them and don't make them anew.
+
+    With ``bare``, rw is null where the template has no run of so many placeholders, which alone count by their values.
+    """
+    df = df.withColumn("m", marked(text)).withColumn("tm", template(F.col("m")))
+    mark, gap = f"[{NAME}-{UNIT}]", f"[^{_IN_WORD}{NAME}-{UNIT}]*+"
+    own = words(F.col("m"))
+    rw = own if bare is None else F.when(F.col("tm").rlike(f"(?:{mark}{gap}){{{bare}}}"), own)
+    return df.withColumn("tw", words(F.col("tm"))).withColumn("rw", rw).drop("m", "tm")
 
 
 def leaks(
@@ -79,6 +89,10 @@ def leaks(
     ``template``: a question with new parameters. An item of fewer than ``size`` words is one window of
     its own length and is found only with its own values: short templates would be met by chance.
 
+    An item has three views: its template; its words in lower case with numbers and units as placeholders, as a copy all in lower case has no
+    names; and its values, as a copy in capitals is a run of names, which counts by its values. A document is made into one template, and a pair is a
+    leak if one view finds it.
+
     Items' windows are counted first: up to ``most_windows`` of them are broadcast; more are joined by
     shuffle. Documents are never compared with each other. ``row`` hashes the text.
 
@@ -87,25 +101,29 @@ def leaks(
     give one leak. Null ids are kept. An empty table on either side gives an empty result. Other columns are ignored.
     """
     items = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), text_or_empty(item_text_col).alias("t"))
-    items = with_words(items, F.col("t")).filter(F.size("rw") > 0).select("item", "tw", "rw")
-    slots = lambda n: F.expr(f"filter(transform(slice(tw, q + 1, {n}), (w, j) -> if(w <= '{UNIT}', named_struct('j', j, 'w', w, 'v', rw[q + j]), NULL)), x -> x IS NOT NULL)")
-    long_ = items.filter(F.size("tw") >= size).select("item", "tw", "rw", F.posexplode_outer(window_hashes("tw", "rw", size)).alias("q", "h")).filter("h IS NOT NULL")
-    of_item = long_.withColumn("slots", slots(size)).select("item", "q", "h", "slots")
+    items = with_words(items.withColumn("lw", words(numbered(marked(F.col("t"))))), F.col("t")).filter(F.size("rw") > 0)
+    long_ = items.filter(F.size("tw") >= size)
+    plain = long_.select(F.struct(F.lit(0).alias("view"), "item").alias("item"), "tw", "rw", window_hashes("tw", "rw", size).alias("hs"))
+    lower = long_.filter(F.col("lw") != F.col("tw")).select(F.struct(F.lit(1).alias("view"), "item").alias("item"), F.col("lw").alias("tw"), "rw").withColumn("hs", window_hashes("tw", "rw", size))
+    valued = F.transform(F.sequence(F.lit(0), F.size("rw") - size), lambda i: F.xxhash64(F.lit(1), *[F.get(F.col("rw"), i + k) for k in range(size)]))
+    none = F.expr("cast(array() AS array<struct<j:int,w:string,v:string>>)")
+    slots = F.expr(f"filter(transform(slice(tw, q + 1, {size}), (w, j) -> if(w <= '{UNIT}', named_struct('j', j, 'w', w, 'v', rw[q + j]), NULL)), x -> x IS NOT NULL)")
+    of_item = plain.unionByName(lower).select("item", "tw", "rw", F.posexplode_outer("hs").alias("q", "h")).filter("h IS NOT NULL").select("item", "q", "h", slots.alias("slots"))
+    own = long_.select(F.struct(F.lit(2).alias("view"), "item").alias("item"), F.posexplode_outer(valued).alias("q", "h")).filter("h IS NOT NULL")
+    of_item = of_item.unionByName(own.withColumn("slots", none))
     short = reliable(items.filter(F.size("tw") < size).select("item", F.size("rw").alias("n"), "rw"))
     lengths = sorted(r["n"] for r in short.select("n").distinct().collect())  # under ``size`` numbers
     for n in lengths:
-        one = short.filter(F.col("n") == n).select("item", F.posexplode(short_hashes("rw", n)).alias("q", "h"))
-        of_item = of_item.unionByName(one.select("item", "q", "h", F.expr("cast(array() AS array<struct<j:int,w:string,v:string>>)").alias("slots")))
+        one = short.filter(F.col("n") == n).select(F.struct(F.lit(0).alias("view"), "item").alias("item"), F.posexplode(short_hashes("rw", n)).alias("q", "h"))
+        of_item = of_item.unionByName(one.withColumn("slots", none))
     of_item = reliable(of_item)
     sizes = of_item.groupBy("item").agg(F.countDistinct("h").alias("n_windows"))
     few = of_item.count() <= most_windows
     small = (lambda x: F.broadcast(x)) if few else (lambda x: x)
 
     text = F.col(text_col).cast("string")
-    docs = with_words(df.filter(F.length(text) > 0).select(F.col(id_col), F.xxhash64(text).alias("row"), text.alias("t")), F.col("t"))
-    # the texts' own words are only made where an item has a run that counts by its values
-    bare = not of_item.filter(F.size("slots") == size).isEmpty()
-    hashes = [window_hashes("tw", "rw" if bare else None, size), *[short_hashes("rw", n) for n in lengths]]
+    docs = with_words(df.filter(F.length(text) > 0).select(F.col(id_col), F.xxhash64(text).alias("row"), text.alias("t")), F.col("t"), None if lengths else size)
+    hashes = [window_hashes("tw", "rw", size), *[short_hashes("rw", n) for n in lengths]]
     hashed = docs.select(id_col, "row", (F.concat(*hashes) if lengths else hashes[0]).alias("hs"))
     # outer: else a test that the list isn't empty would go below, and make the list a second time, word by word
     met = hashed.select(id_col, "row", F.posexplode_outer("hs").alias("p", "h")).join(small(of_item), "h")
@@ -139,9 +157,12 @@ def leaks(
     out = joined.groupBy(*key, "n_windows").agg(
         F.countDistinct("h").alias("n_found"), F.max("n_slots").alias("n_slots"), F.min("new").alias("new")
     ).filter(F.col("n_found") >= coverage * F.col("n_windows"))
+    # of the views that find an item the one that finds most, the template before others
+    of = F.struct((F.col("n_found") / F.col("n_windows")).alias("coverage"), (-F.col("item.view")).alias("v"), "n_windows", "n_found", "n_slots", "new")
+    out = out.groupBy(id_col, "row", F.col("item.item").alias("item")).agg(F.max(of).alias("o"))
     return out.select(
-        id_col, "row", F.col("item").alias(item_col), F.col("n_windows").cast("long"), F.col("n_found").cast("long"),
-        (F.col("n_found") / F.col("n_windows")).alias("coverage"), F.col("n_slots").cast("long"), F.when(F.col("new"), "template").otherwise("exact").alias("kind"),
+        id_col, "row", F.col("item").alias(item_col), F.col("o.n_windows").cast("long").alias("n_windows"), F.col("o.n_found").cast("long").alias("n_found"),
+        "o.coverage", F.col("o.n_slots").cast("long").alias("n_slots"), F.when(F.col("o.new"), "template").otherwise("exact").alias("kind"),
     )
 
 
