@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import canonical_url, clean_text, nhs_digits, nhs_valid, parse_uk_date
+from ..functions.columns import canonical_url, clean_text, let, nhs_digits, nhs_valid, parse_uk_date
 from ..sources.shared import kept, small
 
 
@@ -187,19 +187,21 @@ def said_name(said: Column) -> Column:
 
 def said_number(said: Column) -> Column:
     """Up to three letters and 4 to 12 digits, in capitals."""
-    word = F.upper(F.element_at(F.split(F.ltrim(said, F.lit(" \t\n.:#")), "[^A-Za-z0-9_]"), 1))
-    digits = F.ltrim(word, F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-    fits = (F.length(word) - F.length(digits) <= 3) & F.length(digits).between(4, 12) & (F.translate(digits, "0123456789", "") == "")
-    return F.when(fits, word)
+
+    def check(w: Column) -> Column:
+        digits = F.ltrim(w, F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+        return F.when((F.length(w) - F.length(digits) <= 3) & F.length(digits).between(4, 12) & (F.translate(digits, "0123456789", "") == ""), w)
+
+    return let(F.upper(F.element_at(F.split(F.ltrim(said, F.lit(" \t\n.:#")), "[^A-Za-z0-9_]"), 1)), check)
 
 
 def said_ten_digits(said: Column) -> Column:
     """The first ten digits, in groups with a blank or hyphen between, if a group ends there."""
-    groups = F.split(F.ltrim(said, F.lit(" \t\n.:#")), "[\\s-]")
-    upto = F.transform(groups, lambda g, i: F.array_join(F.slice(groups, 1, i + 1), ""))
     # of the group that makes ten, what is no part of the number may follow it: a comma, a bracket
-    plain = F.transform(upto, lambda u: F.element_at(F.split(u, "[^A-Za-z0-9_]"), 1))
-    return F.get(F.filter(plain, lambda u: (F.length(u) == 10) & (F.translate(u, "0123456789", "") == "")), 0)
+    plain = lambda u: F.element_at(F.split(u, "[^A-Za-z0-9_]"), 1)
+    upto = lambda g: F.transform(g, lambda x, i: plain(F.array_join(F.slice(g, 1, i + 1), "")))
+    groups = F.slice(F.split(F.ltrim(said, F.lit(" \t\n.:#")), "[\\s-]"), 1, 10)
+    return F.get(F.filter(let(groups, upto), lambda u: (F.length(u) == 10) & (F.translate(u, "0123456789", "") == "")), 0)
 
 
 def said_date(said: Column, as_of: Column) -> Column:
@@ -212,7 +214,7 @@ def said_date(said: Column, as_of: Column) -> Column:
 
 def said_sex(said: Column) -> Column:
     word = F.lower(F.element_at(F.split(F.ltrim(said, F.lit(" \t\n:")), "[^A-Za-z0-9_]"), 1))
-    return F.when(word.isin(*SEXES), F.upper(F.substring(word, 1, 1)))
+    return let(word, lambda w: F.when(w.isin(*SEXES), F.upper(F.substring(w, 1, 1))))
 
 
 def without_title(c: Column) -> Column:
@@ -229,11 +231,15 @@ def name_line(line: Column) -> Column:
 
 def split_name(c: Column) -> Column:
     """(last, first) of ``SURNAME, First``, without titles and bracketed parts; null where one has no letter."""
-    at = F.instr(c, ",")
-    last = without_title(clean_text(F.substr(c, F.lit(1), at - 1)))
-    first = clean_text(F.regexp_replace(without_title(clean_text(F.substr(c, at + 1))), "[(][^)]*[)]", " "))
     letter = lambda x: F.length(F.translate(F.lower(x), "abcdefghijklmnopqrstuvwxyz", "")) < F.length(x)
-    return F.when((at > 1) & letter(last) & letter(first), F.struct(last.alias("last"), first.alias("first")))
+
+    def cut(x: Column) -> Column:
+        at = F.instr(x, ",")
+        last = without_title(clean_text(F.substr(x, F.lit(1), at - 1)))
+        first = clean_text(F.regexp_replace(without_title(clean_text(F.substr(x, at + 1))), "[(][^)]*[)]", " "))
+        return F.when(at > 1, F.struct(last.alias("last"), first.alias("first")))
+
+    return let(let(c, cut), lambda n: F.when(letter(n["last"]) & letter(n["first"]), n))
 
 
 def extract_identifiers(notes: DataFrame, as_of: Column) -> DataFrame:
