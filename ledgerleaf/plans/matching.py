@@ -67,9 +67,17 @@ def page_fingerprint(spark, sf_dir):
 
 
 def page_dates(spark, sf_dir):
+    """Dates and versions that go by the page, behind the page's own title, in five wordings, one of them without any."""
     k = F.col("page_id")
-    said = F.when(k % 3 == 0, "Last reviewed: 12 March 2023. Next review due: June 2026. Version 2.1").when(k % 3 == 1, "Reviewed 01/02/2024").otherwise("nothing")
-    return table(spark, sf_dir, "pages").withColumn("t", said).select("page_id", *E.extract_dates(F.col("t")))
+    month = F.element_at(F.array(*[F.lit(m) for m in ("January", "May", "September")]), (k % 3 + 1).cast("int"))
+    day, year = k % 28 + 1, k % 30 + 1995
+    said = (
+        F.when(k % 5 == 0, F.concat(F.lit("Last reviewed: "), day, F.lit(" "), month, F.lit(" "), year, F.lit(". Next review due: "), month, F.lit(" "), year + 3, F.lit(". Version "), k % 7, F.lit("."), k % 4))
+        .when(k % 5 == 1, F.concat(F.lit("Reviewed "), F.lpad(day.cast("string"), 2, "0"), F.lit("/02/"), year)).when(k % 5 == 2, F.concat(F.lit("review date: "), month, F.lit(" "), year, F.lit("; VERSION: "), k % 9))
+        .when(k % 5 == 3, F.concat(F.lit("Due for review "), day, F.lit("/11/"), year % 100 + 10, F.lit(" previewed 2001"))).otherwise("conversion 3, nothing due")
+    )
+    text = F.concat(F.regexp_extract("html", "<title>([^<]*)", 1), F.lit(" "), said)
+    return table(spark, sf_dir, "pages").select("page_id", *E.extract_dates(text))
 
 
 def page_titles(spark, sf_dir):
@@ -313,7 +321,9 @@ ORACLE = {
     "page_urls": f"""WITH {_TOK} SELECT page_id, cast(pos AS INT) AS pos, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WHEN href LIKE '//%' THEN regexp_extract(url, '^[a-zA-Z]+:') || href
         WHEN href LIKE '/%' THEN regexp_extract(url, '^[a-zA-Z]+://[^/]+') || href ELSE regexp_replace(url, '([^:/])/[^/]*$', '\\1/') || href END AS target FROM l JOIN pages USING (page_id) WHERE link""",
     "page_fingerprint": r"""SELECT page_id, length(t) AS n_chars, CASE WHEN length(t) >= 400 THEN sha256(t) END AS sha FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[\s\x0B\x{85}\p{Z}]+', ' ', 'g')) AS t FROM pages)""",
-    "page_dates": """SELECT page_id, CASE page_id % 3 WHEN 0 THEN '12 March 2023' WHEN 1 THEN '01/02/2024' END AS review, CASE page_id % 3 WHEN 0 THEN 'June 2026' END AS next_review, CASE page_id % 3 WHEN 0 THEN '2.1' END AS version FROM pages""",
+    "page_dates": """WITH k AS (SELECT page_id, page_id % 5 AS r, ['January', 'May', 'September'][page_id % 3 + 1] AS m, page_id % 28 + 1 AS d, page_id % 30 + 1995 AS y FROM pages)
+        SELECT page_id, CASE r WHEN 0 THEN d || ' ' || m || ' ' || y WHEN 1 THEN lpad(d::VARCHAR, 2, '0') || '/02/' || y WHEN 2 THEN m || ' ' || y END AS review,
+        CASE r WHEN 0 THEN m || ' ' || (y + 3) WHEN 3 THEN d || '/11/' || (y % 100 + 10) END AS next_review, CASE r WHEN 0 THEN page_id % 7 || '.' || page_id % 4 WHEN 2 THEN (page_id % 9)::VARCHAR END AS version FROM k""",
     "page_titles": """SELECT p_partkey, 'The ' || upper(p_brand) || ' ' || lower(p_name) AS title FROM part""",
     "sitemap": f"WITH {_NAMED} SELECT url AS doc, named AS url, is_index FROM named WHERE NOT regexp_matches(named, 'gone-3[.]')",
     "sitemap_nested": f"""WITH RECURSIVE {_NAMED}, t(url, is_index, depth) AS (SELECT DISTINCT url, true, 0 FROM named WHERE url LIKE '%/top-%'

@@ -113,7 +113,7 @@ def _pack(spark, sf_dir):
 
 
 def pack_add(spark, sf_dir):
-    more = table(spark, sf_dir, "lineitem").filter("l_linenumber = 3").select(F.col("l_suppkey").alias("pack_id"), F.col("l_partkey").alias("doc_id"), F.col("l_orderkey").cast("int").alias("ord"))
+    more = table(spark, sf_dir, "lineitem").filter("l_linenumber > 2").select(F.col("l_suppkey").alias("pack_id"), F.col("l_partkey").alias("doc_id"), F.col("l_orderkey").cast("int").alias("ord"))
     return P.add_to_pack(_pack(spark, sf_dir), more)
 
 
@@ -194,7 +194,7 @@ ORACLE = {
         UNION ALL SELECT 'a', 1, (SELECT min(p_partkey) FROM part WHERE p_name ILIKE '%e%' AND p_brand LIKE '%#2%') UNION ALL SELECT 'b', 0, NULL
         UNION ALL SELECT 'b', 1, (SELECT min(p_partkey) FROM part WHERE p_name ILIKE '%s')""",
     "pack_add": """WITH p AS (SELECT l_suppkey AS pack_id, l_partkey AS doc_id, cast(min(l_orderkey) AS INT) AS ord FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL),
-        m AS (SELECT l_suppkey AS pack_id, l_partkey AS doc_id, min(l_orderkey) AS ord FROM lineitem WHERE l_linenumber = 3 GROUP BY ALL),
+        m AS (SELECT l_suppkey AS pack_id, l_partkey AS doc_id, min(l_orderkey) AS ord FROM lineitem WHERE l_linenumber > 2 GROUP BY ALL),
         f AS (SELECT m.* FROM m ANTI JOIN p ON m.pack_id = p.pack_id AND m.doc_id = p.doc_id)
         SELECT * FROM p UNION ALL SELECT f.pack_id, doc_id, cast(coalesce(l.last, 0) + row_number() OVER (PARTITION BY f.pack_id ORDER BY ord, doc_id) AS INT) FROM f LEFT JOIN (SELECT pack_id, max(ord) AS last FROM p GROUP BY 1) l ON l.pack_id = f.pack_id""",
     "pack_added": """WITH p AS (SELECT DISTINCT l_suppkey AS pack_id, l_partkey AS doc_id FROM lineitem WHERE l_linenumber <= 2),

@@ -49,7 +49,7 @@ def tick_defaults(spark, sf_dir):
 
 
 def _overridden(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_partkey").alias("p_partkey"), F.col("l_orderkey").alias("ord"), (F.col("l_quantity") > 25).alias("on"))
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), (F.col("l_quantity") > 25).alias("on"))
     return R.apply_overrides(_defaults(spark, sf_dir), li, ["p_partkey"])
 
 
@@ -101,7 +101,7 @@ a AS (SELECT *, CASE WHEN matrix AND g1 <> 'never' AND NOT ((g1 = 'female' AND s
 o AS (SELECT *, action = 'always' OR (action = 'female' AND sex = 'F') OR (action = 'male' AND sex = 'M') OR (action = 'known' AND sex <> '') AS on0,
   CASE WHEN action IN ('female', 'male', 'known') AND sex = '' THEN 'choose by sex' WHEN (action = 'female' AND sex = 'M') OR (action = 'male' AND sex = 'F') THEN 'other sex' WHEN action = 'review' THEN 'review' ELSE note END AS why FROM a),
 x AS (SELECT *, on0 AND (NOT grouped OR sum(on0::INT) OVER (PARTITION BY form, sex, grouped ORDER BY p_partkey ROWS UNBOUNDED PRECEDING) = 1) AS is_on FROM o),
-v AS (SELECT l_partkey AS p_partkey, arg_max(l_quantity > 25, l_orderkey) AS w FROM lineitem WHERE l_linenumber = 1 GROUP BY 1),
+v AS (SELECT l_partkey AS p_partkey, arg_max(l_quantity > 25, l_orderkey * 10 + l_linenumber) AS w FROM lineitem GROUP BY 1),
 y AS (SELECT x.*, coalesce(w, is_on) AS on1, w IS NOT NULL AND w <> is_on AS changed FROM x LEFT JOIN v USING (p_partkey))"""
 _ANY = {"r1": f"{_TEXT} ILIKE '%promo%'", "r2": "regexp_matches(p_type, '(?i)^standard') AND regexp_matches(p_name, '(?i)[aeiou]d')", "r3": "regexp_matches(p_type, '(?i)^small')", "r4": "p_brand ILIKE '%brand#1%'", "r5": f"{_TEXT} ILIKE '%steel%'", "r6": "regexp_matches(p_name, '(?i)[xyz]')", "r7": "p_brand ILIKE '%brand#2%'"}
 
