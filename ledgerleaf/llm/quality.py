@@ -7,12 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import counted, known, reliable, text_or_empty
+from .common import counted, give_back, known, reliable, text_or_empty
 
 #: Bits of a symbol; a symbol is a code point. Three fit into a long.
 BITS = 21
@@ -163,7 +164,10 @@ def perplexities(
                 found[lang] = [np.unique(np.concatenate([held[0], *held[1]])), [], 0]
         out = [(lang, np.unique(np.concatenate([had, *more]))) for lang, (had, more, _) in found.items()]
         lists = [pa.array(np.full(sum(len(g) for _, g in out), part), pa.int32()), pa.array([lang for lang, g in out for _ in range(len(g))], pa.string())]
-        return pa.Table.from_arrays([*lists, pa.array(np.concatenate([g for _, g in out]) if out else [], pa.int64())], schema=used)
+        own = pa.array(np.concatenate([g for _, g in out]) if out else [], pa.int64())
+        del found, out
+        give_back()
+        return pa.Table.from_arrays([*lists, own], schema=used)
 
     # dealt by gram once, for the lookup and for what goes back
     asked = rows.groupBy("part").applyInArrow(distinct, StructType.fromDDL("part int, lang string, g long")).repartition("lang", "g")
@@ -182,7 +186,9 @@ def perplexities(
                 continue
             have, p = by[lang]
             scores.append(float(10 ** -p[np.searchsorted(have, grams(text))].mean()))
-        sizes = [len(t) for t in table["text"].to_pylist()]
+        sizes = pc.utf8_length(table["text"]).to_numpy()
+        del by
+        give_back()
         return pa.Table.from_arrays([table["id"].combine_chunks().cast(out.field("id").type), table["row"].combine_chunks(), table["lang"].combine_chunks(), pa.array(sizes, pa.int64()), pa.array(scores, pa.float64())], schema=out)
 
     return rows.groupBy("part").cogroup(values.groupBy("part")).applyInArrow(score, schema)
