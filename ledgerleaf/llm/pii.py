@@ -114,7 +114,8 @@ def sanitised(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
 
     Spans that touch are one place, which gets the kind of the first in angle brackets. Terms to be
     generalised get their shape (``name``, ``acronym``, ``code``, ``word``); a place of terms to be removed only goes. Null texts stay
-    null. Texts without spans are not touched; the others meet their places in a join by id and hash.
+    null. Texts without spans are passed on as they are, without a shuffle: the ids of the others are counted, up to two million broadcast. Those others
+    meet their places in a join by id and hash.
     """
     spans = found.select(F.col(id_col).alias("id"), "at", F.explode_outer(F.concat("base", "terms")).alias("i")).filter("i IS NOT NULL").select("id", "at", "i.s", "i.e", "i.k", "i.kind", "i.x").distinct()
     w = Window.partitionBy("id", "at").orderBy("s", "k", "e")
@@ -123,15 +124,22 @@ def sanitised(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
     spans = spans.groupBy("id", "at", "place").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.min_by(F.struct("kind", "x"), F.struct("s", "k")).alias("first"), F.bool_and(F.col("x") == "remove").alias("goes"))
     cuts = spans.groupBy(F.col("id").alias("c_id"), F.col("at").alias("c_at")).agg(F.array_sort(F.collect_list(F.struct("s", "e", "first", F.coalesce("goes", F.lit(False)).alias("goes")))).alias("cuts"))
     own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("own"), F.col(id_col).alias("own_id"), F.xxhash64(text_or_empty(text_col)).alias("own_at"))
-    out = own.join(cuts, F.col("own_id").eqNullSafe(F.col("c_id")) & (F.col("own_at") == F.col("c_at")), "left")
-    some = F.size(F.coalesce("cuts", F.array())) > 0
-    out = out.withColumn("chars", F.when(some, F.split(F.col("own")[text_col].cast("string"), "")).otherwise(F.array().cast("array<string>")))
-    piece = lambda a, z: f"array_join(if({a} >= {z}, cast(array() AS array<string>), transform(sequence({a}, {z} - 1), j -> chars[j])), '')"
-    out = out.withColumn("parts", F.expr(f"""transform(cuts, (c, k) -> named_struct('kept', {piece("if(k = 0, 0, cuts[k - 1].e)", "c.s")}, 'cut', {piece("c.s", "c.e")}, 'c', c))"""))
-    stand = lambda p: F.when(p["c"]["goes"], "").otherwise(F.concat(F.lit("<"), F.when(p["c"]["first"]["kind"] == "term", shape(p["cut"])).otherwise(p["c"]["first"]["kind"]), F.lit(">")))
-    tail = F.expr(piece("cuts[size(cuts) - 1].e", "size(chars)"))
-    new = F.when(some, F.concat(F.array_join(F.transform("parts", lambda p: F.concat(p["kept"], stand(p))), ""), tail)).otherwise(F.col("own")[text_col].cast("string"))
-    return out.withColumn("new", new).select(*[F.col("new").alias(c) if c == text_col else F.col("own")[c].alias(c) for c in df.columns])
+    same = lambda of, at: F.col("own_id").eqNullSafe(F.col(of)) & (F.col("own_at") == F.col(at))
+    cuts = reliable(cuts)
+    some = counted(cuts.select(F.col("c_id").alias("s_id"), F.col("c_at").alias("s_at")))
+    out = own.join(some, same("s_id", "s_at"), "left_semi").join(cuts, same("c_id", "c_at"))
+    text = F.col("own")[text_col].cast("string")
+    piece = lambda a, z: F.when(z > a, F.substr(text, a + 1, z - a)).otherwise(F.lit(""))
+
+    def part(c: Column, k: Column) -> Column:
+        begin = F.when(k == 0, F.lit(0)).otherwise(F.get(F.col("cuts"), k - 1)["e"])
+        sign = F.when(c["first"]["kind"] == "term", shape(piece(c["s"], c["e"]))).otherwise(c["first"]["kind"])
+        return F.concat(piece(begin, c["s"]), F.when(c["goes"], "").otherwise(F.concat(F.lit("<"), sign, F.lit(">"))))
+
+    tail = piece(F.element_at("cuts", -1)["e"], F.length(text))
+    cut = out.select("own", F.concat(F.array_join(F.transform("cuts", part), ""), tail).alias("new"))
+    rest = own.join(some, same("s_id", "s_at"), "left_anti").select("own", text.alias("new"))
+    return cut.unionByName(rest).select(*[F.col("new").alias(c) if c == text_col else F.col("own")[c].alias(c) for c in df.columns])
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
