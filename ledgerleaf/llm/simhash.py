@@ -219,15 +219,19 @@ def similar_groups(df: DataFrame, least: float = 0.8, words: int = 5, most_rows:
     hubs = counted(keyed.join(usual, "node").groupBy("key").agg(hub).select("key", "hub"), most_rows)
     star = keyed.join(hubs, "key").filter((F.col("node") != F.col("hub.node")) & both({"n": F.col("n"), "fp": F.col("fp")}, {"n": F.col("hub.n"), "fp": F.col("hub.fp")}))
     pairs = reliable(star.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct())
-    rows = counted(nodes.join(keyed.select("node").distinct(), "node", "left_semi").select(F.col("row").alias("wanted_row")), most_rows)
-    again = by_hash(df, text_col).join(rows, F.col("row") == F.col("wanted_row"), "left_semi")
-
     def sets_of(row, text):
         found = shingle_set(text, words)
         return [(node_of(found), found.view(np.int64).tolist())]
 
-    sets = reliable(per_text(again, sets_of, StructType.fromDDL("node long, s array<long>"), "row", "text").dropDuplicates(["node"]))
-    done = reliable(similar(sets, pairs, least))
+    def checked(pairs: DataFrame) -> DataFrame:
+        """Links among the pairs. Sets are made of their texts alone."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        rows = counted(nodes.join(wanted, "node", "left_semi").select(F.col("row").alias("wanted_row")), most_rows)
+        again = by_hash(df, text_col).join(rows, F.col("row") == F.col("wanted_row"), "left_semi")
+        sets = reliable(per_text(again, sets_of, StructType.fromDDL("node long, s array<long>"), "row", "text").dropDuplicates(["node"]))
+        return reliable(similar(sets, pairs, least))
+
+    done = checked(pairs)
     roots = components(done)
     # candidates between different components: of each group the nodes, as members of theirs
     state = keyed.join(roots.withColumnRenamed("u", "node"), "node", "left").select("key", "node", "n", "fp", F.coalesce("root", "node").alias("root"))
@@ -237,8 +241,8 @@ def similar_groups(df: DataFrame, least: float = 0.8, words: int = 5, most_rows:
     fit = both({"n": F.col("n1"), "fp": F.col("fp1")}, {"n": F.col("n2"), "fp": F.col("fp2")})
     rest = one.join(two, "key").filter((F.col("node1") < F.col("node2")) & (F.col("root1") != F.col("root2")) & fit)
     rest = rest.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = reliable(similar(sets, reliable(rest), least))
-    if not more.isEmpty():
+    rest = reliable(rest)
+    if not rest.isEmpty() and not (more := checked(rest)).isEmpty():
         roots = components(done.unionByName(more))
     return texts.select("row", "node"), roots
 
