@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -133,6 +134,8 @@ PARTS, WIDE, NEAR = 16, 32, 1
 SHORT = 2
 #: Bits of 64 in which candidates may differ. Near copies differ in 6 on average, other texts in 32.
 APART = 20
+#: Shingles, with AS_WELL more a node, of a block: pairs are checked in places of two blocks of a group, so none grows with its group. A bin has the places of EACH.
+TOGETHER, AS_WELL, EACH = 200_000, 256, 1_000_000
 
 _rnd = np.random.default_rng(42)
 _TIMES = _rnd.integers(0, 1 << 64, PARTS * WIDE // 64 + 1, np.uint64) | np.uint64(1)
@@ -173,11 +176,40 @@ def by_hash(df: DataFrame, text_col: str) -> DataFrame:
     return df.select(F.xxhash64(text).alias("row"), text.alias("text"))
 
 
+def block_of(node: str, size: str) -> Column:
+    """The block of a node in a group of ``size``: as many blocks as hold TOGETHER each."""
+    return F.pmod(F.xxhash64(node), F.ceil(F.col(size) / TOGETHER))
+
+
 def similar(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """Those of the ``pairs`` (a, b) whose shingle sets (node, s) have a Jaccard similarity of ``least`` or more."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    met = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(met >= least * (F.size("sa") + F.size("sb") - met)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    """Those of the ``pairs`` (a, b, bin) whose shingle sets (node, s, bin) have a Jaccard similarity of ``least`` or more, as u, v.
+
+    A bin holds its sets once each, however many pairs they are in, so what is shuffled grows with the sets of a bin and not with its pairs.
+    """
+
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        lists = sets["s"].combine_chunks()
+        values, ends = lists.values.to_numpy().view("<u8"), lists.offsets.to_numpy()  # in the order of unsigned numbers
+        at = dict(zip(sets["node"].to_pylist(), range(len(sets)), strict=True))
+        own = lambda k: values[ends[k] : ends[k + 1]]
+        pairs = pairs.sort_by([("a", "ascending"), ("b", "ascending")])
+        a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
+        good = np.zeros(len(a), bool)
+        for part in np.split(np.arange(len(a)), np.flatnonzero(a[1:] != a[:-1]) + 1):
+            if not len(part):
+                continue
+            mine = own(at[a[part[0]]])
+            for k in range(0, len(part), _FEW):
+                some = part[k : k + _FEW]
+                others = [own(at[x]) for x in b[some].tolist()]
+                sizes = np.array([len(x) for x in others])
+                every = np.concatenate(others)
+                hit = mine[np.minimum(np.searchsorted(mine, every), len(mine) - 1)] == every
+                met = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+                good[some] = met >= least * (len(mine) + sizes - met)
+        return pa.table({"u": pa.array(a[good], pa.int64()), "v": pa.array(b[good], pa.int64())})
+
+    return pairs.groupBy("bin").cogroup(sets.groupBy("bin")).applyInArrow(run, "u long, v long")
 
 
 def similar_groups(df: DataFrame, least: float = 0.8, words: int = 5, most_rows: int = 2_000_000, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -190,7 +222,8 @@ def similar_groups(df: DataFrame, least: float = 0.8, words: int = 5, most_rows:
 
     To spare the pairs of a group that is one anyway, nodes are first checked with the hubs of their groups, the most usual nodes there. Then
     all candidates are checked that are not linked so far: those between different components. A group of copies is then one component and
-    makes no pair; pairs grow with the square of a group only as far as its nodes are no copies of its hub.
+    makes no pair; pairs grow with the square of a group only as far as its nodes are no copies of its hub. Pairs are checked by blocks of their
+    group, where each set stands once, so sets are shuffled as often as they are in groups and never once a pair.
 
     Null and blank texts are one node that links to no other. The texts of candidates are read again for
     their sets: up to ``most_rows`` hashes are broadcast for that, else shuffled.
@@ -215,33 +248,41 @@ def similar_groups(df: DataFrame, least: float = 0.8, words: int = 5, most_rows:
     both = lambda x, y: (F.least(x["n"], y["n"]) >= least * F.greatest(x["n"], y["n"])) & (bits_apart(x["fp"], y["fp"]) <= APART)
     # a node once for each hub of its groups: most groups of near copies have the same
     usual = keyed.groupBy("node").agg(F.count("*").alias("usual"))
-    hub = F.max(F.struct("usual", "node", "n", "fp")).alias("hub")
-    hubs = counted(keyed.join(usual, "node").groupBy("key").agg(hub).select("key", "hub"), most_rows)
+    hub, size = F.max(F.struct("usual", "node", "n", "fp")).alias("hub"), F.sum(F.col("n") + AS_WELL).alias("size")
+    hubs = counted(keyed.join(usual, "node").groupBy("key").agg(hub, size), most_rows)
     star = keyed.join(hubs, "key").filter((F.col("node") != F.col("hub.node")) & both({"n": F.col("n"), "fp": F.col("fp")}, {"n": F.col("hub.n"), "fp": F.col("hub.fp")}))
-    pairs = reliable(star.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct())
+    star = star.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"), F.xxhash64("hub.node", block_of("node", "size")).alias("place"))
+    pairs = reliable(star.groupBy("a", "b").agg(F.min("place").alias("place")))
+
     def sets_of(row, text):
         found = shingle_set(text, words)
         return [(node_of(found), found.view(np.int64).tolist())]
 
     def checked(pairs: DataFrame) -> DataFrame:
-        """Links among the pairs. Sets are made of their texts alone."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        rows = counted(nodes.join(wanted, "node", "left_semi").select(F.col("row").alias("wanted_row")), most_rows)
+        """Links among the pairs (a, b, place). Sets are made of their texts alone."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node"), "place").distinct()
+        wanted = reliable(wanted.join(nodes.select("node", "row", "n"), "node"))
+        total = wanted.agg(F.sum(F.col("n") + AS_WELL)).first()[0] or 0
+        bin_ = F.pmod("place", F.lit(1 + total // EACH)).alias("bin")
+        rows = counted(wanted.select(F.col("row").alias("wanted_row")).distinct(), most_rows)
         again = by_hash(df, text_col).join(rows, F.col("row") == F.col("wanted_row"), "left_semi")
-        sets = reliable(per_text(again, sets_of, StructType.fromDDL("node long, s array<long>"), "row", "text").dropDuplicates(["node"]))
-        return reliable(similar(sets, pairs, least))
+        sets = per_text(again, sets_of, StructType.fromDDL("node long, s array<long>"), "row", "text").dropDuplicates(["node"])
+        return reliable(similar(sets.join(wanted.select("node", bin_).distinct(), "node"), pairs.select("a", "b", bin_), least))
 
     done = checked(pairs)
     roots = components(done)
     # candidates between different components: of each group the nodes, as members of theirs
     state = keyed.join(roots.withColumnRenamed("u", "node"), "node", "left").select("key", "node", "n", "fp", F.coalesce("root", "node").alias("root"))
-    open_ = state.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
-    state = reliable(state.join(open_, "key", "left_semi"))
-    one, two = (state.select("key", *[F.col(c).alias(f"{c}{k}") for c in ("node", "n", "fp", "root")]) for k in (1, 2))
+    open_ = state.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), size).filter("x <> y").select("key", "size")
+    state = reliable(state.join(open_, "key").withColumn("block", block_of("node", "size")))
+    one = state.select("key", "size", *[F.col(c).alias(f"{c}1") for c in ("node", "n", "fp", "root", "block")])
+    two = state.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "fp", "root", "block")])
     fit = both({"n": F.col("n1"), "fp": F.col("fp1")}, {"n": F.col("n2"), "fp": F.col("fp2")})
     rest = one.join(two, "key").filter((F.col("node1") < F.col("node2")) & (F.col("root1") != F.col("root2")) & fit)
-    rest = rest.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    rest = reliable(rest)
+    # a pair is checked in the largest group that it is in, beside the other pairs of its nodes there
+    place = F.xxhash64("key", F.least("block1", "block2"), F.greatest("block1", "block2")).alias("place")
+    rest = rest.select(F.col("node1").alias("a"), F.col("node2").alias("b"), F.struct("size", "key", place).alias("at"))
+    rest = reliable(rest.groupBy("a", "b").agg(F.max("at")["place"].alias("place")).join(pairs, ["a", "b"], "left_anti"))
     if not rest.isEmpty() and not (more := checked(rest)).isEmpty():
         roots = components(done.unionByName(more))
     return texts.select("row", "node"), roots
