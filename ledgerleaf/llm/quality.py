@@ -135,63 +135,72 @@ def perplexities(
 ) -> DataFrame:
     """id, row (hash of the text), lang, n_symbols, perplexity for every row: 10 to the mean of -log10 p over a text's characters.
 
-    Texts are dealt by their hashes into parts of about ``chars_each`` characters. A part's distinct grams are
+    The texts of a language are dealt by their hashes into parts of about ``chars_each`` characters. A part's distinct grams are
     joined with the model's shards, and what they find comes back to the part, which adds up each of its
     texts. So what is looked up grows with the texts, a shard only holds its grams, and nothing of the model passes the driver
-    or is copied to all tasks. The texts are shuffled once, for both steps.
+    or is copied to all tasks. The texts are shuffled once, for both steps. Rows of equal id, language and text are scored once,
+    so that they do not meet in one part, and returned as often as they are.
 
     A language without a model of its own is scored by that of the language with most symbols; an empty
     text has no perplexity (null), and so has every text where there is no model at all.
     """
     text = text_or_empty(text_col)
-    total = df.agg(F.sum(F.length(text))).first()[0] or 0
-    parts = max(1, -(-total // chars_each))
     langs = model["w1"].select(F.col("lang").alias("own"))
     widest = model["w1"].agg(F.max_by("lang", F.struct("v", "lang")).alias("widest"))  # one row
     rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("row"), language(lang_col).alias("lang"), text.alias("text"))
+    own = ["id", "row", "lang"]
+    twice = counted(rows.groupBy(F.xxhash64(*own).alias("same")).count().filter("count > 1").select("same"))
+    if twice.isEmpty():
+        rows = rows.withColumn("times", F.lit(1).cast("long"))
+    else:
+        met = F.xxhash64(*own) == F.col("same")
+        once = rows.join(twice, met, "left_semi").groupBy(*own).agg(F.first("text").alias("text"), F.count("*").alias("times"))
+        rows = rows.join(twice, met, "left_anti").withColumn("times", F.lit(1).cast("long")).unionByName(once)
     rows = rows.join(counted(langs, 10_000), F.col("lang") == F.col("own"), "left").crossJoin(F.broadcast(widest))
-    rows = rows.select("id", "row", "lang", F.coalesce("own", "widest", F.lit("")).alias("by"), "text", F.pmod(F.xxhash64("row", "id"), F.lit(parts)).cast("int").alias("part"))
+    rows = rows.select(*own, F.coalesce("own", "widest", F.lit("")).alias("by"), "text", "times")
+    sizes = counted(rows.groupBy("by").agg(F.ceil((F.sum(F.length("text")) + 1) / chars_each).alias("parts")), 10_000)
+    rows = rows.join(sizes, "by").select(*own, "by", "text", "times", F.pmod(F.xxhash64("row", "id"), "parts").cast("int").alias("part"))
 
-    used = to_arrow_schema(StructType.fromDDL("part int, lang string, g long"))
+    used = StructType.fromDDL("part int, lang string, g long")
+    used_arrow = to_arrow_schema(used)
 
     def distinct(table: pa.Table) -> pa.Table:
-        part, found = table["part"][0].as_py(), {}
-        for lang, text in zip(table["by"].to_pylist(), table["text"].to_pylist(), strict=True):
-            held = found.setdefault(lang, [np.zeros(0, np.int64), [], 0])
-            held[1].append(grams(text))
-            held[2] += len(text)
-            if held[2] > 1_000_000:
-                found[lang] = [np.unique(np.concatenate([held[0], *held[1]])), [], 0]
-        out = [(lang, np.unique(np.concatenate([had, *more]))) for lang, (had, more, _) in found.items()]
-        lists = [pa.array(np.full(sum(len(g) for _, g in out), part), pa.int32()), pa.array([lang for lang, g in out for _ in range(len(g))], pa.string())]
-        own = pa.array(np.concatenate([g for _, g in out]) if out else [], pa.int64())
-        del found, out
+        found, held, size = np.zeros(0, np.int64), [], 0
+        for text in table["text"].to_pylist():
+            held.append(grams(text))
+            size += len(text)
+            if size > 1_000_000:
+                found, held, size = np.unique(np.concatenate([found, *held])), [], 0
+        found = np.unique(np.concatenate([found, *held]))
+        first = [pa.array([table[c][0].as_py()] * len(found), t) for c, t in (("part", pa.int32()), ("by", pa.string()))]
+        out = pa.Table.from_arrays([*first, pa.array(found, pa.int64())], schema=used_arrow)
+        del found, held
         give_back()
-        return pa.Table.from_arrays([*lists, own], schema=used)
+        return out
 
     # dealt by gram once, for the lookup and for what goes back
-    asked = rows.groupBy("part").applyInArrow(distinct, StructType.fromDDL("part int, lang string, g long")).repartition("lang", "g")
+    asked = rows.groupBy("by", "part").applyInArrow(distinct, used).repartition("lang", "g")
     values = asked.join(log_probabilities(asked.select("lang", "g").distinct(), model), ["lang", "g"]).select("part", "lang", "g", "p")
-    schema = StructType([StructType.fromDDL("id string")["id"]] + StructType.fromDDL("row long, lang string, n_symbols long, perplexity double").fields)
+    schema = StructType([StructType.fromDDL("id string")["id"]] + StructType.fromDDL("row long, lang string, n_symbols long, perplexity double, times long").fields)
     schema.fields[0].dataType = df.schema[id_col].dataType
     out = to_arrow_schema(schema)
 
     def score(table: pa.Table, found: pa.Table) -> pa.Table:
-        by = found.to_pandas().sort_values("g").groupby("lang")
-        by = {lang: (x["g"].to_numpy(), x["p"].to_numpy()) for lang, x in by}
-        scores = []
-        for lang, text in zip(table["by"].to_pylist(), table["text"].to_pylist(), strict=True):
-            if not text or lang not in by:
-                scores.append(None)
-                continue
-            have, p = by[lang]
-            scores.append(float(10 ** -p[np.searchsorted(have, grams(text))].mean()))
+        order = np.argsort(have := found["g"].to_numpy())
+        have, p = have[order], found["p"].to_numpy()[order]
+        scores = [float(10 ** -p[np.searchsorted(have, grams(t))].mean()) if t and len(have) else None for t in table["text"].to_pylist()]
         sizes = pc.utf8_length(table["text"]).to_numpy()
-        del by
+        del have, p, order
         give_back()
-        return pa.Table.from_arrays([table["id"].combine_chunks().cast(out.field("id").type), table["row"].combine_chunks(), table["lang"].combine_chunks(), pa.array(sizes, pa.int64()), pa.array(scores, pa.float64())], schema=out)
-
-    return rows.groupBy("part").cogroup(values.groupBy("part")).applyInArrow(score, schema)
+        own = [table[c].combine_chunks() for c in ("row", "lang")]
+        ids, numbers = table["id"].combine_chunks().cast(out.field("id").type), [pa.array(sizes, pa.int64()), pa.array(scores, pa.float64())]
+        return pa.Table.from_arrays([ids, *own, *numbers, table["times"].combine_chunks()], schema=out)
+
+    scored = rows.groupBy("by", "part").cogroup(values.groupBy("lang", "part")).applyInArrow(score, schema)
+    if twice.isEmpty():
+        return scored.drop("times")
+    each = F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("again")
+    return scored.select("*", each).drop("times", "again")
 
 
 def classify(
