@@ -171,17 +171,17 @@ def scorer(raw: bytes) -> Scorer:
     return Scorer(raw)
 
 
-def train(texts: DataFrame, text_col: str = "text", label_col: str = "toxic") -> bytes:
-    """A model from labelled texts; the caller bounds their number.
+def train(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> bytes:
+    """A model from labelled texts; the caller bounds the number of their ids.
 
-    The tasks that hold the texts cut each down to its distinct words and write them; one task then reads these alone
+    Of an id and label with several texts, or with one that is repeated, the text with the least hash is learnt from. The tasks that hold the texts cut each down to its distinct words and write them; one task then reads these alone
     and fits the model. What it reads is bounded by the number of texts and the words that one can hold. Another attempt gives the
     same model (fixed seed, rows sorted by text).
     """
 
     def words(batches):
         for pdf in batches:
-            yield pd.DataFrame({"t": [" ".join(words_of(t)) for t in pdf["t"]], "y": pdf["y"]})
+            yield pdf.assign(t=[" ".join(words_of(t)) for t in pdf["t"]])
 
     def run(batches):
         pdf = pd.concat(list(batches), ignore_index=True).dropna(subset=["y"]).sort_values(["t", "y"])
@@ -192,8 +192,9 @@ def train(texts: DataFrame, text_col: str = "text", label_col: str = "toxic") ->
             raw = np.concatenate([[bias], bucket])
         yield pd.DataFrame({"model": [raw.astype("<f4").tobytes()]})
 
-    rows = texts.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"), F.col(label_col).cast("int").alias("y"))
-    chosen = reliable(rows.mapInPandas(words, "t string, y int"))
+    rows = texts.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"), F.col(label_col).cast("int").alias("y"))
+    least = F.min(F.struct(F.xxhash64("t").alias("h"), "t"))["t"].alias("t")
+    chosen = reliable(rows.mapInPandas(words, "id string, t string, y int").groupBy("id", "y").agg(least).select("t", "y"))
     # a first row without a label, so that there is a task even where no text is
     empty = rows.sparkSession.createDataFrame([("", None)], "t string, y int")
     return bytes(empty.unionByName(chosen).coalesce(1).mapInPandas(run, "model binary").first()["model"])
@@ -214,7 +215,7 @@ def toxicity(
     known = labels.select(id_col, F.col(label_col).cast("int").alias("__y")).filter(~held & F.col(id_col).isNotNull() & F.col("__y").isin(0, 1)).distinct()
     pick = [known.filter(F.col("__y") == k).orderBy(F.xxhash64(id_col), id_col).limit(most_of_each) for k in (0, 1)]
     chosen = pick[0].unionByName(pick[1])
-    raw = train(df.select(id_col, text_col).join(F.broadcast(chosen), id_col), text_col, "__y")
+    raw = train(df.select(id_col, text_col).join(F.broadcast(chosen), id_col), id_col, text_col, "__y")
     shared = df.sparkSession.sparkContext.broadcast(raw)
 
     def rows(key, text):

@@ -544,6 +544,24 @@ def test_quality_of_edges(spark, edges):
     assert quality.classify(edges.limit(0), edges.select("doc_id")).count() == 0 and quality.accepted(edges.limit(0), said).count() == 0
 
 
+def test_quality_scores_equal_rows_once_and_returns_all(spark):
+    many = spark.range(100_000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "'en' AS lang", "'the same words again' AS text")
+    other = spark.createDataFrame([(1, "en", "the cat sat on the mat"), (1, "en", "the cat sat on the mat"), (2, "fr", "le chat")], "doc_id long, lang string, text string")
+    model = quality.train(other)
+    got = quality.perplexities(many.unionByName(other), model, chars_each=1_000).groupBy("id", "lang", "n_symbols").agg(F.count("*").alias("n"), F.count_distinct("perplexity").alias("d"))
+    assert {(r["id"], r["lang"], r["n_symbols"], r["n"], r["d"]) for r in got.collect()} == {(None, "en", 20, 100_000, 1), (1, "en", 22, 2, 1), (2, "fr", 7, 1, 1)}
+    alone = quality.perplexities(many.limit(1), model).first()["perplexity"]
+    assert alone == pytest.approx(quality.perplexities(many.unionByName(other), model).filter("id IS NULL").first()["perplexity"])
+
+
+def test_toxicity_learns_a_repeated_id_once(spark):
+    # ids whose crc32 mod 5 is not 0 are learnt from
+    few = spark.createDataFrame([(i, ("vile rotten scum " if i % 2 else "kind gentle words ") + f"w{i}", i % 2) for i in range(60)], "doc_id long, text string, toxic int")
+    many = few.unionByName(few.filter("doc_id in (1, 2, 3)").crossJoin(spark.range(5_000)).drop("id"))
+    once, again = (toxicity.train(x) for x in (few, many))
+    assert once == again
+
+
 def test_quality_rejects_junk(spark):
     sf = "/root/testdata/sf0.01"
     got = registry.op10_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").groupBy("quality").agg(F.avg(F.col("keep").cast("int")).alias("kept")).collect()
