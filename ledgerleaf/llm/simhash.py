@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import counted, per_text, reliable, text_or_empty, with_id_type
+from .common import counted, give_back, per_text, reliable, text_or_empty, with_id_type
 from .components import components
 
 #: A-Z lower-cased, byte by byte; UTF-8's other bytes stay.
@@ -136,6 +138,8 @@ SHORT = 2
 APART = 20
 #: Shingles, with AS_WELL more a node, of a block: pairs are checked in places of two blocks of a group, so none grows with its group. A bin has the places of EACH.
 TOGETHER, AS_WELL, EACH = 200_000, 256, 1_000_000
+#: Characters of texts whose sets are passed on together.
+RUN = 500_000
 
 _rnd = np.random.default_rng(42)
 _TIMES = _rnd.integers(0, 1 << 64, PARTS * WIDE // 64 + 1, np.uint64) | np.uint64(1)
@@ -181,33 +185,53 @@ def block_of(node: str, size: str) -> Column:
     return F.pmod(F.xxhash64(node), F.ceil(F.col(size) / TOGETHER))
 
 
+def in_runs(df: DataFrame, fn: Callable[[int, str], list[tuple]], schema: StructType) -> DataFrame:
+    """Rows that ``fn(row, text)`` returns, passed on after each RUN characters, so that a batch's sets never stand in memory together."""
+    out = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made, size = [], 0
+            for k in range(len(batch)):
+                text = batch.column(1)[k].as_py() or ""
+                made += fn(batch.column(0)[k].as_py(), text)
+                size += len(text)
+                if size > RUN or k == len(batch) - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), out, strict=True)], schema=out)
+                    made, size = [], 0
+                    give_back()
+
+    return df.select("row", "text").mapInArrow(run, schema)
+
+
 def similar(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """Those of the ``pairs`` (a, b, bin) whose shingle sets (node, s, bin) have a Jaccard similarity of ``least`` or more, as u, v.
+    """Those of the ``pairs`` (a, b, bin) whose shingle sets (node, s: sorted hashes as bytes, bin) have a Jaccard similarity of ``least`` or more, as u, v.
 
     A bin holds its sets once each, however many pairs they are in, so what is shuffled grows with the sets of a bin and not with its pairs.
     """
 
     def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        lists = sets["s"].combine_chunks()
-        values, ends = lists.values.to_numpy().view("<u8"), lists.offsets.to_numpy()  # in the order of unsigned numbers
-        at = dict(zip(sets["node"].to_pylist(), range(len(sets)), strict=True))
-        own = lambda k: values[ends[k] : ends[k + 1]]
+        at = dict(zip(sets["node"].to_pylist(), sets["s"], strict=True))
+        own = lambda node: np.frombuffer(at[node].as_buffer(), "<u8")
         pairs = pairs.sort_by([("a", "ascending"), ("b", "ascending")])
         a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
         good = np.zeros(len(a), bool)
         for part in np.split(np.arange(len(a)), np.flatnonzero(a[1:] != a[:-1]) + 1):
             if not len(part):
                 continue
-            mine = own(at[a[part[0]]])
+            mine = own(int(a[part[0]]))
             for k in range(0, len(part), _FEW):
                 some = part[k : k + _FEW]
-                others = [own(at[x]) for x in b[some].tolist()]
+                others = [own(x) for x in b[some].tolist()]
                 sizes = np.array([len(x) for x in others])
                 every = np.concatenate(others)
                 hit = mine[np.minimum(np.searchsorted(mine, every), len(mine) - 1)] == every
                 met = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
                 good[some] = met >= least * (len(mine) + sizes - met)
-        return pa.table({"u": pa.array(a[good], pa.int64()), "v": pa.array(b[good], pa.int64())})
+        out = pa.table({"u": pa.array(a[good], pa.int64()), "v": pa.array(b[good], pa.int64())})
+        del at, pairs, sets
+        give_back()
+        return out
 
     return pairs.groupBy("bin").cogroup(sets.groupBy("bin")).applyInArrow(run, "u long, v long")
 
@@ -239,7 +263,7 @@ def similar_groups(df: DataFrame, least: float = 0.8, words: int = 5, most_rows:
         return [(row, node_of(found), len(found), whole, [signed(k) for k in keys])]
 
     tables = part_masks(NEAR, WIDE)
-    made = per_text(by_hash(df, text_col), marks, StructType.fromDDL("row long, node long, n int, fp long, keys array<long>"), "row", "text")
+    made = in_runs(by_hash(df, text_col), marks, StructType.fromDDL("row long, node long, n int, fp long, keys array<long>"))
     texts = reliable(made.dropDuplicates(["row"]))
     nodes = reliable(texts.groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
     keyed = nodes.select("node", "n", "fp", F.explode("keys").alias("key"))
@@ -256,7 +280,7 @@ def similar_groups(df: DataFrame, least: float = 0.8, words: int = 5, most_rows:
 
     def sets_of(row, text):
         found = shingle_set(text, words)
-        return [(node_of(found), found.view(np.int64).tolist())]
+        return [(node_of(found), found.tobytes())]
 
     def checked(pairs: DataFrame) -> DataFrame:
         """Links among the pairs (a, b, place). Sets are made of their texts alone."""
@@ -266,7 +290,7 @@ def similar_groups(df: DataFrame, least: float = 0.8, words: int = 5, most_rows:
         bin_ = F.pmod("place", F.lit(1 + total // EACH)).alias("bin")
         rows = counted(wanted.select(F.col("row").alias("wanted_row")).distinct(), most_rows)
         again = by_hash(df, text_col).join(rows, F.col("row") == F.col("wanted_row"), "left_semi")
-        sets = per_text(again, sets_of, StructType.fromDDL("node long, s array<long>"), "row", "text").dropDuplicates(["node"])
+        sets = in_runs(again, sets_of, StructType.fromDDL("node long, s binary")).dropDuplicates(["node"])
         return reliable(similar(sets.join(wanted.select("node", bin_).distinct(), "node"), pairs.select("a", "b", bin_), least))
 
     done = checked(pairs)
