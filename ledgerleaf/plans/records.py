@@ -48,8 +48,8 @@ def _notes(spark, sf_dir):
     k, num = F.col("c_custkey"), F.regexp_extract("c_name", "([0-9]+)", 1)
     word = F.translate(num, "0123456789", "abcdefghij")
     text = F.concat(
-        F.when(k % 3 == 0, F.concat(F.lit("Patient: "), F.upper(word), F.lit(", Mr Jo (known as X)  MRN: AB"), F.lpad(k.cast("string"), 6, "0"), F.lit("\n")))
-        .when(k % 3 == 1, F.concat(F.upper(word), F.lit(", Ann\nhospital no. "), F.lpad(k.cast("string"), 5, "0"), F.lit("\n"))).otherwise(F.lit("no name here\n")),
+        F.when(k % 3 == 0, F.concat(F.lit("Patient: "), F.upper(word), F.lit(", Mr Jo (known as X)  MRN: AB"), F.format_string("%06d", k), F.lit("\n")))
+        .when(k % 3 == 1, F.concat(F.upper(word), F.lit(", Ann\nhospital no. "), F.format_string("%05d", k), F.lit("\n"))).otherwise(F.lit("no name here\n")),
         F.when(k % 4 == 0, F.lit("NHS number: 943 476 5919\n")).when(k % 4 == 1, F.lit("ref 943 476 5919 x\n")).when(k % 4 == 2, F.lit("ref 943 476 5918 x\n")).otherwise(F.lit("")),
         F.when(k % 5 == 0, F.lit("DOB: 1-Sep-1952\n")).when(k % 5 == 1, F.lit("Date of birth 03/04/1960\n")).when(k % 5 == 2, F.lit("DOB: 31/02/1960\n")).otherwise(F.lit("")),
         F.when(k % 2 == 0, F.lit("Sex: Female")).otherwise(F.lit("gender m")),
