@@ -91,11 +91,14 @@ def sitemap_tree(roots: DataFrame, stored: DataFrame, deepest: int = 10, exclude
     return seen.join(there, "key", "left").select("url", "is_index", "depth", F.when(F.col("is_index"), F.coalesce("there", F.lit(False))).alias("stored"))
 
 
-def merge_listings(a: DataFrame, b: DataFrame) -> DataFrame:
-    """key, url, title: the union by canonical url; b's title where it has one."""
-    x = a.select(canonical_url(F.col("url")).alias("key"), F.col("url").alias("ua"), F.col("title").alias("ta"))
-    y = b.select(canonical_url(F.col("url")).alias("key"), F.col("url").alias("ub"), F.col("title").alias("tb"))
-    return x.join(y, "key", "full").select("key", F.coalesce("ua", "ub").alias("url"), F.coalesce(F.nullif("tb", F.lit("")), "ta", F.lit("")).alias("title"))
+def merge_listings(a: DataFrame, b: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """key, ``also``, url, title: the union by canonical url; b's title where it has one.
+
+    ``also``: further columns of both by which entries are the same; without them entries of one url are told apart by nothing, and all of a's meet all of b's.
+    """
+    x = a.select(canonical_url(F.col("url")).alias("key"), *also, F.col("url").alias("ua"), F.col("title").alias("ta"))
+    y = b.select(canonical_url(F.col("url")).alias("key"), *also, F.col("url").alias("ub"), F.col("title").alias("tb"))
+    return x.join(y, ["key", *also], "full").select("key", *also, F.coalesce("ua", "ub").alias("url"), F.coalesce(F.nullif("tb", F.lit("")), "ta", F.lit("")).alias("title"))
 
 
 def page_fingerprint(pages: DataFrame, least: int = 400) -> DataFrame:
