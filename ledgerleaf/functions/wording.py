@@ -27,8 +27,11 @@ def any_of(tests: Iterable[Column]) -> Column:
 
 
 def begins(words: Column, phrases: Iterable[str]) -> Column:
-    """The words begin with one of the phrases."""
-    return any_of(words.startswith(f" {f} ") for p in phrases for f in sorted(_forms(p)))
+    """The words begin with one of the phrases: their first words, as many as a phrase has, are looked up in the set of phrases of that length."""
+    by: dict[int, set[str]] = {}
+    for f in (f for p in phrases for f in _forms(p)):
+        by.setdefault(len(f.split()), set()).add(f" {f}")
+    return any_of(F.substring_index(words, " ", n + 1).isin(*sorted(fs)) for n, fs in sorted(by.items()))
 
 
 def whole(words: Column, phrases: Iterable[str]) -> Column:
