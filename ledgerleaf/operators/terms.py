@@ -16,6 +16,8 @@ from .literature import term, text_predicate
 
 #: What stands between two words: anything but letters, numbers and the underline. CUT marks where the two part; it stands for no text of its own.
 BETWEEN, CUT, INSTEAD = r"([^\p{L}\p{N}_]+)", "\x00", "\x01"
+#: Bytes of texts that are cut into words together: a worker's memory goes by this and by its longest text, not by a batch.
+RUN = 1_000_000
 
 
 def _wordy(c: str) -> bool:
@@ -93,6 +95,14 @@ class Finder:
         return pc.fill_null(pc.index_in(values, value_set=keys), -1).to_numpy(zero_copy_only=False)
 
 
+def runs(batch: pa.RecordBatch, most: int = RUN) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch (key, text) in runs of ``most`` bytes and a text at most."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    edges = [0, *(np.flatnonzero(np.diff(upto // most)) + 1).tolist(), len(batch)]
+    for a, z in zip(edges, edges[1:]):
+        yield batch.slice(a, z - a)
+
+
 def _found(df: DataFrame, terms: Iterable[str], col: str, key: str, positions: bool) -> DataFrame:
     terms = sorted(set(terms))
     even = [t for t in terms if shape_of(t)]
@@ -105,7 +115,7 @@ def _found(df: DataFrame, terms: Iterable[str], col: str, key: str, positions: b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(even)
-        for b in batches:
+        for b in (part for batch in batches for part in runs(batch)):
             for row, pos, which, names in finder.hits(b.column(1)):
                 if not positions:
                     one = np.unique(row * len(names) + which)
@@ -113,6 +123,7 @@ def _found(df: DataFrame, terms: Iterable[str], col: str, key: str, positions: b
                 term_ = pa.array(names).take(pa.array(which))
                 cols = [b.column(0).take(pa.array(row)), term_] + ([pa.array(pos, pa.int32())] if positions else [])
                 yield pa.RecordBatch.from_arrays(cols, schema=out)
+            pa.default_memory_pool().release_unused()
 
     parts = [rows.filter(F.length("__text") > 0).mapInArrow(run, schema)] if even else []
     if odd:
