@@ -64,10 +64,12 @@ def disclosures(found: DataFrame, rows: DataFrame, min_texts: int, share: float,
     joint = seen.groupBy("t", "h").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= min_texts)
     each = found.select("h", "at").distinct().groupBy("h").agg(F.count("*").alias("n_e"))
     joint = reliable(joint.join(each, "h"))
-    terms = reliable(joint.select("t").distinct())
-    few = terms.count() <= most
-    words = rows.select("at", F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("t")).filter("t IS NOT NULL")
-    held = words.join(F.broadcast(terms) if few else terms, "t", "left_semi").distinct().groupBy("t").agg(F.count("*").alias("n_t"))
+    # all words of all texts are counted, so that what is passed on grows with the texts, whichever terms stand beside entities
+    again = counted(rows.groupBy("at").agg(F.count("*").alias("rows")).filter("rows > 1").select(F.col("at").alias("again")), most)
+    copied = F.col("at") == F.col("again")
+    once = rows.join(again, copied, "left_anti").select("at", "text").unionByName(rows.join(again, copied, "left_semi").select("at", "text").dropDuplicates(["at"]))
+    words = once.select(F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("t")).filter("t IS NOT NULL")
+    held = words.groupBy("t").agg(F.count("*").alias("n_t"))
     total = rows.select("at").distinct().agg(F.count("*").alias("n"))  # one row
     told = joint.join(held, "t").crossJoin(F.broadcast(total))
     told = told.withColumn("pmi", F.log2(F.col("n_te") * F.col("n") / (F.col("n_e") * F.col("n_t")))).withColumn("ic", F.log2(F.col("n") / F.col("n_e")))
