@@ -131,7 +131,8 @@ def near_duplicates(
 # ---- near copies by the similarity of their shingle sets ----
 
 #: A search fingerprint has PARTS parts of WIDE bits, each covered for radius NEAR, and one of 64 bits that candidates are compared by.
-PARTS, WIDE, NEAR = 16, 32, 1
+#: A key is two thirds of a part's bits, 26 or 27: other texts agree in it by chance once in 2 ** 26 pairs, so few do however large the table.
+PARTS, WIDE, NEAR = 28, 40, 1
 #: Words of the shingles that a search fingerprint adds up: a changed word changes few of them, so near copies differ in few bits.
 SHORT = 2
 #: Bits of 64 in which candidates may differ. Near copies differ in 6 on average, other texts in 32.
@@ -142,8 +143,8 @@ TOGETHER, AS_WELL, EACH = 200_000, 256, 1_000_000
 RUN = 500_000
 
 _rnd = np.random.default_rng(42)
-_TIMES = _rnd.integers(0, 1 << 64, PARTS * WIDE // 64 + 1, np.uint64) | np.uint64(1)
-_FEW = 4_096
+_TIMES = _rnd.integers(0, 1 << 64, -(-PARTS * WIDE // 64) + 1, np.uint64) | np.uint64(1)
+_FEW = 2_048
 
 
 def shingle_set(text: str, words: int = 5) -> np.ndarray:
@@ -157,18 +158,24 @@ def node_of(found: np.ndarray) -> int:
 
 
 def search_fingerprint(found: np.ndarray) -> tuple[list[int], int]:
-    """(parts, whole): the signs of the sums of the shingles' bits over all shingles of a set, unweighted: PARTS numbers of WIDE bits, and 64 bits."""
+    """(words, whole): the signs of the sums of the shingles' bits over all shingles of a set, unweighted: words of 32 bits, and 64 bits."""
     counts = np.zeros(64 * len(_TIMES), np.int64)
     for at in range(0, len(found), _FEW):
         h = found[at : at + _FEW, None] * _TIMES
         h ^= h >> np.uint64(29)
         h *= np.uint64(0x94D049BB133111EB)
         h ^= h >> np.uint64(32)
-        counts += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        counts += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint16)
     bits = np.packbits(2 * counts > len(found), bitorder="little")
     return bits[:-8].view("<u4").tolist(), int(bits[-8:].view("<i8")[0])
 
 
+def parts_of(words: list[int]) -> list[int]:
+    """The PARTS numbers of WIDE bits that the bits of the words give, one after the other."""
+    bits = sum(w << 32 * k for k, w in enumerate(words))
+    return [bits >> WIDE * k & (1 << WIDE) - 1 for k in range(PARTS)]
+
+
 def part_masks(radius: int, wide: int) -> list[int]:
     """``masks`` for numbers of ``wide`` bits."""
     return [m & (1 << wide) - 1 for m in masks(radius)]
@@ -258,8 +265,8 @@ def similar_groups(df: DataFrame, least: float = 0.8, words: int = 5, most_rows:
         short = shingle_set(text, SHORT)
         if not len(short):
             return [(row, node_of(found), 0, 0, [])]
-        parts, whole = search_fingerprint(short)
-        keys = [xxhash.xxh64_intdigest(struct.pack("<II", k, x & m), j) for k, x in enumerate(parts) for j, m in enumerate(tables)]
+        own, whole = search_fingerprint(short)
+        keys = [xxhash.xxh64_intdigest(struct.pack("<IQ", k, x & m), j) for k, x in enumerate(parts_of(own)) for j, m in enumerate(tables)]
         return [(row, node_of(found), len(found), whole, [signed(k) for k in keys])]
 
     tables = part_masks(NEAR, WIDE)

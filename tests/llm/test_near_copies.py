@@ -68,3 +68,18 @@ def test_bits_are_signs_of_sums_over_all_shingles():
 def test_masks_of_parts_cover_the_radius():
     tables = simhash.part_masks(simhash.NEAR, simhash.WIDE)
     assert all(any(not m >> i & 1 for m in tables) for i in range(simhash.WIDE)) and all(0 < m < 1 << simhash.WIDE for m in tables)
+
+
+def test_other_texts_share_no_key_by_chance_and_near_ones_do():
+    rnd = np.random.default_rng(8)
+    tables = simhash.part_masks(simhash.NEAR, simhash.WIDE)
+    assert all(m.bit_count() >= 26 for m in tables)  # pairs that agree by chance: one in 2 ** 26
+    size, met = 64 * (len(simhash._TIMES) - 1), 0
+    words = lambda bits: np.packbits(bits, bitorder="little").view("<u4").tolist()
+    for _ in range(200):
+        one = rnd.integers(0, 2, size, np.uint8)
+        two = one ^ (rnd.random(size) < 0.095)
+        a, b = simhash.parts_of(words(one)), simhash.parts_of(words(two))
+        assert sum(x << simhash.WIDE * k for k, x in enumerate(a)) == int.from_bytes(np.packbits(one, bitorder="little").tobytes(), "little") % (1 << simhash.WIDE * simhash.PARTS)
+        met += any((x ^ y) & m == 0 for x, y in zip(a, b, strict=True) for m in tables)
+    assert met >= 190
