@@ -11,7 +11,7 @@ from ..operators import extract as E
 from ..operators import pack as P
 from ..operators import rules as R
 from ..operators import search as S
-from ..sources.shared import shared_folder
+from ..sources.shared import shared_folder, spread
 from . import ruling
 from .tables import table
 
@@ -44,7 +44,7 @@ def date_audit(spark, sf_dir):
 
 
 def _notes(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
+    c = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey")
     k, num = F.col("c_custkey"), F.regexp_extract("c_name", "([0-9]+)", 1)
     word = F.translate(num, "0123456789", "abcdefghij")
     text = F.concat(

@@ -26,6 +26,11 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, *by: str, times: int = 4) -> DataFrame:
+    """``df``, dealt by the columns ``by`` into ``times`` tasks a core: Spark splits files by bytes, and a small file of many short rows would keep one task busy."""
+    return df.repartition(times * df.sparkSession.sparkContext.defaultParallelism, *by)
+
+
 def small(df: DataFrame, most: int = 2_000_000) -> DataFrame:
     """``df``, kept and counted: for a broadcast up to ``most`` rows, beyond that for a join by shuffle."""
     df = kept(df)
