@@ -8,6 +8,7 @@ from ..functions.columns import clean_text
 from ..operators import extract as E
 from ..operators import layout as Y
 from ..operators import match as M
+from ..sources.shared import spread
 from .tables import table
 
 
@@ -168,7 +169,8 @@ def layout_headings(spark, sf_dir):
     starts = ("Statement of Health Professional ", "2) Patient’s signature ", "Section 3 interpreter ", "parental responsibility ", "Confirmation of consent ", "The patient ", "To be completed by nurse ", "1. Witness ", "Part ")
     t = F.concat(F.element_at(F.array(*[F.lit(x) for x in starts]), (F.col("p_partkey") % 9 + 1).cast("int")), F.col("p_name"))
     t = F.when(F.col("p_size") == 1, "Responsible consultants :").when(F.col("p_size") == 2, F.rpad(t, 161, "x")).otherwise(t)
-    lines = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(1).alias("page"), F.lit(0.0).alias("x"), F.col("p_size").cast("double").alias("y"), t.alias("text"))
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), "p_partkey")
+    lines = parts.select(F.col("p_partkey").alias("doc_id"), F.lit(1).alias("page"), F.lit(0.0).alias("x"), F.col("p_size").cast("double").alias("y"), t.alias("text"))
     return Y.section_headings(lines).select("doc_id", "y", "section")
 
 
@@ -180,7 +182,7 @@ def layout_asked(spark, sf_dir):
     k = F.col("c_custkey")
     said = F.element_at(F.array(*[F.lit(x) for x in ASKED]), (k % 12 + 1).cast("int"))
     t = F.when(k % 5 == 0, F.concat(said, F.lit(" "), "c_mktsegment")).otherwise(said)
-    return table(spark, sf_dir, "customer").select("c_custkey", Y.classify_label(t).alias("role"))
+    return spread(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey").select("c_custkey", Y.classify_label(t).alias("role"))
 
 
 def layout_sections(spark, sf_dir):
