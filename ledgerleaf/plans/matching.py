@@ -109,7 +109,9 @@ def sitemap_nested(spark, sf_dir):
 
 def _items(spark, sf_dir):
     """Words on a grid: a line each 12 points down, 5 points a character, one space between."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
+    # texts are dealt by document once: all that follows is by document and line or page, and is not shuffled again
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", times=8)
+    d = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
     d = d.select("doc_id", F.lit(1).alias("page"), "ln", clean_text(F.col("line")).alias("line")).filter("line <> ''")
     w = F.split("line", " ")
     t = d.withColumn("w", w).select("doc_id", "page", "ln", "line", F.posexplode("w").alias("i", "str"))
