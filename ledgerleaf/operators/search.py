@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import versions
+from ..sources.shared import spread
 
 #: Grams of the index: of this many characters; shorter terms are met by grams of their own length.
 LONGEST = 3
@@ -36,7 +37,8 @@ def build_index(docs: DataFrame, root: str, key: str = "doc_id", cols: tuple[str
 
     ``buckets`` grows with the data. A gram that most rows hold is spread as its bucket's rows are: it is read only if a search has no rarer one.
     """
-    posted = docs.select(F.explode(text_grams(searched_text(cols))).alias("gram"), F.col(key))
+    # a row makes a hundred postings, so rows are dealt before
+    posted = spread(docs.select(key, *cols), key).select(F.explode(text_grams(searched_text(cols))).alias("gram"), F.col(key))
     counts = posted.groupBy("gram").agg(F.count("*").alias("n"))
     tables = {"postings": (posted, ["gram"], buckets), "counts": (counts, ["gram"], buckets), "rows": (docs, [key], buckets)}
     return versions.commit_tables(docs.sparkSession, tables, root, {"key": key, "cols": list(cols), "kinds": {"key": docs.schema[key].dataType.simpleString(), "rows": ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)}})
