@@ -1,8 +1,10 @@
-"""Running sums and numbers within groups of any size."""
+"""Running sums and numbers within groups of any size, and folds over arrays."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import kept, small
@@ -30,3 +32,22 @@ def running_sum(df: DataFrame, group: list[str], value: str, order: list, into:
     for s in same:
         on = on & s
     return laid.join(each, on).withColumn(into, F.col(into) + F.col("__earlier")).select(*df.columns, into)
+
+
+def running(items: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]], of: str, block: int = 64) -> Column:
+    """An array with a value, of the type ``of``, for each of ``items``: ``step(state, item)`` gives the state after the item, and its value.
+
+    Spark copies an array to lengthen it, so values are gathered by blocks of items: the work grows with the items and not with their square.
+    """
+    none = lambda kind: F.expr(f"cast(array() AS array<{kind}>)")
+
+    def add(a: Column, item: Column) -> Column:
+        after, value = step(a["state"], item)
+        return F.struct(after.alias("state"), F.array_append(a["values"], value).alias("values"))
+
+    def add_block(a: Column, at: Column) -> Column:
+        whole = lambda g: F.struct(g["state"].alias("state"), F.array_append(a["blocks"], g["values"]).alias("blocks"))
+        return F.aggregate(F.slice(items, at, block), F.struct(a["state"].alias("state"), none(of).alias("values")), add, whole)
+
+    firsts = F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.lit(block))
+    return F.flatten(F.aggregate(firsts, F.struct(start.alias("state"), none(f"array<{of}>").alias("blocks")), add_block)["blocks"])

@@ -31,6 +31,16 @@ def spread(df: DataFrame, *by: str, times: int = 4) -> DataFrame:
     return df.repartition(times * df.sparkSession.sparkContext.defaultParallelism, *by)
 
 
+#: Bytes of text a task is to have: what is sorted of them, many times as large, fits into a task's memory.
+TASK_BYTES = 4_000_000
+
+
+def spread_texts(df: DataFrame, text: str, *by: str) -> DataFrame:
+    """``df``, dealt by the columns ``by`` into tasks of about ``TASK_BYTES`` of ``text`` each, eight a core at least: more text makes more tasks, not larger ones."""
+    n = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return df.repartition(max(8 * df.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_BYTES)), *by)
+
+
 def small(df: DataFrame, most: int = 2_000_000) -> DataFrame:
     """``df``, kept and counted: for a broadcast up to ``most`` rows, beyond that for a join by shuffle."""
     df = kept(df)
