@@ -34,7 +34,7 @@ def running_sum(df: DataFrame, group: list[str], value: str, order: list, into:
     return laid.join(each, on).withColumn(into, F.col(into) + F.col("__earlier")).select(*df.columns, into)
 
 
-def running(items: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]], of: str, block: int = 64) -> Column:
+def running(items: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]], of: str, block: int = 16) -> Column:
     """An array with a value, of the type ``of``, for each of ``items``: ``step(state, item)`` gives the state after the item, and its value.
 
     Spark copies an array to lengthen it, so values are gathered by blocks of items: the work grows with the items and not with their square.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import clean_text
+from ..functions.columns import clean_text, has_text
 from ..functions.ordered import running
 from ..operators import extract as E
 from ..operators import layout as Y
@@ -112,8 +112,8 @@ def _items(spark, sf_dir):
     """Words on a grid: a line each 12 points down, 5 points a character, one space between."""
     # texts are dealt by document once: all that follows is by document and line or page, and is not shuffled again
     docs = spread_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "doc_id")
-    d = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
-    d = d.select("doc_id", F.lit(1).alias("page"), "ln", clean_text(F.col("line")).alias("line")).filter("line <> ''").withColumn("w", F.split("line", " "))
+    d = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line")).filter(has_text(F.col("line")))
+    d = d.select("doc_id", F.lit(1).alias("page"), "ln", F.split(clean_text(F.col("line")), " ").alias("w"))
     d = d.withColumn("x", running(F.col("w"), F.lit(0), lambda x, w: (x + F.length(w) + 1, x), "int"))
     t = d.select("doc_id", "page", "ln", F.inline(F.arrays_zip("w", "x"))).withColumnRenamed("w", "str")
     return t.select("doc_id", "page", "str", (F.col("x") * 5.0).alias("x0"), ((F.col("x") + F.length("str")) * 5.0).alias("x1"), (-12.0 * F.col("ln")).alias("y"), F.lit(10.0).alias("fs"))
